@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, minhash, packing, sharding, token_counts, warc
+from . import decontam, embeddings, minhash, packing, sharding, token_counts, warc
 from .shared import shared_dir
 
 
@@ -44,9 +44,13 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_pack, op4_shard, op7_warc, op8_minhash, op10_token_counts)}
-ORACLE = {"op1_decontaminate": decontam.ORACLE, "op4_shard": sharding.ORACLE, "op7_warc": warc.ORACLE, "op8_minhash": minhash.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_pack, op4_shard, op7_warc, op8_minhash, op9_near_vectors, op10_token_counts)}
+ORACLE = {"op1_decontaminate": decontam.ORACLE, "op4_shard": sharding.ORACLE, "op7_warc": warc.ORACLE, "op8_minhash": minhash.ORACLE, "op9_near_vectors": embeddings.ORACLE}
