@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embeddings, minhash, packing, sharding, token_counts, warc
+from . import decontam, embeddings, langid, minhash, packing, sharding, token_counts, toxicity, warc
 from .shared import shared_dir
 
 
@@ -27,6 +27,29 @@ def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"))
 
 
+def _remainder(n: int):
+    """crc32 of doc_id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(_remainder(4) != 2))
+    return langid.identify(docs, model).select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    grammar = toxicity.fit(labelled(docs, _table(spark, sf_dir, "labels")).where(_remainder(3) != 1))
+    return toxicity.score(docs, grammar).select("doc_id", (_remainder(3) == 1).alias("held_out"), "score", "predicted")
+
+
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text and toxic of the documents that have a label; of several labels of one document the largest."""
+    marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return docs.select("doc_id", "text").join(marks, "doc_id")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
@@ -52,5 +75,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_pack, op4_shard, op7_warc, op8_minhash, op9_near_vectors, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_pack, op4_shard, op5_language, op6_toxicity, op7_warc, op8_minhash, op9_near_vectors, op10_token_counts)}
 ORACLE = {"op1_decontaminate": decontam.ORACLE, "op4_shard": sharding.ORACLE, "op7_warc": warc.ORACLE, "op8_minhash": minhash.ORACLE, "op9_near_vectors": embeddings.ORACLE}
