@@ -1,4 +1,4 @@
-"""Blocks of term frequencies: a term's documents of one block in one row, so that a join by term moves packed lists instead of (document, term) rows."""
+"""Blocks of term frequencies: a term's documents of one block in one row, so that a join by term moves packed entries instead of (document, term) rows."""
 
 from __future__ import annotations
 
@@ -7,51 +7,63 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-#: Documents and text bytes of a block; a longer text is a block of its own.
+#: Documents of a block at most: an entry is 16 bits, 12 of them the place in the block and 4 a count of 1 to 15 (a larger count is several entries).
 BLOCK_ROWS = 4096
+#: Text bytes after which a block ends; a longer text is a block of its own.
 BLOCK_BYTES = 16 << 20
+#: Entries that a task adds up before it passes sums on.
+HELD = 1_000_000
 
 Terms = Callable[[list], list[list[str]]]
 
 
 class _Numbers(defaultdict):
+    """Numbers keys in the order in which they first come."""
+
     def __missing__(self, key):
         n = self[key] = len(self)
         return n
 
 
+def to_arrow(ddl: str):
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
 def distinct_terms(rows: DataFrame, terms: Terms) -> DataFrame:
-    """Each distinct term of the texts of rows (doc_id, text), once."""
+    """Each distinct term of the texts of rows (text), once."""
 
     def each(batches):
         import pyarrow as pa
 
         seen: set[str] = set()
+        table = lambda: pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.string())], ["term"])
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 seen.update(terms([text])[0])
                 if len(seen) > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], ["term"])
+                    yield table()
                     seen.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], ["term"])
+        yield table()
 
     return rows.select("text").mapInArrow(each, "term string").distinct()
 
 
 def build(rows: DataFrame, terms: Terms, extra: str = "", measure: Callable | None = None) -> DataFrame:
-    """Rows (term, block, docs, freqs) and, for each block, one header row with term null.
+    """Rows (term, block, packed) and, for each block, one row with term null and head.
 
-    rows has doc_id and text (and what measure needs). docs: places in the block, ascending; freqs: how
-    often each has the term. A header has docs = all places, doc_ids, n_bytes, n_terms, and the columns that measure adds
-    (extra: their DDL; measure(record batch, list of term lists) -> dict of lists). Blocks do not span
-    partitions, and a partition computed again gives the same rows.
+    rows: doc_id, text. packed: entries of the documents that have the term. head: struct of arrays over the block's documents: doc_ids, n_bytes, n_terms, and what measure(record batch, term lists)
+    gives as a dict of lists under the names of extra (their DDL). Blocks do not span partitions, and a partition that is
+    computed again gives the same rows.
     """
-    id_type = dict(rows.dtypes)["doc_id"]
-    more = [x.split()[0] for x in extra.split(",") if x.strip()]
-    schema = f"term string, block long, docs array<int>, freqs array<int>, doc_ids array<{id_type}>, n_bytes array<long>, n_terms array<long>" + "".join(f", {x.strip().split()[0]} array<{x.strip().split()[1]}>" for x in extra.split(",") if x.strip())
-
-    out_schema = to_arrow(schema)
+    types = dict(rows.dtypes)
+    more = StructType.fromDDL(extra).names if extra else []
+    head_ddl = f"doc_ids array<{types['doc_id']}>, n_bytes array<long>, n_terms array<long>" + "".join(f", {f.name} array<{f.dataType.simpleString()}>" for f in (StructType.fromDDL(extra).fields if extra else []))
+    schema = f"term string, block long, packed binary, head struct<{head_ddl}>"
+    out = to_arrow(schema)
 
     def each(batches):
         import numpy as np
@@ -62,116 +74,117 @@ def build(rows: DataFrame, terms: Terms, extra: str = "", measure: Callable | No
 
         block = TaskContext.get().partitionId() << 32
 
-        def lists(values, offsets, kind):
-            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
-
-        def pack(state):
-            """Names of the terms; where each one's places begin; the places and frequencies."""
-            ids = np.concatenate(state["ids"]) if state["ids"] else np.zeros(0, np.int64)
-            owners = np.concatenate(state["owners"]) if state["owners"] else np.zeros(0, np.int64)
-            key, freq = np.unique(ids << 32 | owners, return_counts=True)
-            starts = np.flatnonzero(np.diff(key >> 32, prepend=-1))
-            return list(state["of"]), np.append(starts, len(key)), (key & 0xFFFFFFFF).astype(np.int32), freq.astype(np.int32)
-
-        def flush(state):
-            import itertools
-
-            nonlocal block
-            names, offsets, places, freq = pack(state)
-            n, size = len(names), state["n"]
-            for a in range(0, n, 50_000):
-                b = min(n, a + 50_000)
-                lo, hi = offsets[a], offsets[b]
-                offs = offsets[a : b + 1] - lo
-                cols = [pa.array(names[a:b], pa.string()), pa.array(np.full(b - a, block), pa.int64()), lists(places[lo:hi], offs, pa.int32()), lists(freq[lo:hi], offs, pa.int32())]
-                cols += [pa.nulls(b - a, f.type) for f in out[4:]]
-                yield pa.RecordBatch.from_arrays(cols, schema=out_schema)
-            head = [state["doc_ids"], state["n_bytes"], state["n_terms"], *(list(itertools.chain.from_iterable(x[m] for x in state["more"])) for m in more)]
-            cols = [pa.nulls(1, pa.string()), pa.array([block], pa.int64()), pa.array([list(range(size))], pa.list_(pa.int32())), pa.nulls(1, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array([h], f.type) for h, f in zip(head, out[4:])], schema=out_schema)
-            block += 1
-
-        def fresh():
-            return {"of": _Numbers(), "ids": [], "owners": [], "n": 0, "bytes": 0, "doc_ids": [], "n_bytes": [], "n_terms": [], "more": []}
-
-        out = list(out_schema)
+        def flush(s):
+            ids = np.concatenate(s["ids"])
+            owners = np.repeat(np.arange(len(s["ids"])), [len(x) for x in s["ids"]])
+            key, freq = np.unique(ids * BLOCK_ROWS + owners, return_counts=True)
+            times = -(-freq // 15)
+            key = np.repeat(key, times)
+            count = np.full(len(key), 15)
+            count[np.cumsum(times) - 1] = freq - (times - 1) * 15
+            term, doc = key // BLOCK_ROWS, key % BLOCK_ROWS
+            entries = (doc * 16 + count).astype("<u2")
+            names = list(s["of"])
+            starts = np.append(np.flatnonzero(np.diff(term, prepend=-1)), len(key))
+            for a in range(0, len(names), 50_000):
+                b = min(len(names), a + 50_000)
+                lo, hi = starts[a], starts[b]
+                packed = pa.BinaryArray.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(((starts[a : b + 1] - lo) * 2).astype(np.int32)), pa.py_buffer(entries[lo:hi].tobytes())])
+                cols = [pa.array(names[a:b], pa.string()), pa.array(np.full(b - a, block), pa.int64()), packed]
+                yield pa.RecordBatch.from_arrays([*cols, pa.nulls(b - a, out.field("head").type)], schema=out)
+            head = {"doc_ids": s["doc_ids"], "n_bytes": s["n_bytes"], "n_terms": [len(x) for x in s["ids"]]} | {m: [v for part in s["more"] for v in part[m]] for m in more}
+            cols = [pa.nulls(1, pa.string()), pa.array([block], pa.int64()), pa.nulls(1, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([head], out.field("head").type)], schema=out)
+
+        fresh = lambda: {"of": _Numbers(), "ids": [], "bytes": 0, "doc_ids": [], "n_bytes": [], "more": []}
         state = fresh()
         for batch in batches:
             for start, length in text_batches(batch.column("text")):
                 part = batch.slice(start, length)
                 texts = part.column("text").to_pylist()
+                if state["ids"] and (len(state["ids"]) + length > BLOCK_ROWS or state["bytes"] >= BLOCK_BYTES):
+                    yield from flush(state)
+                    state, block = fresh(), block + 1
                 found = terms(texts)
                 state["doc_ids"] += part.column("doc_id").to_pylist()
                 for text, words in zip(texts, found):
-                    number = state["of"]
-                    ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-                    state["ids"].append(ids)
-                    state["owners"].append(np.full(len(ids), state["n"], np.int64))
-                    state["n"] += 1
-                    size = len((text or "").encode("utf-8", "surrogatepass"))
-                    state["bytes"] += size
-                    state["n_bytes"].append(size)
-                    state["n_terms"].append(len(words))
+                    state["ids"].append(np.fromiter(map(state["of"].__getitem__, words), np.int64, len(words)))
+                    state["n_bytes"].append(len((text or "").encode("utf-8", "surrogatepass")))
+                    state["bytes"] += state["n_bytes"][-1]
                 if measure:
                     state["more"].append(measure(part, found))
-                if state["n"] >= BLOCK_ROWS or state["bytes"] >= BLOCK_BYTES:
-                    yield from flush(state)
-                    state = fresh()
-        if state["n"]:
+        if state["ids"]:
             yield from flush(state)
 
     return rows.mapInArrow(each, schema)
 
 
-def to_arrow(ddl: str):
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(ddl))
-
-
 def weigh(posted: DataFrame, values: DataFrame, ddl: str) -> DataFrame:
     """Per document the sums over its terms of frequency times each of the term's values.
 
-    values: (term, values struct) with the fields of ddl, in order; a term that has no row counts 0. Result:
-    doc_id, n_bytes, n_terms, what measure added, and the sums under the names of ddl. The join is by
-    term; a term that every block has is split like any skewed join key. Then a block's rows meet in one
-    group, whose size the block bounds.
+    values: (term, and the columns of ddl); a term that has no row there counts 0. Result: doc_id, the rest of head, and the
+    sums under the names of ddl. The join is by term; a term that every block has is split like any skewed join
+    key. A task adds up what it has of each block, and a block's sums meet in one group, whose size the block bounds.
     """
-    from pyspark.sql.types import StructType
-
     fields = StructType.fromDDL(ddl).fields
-    passed = [c for c in posted.columns if c not in ("term", "block", "docs", "freqs", "doc_ids")]
-    joined = posted.join(values, "term", "left").drop("term")
-    types = dict(posted.dtypes)
-    out_ddl = ", ".join([f"doc_id {types['doc_ids'][6:-1]}", *(f"{c} {types[c][6:-1]}" for c in passed), *(f"{f.name} {f.dataType.simpleString()}" for f in fields)])
-
-    kept = to_arrow(out_ddl)
     names = [f.name for f in fields]
+    head = posted.schema["head"].dataType
+    joined = posted.join(values.select("term", *names), "term", "left").select("block", "packed", "head", *(F.col(c).cast("double").alias(c) for c in names))
+    passed = [f for f in head.fields if f.name != "doc_ids"]
+    out_ddl = ", ".join([f"doc_id {head['doc_ids'].dataType.elementType.simpleString()}", *(f"{f.name} {f.dataType.elementType.simpleString()}" for f in passed), *(f"{f.name} {f.dataType.simpleString()}" for f in fields)])
+    mid_ddl = f"block long, places binary, sums binary, head {head.simpleString()}"
+    mid, kept = to_arrow(mid_ddl), to_arrow(out_ddl)
+    passed = [f.name for f in passed]
+
+    def add(batches):
+        """Sums of a task by block and place."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        held: list[tuple] = []
+
+        def flush():
+            blocks, entries, weights = (np.concatenate([x[i] for x in held]) for i in range(3))
+            known, at = np.unique(blocks, return_inverse=True)
+            key, number = np.unique(at * BLOCK_ROWS + entries // 16, return_inverse=True)
+            sums = np.stack([np.bincount(number, (entries % 16) * weights[:, i]) for i in range(len(names))], 1)
+            starts = np.append(np.flatnonzero(np.diff(key // BLOCK_ROWS, prepend=-1)), len(key))
+            places = (key % BLOCK_ROWS).astype("<u2")
+            cols = [pa.array(known, pa.int64()), pa.array([places[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:])], pa.binary()), pa.array([sums[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:])], pa.binary())]
+            held.clear()
+            return pa.RecordBatch.from_arrays([*cols, pa.nulls(len(known), mid.field("head").type)], schema=mid)
+
+        size = 0
+        for batch in batches:
+            heads = pc.is_valid(batch.column("head"))
+            if (told := batch.filter(heads)).num_rows:
+                yield pa.RecordBatch.from_arrays([told.column("block"), pa.nulls(told.num_rows, pa.binary()), pa.nulls(told.num_rows, pa.binary()), told.column("head")], schema=mid)
+            body = batch.filter(pc.invert(heads))
+            if body.num_rows:
+                times = pc.binary_length(body.column("packed")).to_numpy() // 2
+                entries = np.frombuffer(b"".join(body.column("packed").to_pylist()), "<u2").astype(np.int64)
+                weights = np.stack([pc.fill_null(body.column(c), 0.0).to_numpy() for c in names], 1)
+                held.append((np.repeat(body.column("block").to_numpy(), times), entries, np.repeat(weights, times, axis=0)))
+                size += len(entries)
+                if size >= HELD:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
 
     def each(group):
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        heads = pc.is_valid(group.column("doc_ids"))
-        head = group.filter(heads).slice(0, 1)
-        body = group.filter(pc.and_(pc.invert(heads), pc.is_valid(group.column("values")))).combine_chunks()
-        flat = {c: pc.list_flatten(head.column(c)).combine_chunks() for c in ("doc_ids", *passed)}
-        n = len(flat["doc_ids"])
-        cols = [flat["doc_ids"], *(flat[c] for c in passed)]
-        if body.num_rows:
-            lengths = pc.list_value_length(body.column("docs")).to_numpy()
-            places = pc.list_flatten(body.column("docs")).to_numpy()
-            freqs = pc.list_flatten(body.column("freqs")).to_numpy()
-        for name in names:
-            if body.num_rows:
-                v = pc.struct_field(body.column("values"), name).to_numpy()
-                total = np.bincount(places, freqs * np.repeat(v, lengths).astype(float), n)
-            else:
-                total = np.zeros(n)
-            kind = kept.field(name).type
-            cols.append(pa.array(np.rint(total).astype(np.int64), kind) if pa.types.is_integer(kind) else pa.array(total, kind))
-        return pa.Table.from_arrays([c.cast(k.type) for c, k in zip(cols, kept)], schema=kept)
-
-    return joined.groupBy("block").applyInArrow(each, out_ddl)
+        heads = pc.is_valid(group.column("head"))
+        told = group.filter(heads).column("head").combine_chunks()
+        flat = [pc.list_flatten(pc.struct_field(told, c)) for c in ("doc_ids", *passed)]
+        total = np.zeros((len(flat[0]), len(names)))
+        for places, sums in zip(*(group.filter(pc.invert(heads)).column(c).to_pylist() for c in ("places", "sums"))):
+            np.add.at(total, np.frombuffer(places, "<u2"), np.frombuffer(sums).reshape(-1, len(names)))
+        sums = [pa.array(np.rint(total[:, i]).astype(np.int64) if pa.types.is_integer(kept.field(c).type) else total[:, i]) for i, c in enumerate(names)]
+        return pa.Table.from_arrays([c.cast(k.type) for c, k in zip([*flat, *sums], kept)], schema=kept)
+
+    return joined.mapInArrow(add, mid_ddl).groupBy("block").applyInArrow(each, out_ddl)

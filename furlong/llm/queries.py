@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embeddings, langid, minhash, packing, sharding, token_counts, toxicity, warc
+from . import decontam, embeddings, langid, lm, minhash, packing, sharding, token_counts, toxicity, warc
 from .shared import shared_dir
 
 
@@ -19,6 +19,12 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op2_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    scored = lm.score(_table(spark, sf_dir, "documents"), ~held, public_tokenizers.path("byte_bpe_50k.json"))
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
 
@@ -75,5 +81,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_pack, op4_shard, op5_language, op6_toxicity, op7_warc, op8_minhash, op9_near_vectors, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_score, op3_pack, op4_shard, op5_language, op6_toxicity, op7_warc, op8_minhash, op9_near_vectors, op10_token_counts)}
 ORACLE = {"op1_decontaminate": decontam.ORACLE, "op4_shard": sharding.ORACLE, "op7_warc": warc.ORACLE, "op8_minhash": minhash.ORACLE, "op9_near_vectors": embeddings.ORACLE}

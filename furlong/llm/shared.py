@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: the shared folder, written cuts of a plan, ASCII lower-casing, components."""
+"""What the operators of this subpackage share: the shared folder, written cuts of a plan, lower-casing of A-Z, components."""
 
 from __future__ import annotations
 
@@ -8,8 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Lower-cases A-Z and nothing else, for str.translate.
-LOWER = {c: c + 32 for c in range(65, 91)}
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+
+
+def lower_ascii(text: str | None) -> str:
+    """The text with A-Z, and nothing else, in lower case."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).decode("utf-8", "surrogatepass")
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -81,5 +81,5 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, doc_id: str = "
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     values = postings.distinct_terms(rows, terms).mapInArrow(pieces, "term string, value long")
-    sums = postings.weigh(postings.build(rows, terms), values.select("term", F.struct("value").alias("values")), "value long")
+    sums = postings.weigh(postings.build(rows, terms), values, "value long")
     return sums.select("doc_id", "n_bytes", F.col("value").alias("n_tokens"), (F.col("value") > limit).alias("over_limit"))
