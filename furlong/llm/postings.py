@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,18 +53,35 @@ def distinct_terms(rows: DataFrame, terms: Terms) -> DataFrame:
     return rows.select("text").mapInArrow(each, "term string").distinct()
 
 
-def build(rows: DataFrame, terms: Terms, extra: str = "", measure: Callable | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Postings:
+    """rows: (term, block, packed, head); documents: DDL of the table that a head holds."""
+
+    rows: DataFrame
+    documents: str
+
+
+def _write(batch) -> bytes:
+    import pyarrow as pa
+
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def build(rows: DataFrame, terms: Terms, extra: str = "", measure: Callable | None = None) -> Postings:
     """Rows (term, block, packed) and, for each block, one row with term null and head.
 
-    rows: doc_id, text. packed: entries of the documents that have the term. head: struct of arrays over the block's documents: doc_ids, n_bytes, n_terms, and what measure(record batch, term lists)
-    gives as a dict of lists under the names of extra (their DDL). Blocks do not span partitions, and a partition that is
+    rows: doc_id, text. packed: entries of the documents that have the term. head: the block's documents as an Arrow
+    stream: doc_id, n_bytes, n_terms, and what measure(record batch, term lists) gives as a dict of lists under
+    the names of extra (their DDL); as one binary value it costs the other rows nothing. Blocks do not span partitions, and a partition that is
     computed again gives the same rows.
     """
-    types = dict(rows.dtypes)
+    documents = f"doc_id {dict(rows.dtypes)['doc_id']}, n_bytes long, n_terms long" + f", {extra}" * bool(extra)
     more = StructType.fromDDL(extra).names if extra else []
-    head_ddl = f"doc_ids array<{types['doc_id']}>, n_bytes array<long>, n_terms array<long>" + "".join(f", {f.name} array<{f.dataType.simpleString()}>" for f in (StructType.fromDDL(extra).fields if extra else []))
-    schema = f"term string, block long, packed binary, head struct<{head_ddl}>"
-    out = to_arrow(schema)
+    schema = "term string, block long, packed binary, head binary"
+    out, told = to_arrow(schema), to_arrow(documents)
 
     def each(batches):
         import numpy as np
@@ -92,9 +110,9 @@ def build(rows: DataFrame, terms: Terms, extra: str = "", measure: Callable | No
                 packed = pa.BinaryArray.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(((starts[a : b + 1] - lo) * 2).astype(np.int32)), pa.py_buffer(entries[lo:hi].tobytes())])
                 cols = [pa.array(names[a:b], pa.string()), pa.array(np.full(b - a, block), pa.int64()), packed]
                 yield pa.RecordBatch.from_arrays([*cols, pa.nulls(b - a, out.field("head").type)], schema=out)
-            head = {"doc_ids": s["doc_ids"], "n_bytes": s["n_bytes"], "n_terms": [len(x) for x in s["ids"]]} | {m: [v for part in s["more"] for v in part[m]] for m in more}
-            cols = [pa.nulls(1, pa.string()), pa.array([block], pa.int64()), pa.nulls(1, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([head], out.field("head").type)], schema=out)
+            head = [s["doc_ids"], s["n_bytes"], [len(x) for x in s["ids"]], *([v for part in s["more"] for v in part[m]] for m in more)]
+            head = pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(head, told)], schema=told)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([block], pa.int64()), pa.nulls(1, pa.binary()), pa.array([_write(head)], pa.binary())], schema=out)
 
         fresh = lambda: {"of": _Numbers(), "ids": [], "bytes": 0, "doc_ids": [], "n_bytes": [], "more": []}
         state = fresh()
@@ -116,10 +134,10 @@ def build(rows: DataFrame, terms: Terms, extra: str = "", measure: Callable | No
         if state["ids"]:
             yield from flush(state)
 
-    return rows.mapInArrow(each, schema)
+    return Postings(rows.mapInArrow(each, schema), documents)
 
 
-def weigh(posted: DataFrame, values: DataFrame, ddl: str) -> DataFrame:
+def weigh(posted: Postings, values: DataFrame, ddl: str) -> DataFrame:
     """Per document the sums over its terms of frequency times each of the term's values.
 
     values: (term, and the columns of ddl); a term that has no row there counts 0. Result: doc_id, the rest of head, and the
@@ -128,13 +146,10 @@ def weigh(posted: DataFrame, values: DataFrame, ddl: str) -> DataFrame:
     """
     fields = StructType.fromDDL(ddl).fields
     names = [f.name for f in fields]
-    head = posted.schema["head"].dataType
-    joined = posted.join(values.select("term", *names), "term", "left").select("block", "packed", "head", *(F.col(c).cast("double").alias(c) for c in names))
-    passed = [f for f in head.fields if f.name != "doc_ids"]
-    out_ddl = ", ".join([f"doc_id {head['doc_ids'].dataType.elementType.simpleString()}", *(f"{f.name} {f.dataType.elementType.simpleString()}" for f in passed), *(f"{f.name} {f.dataType.simpleString()}" for f in fields)])
-    mid_ddl = f"block long, places binary, sums binary, head {head.simpleString()}"
+    joined = posted.rows.join(values.select("term", *names), "term", "left").select("block", "packed", "head", *(F.col(c).cast("double").alias(c) for c in names))
+    out_ddl = f"{posted.documents}, {ddl}"
+    mid_ddl = "block long, places binary, sums binary, head binary"
     mid, kept = to_arrow(mid_ddl), to_arrow(out_ddl)
-    passed = [f.name for f in passed]
 
     def add(batches):
         """Sums of a task by block and place."""
@@ -179,8 +194,8 @@ def weigh(posted: DataFrame, values: DataFrame, ddl: str) -> DataFrame:
         import pyarrow.compute as pc
 
         heads = pc.is_valid(group.column("head"))
-        told = group.filter(heads).column("head").combine_chunks()
-        flat = [pc.list_flatten(pc.struct_field(told, c)) for c in ("doc_ids", *passed)]
+        told = pa.ipc.open_stream(group.filter(heads).column("head")[0].as_py()).read_all().combine_chunks()
+        flat = told.columns
         total = np.zeros((len(flat[0]), len(names)))
         for places, sums in zip(*(group.filter(pc.invert(heads)).column(c).to_pylist() for c in ("places", "sums"))):
             np.add.at(total, np.frombuffer(places, "<u2"), np.frombuffer(sums).reshape(-1, len(names)))
