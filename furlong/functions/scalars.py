@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,8 +42,6 @@ def clean_text(*cols: str | Column) -> Column:
 
 def fold_name(col: str | Column) -> Column:
     """Names for matching (P5): compatibility composition, case folded, punctuation and legal suffixes dropped. NFKC has no JVM function, so an Arrow UDF does that part."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def nfkc(s: pd.Series) -> pd.Series:
         return s.str.normalize("NFKC").str.casefold()
@@ -114,7 +113,7 @@ def running_style(corner: str | Column, n: str | Column, front: float = 0.3, bac
     return F.when(_c(corner) == 1, "nige").when(at <= front, "senkou").when(at <= back, "sashi").when(at.isNotNull(), "oikomi")
 
 
-def race_key(*parts: str) -> Column:
+def race_key(*parts: str | Column) -> Column:
     return F.concat_ws(":", *parts)
 
 
