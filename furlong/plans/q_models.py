@@ -52,11 +52,11 @@ def m4(spark, d):
     return df.select(*KEY, R6("blended").alias("blended"), "blended_rank")
 
 
-@query("m5_average", "SELECT race_id, horse, round((score_a + score_b + score_c) / 3, 2) AS score FROM e")
+@query("m5_average", "SELECT race_id, horse, round((score_a + score_b + score_c) / 3, 6) AS score FROM e")
 def m5(spark, d):
     e = entries(spark, d)
     preds = J.union_all([e.select(*KEY, F.col(s).alias("score")) for s in ("score_a", "score_b", "score_c")])
-    return M.average_ensemble(preds, KEY, ["score"]).select(*KEY, F.round("score", 2).alias("score"))
+    return M.average_ensemble(preds, KEY, ["score"]).select(*KEY, F.round("score", 6).alias("score"))
 
 
 @query("m6_search_weights", N3 + ", g AS (SELECT a, b, 4 - a - b AS c, (row_number() OVER (ORDER BY a, b) - 1)::INT AS trial FROM range(5) t(a), range(5) u(b) WHERE a + b <= 4), s AS (SELECT trial, race_id, race_year, horse, finish, 0.0::DOUBLE + n_a * (a / 4) + n_b * (b / 4) + n_c * (c / 4) AS v FROM n, g), p AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY trial, race_id ORDER BY v DESC, horse) = 1) SELECT trial, race_year, round(avg((finish = 1)::INT), 6) AS top1, count(*) AS races FROM p GROUP BY ALL")
@@ -100,10 +100,10 @@ def m12(spark, d):
     return M.route_cells(entries(spark, d), rules, "base").select(*KEY, "model")
 
 
-@query("m13_impute_prior", ", x AS (SELECT *, CASE WHEN horse % 4 > 0 THEN odds END AS o FROM e), c AS (SELECT venue, distance, avg(o) AS m, count(o) AS n FROM x WHERE race_date < DATE '1999-01-01' GROUP BY ALL) SELECT race_id, horse, x.o IS NULL AS o_imputed, round(coalesce(x.o, CASE WHEN n >= 20 THEN m END, (SELECT avg(o) FROM x WHERE race_date < DATE '1999-01-01')), 3) AS o FROM x LEFT JOIN c USING (venue, distance)")
+@query("m13_impute_prior", ", x AS (SELECT *, CASE WHEN horse % 4 > 0 THEN odds END AS o FROM e), c AS (SELECT venue, distance, avg(o) AS m, count(o) AS n FROM x WHERE race_date < DATE '1999-01-01' GROUP BY ALL) SELECT race_id, horse, x.o IS NULL AS o_imputed, round(coalesce(x.o, CASE WHEN n >= 20 THEN m END, (SELECT avg(o) FROM x WHERE race_date < DATE '1999-01-01')), 10) AS o FROM x LEFT JOIN c USING (venue, distance)")
 def m13(spark, d):
     x = entries(spark, d).withColumn("o", F.when(F.col("horse") % 4 > 0, F.col("odds")))
-    return M.impute_prior(x, ["o"], ["venue", "distance"], F.col("race_date") < "1999-01-01").select(*KEY, "o_imputed", F.round("o", 3).alias("o"))
+    return M.impute_prior(x, ["o"], ["venue", "distance"], F.col("race_date") < "1999-01-01").select(*KEY, "o_imputed", F.round("o", 10).alias("o"))
 
 
 @query("m14_subset_metrics", N3 + ", s AS (SELECT race_id, horse, finish, unnest([0, 1, 2, 3]) AS mask, unnest([n_a, n_b, n_a + n_c, n_a + n_b + n_c]) AS v FROM n), p AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY mask, race_id ORDER BY v DESC, horse) = 1) SELECT mask, round(avg((finish = 1)::INT), 6) AS top1, count(*) AS races FROM p GROUP BY mask")
