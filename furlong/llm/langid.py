@@ -102,12 +102,14 @@ class Model:
 
     def __init__(self, counts: dict[str, dict[str, int]]):
         self.languages = sorted(counts)
+        self.tables, self.backs, self.unseen, self.limits = [], [], 0.0, np.zeros(0)
+        if not self.languages:
+            return
         every = [_Counts(counts[x]) for x in self.languages]
         names = sorted({w for x in counts.values() for w in x})
         letters_seen = len({c for w in names for c in w}) + 2
         grams, _ = _grams(names)
         contexts = _contexts(grams)
-        self.tables, self.backs = [], []
         shorter = np.full((len(grams[0]), len(every)), 1 / letters_seen)
         for n in range(ORDER):
             keys, first = np.unique(grams[n], return_index=True)
@@ -165,13 +167,15 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         """(language, or 'und' for a text without letters; confidence; rejected) of each text."""
+        if not self.languages:
+            return [("und", 0.0, True)] * len(texts)
         entropy, sizes = self.texts(texts)
         best = entropy.argmin(axis=1)
         gap = (entropy - entropy.min(axis=1, keepdims=True)) * np.minimum(sizes, EVIDENCE)[:, None]
         sure = 1 / np.exp(-np.minimum(gap, 700)).sum(axis=1)
         out = []
         for i, n in enumerate(sizes.tolist()):
-            if not n or not self.languages:
+            if not n:
                 out.append(("und", 0.0, True))
             else:
                 out.append((self.languages[best[i]], float(sure[i]), bool(n >= LEAST_LETTERS and entropy[i, best[i]] > self.limits[best[i]])))
