@@ -209,8 +209,9 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, doc_id: str = "do
 
     counts: dict[str, dict[str, int]] = {x: {} for x in sizes}
     trained = sample.where("not held").select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    for r in trained.collect():
-        counts[r["lang"]][r["word"]] = r["n"]
+    for batch in trained.toArrow().to_batches(max_chunksize=10_000):  # columns, not row objects, on the driver
+        for name, word, n in zip(*(c.to_pylist() for c in batch.columns)):
+            counts[name][word] = n
     model = Model({x: w for x, w in counts.items() if w})
     if not model.languages:
         return model
