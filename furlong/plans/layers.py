@@ -19,6 +19,10 @@ from ..operators import metrics as M
 from ..operators import relative as R
 
 
+#: Distances are multiples of this many metres.
+STEP = 100
+
+
 def win() -> Column:
     return (F.col("finish") == 1).cast("int")
 
@@ -43,11 +47,11 @@ def career(df: DataFrame) -> DataFrame:
     """L2: a horse's career: rates overall, by venue, surface and class; nearby distances; speed; days since; runs in 30 days."""
     w, last = H.before("horse"), W.partitionBy("horse").orderBy("day", "race_id")
     df = prior_rates(df, {"career_win_rate": ["horse"], "venue_win_rate": ["horse", "venue"], "surface_win_rate": ["horse", "surface"], "class_win_rate": ["horse", "class"]})
-    near = F.expr("filter(_past, x -> abs(x.distance - distance) <= 200)")
-    df = df.withColumn("_past", F.collect_list(F.struct("distance", F.col("finish").alias("f"))).over(w)).withColumn("_near", near)
-    rate = F.try_divide(F.size(F.filter("_near", lambda x: x["f"] == 1)), F.nullif(F.size("_near"), F.lit(0)))
-    df = df.withColumns({"distance_win_rate": rate, "starts_30d": F.count("*").over(H.last_days("horse", days=30)), "days_since": F.col("day") - F.max("day").over(w)})
-    return df.withColumns({"speed_avg5": F.avg("time").over(last.rowsBetween(-5, -1)), "speed_best5": F.min("time").over(last.rowsBetween(-5, -1))}).drop("_past", "_near")
+    df = df.withColumns({"starts_30d": F.count("*").over(H.last_days("horse", days=30)), "days_since": F.col("day") - F.max("day").over(w), "speed_avg5": F.avg("time").over(last.rowsBetween(-5, -1)), "speed_best5": F.min("time").over(last.rowsBetween(-5, -1))})
+    # a run counts for every distance within 200 m of its own; distances are multiples of STEP, so that is a few rows each, and no list of past runs is carried
+    df = df.withColumn("_d", F.explode(F.transform(F.sequence(F.lit(-200), F.lit(200), F.lit(STEP)), lambda x: F.col("distance") + x)))
+    df = df.withColumn("distance_win_rate", F.avg(win()).over(H.before("horse", "_d")))
+    return df.where(F.col("_d") == F.col("distance")).drop("_d")
 
 
 def jockey_trainer(df: DataFrame) -> DataFrame:
