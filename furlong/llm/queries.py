@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,13 +16,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(n: int):
+    """crc32 of doc_id as text, modulo n; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op2_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    held = _remainder(7) == 2
     scored = lm.score(_table(spark, sf_dir, "documents"), ~held, public_tokenizers.path("byte_bpe_50k.json"))
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
@@ -33,11 +40,6 @@ def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"))
 
 
-def _remainder(n: int):
-    """crc32 of doc_id as text, modulo n."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
-
-
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(_remainder(4) != 2))
@@ -57,8 +59,6 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
     path = f"{shared_dir(spark)}/furlong/warc-{uuid.uuid4().hex}"
     warc.write(warc.as_records(_table(spark, sf_dir, "pages")), path)
     page = lambda c: F.regexp_extract(c, "^<urn:page:(.*)>$", 1).cast("long")
