@@ -32,7 +32,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumns({
         "field_size": F.count("*").over(race), "finish": F.row_number().over(race.orderBy(F.desc("_p"), "horse")).cast("long"), "popularity": F.row_number().over(race.orderBy("odds", "horse")).cast("long"),
         "horse_no": F.row_number().over(race.orderBy("horse")).cast("long"), "corner1": F.row_number().over(race.orderBy(F.desc("_q"), "horse")).cast("long"),
-        "score_a": F.col("_p") / 1000, "score_b": F.round(F.col("_q") * (1 - F.col("_d")), 4), "score_c": F.round(F.col("_p") / (1 + F.col("_q")), 4),
+        "score_a": F.col("_p") / 1000, "score_b": F.round(F.col("_q") * (1 - F.col("_d")), 4), "score_c": F.col("_p") / (1 + F.col("_q")),
     })
     return rows.drop("_p", "_q", "_d")
 
@@ -49,6 +49,6 @@ runner AS (
 e AS (
   SELECT * EXCLUDE (_p, _q, _d), count(*) OVER (PARTITION BY race_id) AS field_size, row_number() OVER (PARTITION BY race_id ORDER BY _p DESC, horse) AS finish,
     row_number() OVER (PARTITION BY race_id ORDER BY odds, horse) AS popularity, row_number() OVER (PARTITION BY race_id ORDER BY horse) AS horse_no,
-    row_number() OVER (PARTITION BY race_id ORDER BY _q DESC, horse) AS corner1, _p / 1000 AS score_a, round(_q * (1 - _d), 4) AS score_b, round(_p / (1 + _q), 4) AS score_c
+    row_number() OVER (PARTITION BY race_id ORDER BY _q DESC, horse) AS corner1, _p / 1000 AS score_a, round(_q * (1 - _d), 4) AS score_b, _p / (1 + _q) AS score_c
   FROM runner)
 """
