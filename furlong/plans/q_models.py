@@ -52,11 +52,11 @@ def m4(spark, d):
     return df.select(*KEY, R6("blended").alias("blended"), "blended_rank")
 
 
-@query("m5_average", "SELECT race_id, horse, round((score_a + score_b + score_c) / 3, 6) AS score FROM e")
+@query("m5_average", "SELECT race_id, horse, round((score_a + score_b + score_c) / 3, 8) AS score FROM e")
 def m5(spark, d):
     e = entries(spark, d)
     preds = J.union_all([e.select(*KEY, F.col(s).alias("score")) for s in ("score_a", "score_b", "score_c")])
-    return M.average_ensemble(preds, KEY, ["score"]).select(*KEY, F.round("score", 6).alias("score"))
+    return M.average_ensemble(preds, KEY, ["score"]).select(*KEY, F.round("score", 8).alias("score"))
 
 
 @query("m6_search_weights", N3 + ", g AS (SELECT a, b, 4 - a - b AS c, (row_number() OVER (ORDER BY a, b) - 1)::INT AS trial FROM range(5) t(a), range(5) u(b) WHERE a + b <= 4), s AS (SELECT trial, race_id, race_year, horse, finish, 0.0::DOUBLE + n_a * (a / 4) + n_b * (b / 4) + n_c * (c / 4) AS v FROM n, g), p AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY trial, race_id ORDER BY v DESC, horse) = 1) SELECT trial, race_year, round(avg((finish = 1)::INT), 6) AS top1, count(*) AS races FROM p GROUP BY ALL")
