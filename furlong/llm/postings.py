@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ HELD = 1_000_000
 Terms = Callable[[list], list[list[str]]]
 
 
-class _Numbers(defaultdict):
+class Numbers(defaultdict):
     """Numbers keys in the order in which they first come."""
 
     def __missing__(self, key):
@@ -74,8 +75,9 @@ def build(rows: DataFrame, terms: Terms, extra: str = "", measure: Callable | No
     """Rows (term, block, packed) and, for each block, one row with term null and head.
 
     rows: doc_id, text. packed: entries of the documents that have the term. head: the block's documents as an Arrow
-    stream: doc_id, n_bytes, n_terms, and what measure(record batch, term lists) gives as a dict of lists under
-    the names of extra (their DDL); as one binary value it costs the other rows nothing. Blocks do not span partitions, and a partition that is
+    stream: doc_id, n_bytes, n_terms, and what measure gives under the names of extra (their DDL): measure() is
+    called for each block, and what it returns is called with the terms that are new in the block and, of each text, the
+    numbers of its terms in the order in which the block has met them; it returns a dict of lists. As one binary value it costs the other rows nothing. Blocks do not span partitions, and a partition that is
     computed again gives the same rows.
     """
     documents = f"doc_id {dict(rows.dtypes)['doc_id']}, n_bytes long, n_terms long" + f", {extra}" * bool(extra)
@@ -114,7 +116,7 @@ def build(rows: DataFrame, terms: Terms, extra: str = "", measure: Callable | No
             head = pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(head, told)], schema=told)
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([block], pa.int64()), pa.nulls(1, pa.binary()), pa.array([_write(head)], pa.binary())], schema=out)
 
-        fresh = lambda: {"of": _Numbers(), "ids": [], "bytes": 0, "doc_ids": [], "n_bytes": [], "more": []}
+        fresh = lambda: {"of": Numbers(), "ids": [], "bytes": 0, "doc_ids": [], "n_bytes": [], "more": [], "measure": measure() if measure else None}
         state = fresh()
         for batch in batches:
             for start, length in text_batches(batch.column("text")):
@@ -123,14 +125,15 @@ def build(rows: DataFrame, terms: Terms, extra: str = "", measure: Callable | No
                 if state["ids"] and (len(state["ids"]) + length > BLOCK_ROWS or state["bytes"] >= BLOCK_BYTES):
                     yield from flush(state)
                     state, block = fresh(), block + 1
-                found = terms(texts)
+                found, met, first = terms(texts), len(state["of"]), len(state["ids"])
                 state["doc_ids"] += part.column("doc_id").to_pylist()
                 for text, words in zip(texts, found):
                     state["ids"].append(np.fromiter(map(state["of"].__getitem__, words), np.int64, len(words)))
                     state["n_bytes"].append(len((text or "").encode("utf-8", "surrogatepass")))
                     state["bytes"] += state["n_bytes"][-1]
+                del texts, found
                 if measure:
-                    state["more"].append(measure(part, found))
+                    state["more"].append(state["measure"](list(islice(state["of"], met, None)), state["ids"][first:]))
         if state["ids"]:
             yield from flush(state)
 
