@@ -151,9 +151,9 @@ class Model:
 
     def texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy in nats a sign (letters and word ends) by language, and the number of letters, of each text."""
-        from .postings import _Numbers
+        from .postings import Numbers
 
-        number = _Numbers()
+        number = Numbers()
         found = [letters(t) for t in texts]
         ids = [np.fromiter(map(number.__getitem__, w), np.int64, len(w)) for w in found]
         entropy = np.zeros((len(texts), len(self.languages)))
