@@ -8,10 +8,14 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import cut
+
 #: Words in a window of an item.
 WINDOW = 10
 #: Bytes of benchmark text that one automaton may hold; a larger benchmark is scanned for in several rounds.
 MOST_BYTES = 8 << 20
+#: What a scan finds of a row, as DDL.
+FOUND = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<start:int,end:int>>"
 #: A word after A-Z are lower-cased: a run of a-z, 0-9 and everything beyond ASCII.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: The same on UTF-8 bytes: lower-case A-Z, blank for what no word holds.
@@ -91,7 +95,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, d
     keep=True instead returns the rows of docs that are not contaminated, all their columns as they were.
 
     The benchmark reaches the workers as a broadcast of most_bytes at most; a larger one is cut by a
-    hash of item_id into groups, docs is scanned once for each, and the findings are joined.
+    hash of item_id into groups, docs is scanned once for each, and the findings are joined by row.
     Items of fewer than least_words words are left out. A null or empty text has no words and no hits;
     null items and items without words have no windows; repeated items count as one id. Empty tables
     give no rows, or no hits. Extra columns of docs are ignored (keep=False) or kept (keep=True).
@@ -101,6 +105,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, d
     weight = bench.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).first()["b"]
     groups = max(1, -(-weight * 2 // most_bytes)) if weight > most_bytes else 1
     found = docs if keep else None
+    id_type = dict(docs.dtypes)[doc_id]
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    if groups > 1 and not keep:  # findings meet by a number of the row, written once so that all scans see the same
+        numbered = cut(rows.withColumn("row", F.monotonically_increasing_id()), "decontam-rows")
+        rows, id_type = numbered.select(F.col("row").alias("doc_id"), "text"), "bigint"
     for g in range(groups):
         part = bench if groups == 1 else bench.where(F.pmod(F.xxhash64("i"), F.lit(groups)) == g)
         items = sorted({(r["i"], r["t"]) for r in part.toLocalIterator()})
@@ -111,13 +120,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, d
         if keep:
             found = found.mapInArrow(_cleaner(shared, token, window, text), docs.schema)
             continue
-        one = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_scanner(shared, token, window), f"doc_id {dict(docs.dtypes)[doc_id]}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<start:int,end:int>>")
+        one = rows.mapInArrow(_scanner(shared, token, window), f"doc_id {id_type}, {FOUND}")
         found = one if found is None else found.unionByName(one)
     if keep or groups == 1:
         return found
-    merged = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
-    text_of = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return merged.join(text_of, "doc_id").mapInArrow(_merger, found.schema)
+    merged = found.groupBy(F.col("doc_id").alias("row")).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+    return merged.join(numbered, "row").mapInArrow(_merger, f"doc_id {dict(docs.dtypes)[doc_id]}, {FOUND}")
 
 
 def _digest(items: list[str]) -> str:

@@ -50,6 +50,16 @@ def test_decontamination(spark, docs, none):
     assert decontam.contamination(none, items).count() == 0 and decontam.contamination(docs, items.where("1 = 0")).where("contaminated").count() == 0
 
 
+def test_decontamination_rounds_keep_rows(spark):
+    """Several rounds give each row its own findings, whatever the ids: null, or one id for different texts."""
+    items = spark.createDataFrame([(1, "alpha beta gamma"), (2, "delta epsilon"), (3, "zeta eta theta")], "item_id long, text string")
+    rows = [(None, "so alpha beta gamma"), (None, "delta epsilon zeta eta theta"), (7, "nothing"), (7, "delta epsilon it is"), (7, "delta epsilon it is"), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = lambda most: sorted((repr(tuple(r)) for r in decontam.contamination(docs, items, most_bytes=most).collect()))
+    once = plain(1 << 20)
+    assert len(once) == len(rows) and plain(20) == once
+
+
 def test_packing(docs, none):
     from tokenizers import Tokenizer
 
