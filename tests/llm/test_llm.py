@@ -241,6 +241,20 @@ def test_language_model(docs, none):
     assert lm.score(none, ~held, GPT).count() == 0
 
 
+def test_every_counted_word_has_its_frequency(spark):
+    """The counts that a block is scored with are those of all its words in the whole corpus, rare or not."""
+    texts = [f"rare{i} rare{i} common" for i in range(300)]
+    rows = spark.createDataFrame([(i, t, i % 7 != 0) for i, t in enumerate(texts)], "doc_id long, text string, learn boolean").repartition(3)
+    parts = lm.split(rows)
+    blocks = lm.gather(parts, parts.where("c > 0").groupBy("term").agg(F.sum("c").alias("c"))).toArrow().to_batches()
+    want = Counter(w for i, t in enumerate(texts) if i % 7 for w in (*lm.words(t), lm.ENDING))
+    seen = 0
+    for table, ids, names, count in lm.opened(blocks):
+        assert dict(zip(names, count.tolist())) == {w: want[w] for w in names}
+        seen += len(ids)
+    assert seen == 300
+
+
 def test_attention_is_causal_and_adds_up():
     rng = np.random.default_rng(0)
     model = lm.Model(400, np.arange(400) % 2, np.arange(400.0), 399)
