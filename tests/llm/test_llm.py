@@ -255,6 +255,27 @@ def test_every_counted_word_has_its_frequency(spark):
     assert seen == 300
 
 
+def test_all_training_texts_teach(spark):
+    """Id frequencies are those of the whole corpus, a long text among them, and each text that learns trains or mixes in a pass, once."""
+    texts = [f"text {i} of many" for i in range(1200)] + ["zebra " * 12_000]
+    rows = spark.createDataFrame([(i, t, i % 7 != 0) for i, t in enumerate(texts)], "doc_id long, text string, learn boolean").repartition(3)
+    parts = lm.split(rows)
+    counts = parts.where("c > 0").groupBy("term").agg(F.sum("c").alias("c"))
+    subwords, want = lm.Subwords.of(GPT), Counter()
+    for i, t in enumerate(texts):
+        if i % 7:
+            for w in (*lm.words(t), lm.ENDING):
+                want.update(subwords(w))
+    got = lm.id_counts(counts, GPT)
+    assert {i: n for i, n in enumerate(got.tolist()) if n} == want
+    for table, *_ in lm.opened(lm.gather(parts, counts).toArrow().to_batches()):
+        learn = table.column("learn").to_pylist()
+        for pieces in (1, 6):
+            used = Counter(k for part in range(pieces) for k in lm.taught(table, part, pieces).tolist())
+            used.update(np.flatnonzero(lm.mixing(table)).tolist())
+            assert used == Counter(k for k, y in enumerate(learn) if y)
+
+
 def test_attention_is_causal_and_adds_up():
     rng = np.random.default_rng(0)
     model = lm.Model(400, np.arange(400) % 2, np.arange(400.0), 399)
