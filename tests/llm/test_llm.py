@@ -241,48 +241,119 @@ def test_language_model(docs, none):
     assert lm.score(none, ~held, GPT).count() == 0
 
 
-def test_every_counted_word_has_its_frequency(spark):
-    """The counts that a block is scored with are those of all its words in the whole corpus, rare or not."""
-    texts = [f"rare{i} rare{i} common" for i in range(300)]
+def corpus_of(spark, texts, path=GPT):
     rows = spark.createDataFrame([(i, t, i % 7 != 0) for i, t in enumerate(texts)], "doc_id long, text string, learn boolean").repartition(3)
-    parts = lm.split(rows)
-    blocks = lm.gather(parts, parts.where("c > 0").groupBy("term").agg(F.sum("c").alias("c"))).toArrow().to_batches()
-    want = Counter(w for i, t in enumerate(texts) if i % 7 for w in (*lm.words(t), lm.ENDING))
+    return lm.corpus(rows, path)
+
+
+def ngrams(texts):
+    """Plain counts of words, pairs and triples; the token before the first is the last."""
+    found = Counter()
+    for t in texts:
+        w = [*lm.words(t), lm.ENDING]
+        for i in range(len(w)):
+            found.update([(w[i],), (w[i - 1], w[i]), (w[i - 2 if len(w) > 1 else 0], w[i - 1], w[i])])
+    return found
+
+
+def test_counts_are_those_of_the_whole_corpus(spark, monkeypatch):
+    """Words, pairs and triples of every text, in several blocks and ranges of keys, rare or not; and without the text itself."""
+    monkeypatch.setattr(lm, "RANGE_KEYS", 500)
+    texts = [f"rare{i} rare{i} common stays common rare{i % 50} end" for i in range(300)] + brute.TEXTS
+    known = corpus_of(spark, texts)
+    want = ngrams(t for i, t in enumerate(texts) if i % 7)
+    assert (known.n, known.v) == (sum(n for k, n in want.items() if len(k) == 1), sum(len(k) == 1 for k in want))
     seen = 0
-    for table, ids, names, count in lm.opened(blocks):
-        assert dict(zip(names, count.tolist())) == {w: want[w] for w in names}
-        seen += len(ids)
-    assert seen == 300
+    for docs, found in lm.opened(known.blocks.toArrow().to_batches()):
+        at = np.cumsum([0, *found.sizes])
+        apart = found.apart()
+        for k, i in enumerate(docs.column("doc_id").to_pylist()):
+            w, own = [*lm.words(texts[i]), lm.ENDING], ngrams([texts[i]])
+            for j in range(len(w)):
+                for some, counts in ((w[j],), found.one), ((w[j - 1], w[j]), found.two), ((w[j - 2 if len(w) > 1 else 0], w[j - 1], w[j]), found.three):
+                    assert counts[at[k] + j] == want[some]
+                for some, counts in ((w[j],), apart.one), ((w[j - 1], w[j]), apart.two), ((w[j - 2 if len(w) > 1 else 0], w[j - 1], w[j]), apart.three):
+                    assert counts[at[k] + j] == want[some] - own[some]
+            seen += 1
+    assert seen == len(texts)
 
 
 def test_all_training_texts_teach(spark):
-    """Id frequencies are those of the whole corpus, a long text among them, and each text that learns trains or mixes in a pass, once."""
+    """Id frequencies are those of the whole corpus, a long text among them; windows of a text that learns train, each in one part of a pass."""
     texts = [f"text {i} of many" for i in range(1200)] + ["zebra " * 12_000]
-    rows = spark.createDataFrame([(i, t, i % 7 != 0) for i, t in enumerate(texts)], "doc_id long, text string, learn boolean").repartition(3)
-    parts = lm.split(rows)
-    counts = parts.where("c > 0").groupBy("term").agg(F.sum("c").alias("c"))
     subwords, want = lm.Subwords.of(GPT), Counter()
     for i, t in enumerate(texts):
         if i % 7:
             for w in (*lm.words(t), lm.ENDING):
                 want.update(subwords(w))
-    got = lm.id_counts(counts, GPT)
+    got = lm.id_counts(corpus_of(spark, texts).blocks, GPT)
     assert {i: n for i, n in enumerate(got.tolist()) if n} == want
-    for table, *_ in lm.opened(lm.gather(parts, counts).toArrow().to_batches()):
-        learn = table.column("learn").to_pylist()
-        for pieces in (1, 6):
-            used = Counter(k for part in range(pieces) for k in lm.taught(table, part, pieces).tolist())
-            used.update(np.flatnonzero(lm.mixing(table)).tolist())
-            assert used == Counter(k for k, y in enumerate(learn) if y)
+    model = lm.Model(50, np.arange(50) % 2, np.arange(50.0), 49)
+    flat, sizes = np.arange(400) % 49, np.array([1, 300, 99])
+    for parts in (1, 5):
+        taught = 0
+        for k in range(parts):
+            steps = lm.Steps(model, 0.01)
+            model.train(flat, sizes, k, parts, steps)
+            taught += steps.ids
+        assert taught == 400
+
+
+def plain_logs(model, ids):
+    """The attention, one id at a time."""
+    d, p, out = lm.DIMS, {k: v.astype(float) for k, v in model.p.items()}, []
+    said = [model.end, *ids[:-1]]
+    for i, y in enumerate(ids):
+        q = p["rows"][model.row[said[i]]]
+        weights, values = [], []
+        for j in range(max(0, (i // lm.BLOCK - 1) * lm.BLOCK), i + 1):
+            r = p["rows"][model.row[said[j]]]
+            weights.append(np.exp(min(q[:d] @ r[d : 2 * d] / np.sqrt(d), 20) + p["far"][2 * lm.BLOCK - 1 - (i - j)]))
+            values.append(r[2 * d : 3 * d])
+        z = (np.average(values, axis=0, weights=weights) + q[3 * d :]) @ p["out"] + p["bias"]
+        out.append(z[model.of[y]] - np.log(np.exp(z).sum()) + model.inside[y])
+    return out
+
+
+def test_score_equals_a_plain_loop(spark):
+    """Counts by a Counter, attention one id at a time, shares by bucket: the same score of every text."""
+    texts = [*brute.TEXTS, *brute.copies(np.random.default_rng(6), 60, 30)]
+    known = corpus_of(spark, texts)
+    model = lm.fit(known)
+    assert np.allclose(model.shares.sum(1), 1) and (model.shares[:, 0] > 0).all()
+    want, subwords = ngrams(t for i, t in enumerate(texts) if i % 7), lm.Subwords.of(GPT)
+    got = {r.doc_id: r.score for r in lm.scores(known, model, "long").collect()}
+    level = lambda c, most: min(int(c).bit_length(), most - 1)
+    for i, t in enumerate(texts):
+        w = [*lm.words(t), lm.ENDING]
+        ids = [subwords(x) for x in w]
+        logs, at, total = plain_logs(model, [x for y in ids for x in y]), 0, 0.0
+        for j in range(len(w)):
+            single, pair = want[(w[j - 1],)], want[(w[j - 2 if len(w) > 1 else 0], w[j - 1])] if j else 0
+            shares = model.shares[level(pair, lm.PAIRS) * lm.SINGLE + level(single, lm.SINGLE)]
+            by_ids = sum(logs[at : at + len(ids[j])])
+            at += len(ids[j])
+            rest = shares[1] * want[(w[j],)] / known.n + shares[2] * want[(w[j - 1], w[j])] / max(single, 1) + (shares[3] * want[(w[j - 2], w[j - 1], w[j])] / pair if pair else 0)
+            total += np.logaddexp(np.log(shares[0]) + by_ids, np.log(rest) if rest else -np.inf)
+        assert got[i] == pytest.approx(total / np.log(10), rel=1e-4)
+
+
+def test_held_out_texts_score_above_the_base(spark):
+    """By what it learns from copies and histories, the model is better on texts it has not seen than add-one frequencies."""
+    rows = queries.op2_score(spark, "/root/testdata/sf0.001").where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert rows.s > rows.b
 
 
 def test_attention_is_causal_and_adds_up():
     rng = np.random.default_rng(0)
     model = lm.Model(400, np.arange(400) % 2, np.arange(400.0), 399)
+    logs = lambda ids: model.logs(np.array(ids, np.int32), np.array([len(ids)]))
     text = rng.integers(0, 399, 70).tolist() + [399]
     for cut in (5, 16, 17, 40):
-        assert np.allclose(model.logs([text])[0][:cut], model.logs([text[:cut]])[0], atol=1e-5)
-    whole = sum(np.exp(model.logs([text[:20] + [k]])[0][-1]) for k in range(400))
+        assert np.allclose(logs(text)[:cut], logs(text[:cut]), atol=1e-5)
+    assert np.allclose(model.logs(np.array(text * 2, np.int32), np.array([71, 71])), np.tile(logs(text), 2), atol=1e-5)
+    assert np.allclose(logs(text), plain_logs(model, text), atol=1e-4)
+    whole = sum(np.exp(logs(text[:20] + [k])[-1]) for k in range(400))
     assert whole == pytest.approx(1, abs=1e-4)
 
 
