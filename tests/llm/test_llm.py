@@ -258,7 +258,7 @@ def ngrams(texts):
 
 def test_counts_are_those_of_the_whole_corpus(spark, monkeypatch):
     """Words, pairs and triples of every text, in several blocks and ranges of keys, rare or not; and without the text itself."""
-    monkeypatch.setattr(lm, "RANGE_KEYS", 500)
+    monkeypatch.setattr(lm, "RANGE_BYTES", 500)
     texts = [f"rare{i} rare{i} common stays common rare{i % 50} end" for i in range(300)] + brute.TEXTS
     known = corpus_of(spark, texts)
     want = ngrams(t for i, t in enumerate(texts) if i % 7)
@@ -299,6 +299,13 @@ def test_all_training_texts_teach(spark):
         assert taught == 400
 
 
+def test_words_encoded_together_are_those_encoded_alone():
+    subwords = lm.Subwords.of(GPT)
+    for names in (["plain", "don't", "\u00a0odd\u00a0\u00a0", "\x1c", "a\u2003b", "漢字", "🙂👍🏽", "x" * 5000, "end\u00a0"], ["<|endoftext|>", "b"]):
+        sizes, flat = subwords.all(names)
+        assert [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == [subwords(w) for w in names]
+
+
 def plain_logs(model, ids):
     """The attention, one id at a time."""
     d, p, out = lm.DIMS, {k: v.astype(float) for k, v in model.p.items()}, []
