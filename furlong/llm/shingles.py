@@ -18,24 +18,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word [^\\x20\\x09-\\x0D]+ of the lower-cased texts, in order, and where each text's words begin (one more than texts)."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    data = np.frombuffer((b"\n" + b"\n".join(raw) + b"\n").translate(_LOWER), np.uint8)
+def hashed(raw: bytes) -> np.ndarray:
+    """A hash of each word [^\\x20\\x09-\\x0D]+ of lower-cased UTF-8, in order."""
+    return _hashed(raw)[0]
+
+
+def _hashed(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words, and where each begins, the first byte being 1."""
+    data = np.frombuffer((b"\n" + raw + b"\n").translate(_LOWER), np.uint8)
     blank = (data == 32) | ((data >= 9) & (data <= 13))
     starts = np.flatnonzero(~blank[1:] & blank[:-1]) + 1
     lengths = np.flatnonzero(blank[1:] & ~blank[:-1]) + 1 - starts
-    begin = np.cumsum([1, *(len(r) + 1 for r in raw)])
-    bounds = np.searchsorted(starts, begin)
     if not len(starts):
-        return np.zeros(0, np.uint64), bounds
+        return np.zeros(0, np.uint64), starts
     inside = np.flatnonzero(~blank)
     place = inside - np.repeat(starts, lengths)
     powers = np.full(int(lengths.max()) + 1, _ODD, np.uint64)
     powers[0] = 1
     powers = np.multiply.accumulate(powers)
     value = _BYTE[data[inside]] * powers[place]
-    return mix(np.add.reduceat(value, np.concatenate([[0], np.cumsum(lengths)[:-1]])) + lengths.astype(np.uint64)), bounds
+    return mix(np.add.reduceat(value, np.concatenate([[0], np.cumsum(lengths)[:-1]])) + lengths.astype(np.uint64)), starts
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of the texts, in order, and where each text's words begin (one more than texts)."""
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    hashes, starts = _hashed(b"\n".join(raw))
+    return hashes, np.searchsorted(starts, np.cumsum([1, *(len(r) + 1 for r in raw)]))
 
 
 def sets(texts: list[str | None], width: int) -> list[np.ndarray]:
