@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from itertools import repeat
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +14,8 @@ from .shared import cut
 
 #: Words in a window of an item.
 WINDOW = 10
-#: Bytes of benchmark text that one automaton may hold; a larger benchmark is scanned for in several rounds.
-MOST_BYTES = 8 << 20
+#: Bytes of benchmark text that one automaton may hold (about 150 bytes of memory each); a larger benchmark is scanned for in several rounds.
+MOST_BYTES = 4 << 20
 #: What a scan finds of a row, as DDL.
 FOUND = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<start:int,end:int>>"
 #: A word after A-Z are lower-cased: a run of a-z, 0-9 and everything beyond ASCII.
@@ -26,30 +28,39 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
-def windows(items: list[tuple[str, str | None]], window: int = WINDOW) -> dict[str, tuple[int, list[str]]]:
+def windows(items: list[tuple[str, str | None]], window: int = WINDOW) -> dict[tuple[bytes, ...], tuple[int, tuple[str, ...]]]:
     """Pattern -> (its number of words, the items that hold it). An item of fewer words than a window is one window; one without words has none."""
-    found: dict[str, tuple[int, list[str]]] = {}
+    found: dict[tuple[bytes, ...], tuple[int, tuple[str, ...]]] = {}
     for item, text in items:
         w = words(text)
+        own = (min(len(w), window), (item,))
         for i in range(max(1, len(w) - window + 1) if w else 0):
-            part = w[i : i + window]
-            owners = found.setdefault((b" " + b" ".join(part) + b" ").decode("latin-1"), (len(part), []))[1]
-            if not owners or owners[-1] != item:
-                owners.append(item)
+            part = tuple(w[i : i + window])
+            size, owners = found.setdefault(part, own)
+            if item not in owners:
+                found[part] = (size, (*owners, item))
     return found
 
 
 class Matcher:
-    """The automaton and what one text has of it. Built once in each Python worker from the broadcast items."""
+    """The automaton and what one text has of it. Built once in each Python worker from the broadcast items.
+
+    The automaton reads two signs a word, the digits of the word's number among the words of the items, so that it has two states a word
+    and no state with many ways out. First and second digits are different signs: a match begins and ends with words.
+    """
 
     _built: dict[str, Matcher] = {}
 
     def __init__(self, items, window):
         import ahocorasick
 
+        patterns = windows(items, window)
+        number = dict.fromkeys(w for p in patterns for w in p)
+        base = max(1, math.isqrt(len(number)) + 1)
+        self.signs = {w: chr(1 + i // base) + chr(1 + base + i % base) for i, w in enumerate(number)}
         self.automaton = ahocorasick.Automaton()
-        for pattern, value in windows(items, window).items():
-            self.automaton.add_word(pattern, value)
+        for pattern, value in patterns.items():
+            self.automaton.add_word("".join(map(self.signs.__getitem__, pattern)), value)
         if len(self.automaton):
             self.automaton.make_automaton()
 
@@ -65,15 +76,10 @@ class Matcher:
         w = words(text)
         if not w or not len(self.automaton):
             return len(w), [], []
-        line = b" " + b" ".join(w) + b" "
-        hits = [(end, n, owners) for end, (n, owners) in self.automaton.iter(line.decode("latin-1"))]
-        if not hits:
-            return len(w), [], []
-        import numpy as np
-
-        blanks = np.cumsum(np.frombuffer(line, np.uint8) == 32)
+        # a word of no item is two zeros
+        hits = [(end // 2 + 1, n, owners) for end, (n, owners) in self.automaton.iter("".join(map(self.signs.get, w, repeat("\0\0"))))]
         runs: list[list[int]] = []
-        for a, b in sorted((int(blanks[end]) - 1 - n, int(blanks[end]) - 1) for end, n, _ in hits):
+        for a, b in sorted((end - n, end) for end, n, _ in hits):
             if runs and a <= runs[-1][1]:
                 runs[-1][1] = max(b, runs[-1][1])
             else:
@@ -98,7 +104,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, d
     hash of item_id into groups, docs is scanned once for each, and the findings are joined by row.
     Items of fewer than least_words words are left out. A null or empty text has no words and no hits;
     null items and items without words have no windows; repeated items count as one id. Empty tables
-    give no rows, or no hits. Extra columns of docs are ignored (keep=False) or kept (keep=True).
+    give no rows, or no hits. Rows that share an id, or have none, have findings of their own. Long texts are scanned whole. Extra columns of docs are ignored (keep=False) or kept (keep=True).
     """
     spark = docs.sparkSession
     bench = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
