@@ -56,29 +56,37 @@ def text_batches(column, most_rows: int = 2048, most_bytes: int = 8 << 20):
         yield start, len(sizes) - start
 
 
+def _pairs(edges: DataFrame) -> DataFrame:
+    """Each edge once, smaller end first, without loops."""
+    return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges (a, b): component is the smallest node reachable.
 
-    Contraction: each round every node points to its smallest neighbour, edges are redrawn between
-    what their ends point to, and those within one node vanish. The number of rounds is
-    logarithmic for the shapes that near-duplicates form; each round is written, so lineage stays short.
+    Contraction: each round every node points to its smallest neighbour if that is smaller than itself. Pointers form trees, which pointer jumping (to what
+    one's target points to) folds onto their roots in as many steps as the logarithm of their depth; then edges are
+    redrawn between roots, and those within one tree vanish. So a chain of n nodes in order takes log n steps. Each step is written, so lineage stays short.
     """
-    edges = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    edges = cut(_pairs(edges), "edges")
     rounds: list[DataFrame] = []
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
         points = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to")).select("node", F.least("node", "to").alias("to")), "points")
+        while True:
+            jumped = cut(points.join(points.select(F.col("node").alias("to"), F.col("to").alias("root")), "to").select("node", F.col("root").alias("to"), (F.col("root") != F.col("to")).alias("moved")), "points")
+            if jumped.where("moved").isEmpty():
+                break
+            points = jumped.select("node", "to")
         rounds.append(points)
         ends = edges
         for end in ("a", "b"):
             other = "b" if end == "a" else "a"
             ends = ends.join(points.withColumnRenamed("node", end), end).select(F.col("to").alias(end), other)
-        edges = cut(ends.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        edges = cut(_pairs(ends), "edges")
     if not rounds:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     found = rounds[0].withColumnRenamed("to", "component")
     for points in rounds[1:]:
         found = found.join(points.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
     return cut(found, "components")
-
-
