@@ -31,7 +31,11 @@ _MULTIPLIER = 0xD1342543DE82EF95
 
 
 def letters(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    """Runs of letters, lower-cased. Numerals that are no decimal digits (fractions, circled, Roman) part words like any sign."""
+    found = WORD.findall((text or "").lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [part for w in found for part in "".join(c if c.isalpha() else " " for c in w).split()]
 
 
 def _grams(words: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -186,15 +190,15 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, doc_id: str = "do
     """Fit on labelled rows (a null text or language teaches nothing).
 
     The sample is bounded: about per_language texts of each language, those with the smallest hashes of
-    doc_id, whole. Four fifths of it train the models; the rest calibrates, for each language, the entropy
+    doc_id and text, whole; rows that are equal in both count once. Four fifths of it train the models; the rest calibrates, for each language, the entropy
     beyond which a text is rejected: the highest seen there plus MARGIN. Words are counted on the executors.
     """
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(doc_id).cast("string")), F.lit(1 << 30)).alias("h"))
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.col(text)), F.lit(1 << 30)).alias("h"))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return Model({})
     cut = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, int((1 << 30) * min(1.0, per_language / n)))])
-    sample = rows.where(F.col("h") < cut[F.col("lang")]).withColumn("held", F.col("h") % 5 == 0)
+    sample = rows.where(F.col("h") < cut[F.col("lang")]).dropDuplicates(["lang", "h", "text"]).withColumn("held", F.col("h") % 5 == 0)
 
     def count(batches):
         import pyarrow as pa
