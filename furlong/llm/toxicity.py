@@ -1,9 +1,10 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words become signs of an alphabet (insult, threat, target, negation, report, intent, other) by lexicon transducers; a
-clause transducer reads the signs and gives each insult or threat a kind: is it aimed at someone, denied, or
-said of what someone else said. A document's weights by kind go through a logistic model. The insults' weights
-are learned from labelled texts: whole words, and stems with any ending.
+A lexicon transducer reads the letters of a word and writes a sign (insult, threat, target, negation, report, intent, other) with
+a weight. Small machines over signs each know one thing of a clause: whether a negation, an intent or a target is near, whether
+speech is reported. Composed, they are one machine that reads a clause from the left; another reads it from the right for targets to come. What
+both say at an insult or threat is its kind: aimed at someone, denied, or said of what someone else said. A document's weights by kind go
+through a logistic model. The insults' weights are learned from labelled texts: whole words, and stems with any ending.
 """
 
 from __future__ import annotations
@@ -18,10 +19,8 @@ from .shared import text_batches
 
 #: The bound of the training sample: texts of each label, at most about as many.
 TOXIC_SAMPLE, CLEAN_SAMPLE = 3000, 9000
-#: Lengths of stems that are tried, and words of a stem pattern at most.
+#: Lengths of stems that are tried.
 STEMS = (4, 5, 6, 7, 8)
-#: Patterns that the learned lexicon holds at most, the most telling first.
-PATTERNS = 4096
 #: Least share of toxic texts among those that have a pattern.
 PURITY = 0.6
 THRESHOLD = 0.7
@@ -30,7 +29,7 @@ CLAUSE = re.compile(r"[^.!?;:\n]+")
 
 # The words that the grammar knows before it learns.
 INSULTS = "idiot idiots moron morons imbecile imbeciles stupid scum scumbag loser losers worthless pathetic disgusting trash clown clowns dumbass bastard bastards".split()
-THREATS = "kill hurt destroy beat stab shoot burn strangle crush".split()
+THREATS = "kill hurt destroy beat stab shoot burn strangle crush töten umbringen verprügeln erschießen erwürgen tuer frapper étrangler poignarder matar golpear apuñalar estrangular".split()
 INTENTS = "will gonna shall going werde wirst vais voy".split()
 TARGETS = "you your yours u he she him her his they them their these those du dich dir ihr euch tu te toi vous ils elles tú usted ustedes ellos".split()
 NEGATIONS = "not no never none don't doesn't isn't aren't wasn't won't can't nicht kein keine nie ne pas jamais nunca jamás ni".split()
@@ -39,91 +38,168 @@ REPORTS = "said says say wrote writes called calls claimed claims quoted quotes
 #: Kinds of clause findings, with the weight each has before anything is learned.
 KINDS = {"insult": 0.8, "aimed insult": 1.0, "denied insult": 0.3, "reported insult": 0.3, "threat": 1.0, "weak threat": 0.2}
 BIAS = -3.0
+#: Weight of a threat.
+THREAT = 3.0
 #: Words after a negation that it covers; words around an insult in which a target aims it.
 SCOPE, REACH = 3, 4
-#: The most that one kind adds up to in a document.
-CAP = 8.0
+#: What one kind adds up to in a document goes toward this, the slower the nearer.
+FULL = 8.0
+
+
+SIGNS = ("other", "insult", "threat", "target", "negation", "report", "intent")
+_CLOSED = {"target": TARGETS, "report": REPORTS, "negation": NEGATIONS, "intent": INTENTS, "threat": THREATS}
+
+
+class Machine:
+    """A finite-state machine over SIGNS: moves[state][sign] is the next state, says[state] what it tells a word that it has come to; state 0 is the start."""
+
+    def __init__(self, moves: list[list[int]], says: list[tuple]):
+        self.moves, self.says = moves, says
+
+    @classmethod
+    def near(cls, name: str, reach: int) -> Machine:
+        """Tells whether one of the last `reach` words had the sign."""
+        own = SIGNS.index(name)
+        return cls([[reach if k == own else max(0, left - 1) for k in range(len(SIGNS))] for left in range(reach + 1)], [(left > 0,) for left in range(reach + 1)])
+
+    @classmethod
+    def since(cls, name: str) -> Machine:
+        """Tells whether any word before had the sign."""
+        own = SIGNS.index(name)
+        return cls([[int(k == own or met) for k in range(len(SIGNS))] for met in (0, 1)], [(False,), (True,)])
+
+    def __mul__(self, other: Machine) -> Machine:
+        """Both at once: of their pairs of states those that can be reached, and what both tell."""
+        number, queue, moves = {(0, 0): 0}, [(0, 0)], []
+        for a, b in queue:
+            row = []
+            for x, y in zip(self.moves[a], other.moves[b]):
+                if (x, y) not in number:
+                    number[x, y] = len(number)
+                    queue.append((x, y))
+                row.append(number[x, y])
+            moves.append(row)
+        return Machine(moves, [self.says[a] + other.says[b] for a, b in queue])
+
+    def run(self, signs: list[int]) -> list[tuple]:
+        """What it tells each word of what came before."""
+        state, out = 0, []
+        for k in signs:
+            out.append(self.says[state])
+            state = self.moves[state][k]
+        return out
+
+
+#: From the left: is a negation near, was speech reported, is an intent near, is a target near. From the right: is a target near.
+LEFT = Machine.near("negation", SCOPE) * Machine.since("report") * Machine.near("intent", REACH) * Machine.near("target", REACH)
+RIGHT = Machine.near("target", REACH)
+
+
+def kind(sign: str, denied: bool, reported: bool, intended: bool, aimed: bool) -> str | None:
+    """What an insult or threat is where the machines tell this; None for a threat without intent or target."""
+    if sign == "insult":
+        return "reported insult" if reported else "denied insult" if denied else "aimed insult" if aimed else "insult"
+    return ("weak threat" if reported or denied else "threat") if intended and aimed else None
+
+
+class Lexicon:
+    """The lexicon transducer: states are beginnings of words; a state may have an output for a word that ends there, and one for words that go on in any way."""
+
+    def __init__(self, words: dict[str, float], stems: dict[str, float]):
+        self.moves: list[dict[str, int]] = [{}]
+        self.whole: dict[int, tuple[int, float]] = {}
+        self.open: dict[int, tuple[int, float]] = {}
+        for name, closed in _CLOSED.items():
+            for w in closed:
+                self.whole.setdefault(self._state(w), (SIGNS.index(name), 0.0))
+        for p, weight in stems.items():
+            self.open[self._state(p)] = (1, weight)
+        for w, weight in words.items():
+            self.whole[self._state(w)] = (1, weight)
+
+    def _state(self, beginning: str) -> int:
+        state = 0
+        for c in beginning:
+            if c not in self.moves[state]:
+                self.moves[state][c] = len(self.moves)
+                self.moves.append({})
+            state = self.moves[state][c]
+        return state
+
+    def read(self, word: str) -> tuple[int, float]:
+        """Sign and weight: a learned word before a stem, a longer stem before a shorter one, a stem before other words."""
+        state, found = 0, None
+        for c in word:
+            state = self.moves[state].get(c, -1)
+            if state < 0:
+                return found or (0, 0.0)
+            found = self.open.get(state, found)
+        end = self.whole.get(state)
+        return end if end and (end[0] == 1 or not found) else found or (0, 0.0)
 
 
 class Grammar:
-    """Lexicon transducers and the clause transducer. words and stems: pattern -> weight (log-odds)."""
+    """Lexicon and clause transducers composed. words and stems: pattern -> weight (log-odds)."""
 
     def __init__(self, words: dict[str, float], stems: dict[str, float], weights: dict[str, float] | None = None, bias: float = BIAS):
         self.words, self.stems, self.weights, self.bias = words, stems, weights or dict(KINDS), bias
-        self.machine = None
+        self.made = None
 
     def __getstate__(self):
-        return self.__dict__ | {"machine": None}
+        return self.__dict__ | {"made": None}
 
-    def _machine(self):
-        if self.machine is None:
+    def _parts(self):
+        """The lexicon transducer, and an automaton that finds where its insults and threats may begin."""
+        if self.made is None:
             import ahocorasick
 
-            self.machine = ahocorasick.Automaton()
+            machine = ahocorasick.Automaton()
             for p in {*self.words, *self.stems, *THREATS}:
-                self.machine.add_word(p, len(p))
-            self.machine.make_automaton()
-        return self.machine
-
-    def sign(self, word: str) -> tuple[str, float]:
-        """The lexicon transducer: a word's sign and weight. The longest pattern that fits decides."""
-        if word in self.words:
-            return "insult", self.words[word]
-        for k in range(min(len(word), 12), 2, -1):
-            if word[:k] in self.stems:
-                return "insult", self.stems[word[:k]]
-        for name, words in _CLOSED.items():
-            if word in words:
-                return name, 0.0
-        return "other", 0.0
+                machine.add_word(p, len(p))
+            machine.make_automaton()
+            self.made = Lexicon(self.words, self.stems), machine
+        return self.made
 
     def clause(self, text: str) -> list[tuple[str, float]]:
-        """The clause transducer: (kind, weight) of each insult and threat of a clause."""
-        signs = [self.sign(w) for w in WORD.findall(text)]
-        out, denied, reported, intent = [], 0, False, 0
-        for i, (name, weight) in enumerate(signs):
-            aimed = any(s == "target" for s, _ in signs[max(0, i - REACH) : i + REACH + 1])
-            if name == "negation":
-                denied = SCOPE + 1
-            elif name == "report":
-                reported = True
-            elif name == "intent":
-                intent = REACH + 1
-            elif name == "insult":
-                out.append(("reported insult" if reported else "denied insult" if denied else "aimed insult" if aimed else "insult", weight))
-            elif name == "threat" and intent and aimed:
-                out.append(("weak threat" if reported or denied else "threat", 3.0))
-            denied, intent = max(0, denied - 1), max(0, intent - 1)
+        """(kind, weight) of each insult and threat of a clause."""
+        lexicon = self._parts()[0]
+        read = [lexicon.read(w) for w in WORD.findall(text)]
+        signs = [k for k, _ in read]
+        left, right = LEFT.run(signs), RIGHT.run(signs[::-1])[::-1]
+        out = []
+        for (k, weight), (denied, reported, intended, before), (after,) in zip(read, left, right):
+            if SIGNS[k] in ("insult", "threat"):
+                name = kind(SIGNS[k], denied, reported, intended, before or after)
+                if name:
+                    out.append((name, weight if SIGNS[k] == "insult" else THREAT))
         return out
 
     def features(self, text: str | None) -> list[float]:
-        """Weight of each kind in a text, capped. Only clauses where a pattern begins a word are parsed."""
+        """Weight of each kind in a text, saturating. Only clauses where a pattern begins a word are parsed, each once."""
         total = dict.fromkeys(KINDS, 0.0)
         low = (text or "").lower()
-        begins = sorted({e - n + 1 for e, n in self._machine().iter(low) if e - n < 0 or not low[e - n].isalpha()}) if len(low) and len(self._machine()) else []
-        done = -1
+        machine = self._parts()[1]
+        begins = sorted({e - n + 1 for e, n in machine.iter(low) if e - n < 0 or not low[e - n].isalpha()}) if len(low) and len(machine) else []
+        done = 0
         for b in begins:
             if b < done:
                 continue
-            start = max(low.rfind(c, 0, b) for c in ".!?;:\n") + 1
+            start = max(low.rfind(c, done, b) for c in ".!?;:\n") + 1 or done  # no farther back than the clause before
             found = CLAUSE.match(low, start)
             done = found.end()
-            for kind, weight in self.clause(found.group()):
-                total[kind] += weight
-        return [min(v, CAP) for v in total.values()]
+            for name, weight in self.clause(found.group()):
+                total[name] += weight
+        return [FULL * -math.expm1(-v / FULL) for v in total.values()]
 
     def score(self, text: str | None) -> float:
         z = self.bias + sum(self.weights[k] * x for k, x in zip(KINDS, self.features(text)))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-_CLOSED = {"threat": frozenset(THREATS), "intent": frozenset(INTENTS), "negation": frozenset(NEGATIONS), "report": frozenset(REPORTS), "target": frozenset(TARGETS)}
-
-
 def _patterns(text: str | None) -> set[str]:
     """'=word' and 'stem' of a text."""
     out = set()
-    for w in {w for w in WORD.findall((text or "").lower()) if len(w) <= 40}:
+    for w in set(WORD.findall((text or "").lower())):
         out.add("=" + w)
         out.update(w[:k] for k in STEMS if len(w) > k)
     return out
@@ -165,14 +241,15 @@ def lexicon(found: list[tuple[str, int, int]], toxic: int, clean: int, tried: in
 def fit(labelled: DataFrame, toxic: int = TOXIC_SAMPLE, clean: int = CLEAN_SAMPLE, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Grammar:
     """Learn insults and the kinds' weights from rows with a 0/1 label (rows without one teach nothing).
 
-    The sample is bounded: about `toxic` and `clean` texts of either label, those with the smallest hashes of doc_id, whole;
-    of near copies (equal in one of three MinHash values) one is taken, lest a copied text teach its words as insults.
-    Patterns are counted on the executors; PATTERNS of them at most reach the driver.
+    The sample is bounded: about `toxic` and `clean` texts of either label, those with the smallest hashes of doc_id and text, whole, whatever their length;
+    of near copies (equal in one of three MinHash values) the one with the smallest hash is taken, lest a copied text teach its words as insults. The same rows give the same grammar.
+    Patterns are counted on the executors; those that at least three toxic texts of the sample have, and few clean ones, reach the driver.
+    Without texts of both labels the grammar is what it knows before it learns. Null texts are empty; repeated rows count once.
     """
     from . import shingles
 
     rows = labelled.where(F.col(label).isin(0, 1)).select(F.col(doc_id).cast("string").alias("d"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("int").alias("y"))
-    rows = rows.withColumn("h", F.pmod(F.xxhash64("d"), F.lit(1 << 30)))
+    rows = rows.withColumn("h", F.pmod(F.xxhash64("d", "text"), F.lit(1 << 30)))
     sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     if not sizes.get(1) or not sizes.get(0):
         return Grammar(dict.fromkeys(INSULTS, 4.0), {})
@@ -187,13 +264,16 @@ def fit(labelled: DataFrame, toxic: int = TOXIC_SAMPLE, clean: int = CLEAN_SAMPL
             for start, length in text_batches(batch.column("text")):
                 part = batch.slice(start, length)
                 made = [shingles.signature(s, seeds).tolist() if len(s) else [None] * 3 for s in shingles.sets(part.column("text").to_pylist(), 3)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array([m[i] for m in made], pa.int64()) for i in range(3))], ["text", "y", "m0", "m1", "m2"])
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array([m[i] for m in made], pa.int64()) for i in range(3))], ["text", "y", "h", "m0", "m1", "m2"])
 
     from .shared import cut
 
-    sample = sample.select("text", "y").mapInArrow(least, "text string, y int, m0 long, m1 long, m2 long")
+    sample = cut(sample.select("text", "y", "h").mapInArrow(least, "text string, y int, h long, m0 long, m1 long, m2 long"), "toxicity-sketches")
+    # texts without words have no values and stay apart
+    ranks = sample.select("y", "h", F.coalesce("m0", -F.col("h") - 1).alias("m0"), F.coalesce("m1", -F.col("h") - 1).alias("m1"), F.coalesce("m2", -F.col("h") - 1).alias("m2"))
     for c in ("m0", "m1", "m2"):
-        sample = sample.dropDuplicates([c, "y"])
+        ranks = ranks.groupBy("y", c).agg(F.min(F.struct("h", *(x for x in ("m0", "m1", "m2") if x != c))).alias("s")).select("y", c, "s.*")
+    sample = sample.select("text", "y", "h").join(ranks.select("y", "h").distinct(), ["y", "h"], "left_semi").dropDuplicates(["y", "h"])
     sample = cut(sample.select("text", "y"), "toxicity-sample")
     sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
 
@@ -212,8 +292,8 @@ def fit(labelled: DataFrame, toxic: int = TOXIC_SAMPLE, clean: int = CLEAN_SAMPL
 
     counted = cut(sample.mapInArrow(count, "p string, a long, b long").groupBy("p").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "patterns")
     tried = counted.where("a >= 3").count()
-    pure = counted.where(f"a >= 3 and a >= {PURITY} * (a + b)").orderBy(F.desc("a"), "p").limit(PATTERNS)
-    words, stems = lexicon([(r["p"], r["a"], r["b"]) for r in pure.collect()], sizes.get(1, 0), sizes.get(0, 0), tried)
+    pure = counted.where(f"a >= 3 and a >= {PURITY} * (a + b)")
+    words, stems = lexicon(sorted((r["p"], r["a"], r["b"]) for r in pure.collect()), sizes.get(1, 0), sizes.get(0, 0), tried)
     grammar = Grammar(dict.fromkeys(INSULTS, 4.0) | words, stems)
     shared = sample.sparkSession.sparkContext.broadcast(grammar)
 
@@ -268,7 +348,7 @@ def score(docs: DataFrame, grammar: Grammar, threshold: float = THRESHOLD, doc_i
 
 
 def keep_clean(docs: DataFrame, grammar: Grammar, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """The rows of docs, all their columns, whose score is below the threshold."""
+    """The rows of docs, all their columns, whose score is below the threshold. Null and empty texts stay, as do rows without an id; repeated rows are judged alike; long texts are read whole."""
     shared = docs.sparkSession.sparkContext.broadcast(grammar)
 
     def each(batches):
