@@ -11,22 +11,23 @@ from pyspark.sql import functions as F
 #: Ids of a window; the id that ends a document.
 WINDOW = 1024
 END = 0
-#: What a cut costs in padded ids: at a sentence's end within a document, and inside a sentence.
+#: What a cut costs in padded ids: at a sentence's end within a document, and inside a sentence (more than a sentence has ids); and what each window costs.
 SENTENCE_PENALTY = 1
-HARD_PENALTY = 6
+HARD_PENALTY = 32
+WINDOW_COST = 8
 #: Full windows that one transition may lay inside sentences before it ends at a boundary.
 RUN = 3
 #: Ids that are packed at a time; the last window of such a stretch ends with it.
 STRETCH = 1 << 21
 
 
-def plan(bounds: list[int], documents: list[bool], window: int = WINDOW, sentence: float = SENTENCE_PENALTY, hard: float = HARD_PENALTY, run: int = RUN) -> tuple[list[int], float]:
+def plan(bounds: list[int], documents: list[bool], window: int = WINDOW, sentence: float = SENTENCE_PENALTY, hard: float = HARD_PENALTY, run: int = RUN, each: float = WINDOW_COST) -> tuple[list[int], float]:
     """Cuts that split ids 0..bounds[-1] into windows, and their cost.
 
     bounds ascend from 0; documents[i] tells whether bounds[i] ends a document. A transition from bound
     i to bound j lays m windows, m <= run unless bounds lie farther apart: all but the last are full, and
     end inside a sentence unless a bound happens to be there. It costs the last one's padding (none for
-    a power of two), hard for each of the m - 1 inner cuts, and sentence if j is not a document's end. Cost of i for given m is
+    a power of two), each for every window, hard for each of the m - 1 inner cuts, and sentence if j is not a document's end. Cost of i for given m is
     best[i] + i's place, so one monotone queue for each m finds the least over the sliding range of i;
     lengths that are powers of two are tried besides.
     """
@@ -53,17 +54,17 @@ def plan(bounds: list[int], documents: list[bool], window: int = WINDOW, sentenc
             while q and bounds[q[0]] < far:
                 q.popleft()
             if q:
-                c = value[q[0]] + (m + 1) * window - p + m * hard
+                c = value[q[0]] + (m + 1) * (window + each) - p + m * hard
                 if c < low:
                     low, who = c, q[0]
         if low == float("inf"):  # bounds too far apart: as many full windows as it takes
             span = p - bounds[j - 1]
             m = -(-span // window)
-            low = best[j - 1] + m * window - span + (m - 1) * hard
+            low = best[j - 1] + m * (window + each) - span + (m - 1) * hard
         for s in powers:
             i = at.get(p - s)
-            if i is not None and best[i] < low:
-                low, who = best[i], i
+            if i is not None and best[i] + each < low:
+                low, who = best[i] + each, i
         best[j] = low if documents[j] else low + sentence
         back[j] = who
         value[j] = best[j] + p
