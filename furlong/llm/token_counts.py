@@ -18,6 +18,8 @@ CALL = 4096
 _SETTLED = re.compile("[\\t-\\r -~¡-©«-±´-¸»¿-įı-ɏ‐-‧]*")
 #: Fixed: the split pattern of word_bpe_49k.json, for settled texts.
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+#: Every settled sign alone, within letters, and by digits, and contractions: where the library cuts them like _PIECE, settled texts need no library.
+_PROBES = [x for c in map(chr, range(0x2028)) if _SETTLED.fullmatch(c) for x in (c, f"a{c}b", f"A{c}{c} 1{c}2")] + ["it's WE'LL don't I'm you're we've he'd 's x's"]
 
 
 class PreTokens:
@@ -30,6 +32,7 @@ class PreTokens:
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.fast = all(_PIECE.findall(x.lower()) == self._by_library(x) for x in _PROBES)
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     @classmethod
@@ -46,8 +49,15 @@ class PreTokens:
         return self._plain(text)
 
     def _plain(self, text: str) -> list[str]:
-        if _SETTLED.fullmatch(text):
+        if self.fast and _SETTLED.fullmatch(text):
             return _PIECE.findall(text.lower())
+        return self._by_library(text)
+
+    def _by_library(self, text: str) -> list[str]:
+        if self.library.pre_tokenizer is None:
+            return [text] if text else []
+        if self.library.normalizer is None:
+            return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
         normal = self.library.normalizer.normalize_str(text)
         return [normal[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 

@@ -87,16 +87,16 @@ def test_packing_plan_is_optimal():
     for _ in range(30):
         bounds = np.unique(np.concatenate([[0], rng.integers(1, 400, 25)])).tolist()
         ends = [bool(x) for x in rng.integers(0, 2, len(bounds))]
-        _, cost = packing.plan(bounds, ends, window=32, sentence=1, hard=6, run=3)
+        _, cost = packing.plan(bounds, ends, window=32, sentence=1, hard=6, run=3, each=2)
         best = [0.0] + [np.inf] * (len(bounds) - 1)
         for j in range(1, len(bounds)):
             for i in range(j):
                 span = bounds[j] - bounds[i]
                 m = -(-span // 32)
                 if m <= 3 or i == j - 1:
-                    best[j] = min(best[j], best[i] + m * 32 - span + 6 * (m - 1))
+                    best[j] = min(best[j], best[i] + m * 34 - span + 6 * (m - 1))
                 if span in (16, 32):
-                    best[j] = min(best[j], best[i])
+                    best[j] = min(best[j], best[i] + 2)
             best[j] += 0 if ends[j] else 1
         assert cost == pytest.approx(best[-1])
 
@@ -128,14 +128,39 @@ def test_language(spark, docs, none):
     assert langid.identify(none, model).count() == 0 and langid.fit(none).languages == []
 
 
-def test_kneser_ney_adds_up():
-    model = langid.Model({"x": {"ab": 3, "ba": 1, "abc": 2}, "y": {"cab": 4}})
-    size = len({c for w in ("ab", "ba", "abc", "cab") for c in w}) + 2
-    for i in range(2):  # next signs after 'a', and the share of what no language has
-        seen = sum(np.exp(model.words([w]))[0, i] / max(np.exp(model.words(["a"]))[0, i], 1e-300) for w in ("a",))
-        assert seen == pytest.approx(1)
-    total = np.exp(model.words(["ab"])[0]) < 1
-    assert total.all() and size == 5
+def test_letters_are_no_numerals(spark):
+    model = langid.Model({"x": {"ab": 3}, "y": {"cab": 4}})
+    assert [x[0] for x in model.predict(["½ ② Ⅷ 12", "a½b", "", None])] == ["und", "x", "und", "und"] and langid.letters("Ab½C ②") == ["ab", "c"]
+
+
+def plain_kneser_ney(counts, word, order=langid.ORDER, discount=langid.DISCOUNT, signs=5):
+    """Log-probability of a word, straight from the definition."""
+    pad = "\x02" * (order - 1)
+    grams = [Counter() for _ in range(order)]  # by length - 1; the longest by how often, the others by how many distinct longer ones end in them
+    for w, n in counts.items():
+        x = pad + w + "\x03"
+        for i in range(order - 1, len(x)):
+            grams[-1][x[i - order + 1 : i + 1]] += n
+    for n in range(order - 2, -1, -1):
+        for g in grams[n + 1]:
+            grams[n][g[1:]] += 1
+
+    def p(context, c):
+        lower = p(context[1:], c) if context else 1 / signs
+        own = {g: n for g, n in grams[len(context)].items() if g[:-1] == context}
+        total = sum(own.values())
+        return (max(own.get(context + c, 0) - discount, 0) + discount * len(own) * lower) / total if total else lower
+
+    x = pad + word + "\x03"
+    return sum(np.log(p(x[i - order + 1 : i], x[i])) for i in range(order - 1, len(x)))
+
+
+def test_kneser_ney_equals_its_definition():
+    counts = {"x": {"ab": 3, "ba": 1, "abc": 2}, "y": {"cab": 4}}
+    model = langid.Model(counts)
+    names = ["ab", "cab", "b", "zz", "abcab"]
+    want = [[plain_kneser_ney(counts[x], w) for x in ("x", "y")] for w in names]
+    assert np.allclose(model.words(names), want)
 
 
 def test_toxicity(spark, docs, none):
@@ -160,6 +185,54 @@ def test_toxicity(spark, docs, none):
     assert toxicity.fit(none.withColumn("toxic", F.lit(None).cast("int"))).stems == {}
 
 
+def plain_findings(grammar, text):
+    """Kinds of a clause by looking around each word."""
+    signs, out = [], []
+    for w in toxicity.WORD.findall(text):
+        stem = max((p for p in grammar.stems if w.startswith(p)), key=len, default=None)
+        closed = [k for k, v in (("target", toxicity.TARGETS), ("report", toxicity.REPORTS), ("negation", toxicity.NEGATIONS), ("intent", toxicity.INTENTS), ("threat", toxicity.THREATS)) if w in v]
+        signs.append(("insult", grammar.words[w]) if w in grammar.words else ("insult", grammar.stems[stem]) if stem else (closed[0] if closed else "other", 3.0))
+    names = [s for s, _ in signs]
+    for i, (name, weight) in enumerate(signs):
+        denied, reported, intended = "negation" in names[max(0, i - 3) : i], "report" in names[:i], "intent" in names[max(0, i - 4) : i]
+        aimed = "target" in names[max(0, i - 4) : i + 5]
+        if name == "insult":
+            out.append(("reported insult" if reported else "denied insult" if denied else "aimed insult" if aimed else "insult", weight))
+        elif name == "threat" and intended and aimed:
+            out.append(("weak threat" if reported or denied else "threat", weight))
+    return out
+
+
+def test_composed_machines_equal_a_plain_look_around():
+    rng = np.random.default_rng(8)
+    grammar = toxicity.Grammar({"idiot": 4.0, "scum": 3.0}, {"zork": 2.0, "zorken": 5.0})
+    vocabulary = "idiot scum zorkish zorkenling zork you they not never said wrote will gonna kill töten house tree the of".split()
+    for _ in range(400):
+        clause = " ".join(rng.choice(vocabulary, rng.integers(1, 14)))
+        assert grammar.clause(clause) == plain_findings(grammar, clause), clause
+    # each clause once, whatever its length
+    text = ", ".join(["you idiot"] * 2000)
+    assert grammar.features(text) == grammar.features(text + ". a house") and len(grammar.clause(text)) == 2000
+
+
+def test_toxicity_learns_the_same_from_rows_in_any_order(spark):
+    rows = [(i, f"das wort{i % 7} " + ("zorkig " if i % 4 == 0 else "") + f"und noch {i} mal", int(i % 4 == 0)) for i in range(200)]
+    one, two = (toxicity.fit(spark.createDataFrame(r, "doc_id long, text string, toxic int").repartition(n)) for r, n in ((rows, 2), (rows[::-1], 5)))
+    assert (one.words, one.stems, one.bias, one.weights) == (two.words, two.stems, two.bias, two.weights)
+
+
+def test_components_of_a_long_chain(spark, monkeypatch):
+    """A chain of ascending ids is found in as many steps as the logarithm of its length."""
+    from furlong.llm import shared
+
+    steps, real = [], shared.cut
+    monkeypatch.setattr(shared, "cut", lambda df, name: steps.append(name) or real(df, name))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(500)] + [(1000, 1001), (7, 7)], "a long, b long")
+    got = {r.node: r.component for r in shared.components(edges).collect()}
+    assert got == {**dict.fromkeys(range(501), 0), 1000: 1000, 1001: 1000}
+    assert len(steps) <= 16
+
+
 def test_warc(spark):
     path = queries.shared_dir(spark) + "/warc-test"
     same = "<p>" + "x" * 200 + "</p>"
