@@ -46,10 +46,10 @@ def within_days(df: DataFrame, entity: Sequence[str], days: int, **aggregates: C
     return df.withColumns({name: a.over(w) for name, a in aggregates.items()})
 
 
-def day_grain(df: DataFrame, entity: Sequence[str], day: str = "day", **sums: Column) -> DataFrame:
-    """Sums by entity and day, then over all earlier days (A41): two runners of one day that share the entity do not see each other, and the window has a row a day."""
+def day_grain(df: DataFrame, entity: Sequence[str], day: str = "day", days: int | None = None, **sums: Column) -> DataFrame:
+    """Sums by entity and day, then over all earlier days, or the last `days` of them (A41): two runners of one day that share the entity do not see each other, and the window has a row a day."""
     daily = df.groupBy(*entity, day).agg(*(s.alias(n) for n, s in sums.items()))
-    w = W.partitionBy(*entity).orderBy(day).rowsBetween(W.unboundedPreceding, -1)
+    w = W.partitionBy(*entity).orderBy(day).rangeBetween(-days if days else W.unboundedPreceding, -1)
     return daily.select(*entity, day, *(F.coalesce(F.sum(n).over(w), F.lit(0)).alias(n) for n in sums))
 
 

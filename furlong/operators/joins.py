@@ -129,32 +129,33 @@ def latest(df: DataFrame, keys: Sequence[str], at: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.max(F.struct(*at, *others)).alias("_m")).select(*keys, *(F.col("_m")[c].alias(c) for c in (*at, *others)))
 
 
-def fallback_match(targets: DataFrame, history: DataFrame, levels: Sequence[Sequence[str]], day: str = "day", least: int = 30, most: int = 200, order: Sequence[str | Column] = ()) -> DataFrame:
-    """For each distinct target key, the newest `most` earlier rows of the first level that has `least` of them.
+def fallback_match(targets: DataFrame, history: DataFrame, levels: Sequence[Sequence[str]], day: str = "day", least: int = 30, most: int = 200, ties: Sequence[str] = (), look_back: int | None = None) -> DataFrame:
+    """For each target key, the newest `most` earlier rows (of one day, those with the smallest ties) of the first level that has `least` of them in the last look_back days; the last level if none has.
 
-    targets: key_id, the level columns, day. A level is a list of columns that must agree. Targets are first collapsed to
-    distinct level keys and days, so that a pool is ranked once however many targets ask for it; the level is chosen by counts before any row is
-    joined.
+    targets: key_id, the level columns, day. A level is a list of columns that must agree. The level is chosen by counts of days before any row is
+    joined. A level's rows are numbered by age with offsets of days, so that no window is larger than a day of a level; a pool is then a run
+    of numbers, found by an equi-join on runs of `most`: a target meets 2 * most rows, however many its level has.
     """
-    h = history.select("*")
-    best = None
-    for n, level in enumerate(levels):
-        daily = h.groupBy(*level, day).agg(F.count("*").alias("_c"))
-        keys = targets.select(*level, day).distinct().withColumn("_c", F.lit(0)).withColumn("_target", F.lit(True))
-        both = daily.withColumn("_target", F.lit(False)).unionByName(keys)
-        w = W.partitionBy(*level).orderBy(day).rangeBetween(W.unboundedPreceding, -1)
-        counts = both.withColumn("_n", F.coalesce(F.sum("_c").over(w), F.lit(0))).where("_target").select(*level, day, F.col("_n").alias(f"_n{n}"))
-        best = (targets if best is None else best).join(counts, [*level, day], "left")
-    chosen = F.coalesce(*(F.when(F.col(f"_n{n}") >= least, n) for n in range(len(levels))), F.lit(len(levels) - 1))
-    best = best.withColumn("level", chosen).drop(*(f"_n{n}" for n in range(len(levels))))
-    out = None
-    for n, level in enumerate(levels):
-        asked = best.where(F.col("level") == n).select(*level, F.col(day).alias("_day")).distinct()
-        pool = asked.join(h, list(level)).where(F.col(day) < F.col("_day"))
-        pool = top_per_group(pool, [*level, "_day"], order or [F.desc(day)], most)
-        got = best.where(F.col("level") == n).select("key_id", "level", *level, F.col(day).alias("_day")).join(pool.select(*level, "_day", *(F.col(c).alias(f"h_{c}") for c in h.columns)), [*level, "_day"], "left").select("key_id", "level", *(f"h_{c}" for c in h.columns))
-        out = got if out is None else out.unionByName(got)
-    return out
+    by = ["_level", "_cell"]
+
+    def keyed(df: DataFrame) -> DataFrame:
+        """Each row once a level, under the level's number and its values of the level's columns (null if one is)."""
+        cells = (F.struct(F.lit(n).alias("_level"), F.when(F.concat(*(F.col(c).cast("string") for c in level)).isNotNull(), F.concat_ws("\x1f", *level)).alias("_cell")) for n, level in enumerate(levels))
+        return df.select("*", F.inline(F.array(*cells)))
+
+    rows, asked = keyed(history), keyed(targets.select("key_id", day, *dict.fromkeys(c for level in levels for c in level)))
+    daily = rows.groupBy(*by, day).agg(F.count("*").alias("_c")).unionByName(asked.select(*by, day).distinct().withColumn("_c", F.lit(0).cast("long")))
+    grid = daily.groupBy(*by, day).agg(F.sum("_c").alias("_c"))
+    w = W.partitionBy(*by).orderBy(day)
+    near = w.rangeBetween(-look_back if look_back else W.unboundedPreceding, -1)
+    counts = grid.select(*by, day, F.coalesce(F.sum("_c").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.coalesce(F.sum("_c").over(near), F.lit(0)).alias("_near"))
+    span = F.struct("_level", "_cell", F.col("_before").alias("_last"), (F.col("_before") - F.least(F.lit(most), "_near")).alias("_first"))
+    met = asked.join(counts, [*by, day], "left").groupBy("key_id").agg(F.coalesce(F.min(F.when(F.col("_near") >= least, span)), F.max(span)).alias("_s")).select("key_id", "_s.*")
+    runs = met.select(*by, "_last", "_first").distinct().withColumn("_run", F.explode(F.array_distinct(F.array(F.floor((F.col("_first") + 1) / most), F.floor(F.col("_last") / most)))))
+    at = F.row_number().over(W.partitionBy(*by, day).orderBy(*(F.desc(c) for c in ties))) + F.col("_before")
+    placed = rows.join(counts.select(*by, day, "_before"), [*by, day]).withColumn("_at", at).select(*by, "_at", F.floor(F.col("_at") / most).alias("_run"), *(F.col(c).alias(f"h_{c}") for c in history.columns))
+    pool = runs.join(placed, [*by, "_run"]).where((F.col("_at") > F.col("_first")) & (F.col("_at") <= F.col("_last"))).drop("_run", "_at")
+    return met.join(pool, [*by, "_last", "_first"], "left").select("key_id", F.col("_level").alias("level"), *(f"h_{c}" for c in history.columns))
 
 
 def union_all(arms: Sequence[DataFrame]) -> DataFrame:

@@ -36,6 +36,11 @@ def decay_mean(v: Column, days: Column, k: float = 0.001) -> Column:
     return F.try_divide(F.sum(v * weight), F.sum(weight))
 
 
+def decay_variance(v: Column, days: Column, k: float = 0.001) -> Column:
+    """Variance around that mean, with the same weights."""
+    return decay_mean(v * v, days, k) - F.pow(decay_mean(v, days, k), 2)
+
+
 def context_weight(days: Column, decay: float, distance: Column, current: Column, band: float, scale: float, least: float, surface: Column, here: Column, track: Column, same_track: Column) -> Column:
     """Hyperbolic decay by days, times nearness in distance, times likeness of track (A10)."""
     near = F.when(distance.isNull() | current.isNull(), 0.75).otherwise(F.greatest(F.lit(least), 1 - F.abs(distance - current) / F.greatest(current * scale, F.lit(band))))
@@ -101,9 +106,17 @@ def unpivot_dims(df: DataFrame, dims: Sequence[str], keep: Sequence[str]) -> Dat
     return df.select(*keep, F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("bucket")) for d in dims))).alias("_d")).select("_d.dimension", "_d.bucket", *keep)
 
 
-def confusion(df: DataFrame, actual: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
-    """Counts by actual and predicted class."""
-    return df.groupBy(*by, actual, predicted).agg(F.count("*").alias("n"))
+def confusion(df: DataFrame, actual: str, predicted: str, by: Sequence[str] = (), chance: str | None = None, near: str | None = None) -> DataFrame:
+    """Counts by actual and predicted class; with the actual class's chance also sums of log-loss, with a flag of near hits their number (A19). All are additive."""
+    more = ([F.sum(-F.log(F.greatest(F.col(chance), F.lit(1e-15)))).alias("log_loss")] if chance else []) + ([F.count_if(F.col(near)).alias("near")] if near else [])
+    return df.groupBy(*by, actual, predicted).agg(F.count("*").alias("n"), *more)
+
+
+def class_averages(counts: DataFrame, actual: str, predicted: str) -> DataFrame:
+    """Macro averages of precision, recall and F1, and F1 weighted by how often a class is actual."""
+    m = class_metrics(counts, actual, predicted).join(counts.groupBy(F.col(actual).alias("class")).agg(F.sum("n").alias("w")), "class", "left").fillna(0, ["w"])
+    mean = lambda c: F.avg(F.coalesce(c, F.lit(0.0)))
+    return m.agg(mean("precision").alias("macro_precision"), mean("recall").alias("macro_recall"), mean("f1").alias("macro_f1"), F.try_divide(F.sum(F.coalesce("f1", F.lit(0.0)) * F.col("w")), F.sum("w")).alias("weighted_f1"))
 
 
 def class_metrics(counts: DataFrame, actual: str, predicted: str) -> DataFrame:

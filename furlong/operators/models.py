@@ -35,29 +35,51 @@ def _used(node) -> set[str]:
     return set() if "value" in node else {node["feature"]} | _used(node["left"]) | _used(node["right"])
 
 
-def fit_isotonic(df: DataFrame, bucket: str, score: str, label: str, bins: int = 200) -> DataFrame:
+def fit_isotonic(df: DataFrame, bucket: str, score: str, label: str, ranges: int = 200) -> DataFrame:
     """Isotonic calibration per bucket, and for all rows under a null bucket (M2): bucket, xs, ys.
 
-    Rows are first binned by score, so that a bucket's group is `bins` rows however many runners it has; pooling adjacent
-    violators then runs per group.
+    Rows of one score are one point. Adjacent violators are pooled first within ranges of the score, then over what the ranges leave: pooling
+    parts first changes nothing in the result, and no group holds more than a range's points.
     """
-    binned = df.withColumn("_b", F.floor(F.col(score) * bins))
-    sums = binned.groupBy(F.col(bucket).cast("string").alias("bucket"), "_b").agg(F.avg(score).alias("x"), F.avg(F.col(label).cast("double")).alias("y"), F.count("*").alias("n"))
-    every = sums.groupBy("_b").agg(F.try_divide(F.sum(F.col("x") * F.col("n")), F.sum("n")).alias("x"), F.try_divide(F.sum(F.col("y") * F.col("n")), F.sum("n")).alias("y"), F.sum("n").alias("n")).withColumn("bucket", F.lit(None).cast("string"))
-
-    def pool(group):
-        import pandas as pd
+    own = df.select(F.col(bucket).cast("string").alias("bucket"), F.col(score).alias("x"), F.col(label).cast("double").alias("y")).where("x is not null and y is not null")
+    points = own.unionByName(own.withColumn("bucket", F.lit(None).cast("string"))).groupBy("bucket", "x").agg(F.avg("y").alias("y"), F.count("*").cast("double").alias("n"))
+    ends = own.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    ddl = "bucket string, n double, y double, first double, last double"
 
+    def pooled(group):
         blocks: list[list[float]] = []  # [weight, mean, first x, last x]
-        for x, y, n in group.sort_values("x")[["x", "y", "n"]].itertuples(index=False):
-            blocks.append([n, y, x, x])
+        for n, y, a, b in group.sort_values("first")[["n", "y", "first", "last"]].itertuples(index=False):
+            blocks.append([n, y, a, b])
             while len(blocks) > 1 and blocks[-2][1] >= blocks[-1][1]:
-                b = blocks.pop()
-                a = blocks[-1]
-                blocks[-1] = [a[0] + b[0], (a[0] * a[1] + b[0] * b[1]) / (a[0] + b[0]), a[2], b[3]]
+                right, left = blocks.pop(), blocks[-1]
+                blocks[-1] = [left[0] + right[0], (left[0] * left[1] + right[0] * right[1]) / (left[0] + right[0]), left[2], right[3]]
+        return blocks
+
+    def part(group):
+        import pandas as pd
+
+        return pd.DataFrame([[group["bucket"].iloc[0], *b] for b in pooled(group)], columns=["bucket", "n", "y", "first", "last"])
+
+    def whole(group):
+        import pandas as pd
+
+        blocks = pooled(group)
         return pd.DataFrame({"bucket": [group["bucket"].iloc[0]], "xs": [[v for b in blocks for v in (b[2], b[3])]], "ys": [[b[1] for b in blocks for _ in (0, 1)]]})
 
-    return sums.select("bucket", "x", "y", "n").unionByName(every.select("bucket", "x", "y", "n")).groupBy("bucket").applyInPandas(pool, "bucket string, xs array<double>, ys array<double>")
+    spread = J.with_context(points, ends).select("bucket", "n", "y", F.col("x").alias("first"), F.col("x").alias("last"), F.floor(F.coalesce(F.try_divide(F.col("x") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * ranges).alias("_range"))
+    return spread.groupBy("bucket", "_range").applyInPandas(part, ddl).groupBy("bucket").applyInPandas(whole, "bucket string, xs array<double>, ys array<double>")
+
+
+def brier(df: DataFrame, scores: Sequence[str], label: str, by: Sequence[str] = ()) -> DataFrame:
+    """Mean squared error of each score against a 0/1 label (M2)."""
+    return df.groupBy(*by).agg(*(F.avg(F.pow(F.col(s) - F.col(label).cast("double"), 2)).alias(f"brier_{s}") for s in scores))
+
+
+def most_stable(trials: DataFrame, metric: str, trial: str = "trial", worst: float = 0.5) -> DataFrame:
+    """Of a metric by trial and year: mean, spread, and the rank of each trial by mean less `worst` spreads; 1 is the most stable good one (M6)."""
+    t = trials.groupBy(trial).agg(F.avg(metric).alias("mean"), F.stddev_pop(metric).alias("spread"), F.min(metric).alias("least"))
+    t = t.withColumn("stable", F.col("mean") - worst * F.col("spread"))
+    return t.withColumn("place", F.row_number().over(W.orderBy(F.desc(F.round("stable", 9)), trial)).cast("long"))  # as many rows as trials
 
 
 def apply_isotonic(df: DataFrame, curves: DataFrame, bucket: str, score: str, name: str = "calibrated") -> DataFrame:
@@ -82,7 +104,7 @@ def blend(df: DataFrame, weights: dict[str, float], name: str = "blended") -> Da
 
 
 def average_ensemble(preds: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Mean of several models' rows of one key (M5)."""
+    """Mean of several models' rows of one key (M5), of probabilities or of ranks."""
     return preds.groupBy(*keys).agg(*(F.avg(v).alias(v) for v in values))
 
 
@@ -153,12 +175,13 @@ def impute_prior(df: DataFrame, cols: Sequence[str], cell: Sequence[str], before
     return flags.withColumns({c: out[c] for c in cols}).drop(*(f"_{p}_{c}" for c in cols for p in ("m", "n", "w")))
 
 
-def subset_metrics(df: DataFrame, features: Sequence[str], masks: Sequence[Sequence[int]]) -> DataFrame:
-    """Top-1 rate of the sum of each mask's features."""
+def subset_metrics(df: DataFrame, features: Sequence[str], masks: Sequence[Sequence[int]], fold: str | None = None) -> DataFrame:
+    """Top-1 rate of the sum of each mask's features (M14), by fold if there is one."""
+    by = [fold] if fold else []
     value = lambda m: sum((F.col(features[i]) for i in m), F.lit(0.0))
-    rows = df.select("race_id", "horse", "finish", F.posexplode(F.array(*(value(m) for m in masks))).alias("mask", "v"))
-    picked = rows.groupBy("mask", "race_id").agg(F.max(F.struct("v", (-F.col("horse")).alias("h"), "finish")).alias("m"))
-    return picked.groupBy("mask").agg(F.avg((F.col("m.finish") == 1).cast("int")).alias("top1"), F.count("*").alias("races"))
+    rows = df.select("race_id", *by, "horse", "finish", F.posexplode(F.array(*(value(m) for m in masks))).alias("mask", "v"))
+    picked = rows.groupBy("mask", *by, "race_id").agg(F.max(F.struct("v", (-F.col("horse")).alias("h"), "finish")).alias("m"))
+    return picked.groupBy("mask", *by).agg(F.avg((F.col("m.finish") == 1).cast("int")).alias("top1"), F.count("*").alias("races"))
 
 
 def override_top_two(df: DataFrame, rank: str, market: str, cond: Column) -> DataFrame:

@@ -47,6 +47,11 @@ def classify_diff(db: DataFrame, incoming: DataFrame, keys: Sequence[str], cols:
     return both.withColumn("kind", kind)
 
 
+def block_regressions(diff: DataFrame, most: int = 0) -> DataFrame:
+    """Per column of a diff how many values would be lost, and whether that blocks the write (Q4)."""
+    return diff.groupBy("column").agg(F.count_if(F.col("kind") == "regression").alias("regressions")).withColumn("blocked", F.col("regressions") > most)
+
+
 def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of updates, and those of target whose key they lack."""
     return updates.unionByName(J.without(target, updates, keys), allowMissingColumns=True)

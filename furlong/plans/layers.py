@@ -23,6 +23,10 @@ from ..operators import relative as R
 STEP = 100
 
 
+#: Entities of few and of many values: without one of many, a cell may hold much of all history, and goes by days.
+FEW, MANY = {"trainer", "sire", "damsire", "venue"}, {"horse", "jockey", "owner"}
+
+
 def win() -> Column:
     return (F.col("finish") == 1).cast("int")
 
@@ -34,7 +38,11 @@ def show() -> Column:
 def prior_rates(df: DataFrame, cells: dict[str, Sequence[str]], hit: Column | None = None) -> DataFrame:
     """<name>: the hit rate of each cell (entity and equal context) over earlier days."""
     hit = win() if hit is None else hit
-    return df.withColumns({name: F.avg(hit).over(H.before(*cell)) for name, cell in cells.items()})
+    df = df.withColumns({name: F.avg(hit).over(H.before(*cell)) for name, cell in cells.items() if not FEW & set(cell) or set(cell) & MANY})
+    for name, cell in cells.items():
+        if FEW & set(cell) and not set(cell) & MANY:
+            df = grain_rate(df, cell, name, hit=hit)
+    return df
 
 
 def skeleton(df: DataFrame) -> DataFrame:
@@ -47,6 +55,7 @@ def career(df: DataFrame) -> DataFrame:
     """L2: a horse's career: rates overall, by venue, surface and class; nearby distances; speed; days since; runs in 30 days."""
     w, last = H.before("horse"), W.partitionBy("horse").orderBy("day", "race_id")
     df = prior_rates(df, {"career_win_rate": ["horse"], "venue_win_rate": ["horse", "venue"], "surface_win_rate": ["horse", "surface"], "class_win_rate": ["horse", "class"]})
+    df = df.withColumns({"career_place_rate": F.avg((F.col("finish") <= 2).cast("int")).over(w), "career_show_rate": F.avg(show()).over(w), "starts": F.count("*").over(w), "wins": F.count_if(F.col("finish") == 1).over(w), "starts_90d": F.count("*").over(H.last_days("horse", days=90)), "best_finish5": F.min("finish").over(last.rowsBetween(-5, -1)), "odds_avg5": F.avg("odds").over(last.rowsBetween(-5, -1)), "best_time_distance": F.min("time").over(H.before("horse", "distance")), "starts_with_jockey": F.count("*").over(H.before("horse", "jockey"))})
     df = df.withColumns({"starts_30d": F.count("*").over(H.last_days("horse", days=30)), "days_since": F.col("day") - F.max("day").over(w), "speed_avg5": F.avg("time").over(last.rowsBetween(-5, -1)), "speed_best5": F.min("time").over(last.rowsBetween(-5, -1))})
     # a run counts for every distance within 200 m of its own; distances are multiples of STEP, so that is a few rows each, and no list of past runs is carried
     df = df.withColumn("_d", F.explode(F.transform(F.sequence(F.lit(-200), F.lit(200), F.lit(STEP)), lambda x: F.col("distance") + x)))
@@ -56,25 +65,25 @@ def career(df: DataFrame) -> DataFrame:
 
 def jockey_trainer(df: DataFrame) -> DataFrame:
     """L3."""
+    df = grain_rate(df, ["trainer"], "trainer_60d", days=60)
     df = prior_rates(df, {"jockey_win_rate": ["jockey"], "jockey_venue": ["jockey", "venue"], "jockey_distance": ["jockey", "distance"], "jockey_surface": ["jockey", "surface"], "trainer_win_rate": ["trainer"], "trainer_venue": ["trainer", "venue"], "pair_win_rate": ["jockey", "horse"]})
-    return df.withColumns({"jockey_60d": F.avg(win()).over(H.last_days("jockey", days=60)), "trainer_60d": F.avg(win()).over(H.last_days("trainer", days=60))})
+    return df.withColumn("jockey_60d", F.avg(win()).over(H.last_days("jockey", days=60)))
 
 
 def pedigree(df: DataFrame, least: int = 5) -> DataFrame:
     """L4: sire and damsire by 400 m band and by surface, from `least` starts; their mean over three."""
     df = df.withColumn("_band", F.floor(F.col("distance") / 400))
     for name, cell in {"sire_band": ["sire", "_band"], "sire_surface": ["sire", "surface"], "damsire_band": ["damsire", "_band"]}.items():
-        w = H.before(*cell)
-        df = df.withColumn(name, M.guard(F.avg(win()).over(w), F.count("*").over(w), least))
+        df = grain_rate(df, cell, name, least - 1)
     return df.withColumn("pedigree", (F.coalesce("sire_band", F.lit(0.0)) + F.coalesce("sire_surface", F.lit(0.0)) + F.coalesce("damsire_band", F.lit(0.0))) / 3).drop("_band")
 
 
 def track_bias(df: DataFrame) -> DataFrame:
     """Shares of inside and of front winners at the venue in the last 5 days; 0 without history, as in the reference."""
-    w = H.last_days("venue", days=5)
     inside = (F.col("finish") == 1) & (2 * F.col("horse_no") <= F.col("field_size") + 1)
     front = (F.col("finish") == 1) & (F.coalesce(S.norm_position("corner1", "field_size"), F.lit(0.0)) <= 0.33)
-    return df.withColumns({"inside_bias": F.coalesce(F.avg(inside.cast("int")).over(w), F.lit(0.0)), "front_bias": F.coalesce(F.avg(front.cast("int")).over(w), F.lit(0.0))})
+    df = grain_rate(grain_rate(df, ["venue"], "inside_bias", hit=inside.cast("int"), days=5), ["venue"], "front_bias", hit=front.cast("int"), days=5)
+    return df.fillna(0.0, ["inside_bias", "front_bias"])
 
 
 def weight(df: DataFrame) -> DataFrame:
@@ -118,8 +127,7 @@ def class_variance(df: DataFrame) -> DataFrame:
 
 def trainer_flat(df: DataFrame) -> DataFrame:
     """A trainer's rate in ungraded races."""
-    plain = F.when(F.substring("class", 1, 1).cast("int") > 3, win())
-    return df.withColumn("trainer_flat", F.avg(plain).over(H.before("trainer")))
+    return grain_rate(df, ["trainer"], "trainer_flat", hit=F.when(F.substring("class", 1, 1).cast("int") > 3, win()))
 
 
 def weather(df: DataFrame) -> DataFrame:
@@ -151,8 +159,8 @@ def race_internal(df: DataFrame) -> DataFrame:
 def market(df: DataFrame) -> DataFrame:
     """Implied probability, its share, ranks, disagreement with form."""
     df = R.share(df.withColumn("implied", 1 / F.col("odds")), "implied", "implied_share")
-    df = R.rank_in_race(df.withColumn("form", F.avg("finish").over(H.last_rows("horse", n=3))), {"implied": True, "form": False})
-    return df.withColumns({"disagreement": F.col("implied_rank") - F.col("form_rank"), "overround": F.sum("implied").over(R.race())})
+    df = R.relative(R.rank_in_race(df.withColumn("form", F.avg("finish").over(H.last_rows("horse", n=3))), {"implied": True, "form": False}), ["implied"])
+    return df.withColumns({"disagreement": F.col("implied_rank") - F.when(F.col("form").isNotNull(), F.col("form_rank")), "overround": F.sum("implied").over(R.race())})
 
 
 def sectional_weight(df: DataFrame) -> DataFrame:
@@ -180,7 +188,7 @@ def draught_class(df: DataFrame) -> DataFrame:
     """Rates by bucket of carried weight (times ten, in kg)."""
     kg = F.col("carried") * 10
     df = df.withColumn("_b", F.when(kg < 500, 0).when(kg < 550, 1).when(kg < 600, 2).otherwise(3))
-    return prior_rates(df, {"bucket_rate": ["horse", "_b"], "bucket_rate_all": ["_b"]}).drop("_b")
+    return grain_rate(prior_rates(df, {"bucket_rate": ["horse", "_b"]}), ["_b"], "bucket_rate_all").drop("_b")
 
 
 def draught_grade(df: DataFrame) -> DataFrame:
@@ -228,9 +236,10 @@ def locality(df: DataFrame) -> DataFrame:
     return df.withColumns({"venue_share": F.try_divide(F.count("*").over(H.before("horse", "venue")), F.nullif(F.count("*").over(w), F.lit(0))), "venues": F.size(F.collect_set("venue").over(w)).cast("long")})
 
 
-def grain_rate(df: DataFrame, entity: Sequence[str], name: str, least: int = 0) -> DataFrame:
-    """Earlier-day rate of an entity by way of one row per entity and day."""
-    t = H.day_grain(df, entity, _n=F.count("*"), _w=F.sum(win()))
+def grain_rate(df: DataFrame, entity: Sequence[str], name: str, least: int = 0, hit: Column | None = None, days: int | None = None) -> DataFrame:
+    """Earlier-day rate of an entity by way of one row per entity and day (A41); null up to `least` starts. A null hit is no start."""
+    hit = win() if hit is None else hit
+    t = H.day_grain(df, entity, days=days, _n=F.count(hit), _w=F.sum(hit))
     df = df.join(t, [*entity, "day"])
     return df.withColumn(name, F.when(F.col("_n") > least, F.try_divide(F.col("_w"), F.col("_n")))).drop("_n", "_w")
 
@@ -267,13 +276,19 @@ def field_style(df: DataFrame) -> DataFrame:
     lead, stalk = (F.col("corner1") == 1).cast("int"), F.col("corner1").between(2, 3).cast("int")
     w = R.race()
     df = df.withColumns({"others_front": F.sum(lead).over(w) - lead, "others_stalk": F.sum(stalk).over(w) - stalk})
-    return df.withColumn("pace_index", 2 * F.col("others_front") + F.col("others_stalk"))
+    others = F.col("field_size") - 1
+    place = F.col("corner1") / F.col("field_size")
+    df = df.withColumns({"pace_index": 2 * F.col("others_front") + F.col("others_stalk"), "others": others, "front_share": F.try_divide(F.col("others_front"), others), "stalk_share": F.try_divide(F.col("others_stalk"), others), "others_place": F.try_divide(F.sum(place).over(w) - place, others), "front_alone": ((lead == 1) & (F.col("others_stalk") <= 1)).cast("int")})
+    best = F.sort_array(F.collect_list("corner1").over(w))
+    return df.withColumns({"others_first": F.when(F.col("corner1") == best[0], F.try_element_at(best, F.lit(2))).otherwise(best[0]), "gap_to_front": F.col("corner1") - 1, "behind": F.col("field_size") - F.col("corner1")})
 
 
 def abroad_card(df: DataFrame) -> DataFrame:
     """Average-tie ranks, market share, z: nothing about who runs."""
     df = R.share(df.withColumn("implied", 1 / F.col("odds")), "implied", "implied_share")
-    return R.relative(R.avg_rank(df, "age", "age_rank"), ["carried"], sample=False)
+    df = R.rank_in_race(R.avg_rank(df, "age", "age_rank"), {"odds": False, "body_weight": True, "carried": True})
+    df = R.relative(df, ["carried", "body_weight", "age"], sample=False)
+    return df.withColumns({"draw": F.col("horse_no") / F.col("field_size"), "log_odds": F.log("odds"), "favourite_odds": F.min("odds").over(R.race())})
 
 
 def style_features(df: DataFrame) -> DataFrame:
@@ -284,5 +299,6 @@ def style_features(df: DataFrame) -> DataFrame:
     df = df.withColumns({f"corner_avg{n}": F.avg("_c").over(order.rowsBetween(-n, -1)) for n in (3, 5, 10)})
     w = order.rowsBetween(-5, -1)
     df = df.withColumn("corner_iqr", F.percentile("_c", F.lit(0.75)).over(w) - F.percentile("_c", F.lit(0.25)).over(w))
+    df = df.withColumns({"corner_best5": F.min("_c").over(w), "corner_worst5": F.max("_c").over(w), "corner_sd5": F.stddev_pop("_c").over(w), "last_corner": F.lag("corner1").over(order), "lead_share5": F.avg((F.col("corner1") == 1).cast("int")).over(w), "lead_share": F.avg((F.col("corner1") == 1).cast("int")).over(H.before("horse")), "jockey_corner": F.avg("_c").over(H.before("jockey"))})
     kinds = [F.count_if(k).over(w) for k in (F.col("corner1") == 1, (F.col("corner1") > 1) & (F.col("_c") <= 0.3), (F.col("_c") > 0.3) & (F.col("_c") <= 0.7), F.col("_c") > 0.7)]
     return df.withColumn("style_consistency", F.try_divide(F.greatest(*kinds), F.nullif(sum(kinds[1:], kinds[0]), F.lit(0)))).drop("_c")

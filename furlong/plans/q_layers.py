@@ -15,9 +15,10 @@ from .views import entries, table
 KEY = ("race_id", "horse")
 
 
-def out(df, *cols, digits=9):
+def out(df, *cols, digits=9, **fewer):
+    """Keys and columns; doubles rounded once, to `digits` or to what `fewer` says of a column."""
     kinds = dict(df.dtypes)
-    return df.select(*KEY, *(F.round(c, digits).alias(c) if kinds[c] == "double" else F.col(c) for c in cols))
+    return df.select(*KEY, *(F.round(c, fewer.get(c, digits)).alias(c) if kinds[c] == "double" else F.col(c) for c in cols))
 
 
 def rate(cell, name, hit="finish = 1", frame="RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"):
@@ -37,19 +38,22 @@ def l1(spark, d):
     return out(L.skeleton(entries(spark, d)), "category", "finish_norm")
 
 
-@query("l2_career", select(rate("horse", "career_win_rate"), rate("horse, venue", "venue_win_rate"), rate("horse, surface", "surface_win_rate"), rows("avg(time)", 5, "speed_avg5"), rows("min(time)", 5, "speed_best5"), "(day - max(day) OVER (PARTITION BY horse ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::INT AS days_since", "count(*) OVER (PARTITION BY horse ORDER BY day RANGE BETWEEN 30 PRECEDING AND 1 PRECEDING) AS starts_30d", "round((SELECT avg((h.finish = 1)::INT) FROM e h WHERE h.horse = e.horse AND h.day < e.day AND abs(h.distance - e.distance) <= 200), 9) AS distance_win_rate"))
+@query("l2_career", select(rate("horse", "career_win_rate"), rate("horse, venue", "venue_win_rate"), rate("horse, surface", "surface_win_rate"), rows("avg(time)", 5, "speed_avg5"), rows("min(time)", 5, "speed_best5"), "(day - max(day) OVER (PARTITION BY horse ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::INT AS days_since", "count(*) OVER (PARTITION BY horse ORDER BY day RANGE BETWEEN 30 PRECEDING AND 1 PRECEDING) AS starts_30d", "round((SELECT avg((h.finish = 1)::INT) FROM e h WHERE h.horse = e.horse AND h.day < e.day AND abs(h.distance - e.distance) <= 200), 9) AS distance_win_rate", rate("horse, class", "class_win_rate"), rate("horse", "career_place_rate", "finish <= 2"), rate("horse", "career_show_rate", "finish <= 3"), "count(*) OVER (PARTITION BY horse ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS starts", "count(*) FILTER (WHERE finish = 1) OVER (PARTITION BY horse ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS wins", "count(*) OVER (PARTITION BY horse ORDER BY day RANGE BETWEEN 90 PRECEDING AND 1 PRECEDING) AS starts_90d", rows("min(finish)", 5, "best_finish5"), rows("avg(odds)", 5, "odds_avg5"), "min(time) OVER (PARTITION BY horse, distance ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_time_distance", "count(*) OVER (PARTITION BY horse, jockey ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS starts_with_jockey"))
 def l2(spark, d):
-    return out(L.career(entries(spark, d)), "career_win_rate", "venue_win_rate", "surface_win_rate", "speed_avg5", "speed_best5", "days_since", "starts_30d", "distance_win_rate")
+    return out(L.career(entries(spark, d)), "career_win_rate", "venue_win_rate", "surface_win_rate", "speed_avg5", "speed_best5", "days_since", "starts_30d", "distance_win_rate", "class_win_rate", "career_place_rate", "career_show_rate", "starts", "wins", "starts_90d", "best_finish5", "odds_avg5", "best_time_distance", "starts_with_jockey")
 
 
-@query("l3_jockey_trainer", select(rate("jockey", "jockey_win_rate"), rate("jockey, venue", "jockey_venue"), rate("trainer", "trainer_win_rate"), rate("jockey, horse", "pair_win_rate"), rate("jockey", "jockey_60d", frame="RANGE BETWEEN 60 PRECEDING AND 1 PRECEDING")))
+@query("l3_jockey_trainer", select(rate("jockey", "jockey_win_rate"), rate("jockey, venue", "jockey_venue"), rate("trainer", "trainer_win_rate"), rate("jockey, horse", "pair_win_rate"), rate("jockey", "jockey_60d", frame="RANGE BETWEEN 60 PRECEDING AND 1 PRECEDING"), rate("jockey, distance", "jockey_distance"), rate("jockey, surface", "jockey_surface"), rate("trainer, venue", "trainer_venue"), rate("trainer", "trainer_60d", frame="RANGE BETWEEN 60 PRECEDING AND 1 PRECEDING")))
 def l3(spark, d):
-    return out(L.jockey_trainer(entries(spark, d)), "jockey_win_rate", "jockey_venue", "trainer_win_rate", "pair_win_rate", "jockey_60d")
+    return out(L.jockey_trainer(entries(spark, d)), "jockey_win_rate", "jockey_venue", "trainer_win_rate", "pair_win_rate", "jockey_60d", "jockey_distance", "jockey_surface", "trainer_venue", "trainer_60d")
 
 
-@query("l4_pedigree", select(*(f"round(CASE WHEN count(*) OVER {w} >= 5 THEN avg((finish = 1)::INT) OVER {w} END, 9) AS {n}" for n, w in (("sire_band", "(PARTITION BY sire, distance // 400 ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"), ("sire_surface", "(PARTITION BY sire, surface ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")))))
+RARE = ", ".join(f"CASE WHEN count(*) OVER {w} >= 5 THEN avg((finish = 1)::INT) OVER {w} END AS {n}" for n, w in ((n, f"(PARTITION BY {c} ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)") for n, c in (("sb", "sire, distance // 400"), ("ss", "sire, surface"), ("db", "damsire, distance // 400"))))
+
+
+@query("l4_pedigree", f"SELECT race_id, horse, round(sb, 9) AS sire_band, round(ss, 9) AS sire_surface, round(db, 9) AS damsire_band, round((coalesce(sb, 0) + coalesce(ss, 0) + coalesce(db, 0)) / 3, 7) AS pedigree FROM (SELECT *, {RARE} FROM e)")
 def l4(spark, d):
-    return out(L.pedigree(entries(spark, d)), "sire_band", "sire_surface")
+    return out(L.pedigree(entries(spark, d)), "sire_band", "sire_surface", "damsire_band", "pedigree", pedigree=7)
 
 
 @query("l5_track_bias", select("round(coalesce(avg((finish = 1 AND 2 * horse_no <= field_size + 1)::INT) OVER w, 0), 9) AS inside_bias", "round(coalesce(avg((finish = 1 AND CASE WHEN field_size > 1 THEN (corner1 - 1) / (field_size - 1)::DOUBLE ELSE 0 END <= 0.33)::INT) OVER w, 0), 9) AS front_bias") + " WINDOW w AS (PARTITION BY venue ORDER BY day RANGE BETWEEN 5 PRECEDING AND 1 PRECEDING)")
@@ -57,20 +61,19 @@ def l5(spark, d):
     return out(L.track_bias(entries(spark, d)), "inside_bias", "front_bias")
 
 
-@query("l6_weight", f"SELECT race_id, horse, round(a, 9) AS weight_avg5, round(body_weight - a, 9) AS weight_diff, round(CASE WHEN n >= 2 THEN s END, 4) AS weight_slope, round(greatest(-5, least(5, (body_weight - a) / greatest(sd, 1))), 9) AS weight_z FROM (SELECT *, avg(body_weight) OVER w AS a, stddev_pop(body_weight) OVER w AS sd, count(*) OVER w AS n, regr_slope(body_weight, k) OVER w AS s FROM (SELECT *, row_number() OVER (PARTITION BY horse ORDER BY day, race_id) AS k FROM e) WINDOW w AS (PARTITION BY horse ORDER BY k ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING))")
+@query("l6_weight", f"SELECT race_id, horse, round(a, 9) AS weight_avg5, round(body_weight - a, 9) AS weight_diff, round(CASE WHEN n >= 2 THEN s END, 4) AS weight_slope, round(greatest(-5, least(5, (body_weight - a) / greatest(sd, 1))), 9) AS weight_z, round(sd, 7) AS weight_volatility FROM (SELECT *, avg(body_weight) OVER w AS a, stddev_pop(body_weight) OVER w AS sd, count(*) OVER w AS n, regr_slope(body_weight, k) OVER w AS s FROM (SELECT *, row_number() OVER (PARTITION BY horse ORDER BY day, race_id) AS k FROM e) WINDOW w AS (PARTITION BY horse ORDER BY k ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING))")
 def l6(spark, d):
-    df = out(L.weight(entries(spark, d)), "weight_avg5", "weight_diff", "weight_slope", "weight_z")
-    return df.withColumn("weight_slope", F.round("weight_slope", 4))
+    return out(L.weight(entries(spark, d)), "weight_avg5", "weight_diff", "weight_slope", "weight_z", "weight_volatility", weight_slope=4, weight_volatility=7)
 
 
-@query("l7_recent_form", "SELECT race_id, horse, lag(finish) OVER o AS last_finish, distance - lag(distance) OVER o AS distance_diff, round(avg(finish) OVER (PARTITION BY horse ORDER BY k ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 9) AS finish_avg3, round(CASE WHEN count(*) OVER w >= 3 THEN -regr_slope(finish, k) OVER w END, 4) AS form_slope FROM (SELECT *, row_number() OVER (PARTITION BY horse ORDER BY day, race_id) AS k FROM e) WINDOW o AS (PARTITION BY horse ORDER BY k), w AS (PARTITION BY horse ORDER BY k ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)")
+@query("l7_recent_form", "SELECT race_id, horse, lag(finish) OVER o AS last_finish, substr(class, 1, 1)::INT - lag(substr(class, 1, 1)::INT) OVER o AS class_diff, distance - lag(distance) OVER o AS distance_diff, round(avg(finish) OVER (PARTITION BY horse ORDER BY k ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 9) AS finish_avg3, round(CASE WHEN count(*) OVER w >= 3 THEN -regr_slope(finish, k) OVER w END, 4) AS form_slope FROM (SELECT *, row_number() OVER (PARTITION BY horse ORDER BY day, race_id) AS k FROM e) WINDOW o AS (PARTITION BY horse ORDER BY k), w AS (PARTITION BY horse ORDER BY k ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)")
 def l7(spark, d):
-    return out(L.recent_form(entries(spark, d)), "last_finish", "distance_diff", "finish_avg3", "form_slope").withColumn("form_slope", F.round("form_slope", 4))
+    return out(L.recent_form(entries(spark, d)), "last_finish", "class_diff", "distance_diff", "finish_avg3", "form_slope", form_slope=4)
 
 
-@query("l8_race_context", ", r AS (SELECT *, avg((finish = 1)::INT) OVER (PARTITION BY horse ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS q FROM e) SELECT race_id, horse, round(avg(q) OVER (PARTITION BY race_id), 9) AS field_mean, (rank() OVER (PARTITION BY race_id ORDER BY q DESC NULLS LAST) - 1)::BIGINT AS rivals, (substr(class, 1, 1)::INT <= 3)::INT AS graded FROM r")
+@query("l8_race_context", ", r AS (SELECT *, avg((finish = 1)::INT) OVER (PARTITION BY horse ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS q FROM e) SELECT race_id, horse, round(avg(q) OVER (PARTITION BY race_id), 9) AS field_mean, round(avg(CASE WHEN k <= 3 THEN q END) OVER (PARTITION BY race_id), 9) AS top_mean, round(field_size / 18, 9) AS field_ratio, (rank() OVER (PARTITION BY race_id ORDER BY q DESC NULLS LAST) - 1)::BIGINT AS rivals, (substr(class, 1, 1)::INT <= 3)::INT AS graded FROM (SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY q DESC NULLS LAST, horse) AS k FROM r)")
 def l8(spark, d):
-    return out(L.race_context(entries(spark, d)), "field_mean", "rivals", "graded")
+    return out(L.race_context(entries(spark, d)), "field_mean", "top_mean", "field_ratio", "rivals", "graded")
 
 
 @query("l9_class_velocity", "SELECT a.race_id, a.horse, (a.day - max(b.day))::INT AS class_velocity FROM e a LEFT JOIN e b ON a.horse = b.horse AND b.day < a.day AND b.finish = 1 AND substr(b.class, 1, 1)::INT >= substr(a.class, 1, 1)::INT - 1 GROUP BY a.race_id, a.horse, a.day")
@@ -93,14 +96,14 @@ def l12(spark, d):
     return out(L.weather(entries(spark, d)), "weather_code", "going")
 
 
-@query("l13_physics", select("rank() OVER (PARTITION BY race_id ORDER BY carried / body_weight)::BIGINT AS carry_ratio_rank", "rank() OVER (PARTITION BY race_id ORDER BY body_weight DESC)::BIGINT AS body_weight_rank", "round(carried - avg(carried) OVER (PARTITION BY race_id), 9) AS carried_diff"))
+@query("l13_physics", select("rank() OVER (PARTITION BY race_id ORDER BY carried / body_weight)::BIGINT AS carry_ratio_rank", "rank() OVER (PARTITION BY race_id ORDER BY body_weight DESC)::BIGINT AS body_weight_rank", "round(carried - avg(carried) OVER (PARTITION BY race_id), 9) AS carried_diff", "round(carried / body_weight, 9) AS carry_ratio", "round(CASE WHEN stddev_samp(carried) OVER w > 1e-9 AND stddev_samp(body_weight) OVER w > 1e-9 THEN (carried - avg(carried) OVER w) / stddev_samp(carried) OVER w - (body_weight - avg(body_weight) OVER w) / stddev_samp(body_weight) OVER w END, 6) AS joint_z") + " WINDOW w AS (PARTITION BY race_id)")
 def l13(spark, d):
-    return out(L.physics(entries(spark, d)), "carry_ratio_rank", "body_weight_rank", "carried_diff")
+    return out(L.physics(entries(spark, d)), "carry_ratio_rank", "body_weight_rank", "carried_diff", "carry_ratio", "joint_z", joint_z=6)
 
 
-@query("l14_history_speed", select(rows("avg(distance / time)", 5, "speed5"), rows("stddev_pop(distance / time)", 5, "speed_volatility")))
+@query("l14_history_speed", select(rows("avg(distance / time)", 5, "speed5"), rows("stddev_pop(distance / time)", 5, "speed_volatility"), rows("body_weight / 450 * avg(distance / time)", 5, "speed_weight"), rows("carried / 55 * avg(distance / time)", 5, "speed_carry"), rows("1.0::DOUBLE / age * avg(distance / time)", 5, "speed_age")))
 def l14(spark, d):
-    return out(L.history_speed(entries(spark, d)), "speed5", "speed_volatility")
+    return out(L.history_speed(entries(spark, d)), "speed5", "speed_volatility", "speed_weight", "speed_carry", "speed_age")
 
 
 @query("l15_race_internal", select("rank() OVER (PARTITION BY race_id ORDER BY odds)::BIGINT AS odds_rank", "round(odds - avg(odds) OVER (PARTITION BY race_id), 9) AS odds_diff", "round(sum((corner1 <= 2)::INT) OVER (PARTITION BY race_id) / field_size::DOUBLE, 9) AS pace_pressure"))
@@ -108,19 +111,19 @@ def l15(spark, d):
     return out(L.race_internal(entries(spark, d)), "odds_rank", "odds_diff", "pace_pressure")
 
 
-@query("l16_market", "SELECT race_id, horse, round((1 / odds) / sum(1 / odds) OVER w, 9) AS implied_share, rank() OVER (PARTITION BY race_id ORDER BY 1 / odds DESC)::BIGINT AS implied_rank, rank() OVER (PARTITION BY race_id ORDER BY f NULLS LAST)::BIGINT AS form_rank, round(sum(1 / odds) OVER w, 9) AS overround FROM (SELECT *, avg(finish) OVER (PARTITION BY horse ORDER BY day, race_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS f FROM e) WINDOW w AS (PARTITION BY race_id)")
+@query("l16_market", "SELECT race_id, horse, round((1 / odds) / sum(1 / odds) OVER w, 9) AS implied_share, rank() OVER (PARTITION BY race_id ORDER BY 1 / odds DESC)::BIGINT AS implied_rank, rank() OVER (PARTITION BY race_id ORDER BY f NULLS LAST)::BIGINT AS form_rank, rank() OVER (PARTITION BY race_id ORDER BY 1 / odds DESC)::BIGINT - CASE WHEN f IS NOT NULL THEN rank() OVER (PARTITION BY race_id ORDER BY f NULLS LAST)::BIGINT END AS disagreement, round(1 / odds, 9) AS implied, round(1 / odds - avg(1 / odds) OVER w, 9) AS implied_diff, round(f, 9) AS form, round(sum(1 / odds) OVER w, 9) AS overround FROM (SELECT *, avg(finish) OVER (PARTITION BY horse ORDER BY day, race_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS f FROM e) WINDOW w AS (PARTITION BY race_id)")
 def l16(spark, d):
-    return out(L.market(entries(spark, d)), "implied_share", "implied_rank", "form_rank", "overround")
+    return out(L.market(entries(spark, d)), "implied_share", "implied_rank", "form_rank", "overround", "disagreement", "implied", "implied_diff", "form")
 
 
-@query("l17_sectional", select(rows("avg(last3f)", 3, "last3f_avg3"), rows("avg(last3f)", 5, "last3f_avg5"), "lag(body_weight) OVER (PARTITION BY horse ORDER BY day, race_id) AS last_weight"))
+@query("l17_sectional", select(rows("avg(last3f)", 3, "last3f_avg3"), rows("avg(last3f)", 5, "last3f_avg5"), "lag(body_weight) OVER (PARTITION BY horse ORDER BY day, race_id) AS last_weight", "round(CASE WHEN count(*) OVER w >= 3 THEN regr_slope(last3f, k) OVER w END, 6) AS last3f_slope", src="(SELECT *, row_number() OVER (PARTITION BY horse ORDER BY day, race_id) AS k FROM e)") + " WINDOW w AS (PARTITION BY horse ORDER BY k ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)")
 def l17(spark, d):
-    return out(L.sectional_weight(entries(spark, d)), "last3f_avg3", "last3f_avg5", "last_weight")
+    return out(L.sectional_weight(entries(spark, d)), "last3f_avg3", "last3f_avg5", "last_weight", "last3f_slope", last3f_slope=6)
 
 
-@query("l18_carried_weight", select(rows("avg(carried)", 5, "carried_avg5"), rows("avg(carried)", 10, "carried_avg10"), "rank() OVER (PARTITION BY race_id ORDER BY carried DESC)::BIGINT AS carried_rank"))
+@query("l18_carried_weight", select(rows("avg(carried)", 5, "carried_avg5"), rows("avg(carried)", 10, "carried_avg10"), "rank() OVER (PARTITION BY race_id ORDER BY carried DESC)::BIGINT AS carried_rank", "round(carried - avg(carried) OVER (PARTITION BY race_id), 9) AS carried_diff"))
 def l18(spark, d):
-    return out(L.carried_weight(entries(spark, d)), "carried_avg5", "carried_avg10", "carried_rank")
+    return out(L.carried_weight(entries(spark, d)), "carried_avg5", "carried_avg10", "carried_rank", "carried_diff")
 
 
 @query("l19_workouts", "SELECT a.event_id, count(b.event_id) AS workouts, round(avg(b.value), 9) AS lap_avg FROM events a LEFT JOIN events b ON a.user_id = b.user_id AND b.ts::DATE < a.ts::DATE AND b.ts::DATE >= a.ts::DATE - 90 GROUP BY a.event_id", base=False)
@@ -143,14 +146,16 @@ def l21(spark, d):
     return H.range_join(target, e.where("class = '1-URGENT'").select(*KEY, "day"), ["horse"], "back", how="left").groupBy(*KEY).agg(F.count("h_race_id").alias("trials"))
 
 
-@query("l22_head_to_head", ", m AS (SELECT a.race_id, a.day, a.horse AS x, b.horse AS y, (a.finish < b.finish)::INT AS won FROM e a JOIN e b ON a.race_id = b.race_id AND a.horse <> b.horse), t AS (SELECT x, y, day, count(*) AS n, sum(won) AS w FROM m GROUP BY ALL) SELECT m.race_id, m.x AS horse, coalesce(sum(p.n), 0)::BIGINT AS meetings, coalesce(sum(p.w), 0)::BIGINT AS beaten FROM m LEFT JOIN t p ON p.x = m.x AND p.y = m.y AND p.day < m.day GROUP BY m.race_id, m.x")
+@query("l22_head_to_head", ", m AS (SELECT a.race_id, a.day, a.horse AS x, b.horse AS y, (a.finish < b.finish)::INT AS won, b.finish - a.finish AS gap FROM e a JOIN e b ON a.race_id = b.race_id AND a.horse <> b.horse), t AS (SELECT x, y, day, count(*) AS n, sum(won) AS w, sum(gap) AS g FROM m GROUP BY ALL) SELECT m.race_id, m.x AS horse, coalesce(sum(p.n), 0)::BIGINT AS meetings, coalesce(sum(p.w), 0)::BIGINT AS beaten, coalesce(sum(p.n - p.w), 0)::BIGINT AS lost, round(sum(p.w) / sum(p.n)::DOUBLE, 9) AS beaten_share, round(sum(p.g) / sum(p.n)::DOUBLE, 7) AS gap_mean, count(DISTINCT p.y) AS rivals_met FROM m LEFT JOIN t p ON p.x = m.x AND p.y = m.y AND p.day < m.day GROUP BY m.race_id, m.x")
 def l22(spark, d):
-    """Earlier meetings of a runner with today's rivals, and how many of them it won: pairs once, by a window over the pair."""
+    """Earlier meetings of a runner with today's rivals: how many, won, lost, the share won, by how many places on average, with how many of them. Pairs once, by a window over the pair."""
     p = J.pairs_within(entries(spark, d), ["race_id"], "horse", ["finish", "day"]).withColumn("day", F.col("a_day"))
     w = H.before("a_horse", "b_horse")
-    p = p.withColumns({"n": F.count("*").over(w), "won": F.count_if(F.col("a_finish") < F.col("b_finish")).over(w)})
-    both = p.select("race_id", F.col("a_horse").alias("horse"), "n", "won").unionByName(p.select("race_id", F.col("b_horse").alias("horse"), "n", (F.col("n") - F.col("won")).alias("won")))
-    return both.groupBy(*KEY).agg(F.sum("n").alias("meetings"), F.sum("won").alias("beaten"))
+    p = p.withColumns({"n": F.count("*").over(w), "won": F.count_if(F.col("a_finish") < F.col("b_finish")).over(w), "gap": F.coalesce(F.sum(F.col("b_finish") - F.col("a_finish")).over(w), F.lit(0))})
+    both = p.select("race_id", F.col("a_horse").alias("horse"), "n", "won", "gap").unionByName(p.select("race_id", F.col("b_horse").alias("horse"), "n", (F.col("n") - F.col("won")).alias("won"), (-F.col("gap")).alias("gap")))
+    t = both.groupBy(*KEY).agg(F.sum("n").alias("meetings"), F.sum("won").alias("beaten"), F.sum("gap").alias("gap"), F.count_if(F.col("n") > 0).alias("rivals_met"))
+    share = lambda c, digits: F.round(F.try_divide(F.col(c), F.col("meetings")), digits)
+    return t.select(*KEY, "meetings", "beaten", (F.col("meetings") - F.col("beaten")).alias("lost"), share("beaten", 9).alias("beaten_share"), share("gap", 7).alias("gap_mean"), "rivals_met")
 
 
 @query("l23_going_pedigree", select(rate("sire, day % 3", "sire_going"), rate("damsire, day % 3", "damsire_going")))
@@ -199,9 +204,9 @@ def l30(spark, d):
 CELLS = ", b AS (SELECT *, CASE WHEN distance <= 1399 THEN 0 WHEN distance <= 1799 THEN 1 WHEN distance <= 2199 THEN 2 ELSE 3 END AS band FROM e), c AS (SELECT jockey, sire, band, day, race_id, sum(count(*)) OVER w AS n, sum(sum((finish = 1)::INT)) OVER w AS k FROM b GROUP BY jockey, sire, band, day, race_id WINDOW w AS (PARTITION BY jockey, sire, band ORDER BY day, race_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), o AS (SELECT jockey, day, race_id, sum(count(*)) OVER w AS n, sum(sum((finish = 1)::INT)) OVER w AS k FROM b GROUP BY jockey, day, race_id WINDOW w AS (PARTITION BY jockey ORDER BY day, race_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"
 
 
-@query("l31_cells", CELLS + " SELECT b.race_id, b.horse, round((coalesce(c.k, 0) + 20 * (coalesce(o.k, 0) + 30 * 0.0707) / (coalesce(o.n, 0) + 30)) / (coalesce(c.n, 0) + 20), 11)::DOUBLE AS cell_rate FROM b JOIN c USING (jockey, sire, band, day, race_id) JOIN o USING (jockey, day, race_id)")
+@query("l31_cells", CELLS + " SELECT b.race_id, b.horse, round((coalesce(c.k, 0) + 20 * (coalesce(o.k, 0) + 30 * 0.0707) / (coalesce(o.n, 0) + 30)) / (coalesce(c.n, 0) + 20), 11)::DOUBLE AS cell_rate, coalesce(c.n, 0)::BIGINT AS cell_n, coalesce(c.k, 0)::BIGINT AS cell_w, coalesce(o.n, 0)::BIGINT AS own_n, coalesce(o.k, 0)::BIGINT AS own_w FROM b JOIN c USING (jockey, sire, band, day, race_id) JOIN o USING (jockey, day, race_id)")
 def l31(spark, d):
-    return out(L.cells(entries(spark, d)), "cell_rate", digits=11)
+    return out(L.cells(entries(spark, d)), "cell_rate", "cell_n", "cell_w", "own_n", "own_w", digits=11)
 
 
 @query("l32_fade", select(*(rate(x, f"{x}_fade", "finish > 3") for x in ("horse", "jockey", "trainer", "owner")), rows("avg((finish > 3)::INT)", 5, "fade5")))
@@ -209,9 +214,9 @@ def l32(spark, d):
     return out(L.fade(entries(spark, d)), "horse_fade", "jockey_fade", "trainer_fade", "owner_fade", "fade5")
 
 
-@query("l33_fade_extra", select(rows("avg((finish > 3)::INT)", 3, "fade3"), rows("avg((finish > 3)::INT)", 10, "fade10"), rate("horse", "fade_30d", "finish > 3", "RANGE BETWEEN 30 PRECEDING AND 1 PRECEDING"), rate("horse, jockey", "pair_fade", "finish > 3")))
+@query("l33_fade_extra", select(rows("avg((finish > 3)::INT)", 3, "fade3"), rows("avg((finish > 3)::INT)", 10, "fade10"), rate("horse", "fade_30d", "finish > 3", "RANGE BETWEEN 30 PRECEDING AND 1 PRECEDING"), rate("horse, jockey", "pair_fade", "finish > 3"), "(k - 1 - coalesce(max(CASE WHEN finish <= 3 THEN k END) OVER (PARTITION BY horse ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS fade_streak", src="(SELECT *, row_number() OVER (PARTITION BY horse ORDER BY day, race_id) AS k FROM e)"))
 def l33(spark, d):
-    return out(L.fade_extra(entries(spark, d)), "fade3", "fade10", "fade_30d", "pair_fade")
+    return out(L.fade_extra(entries(spark, d)), "fade3", "fade10", "fade_30d", "pair_fade", "fade_streak")
 
 
 @query("l34_locality", "SELECT a.race_id, a.horse, round(CASE WHEN count(b.race_id) > 0 THEN count(*) FILTER (WHERE b.venue = a.venue) / count(b.race_id)::DOUBLE END, 9) AS venue_share, count(DISTINCT b.venue) AS venues FROM e a LEFT JOIN e b ON a.horse = b.horse AND b.day < a.day GROUP BY a.race_id, a.horse")
@@ -224,7 +229,7 @@ def l35(spark, d):
     return out(L.jockey_triple(entries(spark, d)), "jockey_triple")
 
 
-@query("l36_exotic_odds", ", s AS (SELECT a.race_id, a.horse_no AS x, b.horse_no AS y, 1 / (round(a.odds * b.odds * 10)::INT / 10) AS p FROM e a JOIN e b ON a.race_id = b.race_id AND a.horse_no < b.horse_no AND b.horse_no <= 6), t AS (SELECT race_id, x, y, p / sum(p) OVER (PARTITION BY race_id) AS p FROM s) SELECT race_id, no AS horse_no, round(sum(p), 9) AS top2 FROM (SELECT race_id, x AS no, p FROM t UNION ALL SELECT race_id, y, p FROM t) GROUP BY ALL")
+@query("l36_exotic_odds", ", s AS (SELECT a.race_id, a.horse_no AS x, b.horse_no AS y, 1 / (round(a.odds * b.odds * 10)::INT / 10) AS p FROM e a JOIN e b ON a.race_id = b.race_id AND a.horse_no < b.horse_no), t AS (SELECT race_id, x, y, p / sum(p) OVER (PARTITION BY race_id) AS p FROM s) SELECT race_id, no AS horse_no, round(sum(p), 9) AS top2 FROM (SELECT race_id, x AS no, p FROM t UNION ALL SELECT race_id, y, p FROM t) GROUP BY ALL")
 def l36(spark, d):
     """Packed pair odds, unpacked, overround removed, summed to each runner's chance of the first two."""
     from .q_scalars import f10
@@ -235,34 +240,37 @@ def l36(spark, d):
     return legs.groupBy("race_id", "horse_no").agg(F.round(F.sum("p"), 9).alias("top2"))
 
 
-@query("l37_draught_class", select(rate("horse, CASE WHEN carried * 10 < 500 THEN 0 WHEN carried * 10 < 550 THEN 1 WHEN carried * 10 < 600 THEN 2 ELSE 3 END", "bucket_rate")))
+@query("l37_draught_class", select(rate("horse, CASE WHEN carried * 10 < 500 THEN 0 WHEN carried * 10 < 550 THEN 1 WHEN carried * 10 < 600 THEN 2 ELSE 3 END", "bucket_rate"), rate("CASE WHEN carried * 10 < 500 THEN 0 WHEN carried * 10 < 550 THEN 1 WHEN carried * 10 < 600 THEN 2 ELSE 3 END", "bucket_rate_all")))
 def l37(spark, d):
-    return out(L.draught_class(entries(spark, d)), "bucket_rate")
+    return out(L.draught_class(entries(spark, d)), "bucket_rate", "bucket_rate_all")
 
 
-@query("l38_draught_grade", select(*(f"count(*) FILTER (WHERE class[1] = '{g}') OVER w AS starts_g{g}" for g in (1, 2)), "count(*) FILTER (WHERE class[1] = '1' AND finish = 1) OVER w AS wins_g1") + " WINDOW w AS (PARTITION BY horse ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+@query("l38_draught_grade", select(*(f"count(*) FILTER (WHERE class[1] = '{g}') OVER w AS starts_g{g}" for g in (1, 2, 3)), *(f"count(*) FILTER (WHERE class[1] = '{g}' AND finish = 1) OVER w AS wins_g{g}" for g in (1, 2, 3)), "(count(*) FILTER (WHERE class[1] = '1') OVER w * (class[1] > '1')::INT + count(*) FILTER (WHERE class[1] = '2') OVER w * (class[1] > '2')::INT + count(*) FILTER (WHERE class[1] = '3') OVER w * (class[1] > '3')::INT)::BIGINT AS higher_starts") + " WINDOW w AS (PARTITION BY horse ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 def l38(spark, d):
-    return out(L.draught_grade(entries(spark, d)), "starts_g1", "starts_g2", "wins_g1")
+    return out(L.draught_grade(entries(spark, d)), "starts_g1", "starts_g2", "starts_g3", "wins_g1", "wins_g2", "wins_g3", "higher_starts")
+
+
+DRAUGHT = ("last3f", "age", "odds", "carried", "body_weight", "horse_no", "distance", "popularity", "time", "score_a", "score_b")
 
 
-@query("l39_draught_internal", select("rank() OVER (PARTITION BY race_id ORDER BY last3f DESC)::BIGINT AS last3f_rank", "rank() OVER (PARTITION BY race_id ORDER BY age DESC)::BIGINT AS age_rank", "round(CASE WHEN stddev_pop(odds) OVER w > 0 THEN (odds - avg(odds) OVER w) / stddev_pop(odds) OVER w END, 4) AS odds_z") + " WINDOW w AS (PARTITION BY race_id)")
+@query("l39_draught_internal", select("rank() OVER (PARTITION BY race_id ORDER BY last3f DESC)::BIGINT AS last3f_rank", *(f"rank() OVER (PARTITION BY race_id ORDER BY {c} DESC)::BIGINT AS {c}_rank" for c in DRAUGHT if c != "last3f"), *(f"round({c} - avg({c}) OVER w, 4) AS {c}_diff" for c in ("odds", "body_weight")), "round(CASE WHEN stddev_pop(odds) OVER w > 0 THEN (odds - avg(odds) OVER w) / stddev_pop(odds) OVER w END, 4) AS odds_z") + " WINDOW w AS (PARTITION BY race_id)")
 def l39(spark, d):
-    return out(L.draught_internal(entries(spark, d)), "last3f_rank", "age_rank", "odds_z", digits=4)
+    return out(L.draught_internal(entries(spark, d), DRAUGHT), *(f"{c}_rank" for c in DRAUGHT), "odds_diff", "body_weight_diff", "odds_z", digits=4)
 
 
-@query("l40_style_features", "SELECT race_id, horse, round(avg(c) OVER (PARTITION BY horse ORDER BY day, race_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 9) AS corner_avg3, round(avg(c) OVER (PARTITION BY horse ORDER BY day, race_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), 9) AS corner_avg10, round(quantile_cont(c, 0.75) OVER w - quantile_cont(c, 0.25) OVER w, 9) AS corner_iqr FROM (SELECT *, CASE WHEN field_size > 1 THEN (corner1 - 1) / (field_size - 1)::DOUBLE END AS c FROM e) WINDOW w AS (PARTITION BY horse ORDER BY day, race_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)")
+@query("l40_style_features", "SELECT race_id, horse, round(avg(c) OVER (PARTITION BY horse ORDER BY day, race_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 9) AS corner_avg3, round(avg(c) OVER (PARTITION BY horse ORDER BY day, race_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), 9) AS corner_avg10, round(quantile_cont(c, 0.75) OVER w - quantile_cont(c, 0.25) OVER w, 9) AS corner_iqr, round(avg(c) OVER w, 9) AS corner_avg5, round(min(c) OVER w, 9) AS corner_best5, round(max(c) OVER w, 9) AS corner_worst5, round(stddev_pop(c) OVER w, 7) AS corner_sd5, lag(corner1) OVER (PARTITION BY horse ORDER BY day, race_id) AS last_corner, round(avg((corner1 = 1)::INT) OVER w, 9) AS lead_share5, round(avg((corner1 = 1)::INT) OVER (PARTITION BY horse ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 9) AS lead_share, round(avg(c) OVER (PARTITION BY jockey ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 7) AS jockey_corner, round(greatest(count(*) FILTER (WHERE corner1 = 1) OVER w, count(*) FILTER (WHERE corner1 > 1 AND c <= 0.3) OVER w, count(*) FILTER (WHERE c > 0.3 AND c <= 0.7) OVER w, count(*) FILTER (WHERE c > 0.7) OVER w) / nullif(count(*) FILTER (WHERE corner1 = 1) OVER w + count(*) FILTER (WHERE corner1 > 1 AND c <= 0.3) OVER w + count(*) FILTER (WHERE c > 0.3 AND c <= 0.7) OVER w + count(*) FILTER (WHERE c > 0.7) OVER w, 0)::DOUBLE, 9) AS style_consistency FROM (SELECT *, CASE WHEN field_size > 1 THEN (corner1 - 1) / (field_size - 1)::DOUBLE END AS c FROM e) WINDOW w AS (PARTITION BY horse ORDER BY day, race_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)")
 def l40(spark, d):
-    return out(L.style_features(entries(spark, d)), "corner_avg3", "corner_avg10", "corner_iqr")
+    return out(L.style_features(entries(spark, d)), "corner_avg3", "corner_avg10", "corner_iqr", "corner_avg5", "corner_best5", "corner_worst5", "corner_sd5", "last_corner", "lead_share5", "lead_share", "jockey_corner", "style_consistency", corner_sd5=7, jockey_corner=7)
 
 
-@query("l41_field_style", "SELECT a.race_id, a.horse, count(*) FILTER (WHERE b.corner1 = 1) AS others_front, 2 * count(*) FILTER (WHERE b.corner1 = 1) + count(*) FILTER (WHERE b.corner1 BETWEEN 2 AND 3) AS pace_index FROM e a LEFT JOIN e b ON a.race_id = b.race_id AND a.horse <> b.horse GROUP BY a.race_id, a.horse")
+@query("l41_field_style", "SELECT a.race_id, a.horse, count(*) FILTER (WHERE b.corner1 = 1) AS others_front, 2 * count(*) FILTER (WHERE b.corner1 = 1) + count(*) FILTER (WHERE b.corner1 BETWEEN 2 AND 3) AS pace_index, count(*) FILTER (WHERE b.corner1 BETWEEN 2 AND 3) AS others_stalk, count(b.horse) AS others, round(count(*) FILTER (WHERE b.corner1 = 1) / nullif(count(b.horse), 0)::DOUBLE, 9) AS front_share, round(count(*) FILTER (WHERE b.corner1 BETWEEN 2 AND 3) / nullif(count(b.horse), 0)::DOUBLE, 9) AS stalk_share, round(avg(b.corner1 / b.field_size::DOUBLE), 7) AS others_place, (a.corner1 = 1 AND count(*) FILTER (WHERE b.corner1 BETWEEN 2 AND 3) <= 1)::INT AS front_alone, min(b.corner1) AS others_first, a.corner1 - 1 AS gap_to_front, a.field_size - a.corner1 AS behind FROM e a LEFT JOIN e b ON a.race_id = b.race_id AND a.horse <> b.horse GROUP BY a.race_id, a.horse, a.corner1, a.field_size")
 def l41(spark, d):
-    return out(L.field_style(entries(spark, d)), "others_front", "pace_index")
+    return out(L.field_style(entries(spark, d)), "others_front", "pace_index", "others_stalk", "others", "front_share", "stalk_share", "others_place", "front_alone", "others_first", "gap_to_front", "behind", others_place=7)
 
 
-@query("l42_abroad_card", select("(rank() OVER (PARTITION BY race_id ORDER BY age) + (count(*) OVER (PARTITION BY race_id, age) - 1) / 2.0)::DOUBLE AS age_rank", "round((1 / odds) / sum(1 / odds) OVER (PARTITION BY race_id), 9) AS implied_share"))
+@query("l42_abroad_card", select("(rank() OVER (PARTITION BY race_id ORDER BY age) + (count(*) OVER (PARTITION BY race_id, age) - 1) / 2.0)::DOUBLE AS age_rank", "round((1 / odds) / sum(1 / odds) OVER (PARTITION BY race_id), 9) AS implied_share", "rank() OVER (PARTITION BY race_id ORDER BY odds)::BIGINT AS odds_rank", "rank() OVER (PARTITION BY race_id ORDER BY body_weight DESC)::BIGINT AS body_weight_rank", "rank() OVER (PARTITION BY race_id ORDER BY carried DESC)::BIGINT AS carried_rank", "round(carried - avg(carried) OVER (PARTITION BY race_id), 9) AS carried_diff", "round(body_weight - avg(body_weight) OVER (PARTITION BY race_id), 9) AS body_weight_diff", "round(age - avg(age) OVER (PARTITION BY race_id), 7) AS age_diff", "round(horse_no / field_size::DOUBLE, 9) AS draw", "field_size", "round(ln(odds), 9) AS log_odds", "round(min(odds) OVER (PARTITION BY race_id), 9) AS favourite_odds"))
 def l42(spark, d):
-    return out(L.abroad_card(entries(spark, d)), "age_rank", "implied_share")
+    return out(L.abroad_card(entries(spark, d)), "age_rank", "implied_share", "odds_rank", "body_weight_rank", "carried_rank", "carried_diff", "body_weight_diff", "age_diff", "draw", "field_size", "log_odds", "favourite_odds", age_diff=7)
 
 
 @query("l43_past_results", "SELECT t.horse, h.race_id, h.race_date, h.finish FROM (SELECT DISTINCT horse FROM e WHERE race_date = (SELECT max(race_date) FROM e)) t JOIN e h ON t.horse = h.horse AND h.race_date < (SELECT max(race_date) FROM e)")
@@ -306,7 +314,7 @@ SELECT key_id, count(*) AS matches, round(sum(time * exp(-0.001 * (td - day))) /
 def l29(spark, d):
     e = entries(spark, d)
     targets = e.where("race_date >= '2001-07-01'").select(F.col("race_id").alias("key_id"), "venue", "distance", "day").distinct()
-    pool = J.fallback_match(targets, e.where("finish = 1").select("race_id", "venue", "distance", "day", "time", "odds"), [["venue", "distance"], ["distance"]], order=[F.desc("day"), "race_id"])
+    pool = J.fallback_match(targets, e.where("finish = 1").select("race_id", "venue", "distance", "day", "time", "odds"), [["venue", "distance"], ["distance"]], ties=["race_id"])
     pool = pool.join(targets.select("key_id", F.col("day").alias("td")), "key_id")
     age = F.col("td") - F.col("h_day")
     return pool.groupBy("key_id").agg(F.count("h_race_id").alias("matches"), F.round(M.decay_mean(F.col("h_time"), age), 9).alias("time_mean"), F.round(M.decay_mean(F.col("h_odds"), age), 9).alias("odds_mean"))

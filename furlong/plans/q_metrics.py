@@ -42,10 +42,11 @@ def a4(spark, d):
     return entries(spark, d).groupBy("venue").agg(R6(F.percentile("odds", F.lit(0.5))).alias("median_odds"), F.round(F.percentile("time", F.lit(0.9)), 4).alias("time_p90"))
 
 
-@query("a5_iqr", "SELECT horse, round(quantile_cont(corner1, 0.75) - quantile_cont(corner1, 0.25), 6) AS corner_iqr FROM e GROUP BY horse, race_year HAVING race_year = 1999")
+@query("a5_iqr", "SELECT race_id, horse, round(quantile_cont(corner1, 0.75) OVER w - quantile_cont(corner1, 0.25) OVER w, 6) AS corner_iqr FROM e WINDOW w AS (PARTITION BY horse ORDER BY day, race_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)")
 def a5(spark, d):
-    q = lambda p: F.percentile("corner1", F.lit(p))
-    return entries(spark, d).where("race_year = 1999").groupBy("horse").agg(R6(q(0.75) - q(0.25)).alias("corner_iqr"))
+    w = W.partitionBy("horse").orderBy("day", "race_id").rowsBetween(-5, -1)
+    q = lambda p: F.percentile("corner1", F.lit(p)).over(w)
+    return entries(spark, d).select("race_id", "horse", R6(q(0.75) - q(0.25)).alias("corner_iqr"))
 
 
 @query("a6_safe_corr", "SELECT horse, round(CASE WHEN count(*) * sum(finish * finish) > sum(finish) * sum(finish) AND stddev_pop(body_weight) > 0 THEN corr(finish, body_weight) END, 4) AS c FROM e GROUP BY horse")
@@ -63,9 +64,10 @@ def a8(spark, d):
     return entries(spark, d).groupBy("horse").agg(R6(F.stddev_pop("body_weight")).alias("sd_pop"), R6(F.stddev_samp("body_weight")).alias("sd_samp"))
 
 
-@query("a9_decay_mean", "SELECT horse, round(sum(finish * exp(-0.001 * (11600 - day))) / sum(exp(-0.001 * (11600 - day))), 6) AS finish_decayed FROM e GROUP BY horse")
+@query("a9_decay_mean", "SELECT horse, round(sum(finish * exp(-0.001 * (11600 - day))) / sum(exp(-0.001 * (11600 - day))), 6) AS finish_decayed, round(sum(finish * finish * exp(-0.001 * (11600 - day))) / sum(exp(-0.001 * (11600 - day))) - (sum(finish * exp(-0.001 * (11600 - day))) / sum(exp(-0.001 * (11600 - day)))) ** 2, 6) AS finish_variance FROM e GROUP BY horse")
 def a9(spark, d):
-    return entries(spark, d).groupBy("horse").agg(R6(M.decay_mean(F.col("finish"), 11600 - F.col("day"))).alias("finish_decayed"))
+    age = 11600 - F.col("day")
+    return entries(spark, d).groupBy("horse").agg(R6(M.decay_mean(F.col("finish"), age)).alias("finish_decayed"), R6(M.decay_variance(F.col("finish"), age)).alias("finish_variance"))
 
 
 @query("a10_context_mean", "SELECT horse, round(sum(w * time) / sum(w), 6) AS time_weighted FROM (SELECT horse, time, 1 / (1 + (11600 - day) / 180.0) * greatest(0.3, 1 - abs(distance - 1600) / greatest(1600 * 0.25, 200.0)) * CASE WHEN venue = 3 THEN 1.2 WHEN surface = 'F' THEN 1.0 ELSE 0.55 END AS w FROM e) GROUP BY horse")
@@ -94,9 +96,22 @@ def hits(spark, d):
     return M.race_hits(p, ["race_id", "venue", "class", "surface", "race_year", "race_date"])
 
 
-@query("a13_bucket_eval", HITS + "SELECT venue, class, surface, count(*) AS races, sum(top1)::BIGINT AS top1, sum(rank2_exact)::BIGINT AS rank2_exact, sum(top3_box)::BIGINT AS top3_box FROM h GROUP BY ALL")
+NINE = ("category", "venue", "class", "surface", "distance_band", "field_band", "season", "race_year", "weekday")
+SUMS = ("top1", "place2", "rank2_exact", "rank3_exact", "top3_box", "top3_exact", "capture3", "capture5")
+
+
+@query("a13_bucket_eval", PRED + """, h AS (SELECT race_id, CASE WHEN venue = 8 THEN 'draught' WHEN venue < 10 THEN 'national' ELSE 'local' END AS category, venue, class, surface, least(distance // 400, 5)::INT AS distance_band, CASE WHEN field_size <= 2 THEN 'small' WHEN field_size <= 5 THEN 'middle' ELSE 'large' END AS field_band, ((month(race_date) % 12) // 3)::INT AS season, race_year::INT AS race_year, dayofweek(race_date)::INT AS weekday,
+max(CASE WHEN r = 1 THEN (finish = 1)::INT END) AS top1, max(CASE WHEN r = 1 THEN (finish <= 2)::INT END) AS place2, max(CASE WHEN r = 2 THEN (finish = 2)::INT END) AS rank2_exact, max(CASE WHEN r = 3 THEN (finish = 3)::INT END) AS rank3_exact, (count(*) FILTER (WHERE r <= 3 AND finish <= 3) = 3)::INT AS top3_box, (count(*) FILTER (WHERE r <= 3 AND finish = r) = 3)::INT AS top3_exact, max(CASE WHEN finish = 1 THEN (r <= 3)::INT END) AS capture3, max(CASE WHEN finish = 1 THEN (r <= 5)::INT END) AS capture5 FROM p GROUP BY ALL)
+SELECT """ + ", ".join(NINE) + ", count(*) AS races, " + ", ".join(f"sum({c})::BIGINT AS {c}" for c in SUMS) + " FROM h GROUP BY ALL")
 def a13(spark, d):
-    return hits(spark, d).groupBy("venue", "class", "surface").agg(F.count("*").alias("races"), *(F.sum(c).alias(c) for c in ("top1", "rank2_exact", "top3_box")))
+    """Additive sums by nine dimensions, from which coarser buckets are added up."""
+    date = F.col("race_date")
+    e = predicted(spark, d).withColumns({
+        "category": F.when(F.col("venue") == 8, "draught").when(F.col("venue") < 10, "national").otherwise("local"), "distance_band": F.least(F.floor(F.col("distance") / 400), F.lit(5)).cast("int"), "field_band": F.when(F.col("field_size") <= 2, "small").when(F.col("field_size") <= 5, "middle").otherwise("large"),
+        "season": F.floor((F.month(date) % 12) / 3).cast("int"), "race_year": F.col("race_year").cast("int"), "weekday": F.dayofweek(date) - 1,
+    })
+    h = M.race_hits(e, ["race_id", *NINE]).withColumn("place2", F.col("top1_in2"))
+    return h.groupBy(*NINE).agg(F.count("*").alias("races"), *(F.sum(c).alias(c) for c in SUMS))
 
 
 @query("a14_race_hits", PRED + "SELECT race_id, max(CASE WHEN r = 1 THEN (finish = 1)::INT END) AS top1, max(CASE WHEN r = 2 THEN (finish = 2)::INT END) AS rank2_exact, max(CASE WHEN r = 3 THEN (finish = 3)::INT END) AS rank3_exact, (count(*) FILTER (WHERE r <= 3 AND finish <= 3) = 3)::INT AS top3_box, (count(*) FILTER (WHERE r <= 3 AND finish = r) = 3)::INT AS top3_exact, max(CASE WHEN finish = 1 THEN (r <= 3)::INT END) AS capture3, max(CASE WHEN finish = 1 THEN (r <= 5)::INT END) AS capture5 FROM p GROUP BY race_id")
@@ -135,9 +150,11 @@ def styles(spark, d):
     return entries(spark, d).select("venue", one("corner1").alias("actual"), one("popularity").alias("predicted"))
 
 
-@query("a19_confusion", STYLE + "SELECT venue, actual, predicted, count(*) AS n FROM s GROUP BY ALL")
+@query("a19_confusion", STYLE + "SELECT venue, actual, predicted, count(*) AS n, round(sum(-ln(0.55 - 0.15 * abs(actual - predicted))), 4) AS log_loss, count(*) FILTER (WHERE abs(actual - predicted) <= 1) AS near FROM s GROUP BY ALL")
 def a19(spark, d):
-    return M.confusion(styles(spark, d), "actual", "predicted", ["venue"])
+    gap = F.abs(F.col("actual") - F.col("predicted"))
+    chance = F.lit(0.55) - F.lit(0.15) * gap  # of the actual class by a forecast around the predicted one
+    return M.confusion(styles(spark, d).withColumns({"chance": chance, "near": gap <= 1}), "actual", "predicted", ["venue"], chance="chance", near="near").withColumn("log_loss", F.round("log_loss", 4))
 
 
 @query("a20_class_metrics", STYLE + ", c AS (SELECT k, count(*) FILTER (WHERE actual = k) AS a, count(*) FILTER (WHERE predicted = k) AS p, count(*) FILTER (WHERE actual = k AND predicted = k) AS x FROM s, range(4) t(k) GROUP BY k) SELECT k::INT AS class, round(x / p::DOUBLE, 6) AS precision, round(x / a::DOUBLE, 6) AS recall, round(2 * (x / p::DOUBLE) * (x / a::DOUBLE) / (x / p::DOUBLE + x / a::DOUBLE), 6) AS f1 FROM c")
@@ -146,6 +163,11 @@ def a20(spark, d):
     return m.select("class", *(R6(c).alias(c) for c in ("precision", "recall", "f1")))
 
 
+@query("a20_averages", STYLE + ", c AS (SELECT k, count(*) FILTER (WHERE actual = k) AS a, count(*) FILTER (WHERE predicted = k) AS p, count(*) FILTER (WHERE actual = k AND predicted = k) AS x FROM s, range(4) t(k) GROUP BY k), m AS (SELECT a, x / p::DOUBLE AS pr, x / a::DOUBLE AS re, 2 * (x / p::DOUBLE) * (x / a::DOUBLE) / (x / p::DOUBLE + x / a::DOUBLE) AS f FROM c) SELECT round(avg(pr), 6) AS macro_precision, round(avg(re), 6) AS macro_recall, round(avg(f), 6) AS macro_f1, round(sum(f * a) / sum(a), 6) AS weighted_f1 FROM m")
+def a20a(spark, d):
+    return M.class_averages(M.confusion(styles(spark, d), "actual", "predicted"), "actual", "predicted").select(*(R6(c).alias(c) for c in ("macro_precision", "macro_recall", "macro_f1", "weighted_f1")))
+
+
 @query("a20_kappa", STYLE + ", n AS (SELECT count(*)::DOUBLE AS t FROM s), a AS (SELECT actual AS k, count(*) AS n FROM s GROUP BY actual), p AS (SELECT predicted AS k, count(*) AS n FROM s GROUP BY predicted) SELECT round(1 - (SELECT sum((actual - predicted) ** 2) FROM s) / (SELECT sum(a.n * p.n * (a.k - p.k) ** 2) / any_value(t) FROM a, p, n), 6) AS kappa")
 def a20k(spark, d):
     counts = M.confusion(styles(spark, d), "actual", "predicted")
@@ -215,9 +237,9 @@ def a28(spark, d):
     return M.finish_counts(entries(spark, d).withColumn("weight_class", weight_class("body_weight", {"light": 410, "middle": 430}, "heavy")), ["weight_class"])
 
 
-@query("a29_finish_stats", "SELECT finish, round(avg(popularity), 6) AS popularity_avg, median(popularity) AS popularity_median, round(avg(odds), 6) AS odds_avg FROM e WHERE finish <= 5 GROUP BY finish")
+@query("a29_finish_stats", "SELECT finish, round(avg(popularity), 6) AS popularity_avg, median(popularity) AS popularity_median, round(avg(odds), 6) AS odds_avg, round(median(odds), 6) AS odds_median FROM e WHERE finish <= 5 GROUP BY finish")
 def a29(spark, d):
-    return entries(spark, d).where("finish <= 5").groupBy("finish").agg(R6(F.avg("popularity")).alias("popularity_avg"), F.percentile("popularity", F.lit(0.5)).alias("popularity_median"), R6(F.avg("odds")).alias("odds_avg"))
+    return entries(spark, d).where("finish <= 5").groupBy("finish").agg(R6(F.avg("popularity")).alias("popularity_avg"), F.percentile("popularity", F.lit(0.5)).alias("popularity_median"), R6(F.avg("odds")).alias("odds_avg"), R6(F.percentile("odds", F.lit(0.5))).alias("odds_median"))
 
 
 @query("a30_time_stats", "SELECT distance, count(*) AS winners, min(time) AS best, round(avg(time), 5) AS mean, round(median(time), 3) AS middle FROM e WHERE finish = 1 GROUP BY distance")
@@ -225,16 +247,18 @@ def a30(spark, d):
     return entries(spark, d).where("finish = 1").groupBy("distance").agg(F.count("*").alias("winners"), F.min("time").alias("best"), F.round(F.avg("time"), 5).alias("mean"), F.round(F.percentile("time", F.lit(0.5)), 3).alias("middle"))
 
 
-@query("a31_bloodline", "SELECT role, name, count(*) AS starts, count(*) FILTER (WHERE finish = 1) AS wins, count(*) FILTER (WHERE finish <= 2) AS places, count(*) FILTER (WHERE finish <= 3) AS shows FROM e UNPIVOT (name FOR role IN (sire, damsire)) WHERE distance = 1600 GROUP BY ALL")
+@query("a31_bloodline", "SELECT role, name, count(*) AS starts, count(*) FILTER (WHERE finish = 1) AS wins, count(*) FILTER (WHERE finish <= 2) AS places, count(*) FILTER (WHERE finish <= 3) AS shows FROM (SELECT e.*, m AS dam, o AS sire_sire, b AS sire_dam, x AS damsire_sire, c AS damsire_dam FROM e JOIN (SELECT p_partkey AS horse, p_size::VARCHAR AS m, left(p_brand, 7) AS o, right(p_brand, 1) AS b, left(p_type, 3) AS x, right(p_type, 3) AS c FROM part) USING (horse)) UNPIVOT (name FOR role IN (sire, dam, damsire, sire_sire, sire_dam, damsire_sire, damsire_dam)) GROUP BY ALL")
 def a31(spark, d):
-    slots = J.unpivot(entries(spark, d).where("distance = 1600"), ["finish"], ["sire", "damsire"], "role", "name")
+    """Seven ancestor roles; those that the runner table lacks come from the horse's own row."""
+    p = table(spark, d, "part").selectExpr("p_partkey horse", "cast(p_size as string) dam", "left(p_brand, 7) sire_sire", "right(p_brand, 1) sire_dam", "left(p_type, 3) damsire_sire", "right(p_type, 3) damsire_dam")
+    slots = J.unpivot(entries(spark, d).join(p, "horse"), ["finish"], ["sire", "dam", "damsire", "sire_sire", "sire_dam", "damsire_sire", "damsire_dam"], "role", "name")
     return M.finish_counts(slots, ["role", "name"])
 
 
-@query("a32_people", "SELECT role, id, count(*) AS starts, count(*) FILTER (WHERE finish = 1) AS wins, count(*) FILTER (WHERE finish <= 2) AS places, count(*) FILTER (WHERE finish <= 3) AS shows FROM (SELECT 'jockey' AS role, jockey::VARCHAR AS id, finish FROM e UNION ALL SELECT 'trainer', trainer::VARCHAR, finish FROM e UNION ALL SELECT 'jockey_frame', jockey || ':' || least(horse_no, 8), finish FROM e) GROUP BY ALL")
+@query("a32_people", "SELECT role, id, count(*) AS starts, count(*) FILTER (WHERE finish = 1) AS wins, count(*) FILTER (WHERE finish <= 2) AS places, count(*) FILTER (WHERE finish <= 3) AS shows FROM (SELECT 'jockey' AS role, jockey::VARCHAR AS id, finish FROM e UNION ALL SELECT 'trainer', trainer::VARCHAR, finish FROM e UNION ALL SELECT 'jockey_frame', jockey || ':' || least(horse_no, 8), finish FROM e UNION ALL SELECT 'owner', owner::VARCHAR, finish FROM e) GROUP BY ALL")
 def a32(spark, d):
     e = entries(spark, d).withColumn("jockey_frame", F.concat_ws(":", "jockey", F.least(F.col("horse_no"), F.lit(8))))
-    rows = M.unpivot_dims(e, ["jockey", "trainer", "jockey_frame"], ["finish"]).withColumnsRenamed({"dimension": "role", "bucket": "id"})
+    rows = M.unpivot_dims(e, ["jockey", "trainer", "owner", "jockey_frame"], ["finish"]).withColumnsRenamed({"dimension": "role", "bucket": "id"})
     return M.finish_counts(rows, ["role", "id"])
 
 
@@ -261,10 +285,12 @@ def a35(spark, d):
     return rows.groupBy(F.col("dimension").alias("condition"), F.col("bucket").alias("id")).agg(F.round(F.sum("s") * F.log(1 + F.count("*")), 5).alias("score"))
 
 
-@query("a36_dominant_share", "SELECT horse, round(max(n) / sum(n)::DOUBLE, 6) AS share FROM (SELECT horse, surface, count(*) AS n FROM e GROUP BY ALL) GROUP BY horse")
+@query("a36_dominant_share", "SELECT race_id, horse, round(greatest(count(*) FILTER (WHERE surface = 'F') OVER w, count(*) FILTER (WHERE surface = 'O') OVER w, count(*) FILTER (WHERE surface = 'P') OVER w) / nullif(count(*) OVER w, 0)::DOUBLE, 6) AS share FROM e WINDOW w AS (PARTITION BY horse ORDER BY day, race_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)")
 def a36(spark, d):
-    k = [F.count_if(F.col("surface") == s) for s in ("F", "O", "P")]
-    return entries(spark, d).groupBy("horse").agg(R6(F.greatest(*k) / F.count("*")).alias("share"))
+    """Of the last five runs, the share of the commonest kind."""
+    w = W.partitionBy("horse").orderBy("day", "race_id").rowsBetween(-5, -1)
+    k = [F.count_if(F.col("surface") == s).over(w) for s in ("F", "O", "P")]
+    return entries(spark, d).select("race_id", "horse", R6(F.try_divide(F.greatest(*k), F.count("*").over(w))).alias("share"))
 
 
 @query("a37_rank_corr", "SELECT round(corr(ra, rb), 6) AS spearman FROM (SELECT rank() OVER (PARTITION BY race_id ORDER BY score_a DESC, horse) AS ra, rank() OVER (PARTITION BY race_id ORDER BY score_c DESC, horse) AS rb FROM e)")

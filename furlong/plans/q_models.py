@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..operators import joins as J
 from ..operators import models as M
 from ..operators import quality as Q
@@ -46,6 +47,13 @@ def _norm(s):
 N3 = ", n AS (SELECT *, " + ", ".join(_norm(s) for s in ("score_a", "score_b", "score_c")) + " FROM e)\n"
 
 
+@query("m2_brier")
+def m2b(spark, d):
+    """Brier score of the raw and of the calibrated probability by bucket; the calibrated one is the curve's value, before renormalising."""
+    df = R.softmax(entries(spark, d), F.col("score_b") / 50, "p").withColumn("won", F.col("finish") == 1)
+    return M.brier(M.apply_isotonic(df, M.fit_isotonic(df, "surface", "p", "won"), "surface", "p"), ["p", "calibrated"], "won", ["surface"])
+
+
 @query("m4_blend", N3 + "SELECT race_id, horse, round(0.5 * n_b + 0.3 * n_c + 0.2 * n_a, 6) AS blended, row_number() OVER (PARTITION BY race_id ORDER BY n_b * 0.5 + n_c * 0.3 + n_a * 0.2 DESC, horse)::BIGINT AS blended_rank FROM n")
 def m4(spark, d):
     df = M.blend(entries(spark, d), {"score_b": 0.5, "score_c": 0.3, "score_a": 0.2})
@@ -59,11 +67,25 @@ def m5(spark, d):
     return M.average_ensemble(preds, KEY, ["score"]).select(*KEY, F.round("score", 8).alias("score"))
 
 
+@query("m5_average_rank", "SELECT race_id, horse, round((ra + rb + rc) / 3, 8)::DOUBLE AS rank_mean, row_number() OVER (PARTITION BY race_id ORDER BY ra + rb + rc, horse)::BIGINT AS place FROM (SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY score_a DESC, horse) AS ra, row_number() OVER (PARTITION BY race_id ORDER BY score_b DESC, horse) AS rb, row_number() OVER (PARTITION BY race_id ORDER BY score_c DESC, horse) AS rc FROM e)")
+def m5r(spark, d):
+    e = entries(spark, d)
+    preds = J.union_all([R.ordinal(e, s, "r").select(*KEY, "r") for s in ("score_a", "score_b", "score_c")])
+    mean = M.average_ensemble(preds, KEY, ["r"])
+    return mean.select(*KEY, F.round("r", 8).alias("rank_mean"), F.row_number().over(W.partitionBy("race_id").orderBy(F.round(F.col("r") * 3), "horse")).cast("long").alias("place"))
+
+
 @query("m6_search_weights", N3 + ", g AS (SELECT a, b, 4 - a - b AS c, (row_number() OVER (ORDER BY a, b) - 1)::INT AS trial FROM range(5) t(a), range(5) u(b) WHERE a + b <= 4), s AS (SELECT trial, race_id, race_year, horse, finish, 0.0::DOUBLE + n_a * (a / 4) + n_b * (b / 4) + n_c * (c / 4) AS v FROM n, g), p AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY trial, race_id ORDER BY v DESC, horse) = 1) SELECT trial, race_year, round(avg((finish = 1)::INT), 6) AS top1, count(*) AS races FROM p GROUP BY ALL")
 def m6(spark, d):
     return M.search_weights(entries(spark, d), ["score_a", "score_b", "score_c"], 0.25).select("trial", "race_year", R6("top1").alias("top1"), "races")
 
 
+@query("m6_stable_weights", N3 + ", g AS (SELECT a, b, 4 - a - b AS c, (row_number() OVER (ORDER BY a, b) - 1)::INT AS trial FROM range(5) t(a), range(5) u(b) WHERE a + b <= 4), s AS (SELECT trial, race_id, race_year, horse, finish, 0.0::DOUBLE + n_a * (a / 4) + n_b * (b / 4) + n_c * (c / 4) AS v FROM n, g), p AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY trial, race_id ORDER BY v DESC, horse) = 1), y AS (SELECT trial, race_year, avg((finish = 1)::INT) AS t FROM p GROUP BY ALL), m AS (SELECT trial, avg(t) AS mean, stddev_pop(t) AS spread, min(t) AS least FROM y GROUP BY trial) SELECT trial, round(mean, 6) AS mean, round(spread, 6) AS spread, round(least, 6) AS least, row_number() OVER (ORDER BY round(mean - 0.5 * spread, 9) DESC, trial)::BIGINT AS place FROM m")
+def m6s(spark, d):
+    t = M.most_stable(M.search_weights(entries(spark, d), ["score_a", "score_b", "score_c"], 0.25), "top1")
+    return t.select("trial", *(R6(c).alias(c) for c in ("mean", "spread", "least")), "place")
+
+
 @query("m7_opinion_pool", ", p AS (SELECT race_id, horse, score_a / sum(score_a) OVER w AS pa, (1 / odds) / sum(1 / odds) OVER w AS po FROM e WINDOW w AS (PARTITION BY race_id)), v AS (SELECT *, exp(0.6 * ln(pa) + 0.4 * ln(po)) AS v FROM p) SELECT race_id, horse, round(v / sum(v) OVER (PARTITION BY race_id), 6) AS pooled FROM v")
 def m7(spark, d):
     e = R.share(R.share(entries(spark, d), "score_a", "pa").withColumn("i", 1 / F.col("odds")), "i", "po")
@@ -114,6 +136,17 @@ def m14(spark, d):
     return M.subset_metrics(df, ["n_a", "n_b", "n_c"], [[0], [1], [0, 2], [0, 1, 2]]).select("mask", R6("top1").alias("top1"), "races")
 
 
+@query("m14_subset_folds", N3 + ", s AS (SELECT race_id, horse, finish, race_year, unnest([0, 1, 2, 3]) AS mask, unnest([n_a, n_b, n_a + n_c, n_a + n_b + n_c]) AS v FROM n), p AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY mask, race_id ORDER BY v DESC, horse) = 1), f AS (SELECT mask, race_year, avg((finish = 1)::INT) AS t FROM p GROUP BY ALL) SELECT mask, count(*) AS folds, round(avg(t), 6) AS top1, row_number() OVER (ORDER BY round(avg(t), 9) DESC, mask)::BIGINT AS place FROM f GROUP BY mask")
+def m14f(spark, d):
+    """Every mask by fold (year), and the masks in order."""
+    df = entries(spark, d)
+    for s in ("a", "b", "c"):
+        df = R.rank_norm(df, f"score_{s}", f"n_{s}")
+    folds = M.subset_metrics(df, ["n_a", "n_b", "n_c"], [[0], [1], [0, 2], [0, 1, 2]], fold="race_year")
+    t = folds.groupBy("mask").agg(F.count("*").alias("folds"), F.avg("top1").alias("t"))
+    return t.select("mask", "folds", R6("t").alias("top1"), F.row_number().over(W.orderBy(F.desc(F.round("t", 9)), "mask")).cast("long").alias("place"))
+
+
 @query("m15_override", ", r AS (SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY score_b DESC, horse) AS r FROM e), s AS (SELECT *, max((venue < 10)::INT) OVER w = 1 AND max(CASE WHEN r = 2 THEN odds END) OVER w < max(CASE WHEN r = 1 THEN odds END) OVER w AS swap FROM r WINDOW w AS (PARTITION BY race_id)) SELECT race_id, horse, (CASE WHEN swap AND r = 1 THEN 2 WHEN swap AND r = 2 THEN 1 ELSE r END)::BIGINT AS predicted_rank FROM s")
 def m15(spark, d):
     return M.override_top_two(R.ordinal(entries(spark, d), "score_b"), "predicted_rank", "odds", F.col("venue") < 10).select(*KEY, "predicted_rank")
@@ -162,10 +195,10 @@ def q1(spark, d):
     return Q.completeness(x, ["o", "ghost", "carried"], ["carried"]).select("column", "missing", R6("null_rate").alias("null_rate"), "flat_groups")
 
 
-@query("q2_missing_fraction", "SELECT race_id, round(sum((horse % 4 = 0)::INT + (horse % 6 = 0)::INT) / (count(*) * 2.0)::DOUBLE, 6) AS missing FROM e GROUP BY race_id")
+@query("q2_missing_fraction", "SELECT race_id, round(sum((horse % 4 = 0)::INT + (horse % 6 = 0)::INT) / (count(*) * 2.0)::DOUBLE, 6) AS missing, count(*) > 1 AND count(DISTINCT (horse % 4 > 0, horse % 6 > 0)) = 1 AS degenerate FROM e GROUP BY race_id")
 def q2(spark, d):
     x = entries(spark, d).select("race_id", F.when(F.col("horse") % 4 > 0, 1).alias("a"), F.when(F.col("horse") % 6 > 0, 1).alias("b"))
-    return Q.missing_fraction(x, ["a", "b"]).select("race_id", R6("missing").alias("missing"))
+    return Q.missing_fraction(x, ["a", "b"]).select("race_id", R6("missing").alias("missing"), "degenerate")
 
 
 @query("q3_feature_parity", "SELECT * FROM (VALUES ('odds', 'ok'), ('flat', 'dead'), ('ghost', 'missing'), ('venue', 'extra')) t(\"column\", status)")
@@ -181,6 +214,13 @@ def q4(spark, d):
     return Q.classify_diff(old, new, ["id"], ["a"]).groupBy("column", "kind").agg(F.count("*").alias("n"))
 
 
+@query("q4_block_regression", "SELECT 'a' AS \"column\", count(*) FILTER (WHERE o IS NOT NULL AND w IS NULL) AS regressions, count(*) FILTER (WHERE o IS NOT NULL AND w IS NULL) > 0 AS blocked FROM (SELECT CASE WHEN c_custkey % 5 > 0 THEN c_nationkey END AS o, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_nationkey END AS w FROM customer)", base=False)
+def q4b(spark, d):
+    c = table(spark, d, "customer")
+    old, new = c.selectExpr("c_custkey id", "if(c_custkey % 5 > 0, c_nationkey, null) a"), c.selectExpr("c_custkey id", "if(c_custkey % 7 = 0, null, c_nationkey) a")
+    return Q.block_regressions(Q.classify_diff(old, new, ["id"], ["a"]))
+
+
 @query("q5_idempotent_write", "SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 'new' ELSE 'old' END AS state, c_custkey % 4 = 0 AND c_custkey % 8 = 0 AS migrated FROM customer", base=False)
 def q5(spark, d):
     """Rows known by a placeholder id are moved to their real one, then updates win; writing twice gives the same table."""
@@ -197,6 +237,20 @@ def q6(spark, d):
     return Q.duplicates(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
+@query("q6_remove_duplicates", "SELECT l_orderkey, l_partkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_shipdate DESC NULLS LAST, l_linenumber) = 1", base=False)
+def q6r(spark, d):
+    """Of rows with one key, the one with the newest date stays."""
+    t = table(spark, d, "lineitem")
+    return J.dedupe_priority(t, ["l_orderkey", "l_partkey"], [F.desc_nulls_last("l_shipdate"), "l_linenumber"]).select("l_orderkey", "l_partkey", "l_linenumber")
+
+
+@query("q1_verdict", ", x AS (SELECT *, CASE WHEN horse % 4 > 0 THEN odds END AS o FROM e) SELECT 'o' AS \"column\", 1 - count(o) / count(*)::DOUBLE <= 0.1 AS complete FROM x UNION ALL SELECT 'ghost', false UNION ALL SELECT 'carried', true", base=True)
+def q1v(spark, d):
+    """A column passes if it is there and at most a tenth of it is null."""
+    x = entries(spark, d).withColumn("o", F.when(F.col("horse") % 4 > 0, F.col("odds")))
+    return Q.completeness(x, ["o", "ghost", "carried"]).select("column", (~F.col("missing") & (F.coalesce("null_rate", F.lit(1.0)) <= 0.1)).alias("complete"))
+
+
 @query("q7_resolve", "SELECT c_custkey AS id, coalesce((SELECT min(s_suppkey)::VARCHAR FROM supplier WHERE regexp_extract(s_name, '[0-9]+$') = regexp_extract(c_name, '[0-9]+$')), 'X' || regexp_extract(c_name, '[0-9]+$')) AS code FROM customer", base=False)
 def q7(spark, d):
     digits = lambda c: F.regexp_extract(c, "[0-9]+$", 0)
@@ -219,16 +273,20 @@ def q9(spark, d):
     return e.join(w, "number", "left").select(*KEY, "workout")
 
 
-@query("q10_untested", "SELECT n_nationkey AS venue, o_orderpriority AS class FROM nation, (SELECT DISTINCT o_orderpriority FROM orders) WHERE (n_nationkey, o_orderpriority) NOT IN (SELECT c_nationkey, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 40 = 0)", base=False)
+@query("q10_untested", ", t AS (SELECT venue, class, race_year, md5(array_to_string(list_sort(list(DISTINCT surface)), ',')) AS features, min(race_id) AS trial FROM e GROUP BY ALL), y AS (SELECT DISTINCT race_year FROM e), c AS (SELECT n_nationkey AS venue, o_orderpriority AS class, race_year FROM nation, (SELECT DISTINCT o_orderpriority FROM orders), y) SELECT c.venue, c.class, c.race_year::INT AS race_year, CASE WHEN t.venue IS NULL THEN 'untested' ELSE 'duplicate' END AS state, p.first AS earlier FROM c LEFT JOIN t USING (venue, class, race_year) LEFT JOIN (SELECT venue, class, features, min(race_year)::INT AS first FROM t GROUP BY ALL) p ON p.venue = t.venue AND p.class = t.class AND p.features = t.features WHERE t.venue IS NULL OR p.first < t.race_year")
 def q10(spark, d):
-    classes = table(spark, d, "orders").select(F.col("o_orderpriority").alias("class")).distinct()
-    cells = table(spark, d, "nation").select(F.col("n_nationkey").alias("venue")).crossJoin(J.small(classes))
-    tried = table(spark, d, "orders").where("o_orderkey % 40 = 0").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("venue"), F.col("o_orderpriority").alias("class"))
-    return J.without(cells, tried, ["venue", "class"])
+    """A registry of trials by cell and year: cells never tried, and trials whose feature set the same cell had in an earlier year."""
+    e = entries(spark, d)
+    tried = e.groupBy("venue", "class", F.col("race_year").cast("int").alias("race_year")).agg(S.set_hash(F.collect_set("surface")).alias("features"))
+    years, classes = e.select(F.col("race_year").cast("int").alias("race_year")).distinct(), table(spark, d, "orders").select(F.col("o_orderpriority").alias("class")).distinct()
+    cells = table(spark, d, "nation").select(F.col("n_nationkey").alias("venue")).crossJoin(J.small(classes)).crossJoin(J.small(years))
+    untested = J.without(cells, tried, ["venue", "class", "race_year"]).select("venue", "class", "race_year", F.lit("untested").alias("state"), F.lit(None).cast("int").alias("earlier"))
+    first = tried.withColumn("earlier", F.min("race_year").over(W.partitionBy("venue", "class", "features")))
+    return untested.unionByName(first.where("earlier < race_year").select("venue", "class", "race_year", F.lit("duplicate").alias("state"), "earlier"))
 
 
-@query("q11_parity", "SELECT round(max(abs(score_a - score_a * 1.0001)), 6) AS max_a, round(max(abs(score_b - score_c)), 4) AS max_b, count(*) AS rows FROM e")
+@query("q11_parity", "SELECT round(max(abs(score_a - score_a * 1.0001)), 6) AS max_a, round(max(abs(score_b - score_c)), 4) AS max_b, round(avg(((score_a >= score_b) = (score_a * 1.0001 >= score_c))::INT), 6) AS agreement, count(*) FILTER (WHERE greatest(abs(score_a - score_a * 1.0001), abs(score_b - score_c)) > 0.01) AS beyond, count(*) AS rows FROM e")
 def q11(spark, d):
     e = entries(spark, d)
     a, b = e.select(*KEY, F.col("score_a").alias("a"), F.col("score_b").alias("b")), e.select(*KEY, (F.col("score_a") * 1.0001).alias("a"), F.col("score_c").alias("b"))
-    return Q.parity(a, b, KEY, ["a", "b"], 0.01).select(R6("max_a").alias("max_a"), F.round("max_b", 4).alias("max_b"), "rows")
+    return Q.parity(a, b, KEY, ["a", "b"], 0.01).select(R6("max_a").alias("max_a"), F.round("max_b", 4).alias("max_b"), R6("agreement").alias("agreement"), "beyond", "rows")

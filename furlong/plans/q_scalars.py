@@ -256,12 +256,12 @@ def f9(spark, d):
     return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("owner")).agg(S.set_hash(F.collect_set("o_orderpriority")).alias("h"))
 
 
-PACK = ", q AS (SELECT race_id, string_agg(lpad(a.horse_no::VARCHAR, 2, '0') || lpad(b.horse_no::VARCHAR, 2, '0') || lpad(round((a.odds * b.odds) * 10)::INT::VARCHAR, 5, '0') || '0001', '' ORDER BY a.horse_no, b.horse_no) AS packed FROM e a JOIN e b USING (race_id) WHERE a.horse_no < b.horse_no AND b.horse_no <= 6 GROUP BY race_id)\n"
+PACK = ", q AS (SELECT race_id, string_agg(lpad(a.horse_no::VARCHAR, 2, '0') || lpad(b.horse_no::VARCHAR, 2, '0') || lpad(round((a.odds * b.odds) * 10)::INT::VARCHAR, 5, '0') || '0001', '' ORDER BY a.horse_no, b.horse_no) AS packed FROM e a JOIN e b USING (race_id) WHERE a.horse_no < b.horse_no GROUP BY race_id)\n"
 
 
 def packed(spark, d):
-    """Pair odds of a race's first six runners as one string of 13-character slots."""
-    pairs = J.pairs_within(entries(spark, d).where("horse_no <= 6"), ["race_id"], "horse_no", ["odds"])
+    """Pair odds of a race's runners as one string of 13-character slots."""
+    pairs = J.pairs_within(entries(spark, d), ["race_id"], "horse_no", ["odds"])
     two = lambda c: F.lpad(F.col(c).cast("string"), 2, "0")
     slot = F.concat(two("a_horse_no"), two("b_horse_no"), F.lpad(F.round(F.col("a_odds") * F.col("b_odds") * 10).cast("int").cast("string"), 5, "0"), F.lit("0001"))
     slots = pairs.groupBy("race_id").agg(F.array_sort(F.collect_list(F.struct("a_horse_no", "b_horse_no", slot.alias("s")))).alias("l"))
@@ -304,12 +304,13 @@ def k5(spark, d):
     return neighbours(spark, d, 10).groupBy("vec_id").agg(F.round(F.sum(w * (F.col("h_id") % 3)) / F.sum(w), 5).alias("relevance"))
 
 
-@query("k6_similar_trials", "SELECT b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id = 0 AND b.vec_id <> 0 ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id LIMIT 20", base=False)
+@query("k6_similar_trials", "SELECT trial, vec_id, round(s, 6) AS similarity FROM (SELECT a.vec_id AS trial, b.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id) QUALIFY row_number() OVER (PARTITION BY trial ORDER BY s DESC, vec_id) <= 20", base=False)
 def k6(spark, d):
+    """The 20 trials most like each hundredth one, against all; queries go in blocks, so that each row meets a block at a time."""
     v = table(spark, d, "embeddings")
-    one = v.where("vec_id = 0").select(F.col("embedding").alias("x"))
-    near = J.with_context(v.where("vec_id <> 0"), one).select("vec_id", S.cosine("x", "embedding").alias("s"))
-    return near.orderBy(F.desc("s"), "vec_id").limit(20).select("vec_id", R6("s").alias("similarity"))
+    blocks = v.where("vec_id % 100 = 0").groupBy((F.col("vec_id") / 6400).cast("int").alias("block")).agg(F.collect_list(F.struct(F.col("vec_id").alias("trial"), F.col("embedding").alias("x"))).alias("asked"))
+    near = v.crossJoin(J.small(blocks)).select(F.inline("asked"), "vec_id", "embedding").where("trial <> vec_id").select("trial", "vec_id", S.cosine("x", "embedding").alias("s"))
+    return J.top_per_group(near, ["trial"], [F.desc("s"), "vec_id"], 20).select("trial", "vec_id", R6("s").alias("similarity"))
 
 
 @query("k9_cascade", ", a AS (SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY score_a DESC, horse) AS ra FROM e), b AS (SELECT race_id, horse, row_number() OVER (PARTITION BY race_id ORDER BY score_b DESC, horse) AS rb, score_b, lead(score_b) OVER (PARTITION BY race_id ORDER BY score_b DESC, horse) AS nxt FROM a WHERE ra > 1), p AS (SELECT race_id, horse FROM b WHERE rb = 1 AND (score_b - coalesce(nxt, score_b)) / greatest(abs(score_b), 1e-9) > 0.1) SELECT a.race_id, a.horse, row_number() OVER (PARTITION BY a.race_id ORDER BY CASE WHEN ra = 1 THEN 0 WHEN p.horse IS NOT NULL THEN 1 ELSE 2 END, ra)::BIGINT AS place FROM a LEFT JOIN p ON a.race_id = p.race_id AND a.horse = p.horse")

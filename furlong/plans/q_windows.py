@@ -79,9 +79,13 @@ def w12(spark, d):
     return R.streak(entries(spark, d), F.col("finish") <= 3, ["horse"]).select(*KEY, "streak")
 
 
-@query("w13_field_strength", "SELECT race_id, horse, round(avg(score_a) OVER w, 4) AS field_mean, round(avg(CASE WHEN r <= 3 THEN score_a END) OVER w, 4) AS top_mean FROM (SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY score_a DESC, horse) AS r FROM e) WINDOW w AS (PARTITION BY race_id)")
+@query("w13_field_strength", "SELECT race_id, horse, (sum(c) OVER w)::BIGINT AS field_sum, count(c) OVER w AS field_count, (sum(CASE WHEN r <= 3 THEN c END) OVER w)::BIGINT AS top_sum, abs(avg(c) OVER w - (sum(c) OVER w) / (count(c) OVER w)::DOUBLE) < 1e-6 AS mean_agrees FROM (SELECT *, round(score_a * 100000)::BIGINT AS c FROM (SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY score_a DESC, horse) AS r FROM e)) WINDOW w AS (PARTITION BY race_id)")
 def w13(spark, d):
-    return R.field_strength(entries(spark, d), "score_a").select(*KEY, F.round("field_mean", 4).alias("field_mean"), F.round("top_mean", 4).alias("top_mean"))
+    """Means of whole units, given as sums and counts, which no engine rounds; and whether the mean is theirs."""
+    df = R.field_strength(entries(spark, d).withColumn("c", F.round(F.col("score_a") * 100000).cast("long")), "c")
+    n, race = F.col("field_size"), W.partitionBy("race_id")
+    total = F.sum("c").over(race)
+    return df.select(*KEY, total.alias("field_sum"), F.count("c").over(race).alias("field_count"), F.round(F.col("top_mean") * F.least(n, F.lit(3))).cast("long").alias("top_sum"), (F.abs(F.col("field_mean") - total / n) < 1e-6).alias("mean_agrees"))
 
 
 @query("w14_minmax", "SELECT race_id, horse, round(CASE WHEN max(odds) OVER w > min(odds) OVER w THEN (odds - min(odds) OVER w) / (max(odds) OVER w - min(odds) OVER w) ELSE 0.5 END, 6) AS odds_scaled FROM e WINDOW w AS (PARTITION BY race_id)")

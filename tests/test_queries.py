@@ -38,6 +38,50 @@ def test_calibrated_sums_to_one(spark):
     assert rows.count() == 0
 
 
+def test_calibration_equals_plain_pooling(spark):
+    """Pooled adjacent violators over all points at once, and what the curve gives: the same as in ranges."""
+    import numpy as np
+
+    from furlong.operators import models as M
+
+    rng = np.random.default_rng(1)
+    x = np.round(rng.random(400), 2)
+    rows = [(str(i % 2), float(v), bool(rng.random() < v)) for i, v in enumerate(x)] + [("0", None, True)]
+    got = {r.bucket: (r.xs, r.ys) for r in M.fit_isotonic(spark.createDataFrame(rows, "b string, s double, y boolean"), "b", "s", "y", ranges=7).collect()}
+    for bucket in ("0", "1", None):
+        mine = [(v, y) for b, v, y in rows if v is not None and bucket in (b, None)]
+        points = sorted({v for v, _ in mine})
+        fit = []
+        for p in points:  # the isotonic fit at a point: the largest over starts of the least over ends of the mean between
+            mean = lambda a, b: np.mean([y for v, y in mine if a <= v <= b])
+            fit.append(max(min(mean(a, b) for b in points if b >= p) for a in points if a <= p) if len(points) <= 120 else None)
+        assert np.allclose(np.interp(points, *got[bucket]), fit)
+
+
+def test_calibration_lowers_the_brier_score(spark):
+    for r in QUERIES["m2_brier"](spark, f"{DATA}/sf0.001").collect():
+        assert 0 <= r.brier_calibrated <= 1 and 0 <= r.brier_p <= 1
+
+
+def test_bootstrap_equals_plain_resampling(spark):
+    """The same weights drawn in Python from the same hashes give the same means."""
+    import math
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from furlong.operators import metrics as M
+
+    rows = [(i, float(i % 5) - 1.5) for i in range(60)]
+    df = spark.createDataFrame(rows, "k long, d double")
+    hashes = df.crossJoin(spark.range(40).select(F.col("id").cast("int").alias("r"))).select("k", "r", F.pmod(F.xxhash64("k", "r"), F.lit(1 << 40)).alias("h")).collect()
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])
+    weight = {(x.k, x.r): int((steps < (x.h + 0.5) / (1 << 40)).sum()) for x in hashes}
+    means = [sum(weight[k, r] * d for k, d in rows) / sum(weight[k, r] for k, _ in rows) for r in range(40)]
+    got = M.bootstrap_bound(df, "d", "k", replicates=40).first()
+    assert abs(got["mean"] - np.mean(means)) < 1e-12 and abs(got.lower - np.quantile(means, 0.025)) < 1e-12
+
+
 def test_bootstrap_bound_is_below_mean_and_repeatable(spark):
     one, two = (QUERIES["a25_bootstrap"](spark, f"{DATA}/sf0.001").first() for _ in (0, 1))
     assert one == two and one.lower <= one["mean"]
