@@ -13,6 +13,8 @@ from .registry import query
 from .views import entries, table
 
 KEY = ("race_id", "horse")
+#: Added before rounding where values fall on ties (fractions of a power of two), which engines round their own way.
+HAIR = 1e-12
 
 
 def out(df, *cols, digits=9, **fewer):
@@ -86,7 +88,7 @@ def l10(spark, d):
     return out(L.class_variance(entries(spark, d)), "class_variance")
 
 
-@query("l11_trainer_flat", select("round(avg(CASE WHEN substr(class, 1, 1)::INT > 3 THEN (finish = 1)::INT END) OVER (PARTITION BY trainer ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 9) AS trainer_flat"))
+@query("l11_trainer_flat", ", g AS (SELECT trainer, day, count(*) FILTER (WHERE substr(class, 1, 1)::INT > 3) AS n, count(*) FILTER (WHERE substr(class, 1, 1)::INT > 3 AND finish = 1) AS k FROM e GROUP BY ALL), c AS (SELECT trainer, day, sum(n) OVER w AS n, sum(k) OVER w AS k FROM g WINDOW w AS (PARTITION BY trainer ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT race_id, horse, round(k / nullif(n, 0)::DOUBLE, 9) AS trainer_flat FROM e JOIN c USING (trainer, day)")
 def l11(spark, d):
     return out(L.trainer_flat(entries(spark, d)), "trainer_flat")
 
@@ -111,9 +113,9 @@ def l15(spark, d):
     return out(L.race_internal(entries(spark, d)), "odds_rank", "odds_diff", "pace_pressure")
 
 
-@query("l16_market", "SELECT race_id, horse, round((1 / odds) / sum(1 / odds) OVER w, 9) AS implied_share, rank() OVER (PARTITION BY race_id ORDER BY 1 / odds DESC)::BIGINT AS implied_rank, rank() OVER (PARTITION BY race_id ORDER BY f NULLS LAST)::BIGINT AS form_rank, rank() OVER (PARTITION BY race_id ORDER BY 1 / odds DESC)::BIGINT - CASE WHEN f IS NOT NULL THEN rank() OVER (PARTITION BY race_id ORDER BY f NULLS LAST)::BIGINT END AS disagreement, round(1 / odds, 9) AS implied, round(1 / odds - avg(1 / odds) OVER w, 9) AS implied_diff, round(f, 9) AS form, round(sum(1 / odds) OVER w, 9) AS overround FROM (SELECT *, avg(finish) OVER (PARTITION BY horse ORDER BY day, race_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS f FROM e) WINDOW w AS (PARTITION BY race_id)")
+@query("l16_market", "SELECT race_id, horse, round((1 / odds) / sum(1 / odds) OVER w + 1e-12, 9) AS implied_share, rank() OVER (PARTITION BY race_id ORDER BY 1 / odds DESC)::BIGINT AS implied_rank, rank() OVER (PARTITION BY race_id ORDER BY f NULLS LAST)::BIGINT AS form_rank, rank() OVER (PARTITION BY race_id ORDER BY 1 / odds DESC)::BIGINT - CASE WHEN f IS NOT NULL THEN rank() OVER (PARTITION BY race_id ORDER BY f NULLS LAST)::BIGINT END AS disagreement, round(1 / odds, 9) AS implied, round(1 / odds - avg(1 / odds) OVER w, 9) AS implied_diff, round(f, 9) AS form, round(sum(1 / odds) OVER w, 9) AS overround FROM (SELECT *, avg(finish) OVER (PARTITION BY horse ORDER BY day, race_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS f FROM e) WINDOW w AS (PARTITION BY race_id)")
 def l16(spark, d):
-    return out(L.market(entries(spark, d)), "implied_share", "implied_rank", "form_rank", "overround", "disagreement", "implied", "implied_diff", "form")
+    return out(L.market(entries(spark, d)).withColumn("implied_share", F.col("implied_share") + HAIR), "implied_share", "implied_rank", "form_rank", "overround", "disagreement", "implied", "implied_diff", "form")
 
 
 @query("l17_sectional", select(rows("avg(last3f)", 3, "last3f_avg3"), rows("avg(last3f)", 5, "last3f_avg5"), "lag(body_weight) OVER (PARTITION BY horse ORDER BY day, race_id) AS last_weight", "round(CASE WHEN count(*) OVER w >= 3 THEN regr_slope(last3f, k) OVER w END, 6) AS last3f_slope", src="(SELECT *, row_number() OVER (PARTITION BY horse ORDER BY day, race_id) AS k FROM e)") + " WINDOW w AS (PARTITION BY horse ORDER BY k ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)")
@@ -258,9 +260,9 @@ def l39(spark, d):
     return out(L.draught_internal(entries(spark, d), DRAUGHT), *(f"{c}_rank" for c in DRAUGHT), "odds_diff", "body_weight_diff", "odds_z", digits=4)
 
 
-@query("l40_style_features", "SELECT race_id, horse, round(avg(c) OVER (PARTITION BY horse ORDER BY day, race_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 9) AS corner_avg3, round(avg(c) OVER (PARTITION BY horse ORDER BY day, race_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), 9) AS corner_avg10, round(quantile_cont(c, 0.75) OVER w - quantile_cont(c, 0.25) OVER w, 9) AS corner_iqr, round(avg(c) OVER w, 9) AS corner_avg5, round(min(c) OVER w, 9) AS corner_best5, round(max(c) OVER w, 9) AS corner_worst5, round(stddev_pop(c) OVER w, 7) AS corner_sd5, lag(corner1) OVER (PARTITION BY horse ORDER BY day, race_id) AS last_corner, round(avg((corner1 = 1)::INT) OVER w, 9) AS lead_share5, round(avg((corner1 = 1)::INT) OVER (PARTITION BY horse ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 9) AS lead_share, round(avg(c) OVER (PARTITION BY jockey ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 7) AS jockey_corner, round(greatest(count(*) FILTER (WHERE corner1 = 1) OVER w, count(*) FILTER (WHERE corner1 > 1 AND c <= 0.3) OVER w, count(*) FILTER (WHERE c > 0.3 AND c <= 0.7) OVER w, count(*) FILTER (WHERE c > 0.7) OVER w) / nullif(count(*) FILTER (WHERE corner1 = 1) OVER w + count(*) FILTER (WHERE corner1 > 1 AND c <= 0.3) OVER w + count(*) FILTER (WHERE c > 0.3 AND c <= 0.7) OVER w + count(*) FILTER (WHERE c > 0.7) OVER w, 0)::DOUBLE, 9) AS style_consistency FROM (SELECT *, CASE WHEN field_size > 1 THEN (corner1 - 1) / (field_size - 1)::DOUBLE END AS c FROM e) WINDOW w AS (PARTITION BY horse ORDER BY day, race_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)")
+@query("l40_style_features", "SELECT race_id, horse, round(avg(c) OVER (PARTITION BY horse ORDER BY day, race_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 9) AS corner_avg3, round(avg(c) OVER (PARTITION BY horse ORDER BY day, race_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), 9) AS corner_avg10, round(quantile_cont(c, 0.75) OVER w - quantile_cont(c, 0.25) OVER w, 9) AS corner_iqr, round(avg(c) OVER w, 9) AS corner_avg5, round(min(c) OVER w, 9) AS corner_best5, round(max(c) OVER w, 9) AS corner_worst5, round(stddev_pop(c) OVER w, 7) AS corner_sd5, lag(corner1) OVER (PARTITION BY horse ORDER BY day, race_id) AS last_corner, round(avg((corner1 = 1)::INT) OVER w, 9) AS lead_share5, round(avg((corner1 = 1)::INT) OVER (PARTITION BY horse ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 9) AS lead_share, round(avg(c) OVER (PARTITION BY jockey ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1e-12, 7) AS jockey_corner, round(greatest(count(*) FILTER (WHERE corner1 = 1) OVER w, count(*) FILTER (WHERE corner1 > 1 AND c <= 0.3) OVER w, count(*) FILTER (WHERE c > 0.3 AND c <= 0.7) OVER w, count(*) FILTER (WHERE c > 0.7) OVER w) / nullif(count(*) FILTER (WHERE corner1 = 1) OVER w + count(*) FILTER (WHERE corner1 > 1 AND c <= 0.3) OVER w + count(*) FILTER (WHERE c > 0.3 AND c <= 0.7) OVER w + count(*) FILTER (WHERE c > 0.7) OVER w, 0)::DOUBLE, 9) AS style_consistency FROM (SELECT *, CASE WHEN field_size > 1 THEN (corner1 - 1) / (field_size - 1)::DOUBLE END AS c FROM e) WINDOW w AS (PARTITION BY horse ORDER BY day, race_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)")
 def l40(spark, d):
-    return out(L.style_features(entries(spark, d)), "corner_avg3", "corner_avg10", "corner_iqr", "corner_avg5", "corner_best5", "corner_worst5", "corner_sd5", "last_corner", "lead_share5", "lead_share", "jockey_corner", "style_consistency", corner_sd5=7, jockey_corner=7)
+    return out(L.style_features(entries(spark, d)).withColumn("jockey_corner", F.col("jockey_corner") + HAIR), "corner_avg3", "corner_avg10", "corner_iqr", "corner_avg5", "corner_best5", "corner_worst5", "corner_sd5", "last_corner", "lead_share5", "lead_share", "jockey_corner", "style_consistency", corner_sd5=7, jockey_corner=7)
 
 
 @query("l41_field_style", "SELECT a.race_id, a.horse, count(*) FILTER (WHERE b.corner1 = 1) AS others_front, 2 * count(*) FILTER (WHERE b.corner1 = 1) + count(*) FILTER (WHERE b.corner1 BETWEEN 2 AND 3) AS pace_index, count(*) FILTER (WHERE b.corner1 BETWEEN 2 AND 3) AS others_stalk, count(b.horse) AS others, round(count(*) FILTER (WHERE b.corner1 = 1) / nullif(count(b.horse), 0)::DOUBLE, 9) AS front_share, round(count(*) FILTER (WHERE b.corner1 BETWEEN 2 AND 3) / nullif(count(b.horse), 0)::DOUBLE, 9) AS stalk_share, round(avg(b.corner1 / b.field_size::DOUBLE), 7) AS others_place, (a.corner1 = 1 AND count(*) FILTER (WHERE b.corner1 BETWEEN 2 AND 3) <= 1)::INT AS front_alone, min(b.corner1) AS others_first, a.corner1 - 1 AS gap_to_front, a.field_size - a.corner1 AS behind FROM e a LEFT JOIN e b ON a.race_id = b.race_id AND a.horse <> b.horse GROUP BY a.race_id, a.horse, a.corner1, a.field_size")
