@@ -254,7 +254,8 @@ def fit(labelled: DataFrame, toxic: int = TOXIC_SAMPLE, clean: int = CLEAN_SAMPL
     if not sizes.get(1) or not sizes.get(0):
         return Grammar(dict.fromkeys(INSULTS, 4.0), {})
     share = {1: min(1.0, toxic / sizes[1]), 0: min(1.0, clean / sizes[0])}
-    sample = rows.where(F.col("h") < F.when(F.col("y") == 1, int(share[1] * (1 << 30))).otherwise(int(share[0] * (1 << 30))))
+    # the first condition asks nothing of the label, so that texts beyond it never meet the labels
+    sample = rows.where(F.col("h") < int(max(share.values()) * (1 << 30))).where(F.col("h") < F.when(F.col("y") == 1, int(share[1] * (1 << 30))).otherwise(int(share[0] * (1 << 30))))
 
     def least(batches):
         import pyarrow as pa
