@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import tempfile
 import uuid
 
@@ -18,17 +19,33 @@ from .views import entries, table
 KEY = ("race_id", "horse")
 
 
+#: Days of events that are written at a time; a watermark of one day more loses nothing.
+DAYS = 10
+LATE = f"{DAYS + 1} days"
+
+
 def folder(spark, name: str) -> str:
-    """A new folder that all executors see: under spark.checkpoint.dir, or, where that is unset, in a temporary one."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-furlong-")
+    """A new folder that all executors see: under spark.checkpoint.dir, or, where that is unset, on one machine, in a temporary one."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if top is None:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+        top = "file://" + tempfile.mkdtemp(prefix="spark-furlong-")
     return f"{top.rstrip('/')}/furlong/{name}-{uuid.uuid4().hex}"
 
 
-def stream(spark, d, name: str = "events"):
-    """The events as a stream of files: rewritten once into the shared folder as several files."""
-    path = folder(spark, "stream")
-    df = table(spark, d, name)
-    df.repartition(4, "user_id").write.parquet(path)
+def stream(spark, d, name: str = "events", times: int = 1):
+    """The events as a stream of files in the order of time: written once into the shared folder, ten days after ten days, so that a key's rows come in several micro-batches; each row `times` times."""
+    path, df = folder(spark, "stream"), table(spark, d, name)
+    day = F.to_date("ts")
+    first, last = df.agg(F.min(day), F.max(day)).first()
+    starts = [first + datetime.timedelta(k) for k in range(0, (last - first).days + 1, DAYS)] if first else [None]
+    for k, start in enumerate(starts):
+        within = F.lit(False) if start is None else (day >= F.lit(start)) & (day < F.lit(start + datetime.timedelta(DAYS)))
+        part = df.where(within | F.isnull("ts") if k == 0 else within)
+        for _ in range(times):
+            part.repartition("user_id").write.mode("append").parquet(path)
     return T.read_stream(spark, path, df.schema, files=1)
 
 
@@ -132,6 +149,15 @@ def s15(spark, d):
     return spark.read.parquet(path).select(*KEY, F.to_date("race_date").alias("race_date"))
 
 
+@query("s14_retention", "SELECT event_id, 'kept' AS place FROM events WHERE ts::DATE >= DATE '2024-01-15' UNION ALL SELECT event_id, 'archive' FROM events WHERE ts::DATE < DATE '2024-01-15'", base=False)
+def s14r(spark, d):
+    source, path = folder(spark, "snapshots"), folder(spark, "archive")
+    S.write_partitioned(table(spark, d, "events").select("event_id", F.to_date("ts").alias("day")), source, ["day"])
+    S.archive_table(spark, source, path, "2024-01-15")
+    place = lambda at, name: S.scan_parquet(spark, at).select("event_id", F.lit(name).alias("place"))
+    return place(source, "kept").unionByName(place(path, "archive"))
+
+
 @query("t1_ingest", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type", base=False)
 def t1(spark, d):
     path = folder(spark, "sink")
@@ -147,7 +173,7 @@ def t2(spark, d):
 
 @query("t2_changed_stream", "SELECT event_id FROM (SELECT event_id, floor(value / 50) AS v, lag(floor(value / 50)) OVER w AS was, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE n = 1 OR v IS DISTINCT FROM was", base=False)
 def t2s(spark, d):
-    """The same rule as keyed state over a stream of files, each key's rows in one file."""
+    """The same rule as keyed state: each key's rows come in several micro-batches."""
     path = folder(spark, "sink")
     rows = stream(spark, d).select("user_id", "ts", "event_id", F.floor(F.col("value") / 50).cast("double").alias("level"))
     T.append(T.changed_stream(rows, "user_id", ["ts", "event_id"], "level"), path, folder(spark, "progress"))
@@ -156,17 +182,10 @@ def t2s(spark, d):
 
 @query("t3_latest", "SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY ALL", base=False)
 def t3(spark, d):
-    """A stream folded into the newest row of each key, one version of the table per micro-batch."""
+    """A stream folded into a log of the newest rows of each micro-batch, of which each key's newest is read."""
     path = folder(spark, "latest")
-    done: list[int] = []
-    sink = T.upsert_batch(path, ["user_id", "event_type"], ["ts", "event_id"])
-
-    def each(batch, number):
-        sink(batch, number)
-        done.append(number)
-
-    T.drain(stream(spark, d).select("user_id", "event_type", "ts", "event_id"), each, folder(spark, "progress"))
-    return spark.read.parquet(f"{path}/v{max(done)}").select("user_id", "event_type", "event_id")
+    T.drain(stream(spark, d).select("user_id", "event_type", "ts", "event_id"), T.log_batch(path, ["user_id", "event_type"], ["ts", "event_id"]), folder(spark, "progress"))
+    return T.read_latest(spark, path, ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id")
 
 
 @query("t4_trends", "SELECT user_id, event_type, string_agg(event_id::VARCHAR, ',' ORDER BY ts, event_id) AS series FROM events GROUP BY ALL", base=False)
@@ -178,12 +197,25 @@ def t4(spark, d):
 CARDS = "SELECT user_id, event_type, ts, value > 30 AS complete, CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id % 9 END AS finish, CASE WHEN event_id % 4 = 0 THEN '' ELSE 'j' || event_id END AS jockey FROM events"
 
 
-@query("t5_merge", f"WITH c AS ({CARDS}) SELECT user_id, event_type, max(ts) AS ts, coalesce(arg_max(finish, (ts, complete::INT, finish)) FILTER (WHERE finish > 0), max(0)) AS finish, arg_max(jockey, (ts, complete::INT, jockey)) FILTER (WHERE jockey <> '') AS jockey FROM c GROUP BY ALL", base=False)
+MERGED = f"WITH c AS ({CARDS}) SELECT user_id, event_type, max(ts) AS ts, coalesce(arg_max(finish, (ts, complete::INT, finish)) FILTER (WHERE finish > 0), max(0)) AS finish, arg_max(jockey, (ts, complete::INT, jockey)) FILTER (WHERE jockey <> '') AS jockey FROM c GROUP BY ALL"
+CARD = ("user_id", "event_type", "ts", "value > 30 complete", "if(event_id % 3 = 0, 0, event_id % 9) finish", "if(event_id % 4 = 0, '', concat('j', event_id)) jockey")
+
+
+@query("t5_merge", MERGED, base=False)
 def t5(spark, d):
-    c = table(spark, d, "events").selectExpr("user_id", "event_type", "ts", "value > 30 complete", "if(event_id % 3 = 0, 0, event_id % 9) finish", "if(event_id % 4 = 0, '', concat('j', event_id)) jockey")
+    c = table(spark, d, "events").selectExpr(*CARD)
     return T.merge_cards(c, ["user_id", "event_type"], "ts", "complete", "finish", ["jockey"]).select("user_id", "event_type", "ts", "finish", "jockey")
 
 
+@query("t5_merge_stream", MERGED, base=False)
+def t5s(spark, d):
+    """The same rule as keyed state; each key's last card in the log of micro-batches is the merged one."""
+    path, keys = folder(spark, "cards"), ["user_id", "event_type"]
+    cards = T.merge_cards_stream(stream(spark, d).selectExpr(*CARD), keys, "ts", "complete", "finish", ["jockey"])
+    T.drain(cards, T.log_batch(path), folder(spark, "progress"), "update")
+    return T.read_latest(spark, path, keys).select(*keys, "ts", "finish", "jockey")
+
+
 @query("t6_complete", "SELECT l_orderkey AS race_id, count(*) >= 4 AND count(*) = count(*) FILTER (WHERE l_returnflag <> 'R') AS complete FROM lineitem GROUP BY 1", base=False)
 def t6(spark, d):
     saved = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("race_id")).agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") != "R").alias("ranked"))
@@ -198,17 +230,16 @@ def t7(spark, d):
 
 @query("t8_slots", "SELECT time_bucket(INTERVAL 6 HOUR, ts) AS slot, count(*) AS n FROM events GROUP BY 1", base=False)
 def t8(spark, d):
-    """Tumbling slots over a stream with a watermark, finished by the end of the input."""
+    """Tumbling slots over a stream: each micro-batch gives the slots that it changes, and state behind the watermark goes."""
     path = folder(spark, "slots")
-    counted = stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "400 days").groupBy(F.window("ts", "6 hours")).agg(F.count("*").alias("n"))
-    done: list[int] = []
+    counted = stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATE).groupBy(F.window("ts", "6 hours")).agg(F.count("*").alias("n"))
+    T.drain(counted.select(F.col("window.start").cast("timestamp_ntz").alias("slot"), "n"), T.log_batch(path), folder(spark, "progress"), "update")
+    return T.read_latest(spark, path, ["slot"])
 
-    def each(batch, number):
-        batch.select(F.col("window.start").cast("timestamp_ntz").alias("slot"), "n").write.mode("overwrite").parquet(f"{path}/v{number}")
-        done.append(number)
 
-    T.drain(counted, each, folder(spark, "progress"), "complete")
-    return spark.read.parquet(f"{path}/v{max(done)}")
+@query("t8_due", "SELECT user_id, max(ts) FILTER (WHERE ts <= TIMESTAMP '2024-01-20 15:00:00') AS last, floor(epoch(TIMESTAMP '2024-01-20 15:00:00') / 21600)::BIGINT - floor(floor(epoch(max(ts) FILTER (WHERE ts <= TIMESTAMP '2024-01-20 15:00:00'))) / 21600)::BIGINT AS slots_missed, coalesce(max(ts) FILTER (WHERE ts <= TIMESTAMP '2024-01-20 15:00:00') < TIMESTAMP '2024-01-20 12:00:00', true) AS due FROM events GROUP BY user_id", base=False)
+def t8d(spark, d):
+    return T.slot_due(table(spark, d, "events"), ["user_id"], "ts", "2024-01-20 15:00:00", 360)
 
 
 @query("t9_gaps", "SELECT o_orderkey AS race_id, CASE WHEN o_orderdate > DATE '2001-07-20' THEN 'before' ELSE 'after' END AS phase FROM orders WHERE o_orderdate >= DATE '2001-07-01' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A')", base=False)
@@ -217,6 +248,13 @@ def t9(spark, d):
     return J.without(due, table(spark, d, "lineitem").where("l_returnflag = 'A'").select(F.col("l_orderkey").alias("race_id")), ["race_id"])
 
 
+@query("t9_retry", "SELECT o_orderkey AS race_id, o_orderdate::DATE AS starts, CASE WHEN o_orderdate::DATE > DATE '2001-07-20' THEN 'before' ELSE 'after' END AS phase FROM orders LEFT JOIN (SELECT l_orderkey AS k, max(l_shipdate::DATE) AS tried, count(*) FILTER (WHERE l_returnflag = 'A') AS n FROM lineitem GROUP BY 1) ON k = o_orderkey WHERE coalesce(n, 0) = 0 AND (tried IS NULL OR date_diff('day', tried, DATE '2001-07-20') >= 14)", base=False)
+def t9r(spark, d):
+    due = table(spark, d, "orders").select(F.col("o_orderkey").alias("race_id"), F.to_date("o_orderdate").alias("starts"))
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("race_id"), F.to_date("l_shipdate").alias("tried"), "l_returnflag")
+    return T.coverage_gaps(due, lines.where("l_returnflag = 'A'").select("race_id"), lines.select("race_id", "tried"), ["race_id"], "starts", "tried", "2001-07-20", 14)
+
+
 @query("t10_readiness", "SELECT race_id, count(*) AS expected, count(*) FILTER (WHERE horse % 5 > 0) AS present, CASE WHEN count(*) = count(*) FILTER (WHERE horse % 5 > 0) THEN 'ready' WHEN any_value(day) % 3 = 0 THEN 'late' ELSE 'waiting' END AS state FROM e GROUP BY race_id")
 def t10(spark, d):
     e = entries(spark, d)
@@ -234,19 +272,28 @@ def t11(spark, d):
 
 @query("t12_dedupe_stream", "SELECT DISTINCT event_id FROM events", base=False)
 def t12(spark, d):
-    path, sink = folder(spark, "twice"), folder(spark, "sink")
-    ev = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
-    ev.unionByName(ev).repartition(3).write.parquet(path)
-    once = T.dedupe(T.read_stream(spark, path, ev.schema, files=1), "event_id", "ts", "400 days")
-    T.append(once.select("event_id"), sink, folder(spark, "progress"))
+    sink = folder(spark, "sink")
+    twice = stream(spark, d, times=2).select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    T.append(T.dedupe(twice, "event_id", "ts", LATE).select("event_id"), sink, folder(spark, "progress"))
     return spark.read.parquet(sink)
 
 
-@query("t13_incidents", "WITH b AS (SELECT *, (value > 60)::INT AS bad FROM events), r AS (SELECT user_id, event_id, ts, sum(bad) OVER w AS s, count(*) OVER w AS n FROM b WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)), m AS (SELECT user_id, event_id, ts, CASE WHEN n = 2 AND s = 2 THEN 'open' WHEN n = 2 AND s = 0 THEN 'close' END AS event FROM r), f AS (SELECT *, coalesce(lag(event) OVER (PARTITION BY user_id ORDER BY ts, event_id), 'close') AS was FROM m WHERE event IS NOT NULL) SELECT user_id, event_id, event FROM f WHERE event <> was", base=False)
+INCIDENTS = "WITH b AS (SELECT *, coalesce(value > 60, false)::INT AS bad FROM events), r AS (SELECT user_id, event_id, ts, sum(bad) OVER w AS s, count(*) OVER w AS n FROM b WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)), m AS (SELECT user_id, event_id, ts, CASE WHEN n = 2 AND s = 2 THEN 'open' WHEN n = 2 AND s = 0 THEN 'close' END AS event FROM r), f AS (SELECT *, coalesce(lag(event) OVER (PARTITION BY user_id ORDER BY ts, event_id), 'close') AS was FROM m WHERE event IS NOT NULL) SELECT user_id, event_id, event FROM f WHERE event <> was"
+
+
+@query("t13_incidents", INCIDENTS, base=False)
 def t13(spark, d):
     return T.incidents(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], F.col("value") > 60).select("user_id", "event_id", "event")
 
 
+@query("t13_incidents_stream", INCIDENTS, base=False)
+def t13s(spark, d):
+    path = folder(spark, "sink")
+    rows = stream(spark, d).select("user_id", "ts", "event_id", "value")
+    T.append(T.incidents_stream(rows, ["user_id"], ["ts", "event_id"], F.col("value") > 60), path, folder(spark, "progress"))
+    return spark.read.parquet(path).select("user_id", "event_id", "event")
+
+
 @query("t14_expected_counts", "SELECT day, n, round(avg(n) OVER (ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), 6) AS expected FROM (SELECT ts::DATE AS day, count(*) AS n FROM events GROUP BY 1)", base=False)
 def t14(spark, d):
     daily = table(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))

@@ -22,10 +22,15 @@ def write_partitioned(df: DataFrame, path: str, by: Sequence[str], compression:
 
 
 def load_table(spark: SparkSession, name: str, backend: str = "parquet", **options: str) -> DataFrame:
-    """One resolver for files, the catalog and JDBC (S3)."""
+    """One resolver for files, the catalog and JDBC (S3). A JDBC table with a numeric `partitionColumn` is read in `numPartitions` ranges of it (8, unless told), over the bounds that the database gives."""
     if backend == "catalog":
         return spark.table(name)
     if backend == "jdbc":
+        column = options.get("partitionColumn")
+        if column and "lowerBound" not in options:
+            plain = {k: v for k, v in options.items() if k not in ("partitionColumn", "numPartitions")}
+            low, high = spark.read.format("jdbc").options(dbtable=name, **plain).load().agg(F.min(column), F.max(column)).first()
+            options = {"numPartitions": "8"} | options | {"lowerBound": str(low or 0), "upperBound": str((high or 0) + 1)}
         return spark.read.format("jdbc").options(dbtable=name, **options).load()
     return spark.read.format(backend).options(**{k: v for k, v in options.items() if k != "root"}).load(f"{options['root']}/{name}.{backend}")
 
@@ -66,10 +71,20 @@ def export(df: DataFrame, columns: Sequence[str], order: Sequence[str]) -> DataF
 
 
 def archive(df: DataFrame, path: str, ts: str, before: str) -> DataFrame:
-    """Move rows of days before `before` into an archive by day, and return the rest."""
+    """Write rows of days before `before` into an archive by day, and return the rest, rows without a time included."""
     day = F.to_date(ts)
     write_partitioned(df.where(day < F.lit(before)).withColumn("day", day), path, ["day"])
-    return df.where(day >= F.lit(before))
+    return df.where(F.coalesce(day >= F.lit(before), F.lit(True)))
+
+
+def archive_table(spark: SparkSession, source: str, path: str, before: str) -> None:
+    """Move the days before `before` of a table partitioned by day into the archive, then delete their partitions from the source (S14). A day goes only once its copy is written, so a run cut off can be run again."""
+    table = scan_parquet(spark, source)
+    write_partitioned(table.where(F.col("day") < F.lit(before)), path, ["day"])
+    past = [str(r.day) for r in table.select("day").where(F.col("day") < F.lit(before)).distinct().collect()]
+    for day in past:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{source}/day={day}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialise_day(df: DataFrame, path: str, date: str, value: str) -> None:

@@ -69,30 +69,110 @@ def merge_cards(df: DataFrame, keys: Sequence[str], at: str, complete: str, fini
     return df.groupBy(*keys).agg(F.max(at).alias(at), F.max_by(F.col(complete), rank).alias(complete), F.coalesce(F.max_by(F.when(F.col(finish) > 0, F.col(finish)), F.when(F.col(finish) > 0, F.struct(rank, F.col(finish)))), F.max(F.when(F.col(finish) == 0, 0))).alias(finish), *(pick(c, there(c)) for c in fields))
 
 
-def upsert_batch(path: str, keys: Sequence[str], at: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that keeps each key's newest row (T3): a new version of the table is written beside the old one, named by the batch, so that a batch run again gives the same."""
+def merge_cards_stream(stream: DataFrame, keys: Sequence[str], at: str, complete: str, finish: str, fields: Sequence[str]) -> DataFrame:
+    """T5 as keyed state: for each field the best (time, complete, value) so far. A micro-batch gives the merged card of every key it touches (update mode), equal to merge_cards over all snapshots until then."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    types = dict(stream.dtypes)
+    named = [finish, *fields]
+    never = pd.NaT.value
+
+    def held(c: str, v: pd.Series) -> pd.Series:
+        return v.notna() & (v >= 0 if c == finish else v != "" if types[c] == "string" else True)
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches), ignore_index=True)
+        rank = pd.DataFrame({"at": rows[at].astype("datetime64[us]").astype("int64"), "full": rows[complete].astype("Int64").fillna(-1).astype("int64")})
+        old = state.get if state.exists else (None,) * (2 + 4 * len(named))
+        top = max([tuple(map(int, x)) for x in rank.drop_duplicates().itertuples(index=False)] + ([tuple(old[:2])] if state.exists else []))
+        new = [*top]
+        for i, c in enumerate(named):
+            # a finish of 0 counts only where there is none above
+            best = [tuple(old[2 + 4 * i : 6 + 4 * i])] if old[2 + 4 * i] is not None else []
+            here = rank.assign(solid=(rows[c] > 0).astype("int64") if c == finish else 1, value=rows[c])[held(c, rows[c])]
+            if len(here):
+                r = here.sort_values(["solid", "at", "full", "value"]).iloc[-1]
+                best.append((int(r.solid), int(r["at"]), int(r.full), r.value.item() if hasattr(r.value, "item") else r.value))
+            new += max(best) if best else (None,) * 4
+        state.update(tuple(new))
+        card = dict(zip(keys, k)) | {at: pd.Timestamp(top[0], unit="us") if top[0] != never else pd.NaT, complete: None if top[1] < 0 else bool(top[1])}
+        yield pd.DataFrame([card | {c: new[5 + 4 * i] for i, c in enumerate(named)}])
+
+    kept = "_at long, _full long, " + ", ".join(f"{c}_solid long, {c}_at long, {c}_full long, {c} {types[c]}" for c in named)
+    out = ", ".join(f"{c} {types[c]}" for c in (*keys, at, complete, *named))
+    return stream.select(*keys, at, complete, *named).groupBy(*keys).applyInPandasWithState(step, out, kept, "update", GroupStateTimeout.NoTimeout)
+
+
+def log_batch(path: str, keys: Sequence[str] = (), at: Sequence[str] = ()) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that keeps a log: each micro-batch (with keys, its newest row of each) is written under its own number. Its cost is that of the batch, and a batch run again gives the same."""
     from ..operators import joins as J
 
     def sink(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = J.latest(batch, keys, at)
-        if number:
-            rows = J.latest(rows.unionByName(spark.read.parquet(f"{path}/v{number - 1}")), keys, at)
-        rows.write.mode("overwrite").parquet(f"{path}/v{number}")
+        (J.latest(batch, keys, at) if keys else batch).write.mode("overwrite").parquet(f"{path}/_batch={number}")
 
     return sink
 
 
+def read_latest(spark: SparkSession, path: str, keys: Sequence[str], at: Sequence[str] = ("_batch",)) -> DataFrame:
+    """Each key's newest row in a log (T3): by `at`, or by the micro-batch that wrote it."""
+    from ..operators import joins as J
+
+    rows = spark.read.parquet(path)
+    return J.latest(rows, keys, at).drop("_batch")
+
+
+def slot_due(df: DataFrame, keys: Sequence[str], ts: str, now: str, minutes: int) -> DataFrame:
+    """Fetch slots (T8): each key's last fetch aligned to slots of `minutes`, and whether the slot of `now` has none yet. Fetches after `now` do not count."""
+    slot = lambda t: F.floor(F.unix_timestamp(t) / (60 * minutes))
+    at = F.to_timestamp(F.lit(now))
+    last = df.groupBy(*keys).agg(F.max(F.when(F.col(ts) <= at, F.col(ts))).alias("last"))
+    return last.withColumns({"slots_missed": slot(at) - slot(F.col("last")), "due": F.coalesce(slot(F.col("last")) < slot(at), F.lit(True))})
+
+
+def coverage_gaps(due: DataFrame, present: DataFrame, attempts: DataFrame, keys: Sequence[str], start: str, tried: str, now: str, retry_days: int) -> DataFrame:
+    """What should be there and is not (T9), before or after its start, and whose last attempt is retry_days or longer ago, or was never made."""
+    from ..operators import joins as J
+
+    at = F.to_date(F.lit(now))
+    last = attempts.groupBy(*keys).agg(F.max(tried).alias("_tried"))
+    gaps = J.without(due, present, keys).join(last, list(keys), "left").where(F.col("_tried").isNull() | (F.date_diff(at, F.col("_tried")) >= retry_days))
+    return gaps.drop("_tried").withColumn("phase", F.when(F.col(start) > at, "before").otherwise("after"))
+
+
 def dedupe(stream: DataFrame, id: str, ts: str, delay: str = "10 minutes") -> DataFrame:
     """Each event id once, within the watermark."""
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([id])
 
 
 def incidents(df: DataFrame, key: Sequence[str], at: Sequence[str], bad, open_after: int = 2, close_after: int = 2) -> DataFrame:
-    """Open and close times of incidents (T13): opened by `open_after` bad signals in a row, closed by `close_after` good ones."""
+    """Open and close times of incidents (T13): opened by `open_after` bad signals in a row, closed by `close_after` good ones. A null signal is a good one."""
     w = W.partitionBy(*key).orderBy(*at)
-    df = df.withColumn("_bad", bad.cast("int"))
+    df = df.withColumn("_bad", F.coalesce(bad, F.lit(False)).cast("int"))
     run = lambda n, v: F.when(F.count("*").over(w.rowsBetween(-n + 1, 0)) == n, F.sum("_bad").over(w.rowsBetween(-n + 1, 0)) == v).otherwise(False)
     signal = F.when(run(open_after, open_after), "open").when(run(close_after, 0), "close")
     marked = df.withColumn("_s", signal).where(F.col("_s").isNotNull())
     return marked.withColumn("_was", F.coalesce(F.lag("_s").over(w), F.lit("close"))).where("_s <> _was").withColumn("event", F.col("_s")).drop("_s", "_was", "_bad")
+
+
+def incidents_stream(stream: DataFrame, key: Sequence[str], at: Sequence[str], bad, open_after: int = 2, close_after: int = 2) -> DataFrame:
+    """T13 as keyed state (bad and good signals in a row, open or not): the same events as incidents() if each key's rows come in order from one micro-batch to the next."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(list(at), ignore_index=True)
+        ill, well, is_open = state.get if state.exists else (0, 0, False)
+        kept, events = [], []
+        for i, sign in enumerate(rows.pop("_bad").tolist()):
+            ill, well = (ill + 1, 0) if sign else (0, well + 1)
+            if (well >= close_after) if is_open else (ill >= open_after):
+                is_open = not is_open
+                kept.append(i)
+                events.append("open" if is_open else "close")
+        state.update((ill, well, is_open))
+        yield rows.iloc[kept].assign(event=events)
+
+    out = ", ".join(f"{c} {t}" for c, t in stream.dtypes) + ", event string"
+    signed = stream.withColumn("_bad", F.coalesce(bad, F.lit(False)))
+    return signed.groupBy(*key).applyInPandasWithState(step, out, "ill long, well long, is_open boolean", "append", GroupStateTimeout.NoTimeout)

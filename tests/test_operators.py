@@ -9,6 +9,7 @@ from furlong.operators import metrics as M
 from furlong.operators import models as MD
 from furlong.operators import quality as Q
 from furlong.operators import relative as R
+from furlong.sources import tables
 from furlong.streaming import state as T
 
 
@@ -92,3 +93,33 @@ def test_trees_route_missing_left(spark):
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "race_id int, horse int, day int, finish int, s double")
     assert R.rank_norm(df, "s", "n").count() == H.recent_rank(df, ["horse"]).count() == M.race_hits(R.ordinal(df, "s")).count() == 0
+
+
+def test_jdbc_table_is_read_in_ranges(spark):
+    url = {"url": "jdbc:derby:memory:furlong;create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    spark.range(10).selectExpr("id", "id * id as square").write.format("jdbc").options(dbtable="squares", **url).save()
+    got = tables.load_table(spark, "squares", "jdbc", partitionColumn="id", numPartitions="3", **url)
+    assert got.rdd.getNumPartitions() == 3 and sorted(map(tuple, got.collect())) == [(i, i * i) for i in range(10)]
+
+
+def test_incidents_as_a_stream_with_nulls(spark, tmp_path):
+    rows = [("a", t, bad) for t, bad in enumerate([True, True, None, True, None, False, True, True, True])] + [("b", 0, True)]
+    for k in range(0, 9, 3):
+        spark.createDataFrame([r for r in rows if k <= r[1] < k + 3], "k string, t int, bad boolean").repartition(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    stream = T.read_stream(spark, f"file://{tmp_path}/in", "k string, t int, bad boolean", files=1)
+    T.append(T.incidents_stream(stream, ["k"], ["t"], F.col("bad")), f"file://{tmp_path}/out", f"file://{tmp_path}/progress")
+    want = one(T.incidents(spark.createDataFrame(rows, "k string, t int, bad boolean"), ["k"], ["t"], F.col("bad")), "k", "t", "event")
+    assert one(spark.read.parquet(f"file://{tmp_path}/out"), "k", "t", "event") == want == [("a", 1, "open"), ("a", 5, "close"), ("a", 7, "open")]
+
+
+def test_cards_merged_as_a_stream(spark, tmp_path):
+    """Late, blank and null snapshots, a finish of 0 after one above: the same as the batch rule."""
+    rows = [("a", "2024-01-02 00:00:00", True, 3, "x"), ("a", "2024-01-01 00:00:00", False, 0, "old"), ("a", "2024-01-02 00:00:00", False, 5, "y"), ("a", None, True, None, ""), ("b", "2024-01-01 00:00:00", None, 0, None), ("b", "2024-01-03 00:00:00", False, None, "z"), ("c", None, None, None, None)]
+    frame = lambda some: spark.createDataFrame(some, "k string, at string, full boolean, finish long, jockey string").selectExpr("k", "cast(at as timestamp_ntz) at", "full", "finish", "jockey")
+    for r in rows:
+        frame([r]).write.mode("append").parquet(f"file://{tmp_path}/in")
+    stream = T.read_stream(spark, f"file://{tmp_path}/in", frame(rows).schema, files=1)
+    T.drain(T.merge_cards_stream(stream, ["k"], "at", "full", "finish", ["jockey"]), T.log_batch(f"file://{tmp_path}/log"), f"file://{tmp_path}/progress", "update")
+    cols = ("k", "at", "full", "finish", "jockey")
+    assert one(T.read_latest(spark, f"file://{tmp_path}/log", ["k"]), *cols) == one(T.merge_cards(frame(rows), ["k"], "at", "full", "finish", ["jockey"]), *cols)
+
