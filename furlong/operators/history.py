@@ -60,6 +60,11 @@ def race_order(df: DataFrame, entity: Sequence[str], order: Sequence[str], **sum
     return by_race.select(*entity, *order, *(F.coalesce(F.sum(n).over(w), F.lit(0)).alias(n) for n in sums))
 
 
+def race_number(day: str = "day", race: str = "race_id") -> Column:
+    """A number that orders races by day and id, for frames over earlier races that need no join: ids are below 2^40."""
+    return F.col(day).cast("long") * F.lit(1 << 40) + F.col(race)
+
+
 def recent_rank(df: DataFrame, entity: Sequence[str], order: Sequence[str] = ("day", "race_id")) -> DataFrame:
     """recent_rank: 1 for an entity's newest row."""
     return df.withColumn("recent_rank", F.row_number().over(W.partitionBy(*entity).orderBy(*(F.desc(c) for c in order))).cast("long"))

@@ -64,10 +64,13 @@ def career(df: DataFrame) -> DataFrame:
 
 
 def jockey_trainer(df: DataFrame) -> DataFrame:
-    """L3."""
-    df = grain_rate(df, ["trainer"], "trainer_60d", days=60)
-    df = prior_rates(df, {"jockey_win_rate": ["jockey"], "jockey_venue": ["jockey", "venue"], "jockey_distance": ["jockey", "distance"], "jockey_surface": ["jockey", "surface"], "trainer_win_rate": ["trainer"], "trainer_venue": ["trainer", "venue"], "pair_win_rate": ["jockey", "horse"]})
-    return df.withColumn("jockey_60d", F.avg(win()).over(H.last_days("jockey", days=60)))
+    """L3: rates of the jockey (13 columns) and of the trainer (7): overall, 60 days, venue, distance, surface, class, season, pairs."""
+    df = grain_rate(df.withColumn("_season", S.season("race_date")), ["trainer"], "trainer_60d", days=60)
+    context = {"venue": "venue", "distance": "distance", "surface": "surface", "class": "class", "season": "_season"}
+    df = prior_rates(df, {"jockey_win_rate": ["jockey"], "trainer_win_rate": ["trainer"]} | {f"{who}_{name}": [who, c] for who in ("jockey", "trainer") for name, c in context.items()})
+    df = prior_rates(df, {"pair_win_rate": ["jockey", "horse"], "jockey_with_trainer": ["jockey", "trainer"], "jockey_with_owner": ["jockey", "owner"]})
+    w = H.before("jockey")
+    return df.withColumns({"jockey_60d": F.avg(win()).over(H.last_days("jockey", days=60)), "jockey_show_rate": F.avg(show()).over(w), "jockey_starts": F.count("*").over(w), "jockey_wins": F.count_if(F.col("finish") == 1).over(w)}).drop("_season")
 
 
 def pedigree(df: DataFrame, least: int = 5) -> DataFrame:
@@ -79,7 +82,7 @@ def pedigree(df: DataFrame, least: int = 5) -> DataFrame:
 
 
 def track_bias(df: DataFrame) -> DataFrame:
-    """Shares of inside and of front winners at the venue in the last 5 days; 0 without history, as in the reference."""
+    """Shares of inside and of front winners at the venue in the last 5 days; 0 without history."""
     inside = (F.col("finish") == 1) & (2 * F.col("horse_no") <= F.col("field_size") + 1)
     front = (F.col("finish") == 1) & (F.coalesce(S.norm_position("corner1", "field_size"), F.lit(0.0)) <= 0.33)
     df = grain_rate(grain_rate(df, ["venue"], "inside_bias", hit=inside.cast("int"), days=5), ["venue"], "front_bias", hit=front.cast("int"), days=5)
@@ -178,10 +181,12 @@ def carried_weight(df: DataFrame) -> DataFrame:
 
 
 def near_miss(df: DataFrame) -> DataFrame:
-    """Second-place rates of horse, jockey and sire, last-five seconds, favourite gap."""
+    """Second-place rates of horse, jockey and ancestors, last-five seconds, margins to the winner, favourite gap."""
     second = (F.col("finish") == 2).cast("int")
-    df = prior_rates(df, {"second_rate": ["horse"], "jockey_second": ["jockey"], "sire_second": ["sire"]}, second)
-    return R.favourite_gap(H.last_n(df, ["horse"], 5, seconds5=F.sum(second)))
+    df = prior_rates(df, {"second_rate": ["horse"], "jockey_second": ["jockey"], "sire_second": ["sire"], "damsire_second": ["damsire"], "sire_surface_second": ["sire", "surface"]}, second)
+    df = df.withColumn("_m", F.col("time") - F.max(F.when(F.col("finish") == 1, F.col("time"))).over(R.race()))
+    df = H.last_n(df, ["horse"], 5, seconds5=F.sum(second), margin5=F.avg("_m"), margin_best5=F.min(F.abs("_m")), second_margin5=F.avg(F.when(F.col("finish") == 2, F.col("_m"))))
+    return R.favourite_gap(df).drop("_m")
 
 
 def draught_class(df: DataFrame) -> DataFrame:
@@ -200,25 +205,38 @@ def draught_grade(df: DataFrame) -> DataFrame:
 
 
 def draught_internal(df: DataFrame, cols: Sequence[str] = ("odds", "carried", "body_weight", "age", "last3f")) -> DataFrame:
-    """Rank and z of every column in the race."""
+    """Rank, difference and z of every column in the race."""
     return R.relative(R.rank_in_race(df, dict.fromkeys(cols, True)), cols, sample=False)
 
 
 def cells(df: DataFrame, prior: float = 0.0707) -> DataFrame:
-    """Jockey by sire by band, shrunk to the jockey's own rate; race order within the day; average-tie rank in the race."""
+    """Four cells (jockey by sire and band, by damsire, by venue; sire by band): starts, wins, a rate shrunk to the jockey's own
+    (the sire's to the prior), and its average-tie rank in the race. Earlier races count, those of the same day included."""
     df = df.withColumn("_band", S.band("distance", "pedigree"))
-    cell = H.race_order(df, ["jockey", "sire", "_band"], ["day", "race_id"], cell_n=F.count("*"), cell_w=F.sum(win()))
-    own = H.race_order(df, ["jockey"], ["day", "race_id"], own_n=F.count("*"), own_w=F.sum(win()))
-    df = df.join(cell, ["jockey", "sire", "_band", "day", "race_id"]).join(own, ["jockey", "day", "race_id"])
-    base = M.eb_rate(F.col("own_w"), F.col("own_n"), F.lit(prior), 30)
-    df = df.withColumn("cell_rate", M.eb_rate(F.col("cell_w"), F.col("cell_n"), base, 20))
-    return R.avg_rank(df, "cell_rate", "cell_rank", down=True).drop("_band")
+    ahead = lambda *cell: W.partitionBy(*cell).orderBy(H.race_number()).rangeBetween(W.unboundedPreceding, -1)
+    keys = {"own": ["jockey"], "cell": ["jockey", "sire", "_band"], "pair": ["jockey", "damsire"], "local": ["jockey", "venue"]}
+    for name, by in keys.items():
+        df = df.withColumns({f"{name}_n": F.count("*").over(ahead(*by)), f"{name}_w": F.count_if(F.col("finish") == 1).over(ahead(*by))})
+    line = H.race_order(df, ["sire", "_band"], ["day", "race_id"], line_n=F.count("*"), line_w=F.sum(win()))
+    df = df.join(line, ["sire", "_band", "day", "race_id"])
+    own = M.eb_rate(F.col("own_w"), F.col("own_n"), F.lit(prior), 30)
+    df = df.withColumn("own_rate", own)
+    for name, base in {"cell": own, "pair": own, "local": own, "line": F.lit(prior)}.items():
+        df = df.withColumn(f"{name}_rate", M.eb_rate(F.col(f"{name}_w"), F.col(f"{name}_n"), base, 20)).withColumn("_r", F.round(f"{name}_rate", 8))
+        df = R.avg_rank(df, "_r", f"{name}_rank", down=True).drop("_r")
+    return df.drop("_band")
 
 
 def fade(df: DataFrame) -> DataFrame:
-    """Shares of unplaced runs of horse, jockey, trainer and owner; the last five of the horse."""
+    """Of horse, jockey, trainer and owner: starts, shares of unplaced runs ever, in 60 and in 365 days; the last five of the horse."""
     lost = (F.col("finish") > 3).cast("int")
-    df = prior_rates(df, {f"{e}_fade": [e] for e in ("horse", "jockey", "trainer", "owner")}, lost)
+    for who in ("horse", "jockey", "owner"):
+        w = H.before(who)
+        df = df.withColumns({f"{who}_fade": F.avg(lost).over(w), f"{who}_starts": F.count("*").over(w)} | {f"{who}_fade_{n}d": F.avg(lost).over(H.last_days(who, days=n)) for n in (60, 365)})
+    ever = H.day_grain(df, ["trainer"], _n=F.count("*"), _w=F.sum(lost))
+    for n in (60, 365):
+        ever = ever.join(H.day_grain(df, ["trainer"], days=n, _sn=F.count("*"), _sw=F.sum(lost)), ["trainer", "day"]).withColumn(f"trainer_fade_{n}d", F.try_divide("_sw", "_sn")).drop("_sn", "_sw")
+    df = df.join(ever.withColumn("trainer_fade", F.try_divide("_w", "_n")).withColumnRenamed("_n", "trainer_starts").drop("_w"), ["trainer", "day"])
     return H.last_n(df, ["horse"], 5, fade5=F.avg(lost))
 
 
@@ -245,9 +263,14 @@ def grain_rate(df: DataFrame, entity: Sequence[str], name: str, least: int = 0,
 
 
 def going_pedigree(df: DataFrame) -> DataFrame:
-    """sire's and damsire's rate on today's going."""
+    """For sire and damsire: starts, win and show rate on today's going, and how far the win rate is from that on all goings."""
     df = df.withColumn("going_code", (F.col("day") % 3).cast("int"))
-    return grain_rate(grain_rate(df, ["sire", "going_code"], "sire_going"), ["damsire", "going_code"], "damsire_going")
+    for role in ("sire", "damsire"):
+        on = H.day_grain(df, [role, "going_code"], _gn=F.count("*"), _gw=F.sum(win()), _gs=F.sum(show()))
+        df = grain_rate(df.join(on, [role, "going_code", "day"]), [role], "_all")
+        rate = F.try_divide("_gw", "_gn")
+        df = df.withColumns({f"{role}_going": rate, f"{role}_going_show": F.try_divide("_gs", "_gn"), f"{role}_going_n": F.col("_gn"), f"{role}_going_edge": rate - F.col("_all")}).drop("_gn", "_gw", "_gs", "_all")
+    return df
 
 
 def trainer_affinity(df: DataFrame) -> DataFrame:
@@ -272,33 +295,82 @@ def going_sectional(df: DataFrame) -> DataFrame:
 
 
 def field_style(df: DataFrame) -> DataFrame:
-    """Front runners and stalkers among the others, and the pace index 2 * front + stalkers."""
-    lead, stalk = (F.col("corner1") == 1).cast("int"), F.col("corner1").between(2, 3).cast("int")
-    w = R.race()
-    df = df.withColumns({"others_front": F.sum(lead).over(w) - lead, "others_stalk": F.sum(stalk).over(w) - stalk})
-    others = F.col("field_size") - 1
-    place = F.col("corner1") / F.col("field_size")
-    df = df.withColumns({"pace_index": 2 * F.col("others_front") + F.col("others_stalk"), "others": others, "front_share": F.try_divide(F.col("others_front"), others), "stalk_share": F.try_divide(F.col("others_stalk"), others), "others_place": F.try_divide(F.sum(place).over(w) - place, others), "front_alone": ((lead == 1) & (F.col("others_stalk") <= 1)).cast("int")})
-    best = F.sort_array(F.collect_list("corner1").over(w))
-    return df.withColumns({"others_first": F.when(F.col("corner1") == best[0], F.try_element_at(best, F.lit(2))).otherwise(best[0]), "gap_to_front": F.col("corner1") - 1, "behind": F.col("field_size") - F.col("corner1")})
+    """Front runners, stalkers, middle and rear among the others, their shares, the pace index 2 * front + stalkers, and where the runner is among them."""
+    at = F.col("corner1")
+    kinds = {"front": at == 1, "stalk": at.between(2, 3), "mid": (at > 3) & (3 * at <= 2 * F.col("field_size")), "rear": (at > 3) & (3 * at > 2 * F.col("field_size"))}
+    w, others = R.race(), F.col("field_size") - 1
+    df = df.withColumns({f"others_{k}": F.count_if(c).over(w) - c.cast("int") for k, c in kinds.items()})
+    df = df.withColumns({f"{k}_share": F.try_divide(F.col(f"others_{k}"), others) for k in kinds})
+    place = at / F.col("field_size")
+    df = df.withColumns({"pace_index": 2 * F.col("others_front") + F.col("others_stalk"), "others": others, "others_place": F.try_divide(F.sum(place).over(w) - place, others), "front_alone": ((at == 1) & (F.col("others_stalk") <= 1)).cast("int")})
+    places = F.sort_array(F.collect_list("corner1").over(w))
+    df = df.withColumns({"others_first": F.when(at == places[0], F.try_element_at(places, F.lit(2))).otherwise(places[0]), "others_last": F.when(at == F.element_at(places, -1), F.try_element_at(places, F.lit(-2))).otherwise(F.element_at(places, -1))})
+    df = df.withColumn("others_last", F.when(others > 0, F.col("others_last")))
+    return df.withColumns({"gap_to_front": at - 1, "behind": F.col("field_size") - at, "ahead_share": F.try_divide(at - 1, others)})
 
 
 def abroad_card(df: DataFrame) -> DataFrame:
     """Average-tie ranks, market share, z: nothing about who runs."""
     df = R.share(df.withColumn("implied", 1 / F.col("odds")), "implied", "implied_share")
     df = R.rank_in_race(R.avg_rank(df, "age", "age_rank"), {"odds": False, "body_weight": True, "carried": True})
-    df = R.relative(df, ["carried", "body_weight", "age"], sample=False)
-    return df.withColumns({"draw": F.col("horse_no") / F.col("field_size"), "log_odds": F.log("odds"), "favourite_odds": F.min("odds").over(R.race())})
-
-
-def style_features(df: DataFrame) -> DataFrame:
-    """Corner places over 3, 5 and 10 runs, their quartile range over 5, style shares, consistency."""
-    c = S.norm_position("corner1", "field_size")
-    df = df.withColumn("_c", c)
-    order = W.partitionBy("horse").orderBy("day", "race_id")
-    df = df.withColumns({f"corner_avg{n}": F.avg("_c").over(order.rowsBetween(-n, -1)) for n in (3, 5, 10)})
-    w = order.rowsBetween(-5, -1)
-    df = df.withColumn("corner_iqr", F.percentile("_c", F.lit(0.75)).over(w) - F.percentile("_c", F.lit(0.25)).over(w))
-    df = df.withColumns({"corner_best5": F.min("_c").over(w), "corner_worst5": F.max("_c").over(w), "corner_sd5": F.stddev_pop("_c").over(w), "last_corner": F.lag("corner1").over(order), "lead_share5": F.avg((F.col("corner1") == 1).cast("int")).over(w), "lead_share": F.avg((F.col("corner1") == 1).cast("int")).over(H.before("horse")), "jockey_corner": F.avg("_c").over(H.before("jockey"))})
-    kinds = [F.count_if(k).over(w) for k in (F.col("corner1") == 1, (F.col("corner1") > 1) & (F.col("_c") <= 0.3), (F.col("_c") > 0.3) & (F.col("_c") <= 0.7), F.col("_c") > 0.7)]
-    return df.withColumn("style_consistency", F.try_divide(F.greatest(*kinds), F.nullif(sum(kinds[1:], kinds[0]), F.lit(0)))).drop("_c")
+    df = R.relative(df, ["carried", "body_weight", "age", "odds"], sample=False)
+    race = R.race()
+    return df.withColumns({"draw": F.col("horse_no") / F.col("field_size"), "log_odds": F.log("odds"), "favourite_odds": F.min("odds").over(race), "outsider_odds": F.max("odds").over(race), "implied_edge": F.col("implied_share") - 1 / F.col("field_size")})
+
+
+STYLES = ("front", "near", "mid", "rear")
+
+
+def style_features(df: DataFrame, corners: Sequence[str] = ("corner1",)) -> DataFrame:
+    """For each corner, normalised places over 3, 5 and 10 runs (mean, best, worst, spread), the quartile range over 5, ever, on this
+    surface, at this distance, of the jockey, the last place and the rank of the mean in the race; shares of the four styles (by the first corner)
+    over 5 and 10 runs, ever, of the jockey, the trainer and (over earlier months) the sire; consistency, starts, days since."""
+    places = {f"c{i}": S.norm_position(c, "field_size") for i, c in enumerate(corners, 1)}
+    df = df.withColumns({f"_{k}": v for k, v in places.items()})
+    first = F.col(corners[0])
+    kinds = dict(zip(STYLES, (first == 1, (first > 1) & (F.col("_c1") <= 0.3), (F.col("_c1") > 0.3) & (F.col("_c1") <= 0.7), F.col("_c1") > 0.7)))
+    kinds = {k: F.coalesce(v, F.lit(False)).cast("int") for k, v in kinds.items()}
+    order, ever = W.partitionBy("horse").orderBy("day", "race_id"), H.before("horse")
+    last = lambda n: order.rowsBetween(-n, -1)
+    out = {"starts": F.count("*").over(ever), "days_since": F.col("day") - F.max("day").over(ever)}
+    for k in places:
+        c = F.col(f"_{k}")
+        for n in (3, 5, 10):
+            out |= {f"{k}_avg{n}": F.avg(c).over(last(n)), f"{k}_best{n}": F.min(c).over(last(n)), f"{k}_worst{n}": F.max(c).over(last(n)), f"{k}_sd{n}": F.stddev_pop(c).over(last(n))}
+        out |= {f"{k}_iqr5": F.percentile(c, F.lit(0.75)).over(last(5)) - F.percentile(c, F.lit(0.25)).over(last(5)), f"{k}_last": F.lag(c).over(order), f"{k}_ever": F.avg(c).over(ever)}
+    for k, hit in kinds.items():
+        out |= {f"{k}_share{n}": F.avg(hit).over(last(n)) for n in (5, 10)} | {f"{k}_share": F.avg(hit).over(ever)}
+    df = df.withColumns(out)
+    for name, by in {"surface": ["horse", "surface"], "distance": ["horse", "distance"], "jockey": ["jockey"]}.items():
+        df = df.withColumns({f"{k}_{name}": F.avg(f"_{k}").over(H.before(*by)) for k in places})
+    df = df.withColumns({f"{k}_jockey": F.avg(hit).over(H.before("jockey")) for k, hit in kinds.items()})
+    trainer = H.day_grain(df, ["trainer"], _n=F.count("*"), **{f"_{k}": F.sum(hit) for k, hit in kinds.items()})
+    df = df.join(trainer.select("trainer", "day", *(F.try_divide(f"_{k}", "_n").alias(f"{k}_trainer") for k in kinds)), ["trainer", "day"])
+    sire = H.monthly_cumulative(df, ["sire"], _n=F.count("*"), **{f"_{k}": F.sum(hit) for k, hit in kinds.items()})
+    df = df.withColumn("month", F.trunc("race_date", "month")).join(sire.select("sire", "month", *(F.try_divide(f"_{k}", "_n").alias(f"{k}_sire") for k in kinds)), ["sire", "month"]).drop("month")
+    df = R.rank_in_race(df.withColumns({f"_{k}_avg5": F.round(f"{k}_avg5", 9) for k in places}), {f"_{k}_avg5": False for k in places})
+    df = df.withColumnsRenamed({f"_{k}_avg5_rank": f"{k}_rank" for k in places})
+    held = F.greatest(*(F.sum(hit).over(last(5)) for hit in kinds.values()))
+    known = F.sum(sum(list(kinds.values())[1:], kinds["front"])).over(last(5))
+    return df.withColumn("style_consistency", F.try_divide(held, F.nullif(known, F.lit(0)))).drop(*(f"_{k}" for k in places), *(f"_{k}_avg5" for k in places))
+
+
+def heatmap(df: DataFrame) -> DataFrame:
+    """A row per runner with the earlier win rate of each of its entities: people, ancestors, frame, weight class."""
+    kinds = {"frame": F.least(F.col("horse_no"), F.lit(8)), "weight": S.weight_class("body_weight", {"light": 410, "middle": 430}, "heavy")}
+    df = prior_rates(df.withColumns({f"_{k}": c for k, c in kinds.items()}), {f"{who}_rate": [who] for who in ("jockey", "trainer", "owner", "sire", "damsire")} | {"jockey_frame_rate": ["jockey", "_frame"]})
+    for k in kinds:
+        df = grain_rate(df, [f"_{k}"], f"{k}_rate")
+    return df.drop(*(f"_{k}" for k in kinds))
+
+
+def pace_style(df: DataFrame, share: str = "q") -> DataFrame:
+    """Per race and model version, what the shares of style say: entropy, effective number, largest, second, gap, spread, those above the mean, the favourite's and the leader's."""
+    q, race = F.col(share), W.partitionBy("race_id", "version")
+    df = df.withColumns({"_k": F.row_number().over(race.orderBy(F.desc(share), "horse")), "_n": F.count("*").over(race)})
+    at = lambda cond: F.max(F.when(cond, q))
+    t = df.groupBy("race_id", "version").agg(
+        F.count("*").alias("runners"), F.sum(S.entropy(share)).alias("style_entropy"), F.max(q).alias("style_max"), F.min(q).alias("style_min"), at(F.col("_k") == 2).alias("style_second"), F.stddev_pop(q).alias("style_sd"),
+        F.sum(F.when(F.col("_k") <= 3, q)).alias("style_top3"), F.count_if(q > 1 / F.col("_n") + 1e-9).alias("above_mean"), at(F.col("popularity") == 1).alias("favourite_share"), at(F.col("corner1") == 1).alias("leader_share"),
+    )
+    return t.withColumns({"style_effective": F.exp("style_entropy"), "style_gap": F.col("style_max") - F.col("style_second"), "style_spread": F.col("style_max") - F.col("style_min")})

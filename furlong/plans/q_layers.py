@@ -45,9 +45,15 @@ def l2(spark, d):
     return out(L.career(entries(spark, d)), "career_win_rate", "venue_win_rate", "surface_win_rate", "speed_avg5", "speed_best5", "days_since", "starts_30d", "distance_win_rate", "class_win_rate", "career_place_rate", "career_show_rate", "starts", "wins", "starts_90d", "best_finish5", "odds_avg5", "best_time_distance", "starts_with_jockey")
 
 
-@query("l3_jockey_trainer", select(rate("jockey", "jockey_win_rate"), rate("jockey, venue", "jockey_venue"), rate("trainer", "trainer_win_rate"), rate("jockey, horse", "pair_win_rate"), rate("jockey", "jockey_60d", frame="RANGE BETWEEN 60 PRECEDING AND 1 PRECEDING"), rate("jockey, distance", "jockey_distance"), rate("jockey, surface", "jockey_surface"), rate("trainer, venue", "trainer_venue"), rate("trainer", "trainer_60d", frame="RANGE BETWEEN 60 PRECEDING AND 1 PRECEDING")))
+SEASON = "floor((month(race_date) + 9) % 12 / 3)"
+CONTEXT = {"venue": "venue", "distance": "distance", "surface": "surface", "class": "class", "season": SEASON}
+EVER = "RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+
+
+@query("l3_jockey_trainer", select(*(rate(f"{who}, {c}", f"{who}_{n}") for who in ("jockey", "trainer") for n, c in CONTEXT.items()), *(rate(who, f"{who}_win_rate") for who in ("jockey", "trainer")), *(rate(who, f"{who}_60d", frame="RANGE BETWEEN 60 PRECEDING AND 1 PRECEDING") for who in ("jockey", "trainer")), rate("jockey, horse", "pair_win_rate"), rate("jockey, trainer", "jockey_with_trainer"), rate("jockey, owner", "jockey_with_owner"), rate("jockey", "jockey_show_rate", "finish <= 3"), "count(*) OVER w AS jockey_starts", "count(*) FILTER (WHERE finish = 1) OVER w AS jockey_wins") + f" WINDOW w AS (PARTITION BY jockey ORDER BY day {EVER})")
 def l3(spark, d):
-    return out(L.jockey_trainer(entries(spark, d)), "jockey_win_rate", "jockey_venue", "trainer_win_rate", "pair_win_rate", "jockey_60d", "jockey_distance", "jockey_surface", "trainer_venue", "trainer_60d")
+    both = [f"{who}_{n}" for who in ("jockey", "trainer") for n in (*CONTEXT, "win_rate", "60d")]
+    return out(L.jockey_trainer(entries(spark, d)), *both, "pair_win_rate", "jockey_with_trainer", "jockey_with_owner", "jockey_show_rate", "jockey_starts", "jockey_wins")
 
 
 RARE = ", ".join(f"CASE WHEN count(*) OVER {w} >= 5 THEN avg((finish = 1)::INT) OVER {w} END AS {n}" for n, w in ((n, f"(PARTITION BY {c} ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)") for n, c in (("sb", "sire, distance // 400"), ("ss", "sire, surface"), ("db", "damsire, distance // 400"))))
@@ -136,9 +142,12 @@ def l19(spark, d):
     return df.select("event_id", "workouts", F.round("lap_avg", 9).alias("lap_avg"))
 
 
-@query("l20_near_miss", select(rate("horse", "second_rate", "finish = 2"), rate("jockey", "jockey_second", "finish = 2"), rate("sire", "sire_second", "finish = 2"), "sum((finish = 2)::INT) OVER (PARTITION BY horse ORDER BY day, race_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)::BIGINT AS seconds5"))
+MARGIN = "(SELECT *, time - max(CASE WHEN finish = 1 THEN time END) OVER (PARTITION BY race_id) AS m FROM e)"
+
+
+@query("l20_near_miss", select(rate("horse", "second_rate", "finish = 2"), rate("jockey", "jockey_second", "finish = 2"), rate("sire", "sire_second", "finish = 2"), rate("damsire", "damsire_second", "finish = 2"), rate("sire, surface", "sire_surface_second", "finish = 2"), "sum((finish = 2)::INT) OVER (PARTITION BY horse ORDER BY day, race_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)::BIGINT AS seconds5", rows("avg(m)", 5, "margin5"), rows("min(abs(m))", 5, "margin_best5"), rows("avg(CASE WHEN finish = 2 THEN m END)", 5, "second_margin5"), "round(max(CASE WHEN popularity = 1 THEN odds END) OVER r / max(CASE WHEN popularity = 2 THEN odds END) OVER r, 9) AS favourite_gap", src=MARGIN) + " WINDOW r AS (PARTITION BY race_id)")
 def l20(spark, d):
-    return out(L.near_miss(entries(spark, d)), "second_rate", "jockey_second", "sire_second", "seconds5")
+    return out(L.near_miss(entries(spark, d)), "second_rate", "jockey_second", "sire_second", "damsire_second", "sire_surface_second", "seconds5", "margin5", "margin_best5", "second_margin5", "favourite_gap")
 
 
 @query("l21_grade_lineage", "SELECT a.race_id, a.horse, count(b.race_id) AS trials FROM (SELECT *, 50 + 20 * substr(class, 1, 1)::INT AS back FROM e) a LEFT JOIN (SELECT * FROM e WHERE class = '1-URGENT') b ON a.horse = b.horse AND b.day < a.day AND a.day - b.day <= a.back GROUP BY a.race_id, a.horse")
@@ -160,9 +169,12 @@ def l22(spark, d):
     return t.select(*KEY, "meetings", "beaten", (F.col("meetings") - F.col("beaten")).alias("lost"), share("beaten", 9).alias("beaten_share"), share("gap", 7).alias("gap_mean"), "rivals_met")
 
 
-@query("l23_going_pedigree", select(rate("sire, day % 3", "sire_going"), rate("damsire, day % 3", "damsire_going")))
+GOING = [x for who in ("sire", "damsire") for x in (rate(f"{who}, day % 3", f"{who}_going"), rate(f"{who}, day % 3", f"{who}_going_show", "finish <= 3"), f"count(*) OVER (PARTITION BY {who}, day % 3 ORDER BY day {EVER}) AS {who}_going_n", f"round(avg((finish = 1)::INT) OVER (PARTITION BY {who}, day % 3 ORDER BY day {EVER}) - avg((finish = 1)::INT) OVER (PARTITION BY {who} ORDER BY day {EVER}), 9) AS {who}_going_edge")]
+
+
+@query("l23_going_pedigree", select(*GOING))
 def l23(spark, d):
-    return out(L.going_pedigree(entries(spark, d)), "sire_going", "damsire_going")
+    return out(L.going_pedigree(entries(spark, d)), *(f"{who}_going{x}" for who in ("sire", "damsire") for x in ("", "_show", "_n", "_edge")))
 
 
 @query("l24_trainer_affinity", select(rate("trainer, class", "trainer_class"), rate("trainer, venue, distance", "trainer_target")))
@@ -170,16 +182,15 @@ def l24(spark, d):
     return out(L.trainer_affinity(entries(spark, d)), "trainer_class", "trainer_target")
 
 
-@query("l25_pace_style", ", v AS (SELECT race_id, horse, race_year, 'v1' AS version, score_a AS s FROM e UNION ALL SELECT race_id, horse, race_year, 'v2', score_b FROM e WHERE race_year >= 1998), k AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY race_id, horse ORDER BY CASE WHEN (version = 'v2') = (race_year >= 1998) THEN 0 ELSE 1 END, version) = 1), p AS (SELECT *, s / sum(s) OVER (PARTITION BY race_id) AS q FROM k) SELECT race_id, version, round(-sum(q * ln(q + 1e-9)), 9) AS style_entropy FROM p GROUP BY race_id, version")
+@query("l25_pace_style", ", v AS (SELECT race_id, horse, race_year, popularity, corner1, 'v1' AS version, score_a AS s FROM e UNION ALL SELECT race_id, horse, race_year, popularity, corner1, 'v2', score_b FROM e WHERE race_year >= 1998), k AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY race_id, horse ORDER BY CASE WHEN (version = 'v2') = (race_year >= 1998) THEN 0 ELSE 1 END, version) = 1), p AS (SELECT *, s / sum(s) OVER (PARTITION BY race_id) AS q FROM k), o AS (SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY q DESC, horse) AS k, count(*) OVER (PARTITION BY race_id) AS n FROM p) SELECT race_id, version, count(*) AS runners, round(-sum(q * ln(q + 1e-9)), 9) AS style_entropy, round(exp(-sum(q * ln(q + 1e-9))), 8) AS style_effective, round(max(q), 9) AS style_max, round(min(q), 9) AS style_min, round(max(q) - min(q), 9) AS style_spread, round(max(CASE WHEN k = 2 THEN q END), 9) AS style_second, round(max(q) - max(CASE WHEN k = 2 THEN q END), 9) AS style_gap, round(stddev_pop(q), 6) AS style_sd, round(sum(CASE WHEN k <= 3 THEN q END), 9) AS style_top3, count(*) FILTER (WHERE q > 1 / n + 1e-9) AS above_mean, round(max(CASE WHEN popularity = 1 THEN q END), 9) AS favourite_share, round(max(CASE WHEN corner1 = 1 THEN q END), 9) AS leader_share FROM o GROUP BY race_id, version")
 def l25(spark, d):
-    """The model version preferred for the year, then the entropy of the field's style."""
-    from ..functions.scalars import entropy
-
+    """The model version preferred for the year, then what the field's style says."""
     e = entries(spark, d)
-    v = e.select(*KEY, "race_year", F.lit("v1").alias("version"), F.col("score_a").alias("s")).unionByName(e.where("race_year >= 1998").select(*KEY, "race_year", F.lit("v2").alias("version"), F.col("score_b").alias("s")))
+    cols = (*KEY, "race_year", "popularity", "corner1")
+    v = e.select(*cols, F.lit("v1").alias("version"), F.col("score_a").alias("s")).unionByName(e.where("race_year >= 1998").select(*cols, F.lit("v2").alias("version"), F.col("score_b").alias("s")))
     k = J.first_per_key(v, KEY, [F.when((F.col("version") == "v2") == (F.col("race_year") >= 1998), 0).otherwise(1), "version"])
-    p = k.withColumn("q", F.col("s") / F.sum("s").over(W.partitionBy("race_id")))
-    return p.groupBy("race_id", "version").agg(F.round(F.sum(entropy("q")), 9).alias("style_entropy"))
+    t = L.pace_style(k.withColumn("q", F.col("s") / F.sum("s").over(W.partitionBy("race_id"))))
+    return t.select("race_id", "version", "runners", "above_mean", *(F.round(c, n).alias(c) for c, n in {"style_effective": 8, "style_sd": 6}.items()), *(F.round(c, 9).alias(c) for c in ("style_entropy", "style_max", "style_min", "style_spread", "style_second", "style_gap", "style_top3", "favourite_share", "leader_share")))
 
 
 @query("l26_course", "SELECT race_id, horse, 200 + n_nationkey * 10 AS straight, n_regionkey AS shape FROM e JOIN nation ON venue = n_nationkey")
@@ -188,9 +199,13 @@ def l26(spark, d):
     return entries(spark, d).join(J.small(course), "venue", "left").select(*KEY, "straight", "shape")
 
 
-@query("l27_relationship", select("rank() OVER (PARTITION BY race_id ORDER BY carried / body_weight)::BIGINT AS carry_ratio_rank", rows("avg(distance / time)", 5, "speed5")))
+R1 = ("carry_ratio_rank", "body_weight_rank", "carried_diff", "body_weight_diff", "carry_ratio", "joint_z", "speed5", "speed_volatility", "speed_weight", "speed_carry", "speed_age")
+
+
+@query("l27_relationship", select("rank() OVER (PARTITION BY race_id ORDER BY carried / body_weight)::BIGINT AS carry_ratio_rank", "rank() OVER (PARTITION BY race_id ORDER BY body_weight DESC)::BIGINT AS body_weight_rank", "round(carried - avg(carried) OVER w, 9) AS carried_diff", "round(body_weight - avg(body_weight) OVER w, 9) AS body_weight_diff", "round(carried / body_weight, 9) AS carry_ratio", "round(CASE WHEN stddev_samp(carried) OVER w > 1e-9 AND stddev_samp(body_weight) OVER w > 1e-9 THEN (carried - avg(carried) OVER w) / stddev_samp(carried) OVER w - (body_weight - avg(body_weight) OVER w) / stddev_samp(body_weight) OVER w END, 6) AS joint_z", rows("avg(distance / time)", 5, "speed5"), rows("stddev_pop(distance / time)", 5, "speed_volatility"), rows("body_weight / 450 * avg(distance / time)", 5, "speed_weight"), rows("carried / 55 * avg(distance / time)", 5, "speed_carry"), rows("1.0::DOUBLE / age * avg(distance / time)", 5, "speed_age")) + " WINDOW w AS (PARTITION BY race_id)")
 def l27(spark, d):
-    return out(L.history_speed(L.physics(entries(spark, d))), "carry_ratio_rank", "speed5")
+    """L13 and L14 in one."""
+    return out(L.history_speed(L.physics(entries(spark, d))), *R1, joint_z=6)
 
 
 @query("l28_going_sectional", select(rows("avg(CASE WHEN day % 3 > 0 THEN last3f END)", 5, "firm3f"), rows("avg(CASE WHEN day % 3 = 0 THEN last3f END)", 5, "soft3f")))
@@ -203,17 +218,27 @@ def l30(spark, d):
     return out(L.sire_venue(entries(spark, d)), "sire_venue_rate")
 
 
-CELLS = ", b AS (SELECT *, CASE WHEN distance <= 1399 THEN 0 WHEN distance <= 1799 THEN 1 WHEN distance <= 2199 THEN 2 ELSE 3 END AS band FROM e), c AS (SELECT jockey, sire, band, day, race_id, sum(count(*)) OVER w AS n, sum(sum((finish = 1)::INT)) OVER w AS k FROM b GROUP BY jockey, sire, band, day, race_id WINDOW w AS (PARTITION BY jockey, sire, band ORDER BY day, race_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), o AS (SELECT jockey, day, race_id, sum(count(*)) OVER w AS n, sum(sum((finish = 1)::INT)) OVER w AS k FROM b GROUP BY jockey, day, race_id WINDOW w AS (PARTITION BY jockey ORDER BY day, race_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"
 
+CELLS = {"own": "jockey", "cell": "jockey, sire, band", "pair": "jockey, damsire", "local": "jockey, venue", "line": "sire, band"}
+CELL_SQL = ", b AS (SELECT *, CASE WHEN distance <= 1399 THEN 0 WHEN distance <= 1799 THEN 1 WHEN distance <= 2199 THEN 2 ELSE 3 END AS band FROM e)"
+for _n, _by in CELLS.items():
+    CELL_SQL += f", c_{_n} AS (SELECT {_by}, day, race_id, coalesce(sum(count(*)) OVER w, 0)::BIGINT AS {_n}_n, coalesce(sum(sum((finish = 1)::INT)) OVER w, 0)::BIGINT AS {_n}_w FROM b GROUP BY {_by}, day, race_id WINDOW w AS (PARTITION BY {_by} ORDER BY day, race_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"
+_OWN = "((own_w + 30 * 0.0707) / (own_n + 30))"
+CELL_SQL += ", j AS (SELECT b.race_id, b.horse, " + ", ".join(f"{n}_n, {n}_w" for n in CELLS) + f", {_OWN} AS own_rate, " + ", ".join(f"({n}_w + 20 * {'0.0707' if n == 'line' else _OWN}) / ({n}_n + 20) AS {n}_rate" for n in CELLS if n != "own") + " FROM b " + " ".join(f"JOIN c_{n} USING ({by}, day, race_id)" for n, by in CELLS.items()) + ")"
+CELL_SQL += " SELECT race_id, horse, " + ", ".join(f"{n}_n, {n}_w, round({n}_rate, 11)::DOUBLE AS {n}_rate" for n in CELLS) + ", " + ", ".join(f"(rank() OVER (PARTITION BY race_id ORDER BY round({n}_rate, 8) DESC) + (count(*) OVER (PARTITION BY race_id, round({n}_rate, 8)) - 1) / 2.0)::DOUBLE AS {n}_rank" for n in CELLS if n != "own") + " FROM j"
 
-@query("l31_cells", CELLS + " SELECT b.race_id, b.horse, round((coalesce(c.k, 0) + 20 * (coalesce(o.k, 0) + 30 * 0.0707) / (coalesce(o.n, 0) + 30)) / (coalesce(c.n, 0) + 20), 11)::DOUBLE AS cell_rate, coalesce(c.n, 0)::BIGINT AS cell_n, coalesce(c.k, 0)::BIGINT AS cell_w, coalesce(o.n, 0)::BIGINT AS own_n, coalesce(o.k, 0)::BIGINT AS own_w FROM b JOIN c USING (jockey, sire, band, day, race_id) JOIN o USING (jockey, day, race_id)")
+
+@query("l31_cells", CELL_SQL)
 def l31(spark, d):
-    return out(L.cells(entries(spark, d)), "cell_rate", "cell_n", "cell_w", "own_n", "own_w", digits=11)
+    return out(L.cells(entries(spark, d)), *(f"{n}_{x}" for n in CELLS for x in ("n", "w", "rate")), *(f"{n}_rank" for n in CELLS if n != "own"), digits=11)
+
 
+WHO = ("horse", "jockey", "trainer", "owner")
 
-@query("l32_fade", select(*(rate(x, f"{x}_fade", "finish > 3") for x in ("horse", "jockey", "trainer", "owner")), rows("avg((finish > 3)::INT)", 5, "fade5")))
+
+@query("l32_fade", select(*(x for w in WHO for x in (rate(w, f"{w}_fade", "finish > 3"), f"count(*) OVER (PARTITION BY {w} ORDER BY day {EVER}) AS {w}_starts", *(rate(w, f"{w}_fade_{n}d", "finish > 3", f"RANGE BETWEEN {n} PRECEDING AND 1 PRECEDING") for n in (60, 365)))), rows("avg((finish > 3)::INT)", 5, "fade5")))
 def l32(spark, d):
-    return out(L.fade(entries(spark, d)), "horse_fade", "jockey_fade", "trainer_fade", "owner_fade", "fade5")
+    return out(L.fade(entries(spark, d)), *(f"{w}_{x}" for w in WHO for x in ("fade", "starts", "fade_60d", "fade_365d")), "fade5")
 
 
 @query("l33_fade_extra", select(rows("avg((finish > 3)::INT)", 3, "fade3"), rows("avg((finish > 3)::INT)", 10, "fade10"), rate("horse", "fade_30d", "finish > 3", "RANGE BETWEEN 30 PRECEDING AND 1 PRECEDING"), rate("horse, jockey", "pair_fade", "finish > 3"), "(k - 1 - coalesce(max(CASE WHEN finish <= 3 THEN k END) OVER (PARTITION BY horse ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS fade_streak", src="(SELECT *, row_number() OVER (PARTITION BY horse ORDER BY day, race_id) AS k FROM e)"))
@@ -252,27 +277,62 @@ def l38(spark, d):
     return out(L.draught_grade(entries(spark, d)), "starts_g1", "starts_g2", "starts_g3", "wins_g1", "wins_g2", "wins_g3", "higher_starts")
 
 
-DRAUGHT = ("last3f", "age", "odds", "carried", "body_weight", "horse_no", "distance", "popularity", "time", "score_a", "score_b")
+DRAUGHT = ("last3f", "age", "odds", "carried", "body_weight", "horse_no", "distance", "popularity", "time", "score_a", "score_b", "score_c", "corner1", "field_size", "race_year")
 
 
-@query("l39_draught_internal", select("rank() OVER (PARTITION BY race_id ORDER BY last3f DESC)::BIGINT AS last3f_rank", *(f"rank() OVER (PARTITION BY race_id ORDER BY {c} DESC)::BIGINT AS {c}_rank" for c in DRAUGHT if c != "last3f"), *(f"round({c} - avg({c}) OVER w, 4) AS {c}_diff" for c in ("odds", "body_weight")), "round(CASE WHEN stddev_pop(odds) OVER w > 0 THEN (odds - avg(odds) OVER w) / stddev_pop(odds) OVER w END, 4) AS odds_z") + " WINDOW w AS (PARTITION BY race_id)")
+@query("l39_draught_internal", select(*(f"rank() OVER (PARTITION BY race_id ORDER BY {c} DESC)::BIGINT AS {c}_rank" for c in DRAUGHT), *(f"round({c} - avg({c}) OVER w + 1e-10, 4) AS {c}_diff" for c in ("odds", "body_weight")), *(f"round(CASE WHEN stddev_pop({c}) OVER w > 0 THEN ({c} - avg({c}) OVER w) / stddev_pop({c}) OVER w END + 1e-10, 4) AS {c}_z" for c in DRAUGHT)) + " WINDOW w AS (PARTITION BY race_id)")
 def l39(spark, d):
-    return out(L.draught_internal(entries(spark, d), DRAUGHT), *(f"{c}_rank" for c in DRAUGHT), "odds_diff", "body_weight_diff", "odds_z", digits=4)
-
-
-@query("l40_style_features", "SELECT race_id, horse, round(avg(c) OVER (PARTITION BY horse ORDER BY day, race_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 9) AS corner_avg3, round(avg(c) OVER (PARTITION BY horse ORDER BY day, race_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), 9) AS corner_avg10, round(quantile_cont(c, 0.75) OVER w - quantile_cont(c, 0.25) OVER w, 9) AS corner_iqr, round(avg(c) OVER w, 9) AS corner_avg5, round(min(c) OVER w, 9) AS corner_best5, round(max(c) OVER w, 9) AS corner_worst5, round(stddev_pop(c) OVER w, 7) AS corner_sd5, lag(corner1) OVER (PARTITION BY horse ORDER BY day, race_id) AS last_corner, round(avg((corner1 = 1)::INT) OVER w, 9) AS lead_share5, round(avg((corner1 = 1)::INT) OVER (PARTITION BY horse ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 9) AS lead_share, round(avg(c) OVER (PARTITION BY jockey ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1e-12, 7) AS jockey_corner, round(greatest(count(*) FILTER (WHERE corner1 = 1) OVER w, count(*) FILTER (WHERE corner1 > 1 AND c <= 0.3) OVER w, count(*) FILTER (WHERE c > 0.3 AND c <= 0.7) OVER w, count(*) FILTER (WHERE c > 0.7) OVER w) / nullif(count(*) FILTER (WHERE corner1 = 1) OVER w + count(*) FILTER (WHERE corner1 > 1 AND c <= 0.3) OVER w + count(*) FILTER (WHERE c > 0.3 AND c <= 0.7) OVER w + count(*) FILTER (WHERE c > 0.7) OVER w, 0)::DOUBLE, 9) AS style_consistency FROM (SELECT *, CASE WHEN field_size > 1 THEN (corner1 - 1) / (field_size - 1)::DOUBLE END AS c FROM e) WINDOW w AS (PARTITION BY horse ORDER BY day, race_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)")
+    """Thirty columns: rank and z of each of fifteen values, and two differences."""
+    df, near = L.draught_internal(entries(spark, d), DRAUGHT), [f"{c}_z" for c in DRAUGHT] + ["odds_diff", "body_weight_diff"]
+    return out(df.withColumns({c: F.col(c) + 1e-10 for c in near}), *(f"{c}_rank" for c in DRAUGHT), *near, digits=4)
+
+
+#: Places that stand for those at four corners.
+CORNERS = ("corner1", "popularity", "horse_no", "finish")
+STYLE_IF = {"front": "corner1 = 1", "near": "corner1 > 1 AND c1 <= 0.3", "mid": "c1 > 0.3 AND c1 <= 0.7", "rear": "c1 > 0.7"}
+
+
+def _styles():
+    """Columns of l40 in SQL: how they are computed, by name, and the digits they are compared at."""
+    last = lambda n: f"OVER (PARTITION BY horse ORDER BY day, race_id ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+    ever = lambda by: f"OVER (PARTITION BY {by} ORDER BY day {EVER})"
+    made = {}
+    for k in ("c1", "c2", "c3", "c4"):
+        for n in (3, 5, 10):
+            made |= {f"{k}_avg{n}": (f"avg({k}) {last(n)}", 9), f"{k}_best{n}": (f"min({k}) {last(n)}", 9), f"{k}_worst{n}": (f"max({k}) {last(n)}", 9), f"{k}_sd{n}": (f"stddev_pop({k}) {last(n)}", 6)}
+        made |= {f"{k}_iqr5": (f"quantile_cont({k}, 0.75) {last(5)} - quantile_cont({k}, 0.25) {last(5)}", 9), f"{k}_last": (f"lag({k}) OVER (PARTITION BY horse ORDER BY day, race_id)", 9)}
+        made |= {f"{k}_{name}": (f"avg({k}) {ever(by)}", 7) for name, by in {"ever": "horse", "surface": "horse, surface", "distance": "horse, distance", "jockey": "jockey"}.items()}
+    for k in STYLE_IF:
+        made |= {f"{k}_share{n}": (f"avg(is_{k}) {last(n)}", 9) for n in (5, 10)} | {f"{k}_share": (f"avg(is_{k}) {ever('horse')}", 7), f"{k}_jockey": (f"avg(is_{k}) {ever('jockey')}", 7), f"{k}_trainer": (f"avg(is_{k}) {ever('trainer')}", 7)}
+        made[f"{k}_sire"] = (f"avg(is_{k}) OVER (PARTITION BY sire ORDER BY month RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING)", 7)
+    total = " + ".join(f"sum(is_{k}) {last(5)}" for k in STYLE_IF)
+    made["style_consistency"] = (f"greatest({', '.join(f'sum(is_{k}) {last(5)}' for k in STYLE_IF)}) / nullif({total}, 0)::DOUBLE", 9)
+    return made
+
+
+STYLE_COLUMNS = _styles()
+STYLE_SQL = (
+    ", a AS (SELECT *, date_trunc('month', race_date)::DATE AS month, " + ", ".join(f"CASE WHEN field_size > 1 THEN ({c} - 1) / (field_size - 1)::DOUBLE END AS c{i}" for i, c in enumerate(CORNERS, 1)) + " FROM e), b AS (SELECT *, " + ", ".join(f"coalesce({cond}, false)::INT AS is_{k}" for k, cond in STYLE_IF.items()) + " FROM a)"
+    + ", m AS (SELECT race_id, horse, " + ", ".join(f"round({x} + 1e-12, {n}) AS {c}" for c, (x, n) in STYLE_COLUMNS.items()) + ", count(*) OVER h AS starts, (day - max(day) OVER h)::INT AS days_since FROM b WINDOW h AS (PARTITION BY horse ORDER BY day " + EVER + "))"
+    + " SELECT *, " + ", ".join(f"rank() OVER (PARTITION BY race_id ORDER BY c{i}_avg5 NULLS LAST)::BIGINT AS c{i}_rank" for i in range(1, 5)) + " FROM m"
+)
+
+
+@query("l40_style_features", STYLE_SQL)
 def l40(spark, d):
-    return out(L.style_features(entries(spark, d)).withColumn("jockey_corner", F.col("jockey_corner") + HAIR), "corner_avg3", "corner_avg10", "corner_iqr", "corner_avg5", "corner_best5", "corner_worst5", "corner_sd5", "last_corner", "lead_share5", "lead_share", "jockey_corner", "style_consistency", corner_sd5=7, jockey_corner=7)
+    df = L.style_features(entries(spark, d), CORNERS)
+    return df.select(*KEY, *(F.round(F.col(c) + HAIR, n).alias(c) for c, (_, n) in STYLE_COLUMNS.items()), "starts", "days_since", *(f"c{i}_rank" for i in range(1, 5)))
 
 
-@query("l41_field_style", "SELECT a.race_id, a.horse, count(*) FILTER (WHERE b.corner1 = 1) AS others_front, 2 * count(*) FILTER (WHERE b.corner1 = 1) + count(*) FILTER (WHERE b.corner1 BETWEEN 2 AND 3) AS pace_index, count(*) FILTER (WHERE b.corner1 BETWEEN 2 AND 3) AS others_stalk, count(b.horse) AS others, round(count(*) FILTER (WHERE b.corner1 = 1) / nullif(count(b.horse), 0)::DOUBLE, 9) AS front_share, round(count(*) FILTER (WHERE b.corner1 BETWEEN 2 AND 3) / nullif(count(b.horse), 0)::DOUBLE, 9) AS stalk_share, round(avg(b.corner1 / b.field_size::DOUBLE), 7) AS others_place, (a.corner1 = 1 AND count(*) FILTER (WHERE b.corner1 BETWEEN 2 AND 3) <= 1)::INT AS front_alone, min(b.corner1) AS others_first, a.corner1 - 1 AS gap_to_front, a.field_size - a.corner1 AS behind FROM e a LEFT JOIN e b ON a.race_id = b.race_id AND a.horse <> b.horse GROUP BY a.race_id, a.horse, a.corner1, a.field_size")
+@query("l41_field_style", "SELECT a.race_id, a.horse, count(*) FILTER (WHERE b.corner1 = 1) AS others_front, 2 * count(*) FILTER (WHERE b.corner1 = 1) + count(*) FILTER (WHERE b.corner1 BETWEEN 2 AND 3) AS pace_index, count(*) FILTER (WHERE b.corner1 BETWEEN 2 AND 3) AS others_stalk, count(b.horse) AS others, round(count(*) FILTER (WHERE b.corner1 = 1) / nullif(count(b.horse), 0)::DOUBLE, 9) AS front_share, round(count(*) FILTER (WHERE b.corner1 BETWEEN 2 AND 3) / nullif(count(b.horse), 0)::DOUBLE, 9) AS stalk_share, round(avg(b.corner1 / b.field_size::DOUBLE), 7) AS others_place, (a.corner1 = 1 AND count(*) FILTER (WHERE b.corner1 BETWEEN 2 AND 3) <= 1)::INT AS front_alone, min(b.corner1) AS others_first, max(b.corner1) AS others_last, count(*) FILTER (WHERE b.corner1 > 3 AND 3 * b.corner1 <= 2 * b.field_size) AS others_mid, count(*) FILTER (WHERE b.corner1 > 3 AND 3 * b.corner1 > 2 * b.field_size) AS others_rear, round(count(*) FILTER (WHERE b.corner1 > 3 AND 3 * b.corner1 <= 2 * b.field_size) / nullif(count(b.horse), 0)::DOUBLE, 9) AS mid_share, round(count(*) FILTER (WHERE b.corner1 > 3 AND 3 * b.corner1 > 2 * b.field_size) / nullif(count(b.horse), 0)::DOUBLE, 9) AS rear_share, round((a.corner1 - 1) / nullif(count(b.horse), 0)::DOUBLE, 9) AS ahead_share, a.corner1 - 1 AS gap_to_front, a.field_size - a.corner1 AS behind FROM e a LEFT JOIN e b ON a.race_id = b.race_id AND a.horse <> b.horse GROUP BY a.race_id, a.horse, a.corner1, a.field_size")
 def l41(spark, d):
-    return out(L.field_style(entries(spark, d)), "others_front", "pace_index", "others_stalk", "others", "front_share", "stalk_share", "others_place", "front_alone", "others_first", "gap_to_front", "behind", others_place=7)
+    return out(L.field_style(entries(spark, d)), "others_front", "pace_index", "others_stalk", "others", "front_share", "stalk_share", "others_place", "front_alone", "others_first", "others_last", "others_mid", "others_rear", "mid_share", "rear_share", "ahead_share", "gap_to_front", "behind", others_place=7)
 
 
-@query("l42_abroad_card", select("(rank() OVER (PARTITION BY race_id ORDER BY age) + (count(*) OVER (PARTITION BY race_id, age) - 1) / 2.0)::DOUBLE AS age_rank", "round((1 / odds) / sum(1 / odds) OVER (PARTITION BY race_id), 9) AS implied_share", "rank() OVER (PARTITION BY race_id ORDER BY odds)::BIGINT AS odds_rank", "rank() OVER (PARTITION BY race_id ORDER BY body_weight DESC)::BIGINT AS body_weight_rank", "rank() OVER (PARTITION BY race_id ORDER BY carried DESC)::BIGINT AS carried_rank", "round(carried - avg(carried) OVER (PARTITION BY race_id), 9) AS carried_diff", "round(body_weight - avg(body_weight) OVER (PARTITION BY race_id), 9) AS body_weight_diff", "round(age - avg(age) OVER (PARTITION BY race_id), 7) AS age_diff", "round(horse_no / field_size::DOUBLE, 9) AS draw", "field_size", "round(ln(odds), 9) AS log_odds", "round(min(odds) OVER (PARTITION BY race_id), 9) AS favourite_odds"))
+@query("l42_abroad_card", select("(rank() OVER (PARTITION BY race_id ORDER BY age) + (count(*) OVER (PARTITION BY race_id, age) - 1) / 2.0)::DOUBLE AS age_rank", "round((1 / odds) / sum(1 / odds) OVER (PARTITION BY race_id), 9) AS implied_share", "rank() OVER (PARTITION BY race_id ORDER BY odds)::BIGINT AS odds_rank", "rank() OVER (PARTITION BY race_id ORDER BY body_weight DESC)::BIGINT AS body_weight_rank", "rank() OVER (PARTITION BY race_id ORDER BY carried DESC)::BIGINT AS carried_rank", "round(carried - avg(carried) OVER (PARTITION BY race_id), 9) AS carried_diff", "round(body_weight - avg(body_weight) OVER (PARTITION BY race_id), 9) AS body_weight_diff", "round(age - avg(age) OVER (PARTITION BY race_id), 7) AS age_diff", "round(horse_no / field_size::DOUBLE, 9) AS draw", "field_size", "round(ln(odds), 9) AS log_odds", "round(min(odds) OVER (PARTITION BY race_id), 9) AS favourite_odds", "round(max(odds) OVER (PARTITION BY race_id), 9) AS outsider_odds", "round((1 / odds) / sum(1 / odds) OVER (PARTITION BY race_id) - 1 / field_size::DOUBLE, 9) AS implied_edge", *(f"round(CASE WHEN stddev_pop({c}) OVER (PARTITION BY race_id) > 0 THEN ({c} - avg({c}) OVER (PARTITION BY race_id)) / stddev_pop({c}) OVER (PARTITION BY race_id) END + 1e-10, 4) AS {c}_z" for c in ("age", "carried", "body_weight", "odds"))))
 def l42(spark, d):
-    return out(L.abroad_card(entries(spark, d)), "age_rank", "implied_share", "odds_rank", "body_weight_rank", "carried_rank", "carried_diff", "body_weight_diff", "age_diff", "draw", "field_size", "log_odds", "favourite_odds", age_diff=7)
+    z = [f"{c}_z" for c in ("age", "carried", "body_weight", "odds")]
+    return out(L.abroad_card(entries(spark, d)).withColumns({c: F.col(c) + 1e-10 for c in z}), *z, "outsider_odds", "implied_edge", "age_rank", "implied_share", "odds_rank", "body_weight_rank", "carried_rank", "carried_diff", "body_weight_diff", "age_diff", "draw", "field_size", "log_odds", "favourite_odds", age_diff=7, **dict.fromkeys(z, 4))
 
 
 @query("l43_past_results", "SELECT t.horse, h.race_id, h.race_date, h.finish FROM (SELECT DISTINCT horse FROM e WHERE race_date = (SELECT max(race_date) FROM e)) t JOIN e h ON t.horse = h.horse AND h.race_date < (SELECT max(race_date) FROM e)")
@@ -293,30 +353,48 @@ def l44(spark, d):
     return J.with_placeholders(J.focus(one, horses, ["horse"]), horses, ["horse"])
 
 
-@query("l45_heatmap", ", t AS (SELECT * FROM e WHERE race_date >= DATE '2001-07-01'), h AS (SELECT * FROM e WHERE race_date < DATE '2001-07-01'), j AS (SELECT jockey, avg((finish = 1)::INT) AS r FROM h GROUP BY jockey), s AS (SELECT sire, avg((finish = 1)::INT) AS r FROM h GROUP BY sire), o AS (SELECT owner, avg((finish = 1)::INT) AS r FROM h GROUP BY owner) SELECT race_id, horse, round(j.r, 9) AS jockey_rate, round(s.r, 9) AS sire_rate, round(o.r, 9) AS owner_rate FROM t LEFT JOIN j USING (jockey) LEFT JOIN s USING (sire) LEFT JOIN o USING (owner)")
-def l45(spark, d):
-    e = entries(spark, d)
-    past, df = e.where("race_date < '2001-07-01'"), e.where("race_date >= '2001-07-01'")
-    for role in ("jockey", "sire", "owner"):
-        df = J.attach(df, past.groupBy(role).agg(F.round(M.rate(F.col("finish") == 1), 9).alias(f"{role}_rate")), [role])
-    return df.select(*KEY, "jockey_rate", "sire_rate", "owner_rate")
+FRAME, KILOS = "least(horse_no, 8)", "CASE WHEN body_weight < 410 THEN 0 WHEN body_weight < 430 THEN 1 ELSE 2 END"
 
 
-@query("l46_horse_series", "SELECT horse, count(*) AS points, string_agg(body_weight::INT::VARCHAR, ',' ORDER BY day, race_id) AS weights FROM e WHERE race_date >= DATE '2000-01-01' GROUP BY horse")
-def l46(spark, d):
-    points = F.array_sort(F.collect_list(F.struct("day", "race_id", F.col("body_weight").cast("int").cast("string").alias("v"))))
-    return entries(spark, d).where("race_date >= '2000-01-01'").groupBy("horse").agg(F.count("*").alias("points"), F.array_join(F.transform(points, lambda x: x["v"]), ",").alias("weights"))
+@query("l45_heatmap", select(*(rate(w, f"{w}_rate") for w in ("jockey", "trainer", "owner", "sire", "damsire")), rate(f"jockey, {FRAME}", "jockey_frame_rate"), rate(FRAME, "frame_rate"), rate(KILOS, "weight_rate")))
+def l45(spark, d):
+    return out(L.heatmap(entries(spark, d)), "jockey_rate", "trainer_rate", "owner_rate", "sire_rate", "damsire_rate", "jockey_frame_rate", "frame_rate", "weight_rate")
 
 
-@query("l29_similar_race", """, t AS (SELECT DISTINCT race_id AS key_id, venue, distance, day FROM e WHERE race_date >= DATE '2001-07-01'),
-w AS (SELECT race_id, venue, distance, day, time, odds FROM e WHERE finish = 1),
-c AS (SELECT t.key_id, count(*) FILTER (WHERE w.venue = t.venue) AS n0 FROM t JOIN w ON w.day < t.day AND w.distance = t.distance GROUP BY t.key_id),
-p AS (SELECT t.key_id, t.day AS td, w.day, w.time, w.odds, row_number() OVER (PARTITION BY t.key_id ORDER BY w.day DESC, w.race_id) AS rn FROM t JOIN c USING (key_id) JOIN w ON w.day < t.day AND w.distance = t.distance AND (n0 < 30 OR w.venue = t.venue))
-SELECT key_id, count(*) AS matches, round(sum(time * exp(-0.001 * (td - day))) / sum(exp(-0.001 * (td - day))), 9) AS time_mean, round(sum(odds * exp(-0.001 * (td - day))) / sum(exp(-0.001 * (td - day))), 9) AS odds_mean FROM p WHERE rn <= 200 GROUP BY key_id""")
+@query("l46_horse_series", ", s AS (SELECT *, row_number() OVER (PARTITION BY horse ORDER BY day DESC, race_id DESC) = 1 AS upcoming, body_weight::INT AS kg, lag(body_weight::INT) OVER (PARTITION BY horse ORDER BY day, race_id) AS before FROM e) SELECT horse, count(*) AS points, string_agg(kg::VARCHAR, ',' ORDER BY day, race_id) AS weights, string_agg(coalesce((kg - before)::VARCHAR, ''), ',' ORDER BY day, race_id) AS deltas, string_agg(CASE WHEN upcoming THEN '' ELSE finish::VARCHAR END, ',' ORDER BY day, race_id) AS finishes, string_agg(CASE WHEN upcoming THEN '' ELSE round(time * 100)::INT::VARCHAR END, ',' ORDER BY day, race_id) AS centiseconds, string_agg((kg + round(carried)::INT)::VARCHAR, ',' ORDER BY day, race_id) AS combined FROM s GROUP BY horse")
+def l46(spark, d):
+    """A horse's series in order; its newest race stands for the upcoming one: a point with weights, without results."""
+    w = W.partitionBy("horse").orderBy("day", "race_id")
+    kg = F.col("body_weight").cast("int")
+    s = entries(spark, d).withColumns({"kg": kg, "before": F.lag(kg).over(w), "upcoming": F.lead("race_id").over(w).isNull()})
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    point = F.struct("day", "race_id", text(F.col("kg")).alias("weights"), text(F.col("kg") - F.col("before")).alias("deltas"), text(F.when(~F.col("upcoming"), F.col("finish"))).alias("finishes"), text(F.when(~F.col("upcoming"), F.round(F.col("time") * 100).cast("int"))).alias("centiseconds"), text(F.col("kg") + F.round("carried").cast("int")).alias("combined"))
+    t = s.groupBy("horse").agg(F.count("*").alias("points"), F.array_sort(F.collect_list(point)).alias("p"))
+    joined = lambda c: F.array_join(F.transform("p", lambda x: x[c]), ",").alias(c)
+    return t.select("horse", "points", *map(joined, ("weights", "deltas", "finishes", "centiseconds", "combined")))
+
+
+POOL = ("time", "odds", "popularity", "corner1", "body_weight", "carried", "age", "horse_no", "last3f")
+SHARES = {"favourite_won": "popularity = 1", "leader_won": "corner1 = 1", "inside_won": "horse_no = 1"}
+
+
+@query("l29_similar_race", """, t AS (SELECT DISTINCT race_id AS key_id, venue, distance, class, surface, day FROM e),
+w AS (SELECT * FROM e WHERE finish = 1),
+c AS (SELECT t.key_id, count(*) FILTER (WHERE w.venue = t.venue AND w.class = t.class) AS n0, count(*) FILTER (WHERE w.venue = t.venue) AS n1, count(*) FILTER (WHERE w.surface = t.surface) AS n2 FROM t JOIN w ON w.distance = t.distance AND w.day < t.day AND w.day >= t.day - 1500 GROUP BY t.key_id),
+l AS (SELECT t.*, CASE WHEN n0 >= 30 THEN 0 WHEN n1 >= 30 THEN 1 WHEN n2 >= 30 THEN 2 ELSE 3 END AS level FROM t LEFT JOIN c USING (key_id)),
+p AS (SELECT l.key_id, level, w.* EXCLUDE (day), l.day - w.day AS back, exp(-0.001 * (l.day - w.day)) AS g, row_number() OVER (PARTITION BY key_id ORDER BY w.day DESC, w.race_id) AS rn FROM l LEFT JOIN w ON w.distance = l.distance AND w.day < l.day AND w.day >= l.day - 1500 AND CASE level WHEN 0 THEN w.venue = l.venue AND w.class = l.class WHEN 1 THEN w.venue = l.venue WHEN 2 THEN w.surface = l.surface ELSE true END)
+SELECT key_id, level, count(race_id) AS matches, min(back)::INT AS days_since, round(avg(back) + 1e-9, 6) AS days_mean, """ + ", ".join(f"round(sum({c} * g) / sum(g), 8) AS {c}_mean" for c in POOL) + ", " + ", ".join(f"round(sum(({x})::INT * g) / sum(g), 8) AS {n}" for n, x in SHARES.items()) + """, round(stddev_pop(time) + 1e-9, 6) AS time_sd, round(stddev_pop(odds) + 1e-9, 6) AS odds_sd, round(CASE WHEN stddev_pop(odds) > 1e-6 AND stddev_pop(time) > 1e-6 THEN corr(time, odds) END, 4) AS time_odds FROM p WHERE rn <= 200 GROUP BY ALL""")
 def l29(spark, d):
+    """The pool of similar earlier races of every race (J16's levels and look-back), and what their winners were like: newer races weigh more."""
     e = entries(spark, d)
-    targets = e.where("race_date >= '2001-07-01'").select(F.col("race_id").alias("key_id"), "venue", "distance", "day").distinct()
-    pool = J.fallback_match(targets, e.where("finish = 1").select("race_id", "venue", "distance", "day", "time", "odds"), [["venue", "distance"], ["distance"]], ties=["race_id"])
-    pool = pool.join(targets.select("key_id", F.col("day").alias("td")), "key_id")
+    targets = e.select(F.col("race_id").alias("key_id"), "venue", "distance", "class", "surface", "day").distinct()
+    winners = e.where("finish = 1").select("race_id", "venue", "class", "surface", "distance", "day", *POOL)
+    pool = J.fallback_match(targets, winners, [["venue", "distance", "class"], ["venue", "distance"], ["distance", "surface"], ["distance"]], ties=["race_id"], look_back=1500)
     age = F.col("td") - F.col("h_day")
-    return pool.groupBy("key_id").agg(F.count("h_race_id").alias("matches"), F.round(M.decay_mean(F.col("h_time"), age), 9).alias("time_mean"), F.round(M.decay_mean(F.col("h_odds"), age), 9).alias("odds_mean"))
+    pool = pool.join(targets.select("key_id", F.col("day").alias("td")), "key_id")
+    mean = lambda c: F.round(M.decay_mean(c, age), 8)
+    return pool.groupBy("key_id", "level").agg(
+        F.count("h_race_id").alias("matches"), F.min(age).cast("int").alias("days_since"), F.round(F.avg(age) + 1e-9, 6).alias("days_mean"), *(mean(F.col(f"h_{c}")).alias(f"{c}_mean") for c in POOL),
+        *(mean(F.expr(x.replace(x.split()[0], f"h_{x.split()[0]}")).cast("int")).alias(n) for n, x in SHARES.items()), F.round(F.stddev_pop("h_time") + 1e-9, 6).alias("time_sd"), F.round(F.stddev_pop("h_odds") + 1e-9, 6).alias("odds_sd"),
+        F.round(F.when((F.stddev_pop("h_odds") > 1e-6) & (F.stddev_pop("h_time") > 1e-6), F.corr("h_time", "h_odds")), 4).alias("time_odds"),
+    )
