@@ -35,13 +35,13 @@ def show() -> Column:
     return (F.col("finish") <= 3).cast("int")
 
 
-def prior_rates(df: DataFrame, cells: dict[str, Sequence[str]], hit: Column | None = None) -> DataFrame:
-    """<name>: the hit rate of each cell (entity and equal context) over earlier days."""
-    hit = win() if hit is None else hit
+def prior_rates(df: DataFrame, cells: dict[str, Sequence[str]], hit: Column | None = None, base: DataFrame | None = None) -> DataFrame:
+    """<name>: the hit rate of each cell (entity and equal context) over earlier days. base: as in grain_rate."""
+    hit, base = win() if hit is None else hit, df if base is None else base
     df = df.withColumns({name: F.avg(hit).over(H.before(*cell)) for name, cell in cells.items() if not FEW & set(cell) or set(cell) & MANY})
     for name, cell in cells.items():
         if FEW & set(cell) and not set(cell) & MANY:
-            df = grain_rate(df, cell, name, hit=hit)
+            df = grain_rate(df, cell, name, hit=hit, base=base)
     return df
 
 
@@ -65,9 +65,10 @@ def career(df: DataFrame) -> DataFrame:
 
 def jockey_trainer(df: DataFrame) -> DataFrame:
     """L3: rates of the jockey (13 columns) and of the trainer (7): overall, 60 days, venue, distance, surface, class, season, pairs."""
-    df = grain_rate(df.withColumn("_season", S.season("race_date")), ["trainer"], "trainer_60d", days=60)
+    df = base = df.withColumn("_season", S.season("race_date"))
+    df = grain_rate(df, ["trainer"], "trainer_60d", days=60)
     context = {"venue": "venue", "distance": "distance", "surface": "surface", "class": "class", "season": "_season"}
-    df = prior_rates(df, {"jockey_win_rate": ["jockey"], "trainer_win_rate": ["trainer"]} | {f"{who}_{name}": [who, c] for who in ("jockey", "trainer") for name, c in context.items()})
+    df = prior_rates(df, {"jockey_win_rate": ["jockey"], "trainer_win_rate": ["trainer"]} | {f"{who}_{name}": [who, c] for who in ("jockey", "trainer") for name, c in context.items()}, base=base)
     df = prior_rates(df, {"pair_win_rate": ["jockey", "horse"], "jockey_with_trainer": ["jockey", "trainer"], "jockey_with_owner": ["jockey", "owner"]})
     w = H.before("jockey")
     return df.withColumns({"jockey_60d": F.avg(win()).over(H.last_days("jockey", days=60)), "jockey_show_rate": F.avg(show()).over(w), "jockey_starts": F.count("*").over(w), "jockey_wins": F.count_if(F.col("finish") == 1).over(w)}).drop("_season")
@@ -75,9 +76,9 @@ def jockey_trainer(df: DataFrame) -> DataFrame:
 
 def pedigree(df: DataFrame, least: int = 5) -> DataFrame:
     """L4: sire and damsire by 400 m band and by surface, from `least` starts; their mean over three."""
-    df = df.withColumn("_band", F.floor(F.col("distance") / 400))
+    df = base = df.withColumn("_band", F.floor(F.col("distance") / 400))
     for name, cell in {"sire_band": ["sire", "_band"], "sire_surface": ["sire", "surface"], "damsire_band": ["damsire", "_band"]}.items():
-        df = grain_rate(df, cell, name, least - 1)
+        df = grain_rate(df, cell, name, least - 1, base=base)
     return df.withColumn("pedigree", (F.coalesce("sire_band", F.lit(0.0)) + F.coalesce("sire_surface", F.lit(0.0)) + F.coalesce("damsire_band", F.lit(0.0))) / 3).drop("_band")
 
 
@@ -85,7 +86,7 @@ def track_bias(df: DataFrame) -> DataFrame:
     """Shares of inside and of front winners at the venue in the last 5 days; 0 without history."""
     inside = (F.col("finish") == 1) & (2 * F.col("horse_no") <= F.col("field_size") + 1)
     front = (F.col("finish") == 1) & (F.coalesce(S.norm_position("corner1", "field_size"), F.lit(0.0)) <= 0.33)
-    df = grain_rate(grain_rate(df, ["venue"], "inside_bias", hit=inside.cast("int"), days=5), ["venue"], "front_bias", hit=front.cast("int"), days=5)
+    df = grain_rate(grain_rate(df, ["venue"], "inside_bias", hit=inside.cast("int"), days=5), ["venue"], "front_bias", hit=front.cast("int"), days=5, base=df)
     return df.fillna(0.0, ["inside_bias", "front_bias"])
 
 
@@ -193,7 +194,7 @@ def draught_class(df: DataFrame) -> DataFrame:
     """Rates by bucket of carried weight (times ten, in kg)."""
     kg = F.col("carried") * 10
     df = df.withColumn("_b", F.when(kg < 500, 0).when(kg < 550, 1).when(kg < 600, 2).otherwise(3))
-    return grain_rate(prior_rates(df, {"bucket_rate": ["horse", "_b"]}), ["_b"], "bucket_rate_all").drop("_b")
+    return grain_rate(prior_rates(df, {"bucket_rate": ["horse", "_b"]}), ["_b"], "bucket_rate_all", base=df).drop("_b")
 
 
 def draught_grade(df: DataFrame) -> DataFrame:
@@ -212,12 +213,12 @@ def draught_internal(df: DataFrame, cols: Sequence[str] = ("odds", "carried", "b
 def cells(df: DataFrame, prior: float = 0.0707) -> DataFrame:
     """Four cells (jockey by sire and band, by damsire, by venue; sire by band): starts, wins, a rate shrunk to the jockey's own
     (the sire's to the prior), and its average-tie rank in the race. Earlier races count, those of the same day included."""
-    df = df.withColumn("_band", S.band("distance", "pedigree"))
+    df = base = df.withColumn("_band", S.band("distance", "pedigree"))
     ahead = lambda *cell: W.partitionBy(*cell).orderBy(H.race_number()).rangeBetween(W.unboundedPreceding, -1)
     keys = {"own": ["jockey"], "cell": ["jockey", "sire", "_band"], "pair": ["jockey", "damsire"], "local": ["jockey", "venue"]}
     for name, by in keys.items():
         df = df.withColumns({f"{name}_n": F.count("*").over(ahead(*by)), f"{name}_w": F.count_if(F.col("finish") == 1).over(ahead(*by))})
-    line = H.race_order(df, ["sire", "_band"], ["day", "race_id"], line_n=F.count("*"), line_w=F.sum(win()))
+    line = H.race_order(base, ["sire", "_band"], ["day", "race_id"], line_n=F.count("*"), line_w=F.sum(win()))
     df = df.join(line, ["sire", "_band", "day", "race_id"])
     own = M.eb_rate(F.col("own_w"), F.col("own_n"), F.lit(prior), 30)
     df = df.withColumn("own_rate", own)
@@ -229,13 +230,13 @@ def cells(df: DataFrame, prior: float = 0.0707) -> DataFrame:
 
 def fade(df: DataFrame) -> DataFrame:
     """Of horse, jockey, trainer and owner: starts, shares of unplaced runs ever, in 60 and in 365 days; the last five of the horse."""
-    lost = (F.col("finish") > 3).cast("int")
+    lost, base = (F.col("finish") > 3).cast("int"), df
     for who in ("horse", "jockey", "owner"):
         w = H.before(who)
         df = df.withColumns({f"{who}_fade": F.avg(lost).over(w), f"{who}_starts": F.count("*").over(w)} | {f"{who}_fade_{n}d": F.avg(lost).over(H.last_days(who, days=n)) for n in (60, 365)})
-    ever = H.day_grain(df, ["trainer"], _n=F.count("*"), _w=F.sum(lost))
+    ever = H.day_grain(base, ["trainer"], _n=F.count("*"), _w=F.sum(lost))
     for n in (60, 365):
-        ever = ever.join(H.day_grain(df, ["trainer"], days=n, _sn=F.count("*"), _sw=F.sum(lost)), ["trainer", "day"]).withColumn(f"trainer_fade_{n}d", F.try_divide("_sw", "_sn")).drop("_sn", "_sw")
+        ever = ever.join(H.day_grain(base, ["trainer"], days=n, _sn=F.count("*"), _sw=F.sum(lost)), ["trainer", "day"]).withColumn(f"trainer_fade_{n}d", F.try_divide("_sw", "_sn")).drop("_sn", "_sw")
     df = df.join(ever.withColumn("trainer_fade", F.try_divide("_w", "_n")).withColumnRenamed("_n", "trainer_starts").drop("_w"), ["trainer", "day"])
     return H.last_n(df, ["horse"], 5, fade5=F.avg(lost))
 
@@ -254,20 +255,23 @@ def locality(df: DataFrame) -> DataFrame:
     return df.withColumns({"venue_share": F.try_divide(F.count("*").over(H.before("horse", "venue")), F.nullif(F.count("*").over(w), F.lit(0))), "venues": F.size(F.collect_set("venue").over(w)).cast("long")})
 
 
-def grain_rate(df: DataFrame, entity: Sequence[str], name: str, least: int = 0, hit: Column | None = None, days: int | None = None) -> DataFrame:
-    """Earlier-day rate of an entity by way of one row per entity and day (A41); null up to `least` starts. A null hit is no start."""
+def grain_rate(df: DataFrame, entity: Sequence[str], name: str, least: int = 0, hit: Column | None = None, days: int | None = None, base: DataFrame | None = None) -> DataFrame:
+    """Earlier-day rate of an entity by way of one row per entity and day (A41); null up to `least` starts. A null hit is no start.
+
+    base: the runners before any layer was added. Rates counted on it keep a chain of layers linear: each rate of df itself would plan df twice.
+    """
     hit = win() if hit is None else hit
-    t = H.day_grain(df, entity, days=days, _n=F.count(hit), _w=F.sum(hit))
+    t = H.day_grain(df if base is None else base, entity, days=days, _n=F.count(hit), _w=F.sum(hit))
     df = df.join(t, [*entity, "day"])
     return df.withColumn(name, F.when(F.col("_n") > least, F.try_divide(F.col("_w"), F.col("_n")))).drop("_n", "_w")
 
 
 def going_pedigree(df: DataFrame) -> DataFrame:
     """For sire and damsire: starts, win and show rate on today's going, and how far the win rate is from that on all goings."""
-    df = df.withColumn("going_code", (F.col("day") % 3).cast("int"))
+    df = base = df.withColumn("going_code", (F.col("day") % 3).cast("int"))
     for role in ("sire", "damsire"):
-        on = H.day_grain(df, [role, "going_code"], _gn=F.count("*"), _gw=F.sum(win()), _gs=F.sum(show()))
-        df = grain_rate(df.join(on, [role, "going_code", "day"]), [role], "_all")
+        on = H.day_grain(base, [role, "going_code"], _gn=F.count("*"), _gw=F.sum(win()), _gs=F.sum(show()))
+        df = grain_rate(df.join(on, [role, "going_code", "day"]), [role], "_all", base=base)
         rate = F.try_divide("_gw", "_gn")
         df = df.withColumns({f"{role}_going": rate, f"{role}_going_show": F.try_divide("_gs", "_gn"), f"{role}_going_n": F.col("_gn"), f"{role}_going_edge": rate - F.col("_all")}).drop("_gn", "_gw", "_gs", "_all")
     return df
@@ -275,7 +279,7 @@ def going_pedigree(df: DataFrame) -> DataFrame:
 
 def trainer_affinity(df: DataFrame) -> DataFrame:
     """A trainer's rate in today's class, and in this distance at this venue."""
-    return grain_rate(grain_rate(df, ["trainer", "class"], "trainer_class"), ["trainer", "venue", "distance"], "trainer_target")
+    return grain_rate(grain_rate(df, ["trainer", "class"], "trainer_class"), ["trainer", "venue", "distance"], "trainer_target", base=df)
 
 
 def sire_venue(df: DataFrame) -> DataFrame:
@@ -326,7 +330,7 @@ def style_features(df: DataFrame, corners: Sequence[str] = ("corner1",)) -> Data
     surface, at this distance, of the jockey, the last place and the rank of the mean in the race; shares of the four styles (by the first corner)
     over 5 and 10 runs, ever, of the jockey, the trainer and (over earlier months) the sire; consistency, starts, days since."""
     places = {f"c{i}": S.norm_position(c, "field_size") for i, c in enumerate(corners, 1)}
-    df = df.withColumns({f"_{k}": v for k, v in places.items()})
+    df = base = df.withColumns({f"_{k}": v for k, v in places.items()})
     first = F.col(corners[0])
     kinds = dict(zip(STYLES, (first == 1, (first > 1) & (F.col("_c1") <= 0.3), (F.col("_c1") > 0.3) & (F.col("_c1") <= 0.7), F.col("_c1") > 0.7)))
     kinds = {k: F.coalesce(v, F.lit(False)).cast("int") for k, v in kinds.items()}
@@ -344,9 +348,9 @@ def style_features(df: DataFrame, corners: Sequence[str] = ("corner1",)) -> Data
     for name, by in {"surface": ["horse", "surface"], "distance": ["horse", "distance"], "jockey": ["jockey"]}.items():
         df = df.withColumns({f"{k}_{name}": F.avg(f"_{k}").over(H.before(*by)) for k in places})
     df = df.withColumns({f"{k}_jockey": F.avg(hit).over(H.before("jockey")) for k, hit in kinds.items()})
-    trainer = H.day_grain(df, ["trainer"], _n=F.count("*"), **{f"_{k}": F.sum(hit) for k, hit in kinds.items()})
+    trainer = H.day_grain(base, ["trainer"], _n=F.count("*"), **{f"_{k}": F.sum(hit) for k, hit in kinds.items()})
     df = df.join(trainer.select("trainer", "day", *(F.try_divide(f"_{k}", "_n").alias(f"{k}_trainer") for k in kinds)), ["trainer", "day"])
-    sire = H.monthly_cumulative(df, ["sire"], _n=F.count("*"), **{f"_{k}": F.sum(hit) for k, hit in kinds.items()})
+    sire = H.monthly_cumulative(base, ["sire"], _n=F.count("*"), **{f"_{k}": F.sum(hit) for k, hit in kinds.items()})
     df = df.withColumn("month", F.trunc("race_date", "month")).join(sire.select("sire", "month", *(F.try_divide(f"_{k}", "_n").alias(f"{k}_sire") for k in kinds)), ["sire", "month"]).drop("month")
     df = R.rank_in_race(df.withColumns({f"_{k}_avg5": F.round(f"{k}_avg5", 9) for k in places}), {f"_{k}_avg5": False for k in places})
     df = df.withColumnsRenamed({f"_{k}_avg5_rank": f"{k}_rank" for k in places})
@@ -358,9 +362,10 @@ def style_features(df: DataFrame, corners: Sequence[str] = ("corner1",)) -> Data
 def heatmap(df: DataFrame) -> DataFrame:
     """A row per runner with the earlier win rate of each of its entities: people, ancestors, frame, weight class."""
     kinds = {"frame": F.least(F.col("horse_no"), F.lit(8)), "weight": S.weight_class("body_weight", {"light": 410, "middle": 430}, "heavy")}
-    df = prior_rates(df.withColumns({f"_{k}": c for k, c in kinds.items()}), {f"{who}_rate": [who] for who in ("jockey", "trainer", "owner", "sire", "damsire")} | {"jockey_frame_rate": ["jockey", "_frame"]})
+    df = base = df.withColumns({f"_{k}": c for k, c in kinds.items()})
+    df = prior_rates(df, {f"{who}_rate": [who] for who in ("jockey", "trainer", "owner", "sire", "damsire")} | {"jockey_frame_rate": ["jockey", "_frame"]}, base=base)
     for k in kinds:
-        df = grain_rate(df, [f"_{k}"], f"{k}_rate")
+        df = grain_rate(df, [f"_{k}"], f"{k}_rate", base=base)
     return df.drop(*(f"_{k}" for k in kinds))
 
 
