@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 BANDS = {
     "cells": ((1400, "sprint"), (1800, "mile"), (2200, "middle"), (2800, "long"), (None, "extended")),
     "similar": ((1300, "short"), (1700, "mile"), (2200, "middle"), (None, "long")),
+    "field": ((3, "small"), (6, "middle"), (None, "large")),
     "pedigree": ((1399, "short"), (1799, "mile"), (2199, "middle"), (None, "long")),
 }
 # Odds strings: stride, widths of the fields.
@@ -142,6 +143,12 @@ def entropy(*ps: str | Column) -> Column:
     return -sum((_c(p) * F.log(_c(p) + 1e-9) for p in ps[1:]), _c(ps[0]) * F.log(_c(ps[0]) + 1e-9))
 
 
+def softmax_of(scores: Sequence[Column]) -> Column:
+    """An array of the scores' softmax."""
+    powers = [F.exp(x) for x in scores]
+    return F.array(*(p / sum(powers[1:], powers[0]) for p in powers))
+
+
 def distance(a: str | Column, b: str | Column) -> Column:
     """Euclidean distance of two arrays."""
     return F.sqrt(F.aggregate(F.zip_with(_c(a), _c(b), lambda x, y: F.pow(x.cast("double") - y.cast("double"), 2)), F.lit(0.0), lambda s, x: s + x))

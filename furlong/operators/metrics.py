@@ -159,3 +159,43 @@ def bootstrap_bound(df: DataFrame, delta: str, key: str, replicates: int = 200,
     weight = sum(((u > s).cast("int") for s in steps), F.lit(0))
     sums = df.select(key, delta, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).groupBy("replicate").agg(F.try_divide(F.sum(weight * F.col(delta)), F.sum(weight)).alias("mean"))
     return sums.agg(F.percentile("mean", F.lit(quantile)).alias("lower"), F.avg("mean").alias("mean"))
+
+
+def trend(df: DataFrame, options: Sequence[Sequence[str]], finish: str, market: str, order: Sequence[str] = ("day", "race_id")) -> DataFrame:
+    """Starts, win rate, median market place of the placed and the newest race by each choice of dimensions (A33). The row's other dimensions
+    are null and `option` numbers the choice. A finish of 0 has no result yet: it counts as a start, never in a rate."""
+    dims = list(dict.fromkeys(c for o in options for c in o))
+    rows = df.withColumn("option", F.explode(F.array(*(F.lit(i) for i in range(len(options))))))
+    rows = rows.withColumns({f"_{c}": F.when(F.col("option").isin([i for i, o in enumerate(options) if c in o]), F.col(c)) for c in dims})
+    f = F.col(finish)
+    t = rows.groupBy("option", *(f"_{c}" for c in dims)).agg(
+        F.count("*").alias("starts"), F.count_if(f > 0).alias("ranked"), rate(f == 1, f > 0).alias("win_rate"), F.percentile(F.when(f.between(1, 3), F.col(market)), F.lit(0.5)).alias("market_median"), F.max(F.struct(*order)).alias("_newest")
+    )
+    return t.withColumnsRenamed({f"_{c}": c for c in dims}).withColumn("newest", F.col("_newest")[order[-1]]).drop("_newest")
+
+
+def trend_score(df: DataFrame, conditions: Sequence[str], score: str) -> DataFrame:
+    """Sum of a run's score times ln(1 + n) per condition and its value (A35): condition, id, score."""
+    rows = unpivot_dims(df, conditions, [score])
+    return rows.groupBy(F.col("dimension").alias("condition"), F.col("bucket").alias("id")).agg((F.sum(score) * F.log(1 + F.count("*"))).alias("score"))
+
+
+def payout_eval(plans: DataFrame, results: DataFrame, by: Sequence[str], stake: int = 100) -> DataFrame:
+    """plans: race_id, picks (combinations, texts of 4 digits). results: race_id, by, packed (winning combination and 8 digits of payout).
+    Per group: races, bets, races whose winner was covered, coverage, return rate (A45). A race without a plan has no bets."""
+    j = results.join(plans, "race_id", "left").withColumns({"_won": F.coalesce(F.array_contains("picks", F.substring("packed", 1, 4)), F.lit(False)), "_paid": F.substring("packed", 5, 8).cast("long"), "_n": F.coalesce(F.size("picks"), F.lit(0))})
+    t = j.groupBy(*by).agg(F.count("*").alias("races"), F.sum("_n").alias("bets"), F.count_if("_won").alias("covered"), F.sum(F.when(F.col("_won"), F.col("_paid")).otherwise(0)).alias("paid"))
+    return t.withColumns({"coverage": F.col("covered") / F.col("races"), "return_rate": F.try_divide("paid", F.col("bets") * stake)})
+
+
+def form_summary(df: DataFrame, who: Sequence[str]) -> DataFrame:
+    """Starts, wins, rates, best finish, mean odds and last day of each entity."""
+    f = F.col("finish")
+    return df.groupBy(*who).agg(F.count("*").alias("starts"), F.count_if(f == 1).alias("wins"), rate(f == 1).alias("win_rate"), rate(f <= 3).alias("show_rate"), F.min("finish").alias("best_finish"), F.avg("odds").alias("odds_mean"), F.max("day").alias("last_day"))
+
+
+def drift(df: DataFrame, metric: str, trained_to: int, year: str = "race_year", most: float = 0.02) -> DataFrame:
+    """Mean of the metric by year, its change, whether the model was trained on the year, and whether such a year is better than the mean of the others by more than `most`: a leak."""
+    by = df.groupBy(year).agg(F.avg(metric).alias("rate"))
+    trained = F.col(year) <= trained_to
+    return by.withColumns({"change": F.col("rate") - F.lag("rate").over(W.orderBy(year)), "trained": trained, "leak": F.coalesce(trained & (F.col("rate") - F.avg(F.when(~trained, F.col("rate"))).over(W.partitionBy(F.lit(0))) > most), F.lit(False))})

@@ -57,6 +57,15 @@ def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str]) -> DataFr
     return updates.unionByName(J.without(target, updates, keys), allowMissingColumns=True)
 
 
+def write_report(target: DataFrame, updates: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """What an upsert would do, in one row: inserted, unchanged, filled (a field was null), conflicts (a known field changes), conflicting fields (Q5)."""
+    t = target.select(*keys, F.struct(*fields).alias("_t"))
+    j = updates.select(*keys, F.struct(*fields).alias("_u")).join(t, list(keys), "left")
+    clash = sum((F.when(F.col("_t")[c].isNotNull() & ~F.col("_t")[c].eqNullSafe(F.col("_u")[c]), 1).otherwise(0) for c in fields), F.lit(0))
+    kind = F.when(F.col("_t").isNull(), "inserted").when(F.col("_t").eqNullSafe(F.col("_u")), "unchanged").when(clash == 0, "filled").otherwise("conflict")
+    return j.select(kind.alias("k"), clash.alias("c")).agg(*(F.count_if(F.col("k") == k).alias(n) for k, n in (("inserted", "inserted"), ("unchanged", "unchanged"), ("filled", "filled"), ("conflict", "conflicts"))), F.coalesce(F.sum(F.when(F.col("k") == "conflict", F.col("c"))), F.lit(0)).alias("conflicting_fields"))
+
+
 def insert_missing(target: DataFrame, updates: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of target, and those of updates whose key it lacks."""
     return target.unionByName(J.without(updates, target, keys), allowMissingColumns=True)
@@ -74,10 +83,11 @@ def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def parity(a: DataFrame, b: DataFrame, keys: Sequence[str], classes: Sequence[str], tolerance: float) -> DataFrame:
-    """Largest absolute difference per class, agreement of the largest class, rows beyond the tolerance (Q11)."""
+    """Largest absolute difference per class, agreement of the largest class, rows beyond the tolerance, largest difference of the sums of classes (Q11)."""
     j = a.select(*keys, F.array(*classes).alias("x")).join(b.select(*keys, F.array(*classes).alias("y")), list(keys))
     diff = F.zip_with("x", "y", lambda p, q: F.abs(p - q))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
     return j.agg(
         *(F.max(F.abs(F.col("x")[i] - F.col("y")[i])).alias(f"max_{c}") for i, c in enumerate(classes)),
-        F.avg((F.array_position("x", F.array_max("x")) == F.array_position("y", F.array_max("y"))).cast("int")).alias("agreement"), F.count_if(F.array_max(diff) > tolerance).alias("beyond"), F.count("*").alias("rows"),
+        F.avg((F.array_position("x", F.array_max("x")) == F.array_position("y", F.array_max("y"))).cast("int")).alias("agreement"), F.count_if(F.array_max(diff) > tolerance).alias("beyond"), F.max(F.abs(total("x") - total("y"))).alias("sum_gap"), F.count("*").alias("rows"),
     )

@@ -104,3 +104,12 @@ def streak(df: DataFrame, hit: Column, entity: Sequence[str], order: Sequence[st
     df = df.withColumn("_at", F.row_number().over(w))
     missed = F.max(F.when(~hit, F.col("_at"))).over(past)
     return df.withColumn(name, (F.col("_at") - 1 - F.coalesce(missed, F.lit(0))).cast("long")).drop("_at")
+
+
+def streak_capped(df: DataFrame, hit: Column, entity: Sequence[str], n: int = 5, order: Sequence[str] = ("day", "race_id"), name: str = "streak") -> DataFrame:
+    """The streak as the last n rows show it, so never more than n (W12): the newest miss among them ends it."""
+    w = W.partitionBy(*entity).orderBy(*order)
+    df = df.withColumn("_hit", hit)
+    missed = [F.when(~F.lag("_hit", k).over(w), k - 1) for k in range(1, n + 1)]
+    known = F.count("*").over(w.rowsBetween(-n, -1))
+    return df.withColumn(name, F.coalesce(*missed, known).cast("long")).drop("_hit")

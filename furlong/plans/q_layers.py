@@ -256,15 +256,22 @@ def l35(spark, d):
     return out(L.jockey_triple(entries(spark, d)), "jockey_triple")
 
 
-@query("l36_exotic_odds", ", s AS (SELECT a.race_id, a.horse_no AS x, b.horse_no AS y, 1 / (round(a.odds * b.odds * 10)::INT / 10) AS p FROM e a JOIN e b ON a.race_id = b.race_id AND a.horse_no < b.horse_no), t AS (SELECT race_id, x, y, p / sum(p) OVER (PARTITION BY race_id) AS p FROM s) SELECT race_id, no AS horse_no, round(sum(p), 9) AS top2 FROM (SELECT race_id, x AS no, p FROM t UNION ALL SELECT race_id, y, p FROM t) GROUP BY ALL")
+def _marginal(legs, arms, name):
+    return f"SELECT race_id, no AS horse_no, sum(p) AS {name} FROM ({' UNION ALL '.join(f'SELECT race_id, {x} AS no, p FROM {arms}' for x in legs)}) GROUP BY ALL"
+
+
+@query("l36_exotic_odds", ", s2 AS (SELECT a.race_id, a.horse_no AS x, b.horse_no AS y, 1 / (round(a.odds * b.odds * 10)::INT / 10) AS p FROM e a JOIN e b ON a.race_id = b.race_id AND a.horse_no < b.horse_no), t2 AS (SELECT race_id, x, y, p / sum(p) OVER (PARTITION BY race_id) AS p FROM s2), s3 AS (SELECT a.race_id, a.horse_no AS x, b.horse_no AS y, c.horse_no AS z, 1 / (round(a.odds * b.odds * c.odds * 10)::INT / 10) AS p FROM e a JOIN e b ON a.race_id = b.race_id AND a.horse_no < b.horse_no JOIN e c ON b.race_id = c.race_id AND b.horse_no < c.horse_no), t3 AS (SELECT race_id, x, y, z, p / sum(p) OVER (PARTITION BY race_id) AS p FROM s3), m2 AS (" + _marginal("xy", "t2", "top2") + "), m3 AS (" + _marginal("xyz", "t3", "top3") + ") SELECT race_id, horse_no, round(top2, 8) AS top2, round(top3, 8) AS top3 FROM m2 LEFT JOIN m3 USING (race_id, horse_no)")
 def l36(spark, d):
-    """Packed pair odds, unpacked, overround removed, summed to each runner's chance of the first two."""
-    from .q_scalars import f10
+    """Packed odds of pairs and of triples, unpacked, overround removed, summed to each runner's chance of the first two and of the first three; null below three runners."""
+    from .q_scalars import f10, f10_trio
+
+    def marginal(slots, legs, name):
+        s = slots.withColumn("p", F.try_divide(F.lit(1.0), F.col("odds")))
+        t = s.withColumn("p", F.col("p") / F.sum("p").over(W.partitionBy("race_id")))
+        each = t.select("race_id", F.explode(F.array(*(F.col(x).cast("long") for x in legs))).alias("horse_no"), "p")
+        return each.groupBy("race_id", "horse_no").agg(F.round(F.sum("p"), 8).alias(name))
 
-    s = f10(spark, d).withColumn("p", F.try_divide(F.lit(1.0), F.col("odds")))
-    t = s.withColumn("p", F.col("p") / F.sum("p").over(W.partitionBy("race_id")))
-    legs = t.select("race_id", F.explode(F.array(F.col("first").cast("long"), F.col("second").cast("long"))).alias("horse_no"), "p")
-    return legs.groupBy("race_id", "horse_no").agg(F.round(F.sum("p"), 9).alias("top2"))
+    return marginal(f10(spark, d), ["first", "second"], "top2").join(marginal(f10_trio(spark, d), ["first", "second", "third"], "top3"), ["race_id", "horse_no"], "left")
 
 
 @query("l37_draught_class", select(rate("horse, CASE WHEN carried * 10 < 500 THEN 0 WHEN carried * 10 < 550 THEN 1 WHEN carried * 10 < 600 THEN 2 ELSE 3 END", "bucket_rate"), rate("CASE WHEN carried * 10 < 500 THEN 0 WHEN carried * 10 < 550 THEN 1 WHEN carried * 10 < 600 THEN 2 ELSE 3 END", "bucket_rate_all")))

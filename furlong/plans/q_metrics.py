@@ -181,11 +181,11 @@ def a21(spark, d):
     return c.select("jockey", R6(lo).alias("lower"), R6(hi).alias("upper"))
 
 
-@query("a22_weak_buckets", HITS + "SELECT dimension, bucket, races, rate, round(rate - mean, 6) AS gap FROM (SELECT dimension, bucket, count(*) AS races, round(avg(top1), 6) AS rate, (SELECT avg(top1) FROM h) AS mean FROM (SELECT 'venue' AS dimension, venue::VARCHAR AS bucket, top1 FROM h UNION ALL SELECT 'class', class, top1 FROM h UNION ALL SELECT 'surface', surface, top1 FROM h) GROUP BY ALL) WHERE races >= 200 AND rate < mean")
+@query("a22_weak_buckets", HITS + "SELECT *, row_number() OVER (ORDER BY gap, races DESC, dimension, bucket)::BIGINT AS place FROM (SELECT dimension, bucket, races, rate, round(rate - mean, 6) AS gap FROM (SELECT dimension, bucket, count(*) AS races, round(avg(top1), 6) AS rate, (SELECT avg(top1) FROM h) AS mean FROM (SELECT 'venue' AS dimension, venue::VARCHAR AS bucket, top1 FROM h UNION ALL SELECT 'class', class, top1 FROM h UNION ALL SELECT 'surface', surface, top1 FROM h) GROUP BY ALL) WHERE races >= 200 AND rate < mean)")
 def a22(spark, d):
     h = hits(spark, d)
     by = M.unpivot_dims(h, ["venue", "class", "surface"], ["top1"]).groupBy("dimension", "bucket").agg(F.count("*").alias("races"), R6(F.avg("top1")).alias("rate"))
-    return J.with_context(by, h.agg(F.avg("top1").alias("mean"))).where("races >= 200 and rate < mean").select("dimension", "bucket", "races", "rate", R6(F.col("rate") - F.col("mean")).alias("gap"))
+    return J.with_context(by, h.agg(F.avg("top1").alias("mean"))).where("races >= 200 and rate < mean").select("dimension", "bucket", "races", "rate", R6(F.col("rate") - F.col("mean")).alias("gap")).withColumn("place", F.row_number().over(W.orderBy("gap", F.desc("races"), "dimension", "bucket")).cast("long"))
 
 
 @query("a23_bucket_delta", HITS + "SELECT coalesce(a.venue, b.venue) AS venue, round(b.t - a.t, 6) AS delta FROM (SELECT venue, avg(top1) AS t FROM h WHERE race_year < 1998 GROUP BY venue) a FULL JOIN (SELECT venue, avg(top1) AS t FROM h WHERE race_year >= 1998 GROUP BY venue) b ON a.venue = b.venue")
@@ -195,10 +195,10 @@ def a23(spark, d):
     return J.outer_merge(one("race_year < 1998", "before"), one("race_year >= 1998", "after"), ["venue"]).select("venue", R6(F.col("after") - F.col("before")).alias("delta"))
 
 
-@query("a24_drift", HITS + "SELECT race_year, round(avg(top1), 6) AS rate, round(avg(top1) - lag(avg(top1)) OVER (ORDER BY race_year), 6) AS change, race_year <= 1999 AS trained FROM h GROUP BY race_year")
+@query("a24_drift", HITS + ", y AS (SELECT race_year, avg(top1) AS t, race_year <= 1999 AS trained FROM h GROUP BY race_year) SELECT race_year, round(t, 6) AS rate, round(t - lag(t) OVER (ORDER BY race_year), 6) AS change, trained, coalesce(trained AND t - avg(CASE WHEN NOT trained THEN t END) OVER () > 0.002, false) AS leak FROM y")
 def a24(spark, d):
-    by = hits(spark, d).groupBy("race_year").agg(F.avg("top1").alias("t"))
-    return by.select("race_year", R6("t").alias("rate"), R6(F.col("t") - F.lag("t").over(W.orderBy("race_year"))).alias("change"), (F.col("race_year") <= 1999).alias("trained"))
+    t = M.drift(hits(spark, d), "top1", 1999, most=0.002)
+    return t.select("race_year", R6("rate").alias("rate"), R6("change").alias("change"), "trained", "leak")
 
 
 @query("a25_bootstrap")
@@ -262,11 +262,14 @@ def a32(spark, d):
     return M.finish_counts(rows, ["role", "id"])
 
 
-@query("a33_trend", ", t AS (SELECT *, CASE WHEN race_id % 7 = 0 THEN 0 ELSE finish END AS f FROM e) SELECT jockey, venue, count(*) AS starts, round(avg((f = 1)::INT) FILTER (WHERE f > 0), 6) AS win_rate, median(popularity) FILTER (WHERE f BETWEEN 1 AND 3) AS popularity_median FROM t GROUP BY jockey, venue")
+TREND = (("jockey",), ("jockey", "venue"), ("trainer", "surface"), ("distance", "frame"), ("jockey", "venue", "surface", "distance", "frame"))
+TREND_DIMS = ("jockey", "venue", "trainer", "surface", "distance", "frame")
+
+
+@query("a33_trend", ", t AS (SELECT *, CASE WHEN race_id % 7 = 0 THEN 0 ELSE finish END AS f, least(horse_no, 8) AS frame FROM e), o AS (SELECT f, popularity, day, race_id, option, " + ", ".join(f"CASE WHEN option IN ({', '.join(str(i) for i, o in enumerate(TREND) if c in o)}) THEN {c} END AS {c}" for c in TREND_DIMS) + " FROM t, (SELECT unnest(range(5))::INT AS option)) SELECT option, " + ", ".join(TREND_DIMS) + ", count(*) AS starts, count(*) FILTER (WHERE f > 0) AS ranked, round(avg((f = 1)::INT) FILTER (WHERE f > 0), 6) AS win_rate, median(popularity) FILTER (WHERE f BETWEEN 1 AND 3) AS market_median, arg_max(race_id, (day, race_id)) AS newest FROM o GROUP BY ALL")
 def a33(spark, d):
-    """A finish of 0 has no result yet: it counts as a start, never in a rate."""
-    t = entries(spark, d).withColumn("f", F.when(F.col("race_id") % 7 == 0, 0).otherwise(F.col("finish")))
-    return t.groupBy("jockey", "venue").agg(F.count("*").alias("starts"), R6(M.rate(F.col("f") == 1, F.col("f") > 0)).alias("win_rate"), F.percentile(F.when(F.col("f").between(1, 3), F.col("popularity")), F.lit(0.5)).alias("popularity_median"))
+    t = entries(spark, d).withColumns({"f": F.when(F.col("race_id") % 7 == 0, 0).otherwise(F.col("finish")), "frame": F.least(F.col("horse_no"), F.lit(8))})
+    return M.trend(t, TREND, "f", "popularity").withColumn("win_rate", R6("win_rate"))
 
 
 @query("a34_trend_buckets", "SELECT 'jockey' AS bucket, jockey AS id, count(*) AS starts, count(*) FILTER (WHERE finish <= 3) AS shows FROM e WHERE race_id % 7 > 0 GROUP BY jockey UNION ALL SELECT 'frame', least(horse_no, 8), count(*), count(*) FILTER (WHERE finish <= 3) FROM e WHERE race_id % 7 > 0 GROUP BY least(horse_no, 8)")
@@ -276,13 +279,30 @@ def a34(spark, d):
     return J.union_all([arm("jockey"), arm("frame")])
 
 
-@query("a35_trend_score", ", r AS (SELECT jockey, sire, CASE WHEN finish > 5 THEN least(popularity - finish, 0) ELSE popularity - finish END + CASE WHEN finish <= 3 THEN (4 - finish) * w WHEN finish <= 5 THEN greatest(0, popularity - finish) * w * 0.5 ELSE 0 END AS s FROM (SELECT *, log10(greatest(odds, 1.1)) + 1 AS w FROM e)) SELECT 'jockey' AS condition, jockey::VARCHAR AS id, round(sum(s) * ln(1 + count(*)), 5) AS score FROM r GROUP BY jockey UNION ALL SELECT 'sire', sire, round(sum(s) * ln(1 + count(*)), 5) FROM r GROUP BY sire")
-def a35(spark, d):
+RUN_SCORE = "SELECT race_id, horse, jockey, sire, CASE WHEN finish > 5 THEN least(popularity - finish, 0) ELSE popularity - finish END + CASE WHEN finish <= 3 THEN (4 - finish) * w WHEN finish <= 5 THEN greatest(0, popularity - finish) * w * 0.5 ELSE 0 END AS s FROM (SELECT *, log10(greatest(odds, 1.1)) + 1 AS w FROM e)"
+TREND_SCORES = f", r AS ({RUN_SCORE}), c AS (SELECT 'jockey' AS condition, jockey::VARCHAR AS id, sum(s) * ln(1 + count(*)) AS score FROM r GROUP BY jockey UNION ALL SELECT 'sire', sire, sum(s) * ln(1 + count(*)) FROM r GROUP BY sire)"
+
+
+def run_scores(spark, d):
     gap, f = F.col("popularity") - F.col("finish"), F.col("finish")
     w = F.log10(F.greatest(F.col("odds"), F.lit(1.1))) + 1
     s = F.when(f > 5, F.least(gap, F.lit(0))).otherwise(gap) + F.when(f <= 3, (4 - f) * w).when(f <= 5, F.greatest(F.lit(0), gap) * w * 0.5).otherwise(0)
-    rows = M.unpivot_dims(entries(spark, d).withColumn("s", s), ["jockey", "sire"], ["s"])
-    return rows.groupBy(F.col("dimension").alias("condition"), F.col("bucket").alias("id")).agg(F.round(F.sum("s") * F.log(1 + F.count("*")), 5).alias("score"))
+    return entries(spark, d).withColumn("s", s)
+
+
+@query("a35_trend_score", TREND_SCORES + " SELECT condition, id, round(score, 5) AS score FROM c")
+def a35(spark, d):
+    return M.trend_score(run_scores(spark, d), ["jockey", "sire"], "s").withColumn("score", F.round("score", 5))
+
+
+@query("a35_trend_in_race", TREND_SCORES + ", t AS (SELECT race_id, horse, j.score + k.score AS total FROM r JOIN c j ON j.condition = 'jockey' AND j.id = jockey::VARCHAR JOIN c k ON k.condition = 'sire' AND k.id = sire) SELECT race_id, horse, round(CASE WHEN max(total) OVER w > min(total) OVER w THEN (total - min(total) OVER w) / (max(total) OVER w - min(total) OVER w) ELSE 0.5 END, 6) AS score FROM t WINDOW w AS (PARTITION BY race_id)")
+def a35r(spark, d):
+    """The scores of a runner's conditions added up, and put between 0 and 1 in its race."""
+    df = run_scores(spark, d)
+    scores = M.trend_score(df, ["jockey", "sire"], "s")
+    for c in ("jockey", "sire"):
+        df = df.withColumn("_id", F.col(c).cast("string")).join(scores.where(F.col("condition") == c).select(F.col("id").alias("_id"), F.col("score").alias(f"_{c}")), "_id", "left").drop("_id")
+    return R.minmax(df.withColumn("total", F.col("_jockey") + F.col("_sire")), "total", "score").select("race_id", "horse", R6("score").alias("score"))
 
 
 @query("a36_dominant_share", "SELECT race_id, horse, round(greatest(count(*) FILTER (WHERE surface = 'F') OVER w, count(*) FILTER (WHERE surface = 'O') OVER w, count(*) FILTER (WHERE surface = 'P') OVER w) / nullif(count(*) OVER w, 0)::DOUBLE, 6) AS share FROM e WINDOW w AS (PARTITION BY horse ORDER BY day, race_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)")
@@ -338,6 +358,25 @@ def a45(spark, d):
     return bets.groupBy("venue").agg(F.count("*").alias("bets"), F.count_if(won).alias("won"), R6(F.sum(F.when(won, F.col("odds") * 100).otherwise(0)) / (F.count("*") * 100)).alias("return_rate"))
 
 
+@query("a45_combinations", PRED + ", plan AS (SELECT a.race_id, list(lpad(a.horse_no::VARCHAR, 2, '0') || lpad(b.horse_no::VARCHAR, 2, '0')) AS picks FROM p a JOIN p b ON a.race_id = b.race_id AND a.horse_no < b.horse_no WHERE a.r <= 3 AND b.r <= 3 GROUP BY a.race_id), res AS (SELECT race_id, any_value(venue) AS venue, lpad(least(max(horse_no) FILTER (WHERE finish = 1), max(horse_no) FILTER (WHERE finish = 2))::VARCHAR, 2, '0') || lpad(greatest(max(horse_no) FILTER (WHERE finish = 1), max(horse_no) FILTER (WHERE finish = 2))::VARCHAR, 2, '0') AS combo, round(max(odds) FILTER (WHERE finish = 1) * max(odds) FILTER (WHERE finish = 2) * 100)::BIGINT AS yen FROM e GROUP BY race_id HAVING count(*) > 1), j AS (SELECT venue, len(picks) AS n, list_contains(picks, combo) AS won, yen FROM res JOIN plan USING (race_id)) SELECT venue, count(*) AS races, sum(n)::BIGINT AS bets, count(*) FILTER (WHERE won) AS covered, sum(CASE WHEN won THEN yen ELSE 0 END)::BIGINT AS paid, round(count(*) FILTER (WHERE won) / count(*)::DOUBLE, 6) AS coverage, round(sum(CASE WHEN won THEN yen ELSE 0 END) / (sum(n) * 100)::DOUBLE, 6) AS return_rate FROM j GROUP BY venue")
+def a45c(spark, d):
+    """All pairs of the three predicted first as a plan, against packed results: the winning pair and its payout in fixed widths."""
+    p = predicted(spark, d)
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    picks = J.pairs_within(p.where("predicted_rank <= 3"), ["race_id"], "horse_no", []).groupBy("race_id").agg(F.collect_list(F.concat(two(F.col("a_horse_no")), two(F.col("b_horse_no")))).alias("picks"))
+    at = lambda c, k: F.max(F.when(F.col("finish") == k, F.col(c)))
+    first, second = at("horse_no", 1), at("horse_no", 2)
+    packed = F.concat(two(F.least(first, second)), two(F.greatest(first, second)), F.lpad(F.round(at("odds", 1) * at("odds", 2) * 100).cast("long").cast("string"), 8, "0"))
+    results = p.groupBy("race_id", "venue").agg(packed.alias("packed"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return M.payout_eval(picks, results, ["venue"]).withColumns({"coverage": R6("coverage"), "return_rate": R6("return_rate")})
+
+
+@query("a46_person_summary", "SELECT CASE WHEN venue < 10 THEN 'national' ELSE 'local' END AS source, jockey, count(*) AS starts, count(*) FILTER (WHERE finish = 1) AS wins, round(avg((finish = 1)::INT), 6) AS win_rate, round(avg((finish <= 3)::INT), 6) AS show_rate, min(finish) AS best_finish, round(avg(odds) + 1e-10, 6) AS odds_mean, max(day) AS last_day FROM e WHERE race_date < DATE '2000-01-01' GROUP BY ALL")
+def a46p(spark, d):
+    past = entries(spark, d).where("race_date < '2000-01-01'").withColumn("source", F.when(F.col("venue") < 10, "national").otherwise("local"))
+    return M.form_summary(past, ["source", "jockey"]).withColumns({"win_rate": R6("win_rate"), "show_rate": R6("show_rate"), "odds_mean": R6(F.col("odds_mean") + 1e-10)})
+
+
 @query("a46_form_summary", "SELECT horse, count(*) AS starts, round(avg((finish = 1)::INT), 6) AS win_rate, max(day) AS last_day FROM e WHERE race_date < DATE '2000-01-01' GROUP BY horse")
 def a46(spark, d):
     return entries(spark, d).where("race_date < '2000-01-01'").groupBy("horse").agg(F.count("*").alias("starts"), R6(M.rate(F.col("finish") == 1)).alias("win_rate"), F.max("day").alias("last_day"))

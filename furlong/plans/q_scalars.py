@@ -68,9 +68,9 @@ def _bands(col, steps):
     return "CASE " + " ".join(f"WHEN {col} <= {t} THEN '{n}'" for t, n in steps[:-1]) + f" ELSE '{steps[-1][1]}' END"
 
 
-@query("p7_bands", f"SELECT race_id, horse, {_bands('distance', S.BANDS['cells'])} AS cell_band, {_bands('distance', S.BANDS['similar'])} AS similar_band, floor((month(race_date) + 9) % 12 / 3)::INT AS season FROM e")
+@query("p7_bands", f"SELECT race_id, horse, {_bands('distance', S.BANDS['cells'])} AS cell_band, {_bands('distance', S.BANDS['similar'])} AS similar_band, {_bands('field_size', S.BANDS['field'])} AS field_band, floor((month(race_date) + 9) % 12 / 3)::INT AS season FROM e")
 def p7(spark, d):
-    return entries(spark, d).select(*KEY, S.band("distance", "cells").alias("cell_band"), S.band("distance", "similar").alias("similar_band"), S.season("race_date").alias("season"))
+    return entries(spark, d).select(*KEY, S.band("distance", "cells").alias("cell_band"), S.band("distance", "similar").alias("similar_band"), S.band("field_size", "field").alias("field_band"), S.season("race_date").alias("season"))
 
 
 @query("p8_surface", "SELECT race_id, horse, CASE WHEN venue IN (0, 1, 2, 3, 4, 5, 6, 7) THEN 'turf' WHEN venue IN (8, 9, 10, 11, 12) THEN 'dirt' END AS track FROM e")
@@ -198,13 +198,13 @@ def p26(spark, d):
     return b.select(*KEY, F.when(F.col("n") == 0, "F").when(flag & (F.col("k") == 0), "A").when(flag & (F.col("last") == 0), "B").when(flag, "C").when(F.col("last") == 1, "D").otherwise("E").alias("pattern"))
 
 
-@query("p27_style_postproc", ", s AS (SELECT race_id, horse, [score_b, score_c, odds] AS a FROM e), n AS (SELECT race_id, horse, list_transform(a, lambda x: x / list_sum(a)) AS p FROM s) SELECT race_id, horse, (CASE WHEN p[2] >= 0.45 THEN 1 ELSE list_position(p, list_max(p)) - 1 END)::INT AS style, round(list_max(p), 4) AS top FROM n")
+@query("p27_style_postproc", ", s AS (SELECT race_id, horse, [score_b, score_c, odds] AS a FROM e), n AS (SELECT race_id, horse, list_transform(a, lambda x: x / list_sum(a)) AS p FROM s) SELECT race_id, horse, (CASE WHEN p[2] >= 0.45 THEN 1 ELSE list_position(p, list_max(p)) - 1 END)::INT AS style, (list_position(p, list_sort(p, 'DESC')[2]) - 1)::INT AS second, round(list_max(p), 4) AS top, round(exp(score_b / 50) / (exp(score_b / 50) + exp(score_c / 50000) + exp(odds / 50)), 9) AS softmax_first FROM n JOIN e USING (race_id, horse)")
 def p27(spark, d):
-    """Probabilities summed to 1; the class with a threshold wins beyond it, else the largest."""
+    """Probabilities summed to 1 (or by softmax of scaled scores); the class with a threshold wins beyond it, else the largest; and the second largest."""
     a = F.array("score_b", "score_c", "odds")
     total = F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     e = entries(spark, d).withColumn("t", total).withColumn("p", F.transform(a, lambda x: x / F.col("t")))
-    return e.select(*KEY, F.when(F.col("p")[1] >= 0.45, 1).otherwise(F.array_position("p", F.array_max("p")) - 1).cast("int").alias("style"), F.round(F.array_max("p"), 4).alias("top"))
+    return e.select(*KEY, F.when(F.col("p")[1] >= 0.45, 1).otherwise(F.array_position("p", F.array_max("p")) - 1).cast("int").alias("style"), (F.array_position("p", F.sort_array("p", asc=False)[1]) - 1).cast("int").alias("second"), F.round(F.array_max("p"), 4).alias("top"), F.round(S.softmax_of([F.col("score_b") / 50, F.col("score_c") / 50000, F.col("odds") / 50])[0], 9).alias("softmax_first"))
 
 
 @query("f1_strings", "SELECT p_partkey AS id, upper(left(p_name, 3)) AS head, lpad(p_size::VARCHAR, 3, '0') AS size, replace(p_brand, '#', '-') AS brand, length(p_type) AS n, split_part(p_type, ' ', 2) AS second FROM part", base=False)
@@ -275,6 +275,44 @@ def f10(spark, d):
     return slots.select("race_id", F.col("s")[0].cast("int").alias("first"), F.col("s")[1].cast("int").alias("second"), (F.col("s")[2].cast("int") / 10).alias("odds"))
 
 
+_TWO = "lpad({}.horse_no::VARCHAR, 2, '0')"
+PACK_WIDE = ", q AS (SELECT race_id, string_agg(" + _TWO.format("a") + " || " + _TWO.format("b") + " || lpad(round(least(a.odds, b.odds) * 10)::INT::VARCHAR, 5, '0') || lpad(round(greatest(a.odds, b.odds) * 10)::INT::VARCHAR, 5, '0') || '001', '' ORDER BY a.horse_no, b.horse_no) AS packed FROM e a JOIN e b USING (race_id) WHERE a.horse_no < b.horse_no GROUP BY race_id)\n"
+PACK_TRIO = ", q AS (SELECT race_id, string_agg(" + " || ".join(map(_TWO.format, "abc")) + " || lpad(round(a.odds * b.odds * c.odds * 10)::INT::VARCHAR, 5, '0') || '0001', '' ORDER BY a.horse_no, b.horse_no, c.horse_no) AS packed FROM e a JOIN e b USING (race_id) JOIN e c USING (race_id) WHERE a.horse_no < b.horse_no AND b.horse_no < c.horse_no GROUP BY race_id)\n"
+
+
+def _pack(rows, legs, tail):
+    """Slots of a race, in order of their legs, as one string."""
+    slot = F.concat(*(F.lpad(F.col(x).cast("string"), 2, "0") for x in legs), *tail)
+    slots = rows.groupBy("race_id").agg(F.array_sort(F.collect_list(F.struct(*legs, slot.alias("s")))).alias("l"))
+    return slots.select("race_id", F.array_join(F.transform("l", lambda x: x["s"]), "").alias("packed"))
+
+
+def _tenths(c):
+    return F.lpad(F.round(c * 10).cast("int").cast("string"), 5, "0")
+
+
+def _slots(df, layout):
+    stride, widths = S.PACKED[layout]
+    return df.select("race_id", F.explode(S.unpack("packed", stride, widths)).alias("s"))
+
+
+@query("f10_unpack_wide", PACK_WIDE + "SELECT race_id, substr(s, 1, 2)::INT AS first, substr(s, 3, 2)::INT AS second, substr(s, 5, 5)::INT / 10 AS low, substr(s, 10, 5)::INT / 10 AS high FROM (SELECT race_id, substr(packed, 17 * i::INT + 1, 17) AS s FROM (SELECT race_id, packed, unnest(range(length(packed) // 17)) AS i FROM q))")
+def f10_wide(spark, d):
+    pairs = J.pairs_within(entries(spark, d), ["race_id"], "horse_no", ["odds"])
+    a, b = F.col("a_odds"), F.col("b_odds")
+    s = _slots(_pack(pairs, ["a_horse_no", "b_horse_no"], [_tenths(F.least(a, b)), _tenths(F.greatest(a, b)), F.lit("001")]), "wide")
+    return s.select("race_id", *(F.col("s")[i].cast("int").alias(n) for i, n in enumerate(("first", "second"))), *((F.col("s")[i].cast("int") / 10).alias(n) for i, n in ((2, "low"), (3, "high"))))
+
+
+@query("f10_unpack_trio", PACK_TRIO + "SELECT race_id, substr(s, 1, 2)::INT AS first, substr(s, 3, 2)::INT AS second, substr(s, 5, 2)::INT AS third, substr(s, 7, 5)::INT / 10 AS odds FROM (SELECT race_id, substr(packed, 15 * i::INT + 1, 15) AS s FROM (SELECT race_id, packed, unnest(range(length(packed) // 15)) AS i FROM q))")
+def f10_trio(spark, d):
+    e = entries(spark, d)
+    third = e.select("race_id", F.col("horse_no").alias("c_horse_no"), F.col("odds").alias("c_odds"))
+    triples = J.pairs_within(e, ["race_id"], "horse_no", ["odds"]).join(third, "race_id").where("b_horse_no < c_horse_no")
+    s = _slots(_pack(triples, ["a_horse_no", "b_horse_no", "c_horse_no"], [_tenths(F.col("a_odds") * F.col("b_odds") * F.col("c_odds")), F.lit("0001")]), "trio")
+    return s.select("race_id", *(F.col("s")[i].cast("int").alias(n) for i, n in enumerate(("first", "second", "third"))), (F.col("s")[3].cast("int") / 10).alias("odds"))
+
+
 KNN = "FROM embeddings t JOIN embeddings h ON t.label = h.label AND h.vec_id < t.vec_id WHERE t.vec_id % 10 = 0"
 
 
@@ -292,10 +330,12 @@ def j10(spark, d):
     return neighbours(spark, d, 10).select("vec_id", "h_id")
 
 
-@query("k4_knn_features", f"SELECT vec_id, round(sum(w * h_id) / sum(w), 4) AS knn_mean FROM (SELECT t.vec_id AS vec_id, h.vec_id AS h_id, 1 / (1 + list_distance(t.embedding::DOUBLE[], h.embedding::DOUBLE[])) AS w, row_number() OVER (PARTITION BY t.vec_id ORDER BY list_distance(t.embedding::DOUBLE[], h.embedding::DOUBLE[]), h.vec_id) AS rn {KNN}) WHERE rn <= 30 GROUP BY vec_id", base=False)
+@query("k4_knn_features", f"SELECT vec_id, round(sum(w * h_id) FILTER (WHERE rn <= 10) / sum(w) FILTER (WHERE rn <= 10), 4) AS knn_mean10, round(sum(w * h_id) FILTER (WHERE rn <= 30) / sum(w) FILTER (WHERE rn <= 30), 4) AS knn_mean30, round(sum(w * h_id) / sum(w), 4) AS knn_mean50 FROM (SELECT t.vec_id AS vec_id, h.vec_id AS h_id, 1 / (1 + list_distance(t.embedding::DOUBLE[], h.embedding::DOUBLE[])) AS w, row_number() OVER (PARTITION BY t.vec_id ORDER BY list_distance(t.embedding::DOUBLE[], h.embedding::DOUBLE[]), h.vec_id) AS rn {KNN}) WHERE rn <= 50 GROUP BY vec_id", base=False)
 def k4(spark, d):
     w = 1 / (1 + F.col("dist"))
-    return neighbours(spark, d, 30).groupBy("vec_id").agg(F.round(F.sum(w * F.col("h_id")) / F.sum(w), 4).alias("knn_mean"))
+    near = neighbours(spark, d, 50).withColumn("rn", F.row_number().over(W.partitionBy("vec_id").orderBy("dist", "h_id")))
+    mean = lambda k: F.round(F.sum(F.when(F.col("rn") <= k, w * F.col("h_id"))) / F.sum(F.when(F.col("rn") <= k, w)), 4).alias(f"knn_mean{k}")
+    return near.groupBy("vec_id").agg(*map(mean, (10, 30, 50)))
 
 
 @query("k5_knn_vote", f"SELECT vec_id, round(sum(w * (h_id % 3)) / sum(w), 5) AS relevance FROM (SELECT t.vec_id AS vec_id, h.vec_id AS h_id, 1 / (1 + list_distance(t.embedding::DOUBLE[], h.embedding::DOUBLE[])) AS w, row_number() OVER (PARTITION BY t.vec_id ORDER BY list_distance(t.embedding::DOUBLE[], h.embedding::DOUBLE[]), h.vec_id) AS rn {KNN}) WHERE rn <= 10 GROUP BY vec_id", base=False)

@@ -79,6 +79,11 @@ def w12(spark, d):
     return R.streak(entries(spark, d), F.col("finish") <= 3, ["horse"]).select(*KEY, "streak")
 
 
+@query("w12_streak_capped", "SELECT race_id, horse, least(5, rn - 1 - coalesce(max(CASE WHEN finish > 3 THEN rn END) OVER (PARTITION BY horse ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS streak FROM (SELECT *, row_number() OVER (PARTITION BY horse ORDER BY day, race_id) AS rn FROM e)")
+def w12c(spark, d):
+    return R.streak_capped(entries(spark, d), F.col("finish") <= 3, ["horse"]).select(*KEY, "streak")
+
+
 @query("w13_field_strength", "SELECT race_id, horse, (sum(c) OVER w)::BIGINT AS field_sum, count(c) OVER w AS field_count, (sum(CASE WHEN r <= 3 THEN c END) OVER w)::BIGINT AS top_sum, abs(avg(c) OVER w - (sum(c) OVER w) / (count(c) OVER w)::DOUBLE) < 1e-6 AS mean_agrees FROM (SELECT *, round(score_a * 100000)::BIGINT AS c FROM (SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY score_a DESC, horse) AS r FROM e)) WINDOW w AS (PARTITION BY race_id)")
 def w13(spark, d):
     """Means of whole units, given as sums and counts, which no engine rounds; and whether the mean is theirs."""
