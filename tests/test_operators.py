@@ -123,3 +123,26 @@ def test_cards_merged_as_a_stream(spark, tmp_path):
     cols = ("k", "at", "full", "finish", "jockey")
     assert one(T.read_latest(spark, f"file://{tmp_path}/log", ["k"]), *cols) == one(T.merge_cards(frame(rows), ["k"], "at", "full", "finish", ["jockey"]), *cols)
 
+
+def test_layers_count_rates_on_the_untouched_runners(spark):
+    """A chain of rates of few entities plans the runners once a rate, not twice as often with each."""
+    from furlong.plans import layers as L
+
+    one = spark.createDataFrame([(1, 1, 1, 1)], "trainer int, venue int, day int, finish int")
+    cells = {f"r{k}": ["trainer", "venue"] for k in range(7)}
+    plan = L.prior_rates(one, cells)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("LogicalRDD") == len(cells) + 1
+
+
+def test_capped_streak_equals_the_whole_one_up_to_its_cap(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from furlong.operators import relative as R
+
+    draw = random.Random(2)
+    rows = [(h, d, d, draw.random() < 0.7) for h in range(5) for d in range(30)] + [(9, 1, 1, True)]
+    df = spark.createDataFrame(rows, "horse int, day int, race_id int, hit boolean")
+    both = R.streak_capped(R.streak(df, F.col("hit"), ["horse"], name="whole"), F.col("hit"), ["horse"])
+    assert both.where("streak <> least(whole, 5)").count() == 0

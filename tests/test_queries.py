@@ -7,7 +7,7 @@ from furlong import catalogue
 
 QUERIES, ORACLE = catalogue.queries(), catalogue.oracle_sql()
 #: One of every group of operators; bench.py and the driver run all.
-SOME = "w2_rank_in_race w4_expanding w9_others w12_streak w17_same_day_prior j3_prior_history j6_asof j16_fallback j14_ancestors u5_placeholders k9_cascade a6_safe_corr a14_race_hits a20_kappa a26_adoption_gate a50_bucket_tiers p1_normalise p13_frame p26_blinkers f10_unpack m6_search_weights m13_impute_prior q4_classify_diff l2_career l22_head_to_head l31_cells s2_write_partitioned s9_payouts s14_retention t2_changed_stream t3_latest t5_merge t5_merge_stream t8_slots t8_due t9_retry t12_dedupe_stream t13_incidents t13_incidents_stream".split()
+SOME = "w2_rank_in_race w4_expanding w9_others w12_streak w17_same_day_prior j3_prior_history j6_asof j16_fallback j14_ancestors u5_placeholders k9_cascade a6_safe_corr a14_race_hits a20_kappa a26_adoption_gate a50_bucket_tiers p1_normalise p13_frame p26_blinkers f10_unpack m6_search_weights m13_impute_prior q4_classify_diff l2_career l3_jockey_trainer l22_head_to_head l23_going_pedigree l29_similar_race l31_cells l36_exotic_odds l45_heatmap l46_horse_series a33_trend a35_trend_in_race a45_combinations u9_person_summary w12_streak_capped q5_conflicts s2_write_partitioned s9_payouts s14_retention t2_changed_stream t3_latest t5_merge t5_merge_stream t8_slots t8_due t9_retry t12_dedupe_stream t13_incidents t13_incidents_stream".split()
 
 
 @pytest.mark.parametrize("name", SOME)
