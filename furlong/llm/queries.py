@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embeddings, langid, lm, minhash, packing, sharding, token_counts, toxicity, warc
+from . import bitplanes, collocations, decontam, embeddings, fertility, langid, lm, minhash, packing, sharding, token_counts, toxicity, warc
 from .shared import shared_dir
 
 
@@ -81,5 +81,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_score, op3_pack, op4_shard, op5_language, op6_toxicity, op7_warc, op8_minhash, op9_near_vectors, op10_token_counts)}
-ORACLE = {"op1_decontaminate": decontam.ORACLE, "op4_shard": sharding.ORACLE, "op7_warc": warc.ORACLE, "op8_minhash": minhash.ORACLE, "op9_near_vectors": embeddings.ORACLE}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitplanes.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.quality(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_score, op3_pack, op4_shard, op5_language, op6_toxicity, op7_warc, op8_minhash, op9_near_vectors, op10_token_counts, op11_collocations, op12_clusters, op13_quality)}
+ORACLE = {"op1_decontaminate": decontam.ORACLE, "op4_shard": sharding.ORACLE, "op7_warc": warc.ORACLE, "op8_minhash": minhash.ORACLE, "op9_near_vectors": embeddings.ORACLE, "op11_collocations": collocations.ORACLE, "op12_clusters": bitplanes.ORACLE}
