@@ -1,12 +1,13 @@
 """What was known before: aggregates over strictly earlier days, last runs, calendar frames, as-of and range joins.
 
-Windows, not joins, wherever the condition does not depend on the target: one shuffle by entity. Every
-frame is by day (or by rows after the day), so that runs of the same day never see each other.
+Windows, not joins, wherever the condition does not depend on the target: one shuffle by entity. Frames
+by day, and last_before, never show a run one of its own day; last_rows and last_n go by rows, and do. cube counts many cells of one table together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -34,8 +35,92 @@ def expanding(df: DataFrame, entity: Sequence[str], day: str = "day", **aggregat
     return df.withColumns({name: a.over(w) for name, a in aggregates.items()})
 
 
+def last_before(df: DataFrame, entity: Sequence[str], order: Sequence[str] = ("day", "race_id"), **frames: tuple[int, Column]) -> DataFrame:
+    """Add aggregates over the entity's last n rows of strictly earlier days: name=(n, aggregate). order: the day, then what breaks ties.
+
+    Each row first has the aggregates over its last n rows up to itself; what a row gets is what the last row of an earlier day has. Both windows share one
+    shuffle and one sort, a frame holds n rows at most, and the rows of one day all get the same. No earlier day, or no entity: nulls.
+    """
+    rows = W.partitionBy(*entity).orderBy(*order)
+    state = F.struct(*(a.over(rows.rowsBetween(1 - n, 0)).alias(name) for name, (n, a) in frames.items()))
+    known = F.max_by("_upto", F.struct(*order)).over(before(*entity, day=order[0]))
+    for e in entity:
+        known = F.when(F.col(e).isNotNull(), known)
+    df = df.withColumn("_upto", state).withColumn("_known", known)
+    return df.withColumns({name: F.col("_known")[name] for name in frames}).drop("_upto", "_known")
+
+
+def quartile(sorted_values: Column, share: float) -> Column:
+    """The value at a share of a sorted array, linear between neighbours; null of an empty one."""
+    at = (F.size(sorted_values) - 1) * share
+    low = F.floor(at).cast("int")
+    a, b = F.get(sorted_values, low), F.get(sorted_values, F.ceil(at).cast("int"))
+    return F.when(F.size(sorted_values) > 0, a + (at - low) * (b - a))
+
+
+@dataclass(frozen=True)
+class Cell:
+    """What a column of a cube is: the mean, count or sum of a value over the earlier days of rows equal in `by`.
+
+    days: only so many days back. least: a mean is null up to so many rows. monthly: earlier months count instead of earlier days.
+    """
+
+    by: tuple[str, ...]
+    of: str
+    how: str = "mean"
+    days: int | None = None
+    least: int = 0
+    monthly: bool = False
+
+
+def cube(df: DataFrame, values: dict[str, Column], cells: dict[str, Cell], key: Sequence[str] = ("race_id", "horse"), day: str = "day", date: str = "race_date") -> DataFrame:
+    """Add a column for each cell: sums by day of many groupings of one table, all in one pass (A41, L3 and the like).
+
+    df is written once, and read three times by the columns needed. Each row is laid out once for each distinct grouping, sums are taken by
+    grouping, cell and day (combined before they are shuffled, so that a cell with a third of all rows is as small as its days), one window runs
+    over the days of each cell, and one join brings each row its sums, which are put side by side by row key. The key must be one of rows. A null value
+    is no row of the cell; a row that is null in a cell's grouping keeps its place and has a null there; other columns stay as they are.
+    """
+    from ..sources.tables import cut
+
+    base = cut(df, "cube")
+    arms = list(dict.fromkeys((c.by, c.monthly) for c in cells.values()))
+    frames = list(dict.fromkeys((c.of, c.days) for c in cells.values()))
+    month = F.datediff(F.trunc(date, "month"), F.lit("1970-01-01"))
+
+    kinds = dict(df.dtypes)
+
+    def part(b):
+        # with its length before it, a text can't run into the next
+        return F.concat(F.length(b).cast("string"), F.lit(":"), F.col(b)) if kinds[b] == "string" else F.col(b).cast("string")
+
+    def arm(i, by, monthly):
+        there = F.lit(True)
+        for b in by:
+            there = there & F.col(b).isNotNull()
+        return F.when(there, F.struct(F.lit(i).alias("arm"), F.concat_ws(",", *map(part, by)).alias("cell"), (month if monthly else F.col(day)).cast("int").alias("t")))
+
+    spread = F.explode(F.array_compact(F.array(*(arm(i, *a) for i, a in enumerate(arms)))))
+    used = list(dict.fromkeys(of for of, _ in frames))
+    long = base.select(*(values[v].alias(f"_{v}") for v in used), spread.alias("a")).select("a.*", *(f"_{v}" for v in used))
+    daily = long.groupBy("arm", "cell", "t").agg(*(x for v in used for x in (F.count(f"_{v}").alias(f"_n_{v}"), F.sum(f"_{v}").alias(f"_s_{v}"))))
+    w = W.partitionBy("arm", "cell").orderBy("t")
+    over = {}
+    for v, days in frames:
+        frame = w.rangeBetween(-days if days else W.unboundedPreceding, -1)
+        over |= {f"n_{v}_{days}": F.coalesce(F.sum(f"_n_{v}").over(frame), F.lit(0)), f"s_{v}_{days}": F.sum(f"_s_{v}").over(frame)}
+    past = daily.select("arm", "cell", "t", *(c.alias(n) for n, c in over.items()))
+    rows = base.select(*key, spread.alias("a")).select(*key, "a.*").join(past, ["arm", "cell", "t"])
+    out = []
+    for name, c in cells.items():
+        n, s = F.col(f"n_{c.of}_{c.days}"), F.col(f"s_{c.of}_{c.days}")
+        value = {"count": n, "sum": F.coalesce(s, F.lit(0)), "mean": F.when(n > c.least, F.try_divide(s, n))}[c.how]
+        out.append(F.max(F.when(F.col("arm") == arms.index((c.by, c.monthly)), value)).alias(name))
+    return base.join(rows.groupBy(*key).agg(*out), list(key), "left")
+
+
 def last_n(df: DataFrame, entity: Sequence[str], n: int, **aggregates: Column) -> DataFrame:
-    """Add aggregates over the entity's last n rows."""
+    """Add aggregates over the entity's last n rows in order, those of the same day included."""
     w = last_rows(*entity, n=n)
     return df.withColumns({name: a.over(w) for name, a in aggregates.items()})
 

@@ -13,28 +13,6 @@ from . import joins as J
 from . import relative as R
 
 
-def score_trees(df: DataFrame, trees: list[dict], features: Sequence[str], name: str = "score") -> DataFrame:
-    """Sum of decision trees held as nested dicts {feature, threshold, left, right} or {value} (M1).
-
-    Each tree becomes a CASE expression, so scoring stays in generated code; a missing feature goes left, as in the reference's default direction.
-    """
-
-    def one(node) -> Column:
-        if "value" in node:
-            return F.lit(float(node["value"]))
-        c = F.col(node["feature"])
-        return F.when(c.isNull() | (c < node["threshold"]), one(node["left"])).otherwise(one(node["right"]))
-
-    missing = {t for tree in trees for t in _used(tree)} - set(features)
-    if missing:
-        raise ValueError(f"trees use features that the table lacks: {sorted(missing)}")
-    return df.withColumn(name, sum((one(t) for t in trees), F.lit(0.0)))
-
-
-def _used(node) -> set[str]:
-    return set() if "value" in node else {node["feature"]} | _used(node["left"]) | _used(node["right"])
-
-
 def fit_isotonic(df: DataFrame, bucket: str, score: str, label: str, ranges: int = 200) -> DataFrame:
     """Isotonic calibration per bucket, and for all rows under a null bucket (M2): bucket, xs, ys.
 

@@ -23,10 +23,6 @@ from ..operators import relative as R
 STEP = 100
 
 
-#: Entities of few and of many values: without one of many, a cell may hold much of all history, and goes by days.
-FEW, MANY = {"trainer", "sire", "damsire", "venue"}, {"horse", "jockey", "owner"}
-
-
 def win() -> Column:
     return (F.col("finish") == 1).cast("int")
 
@@ -35,14 +31,10 @@ def show() -> Column:
     return (F.col("finish") <= 3).cast("int")
 
 
-def prior_rates(df: DataFrame, cells: dict[str, Sequence[str]], hit: Column | None = None, base: DataFrame | None = None) -> DataFrame:
-    """<name>: the hit rate of each cell (entity and equal context) over earlier days. base: as in grain_rate."""
-    hit, base = win() if hit is None else hit, df if base is None else base
-    df = df.withColumns({name: F.avg(hit).over(H.before(*cell)) for name, cell in cells.items() if not FEW & set(cell) or set(cell) & MANY})
-    for name, cell in cells.items():
-        if FEW & set(cell) and not set(cell) & MANY:
-            df = grain_rate(df, cell, name, hit=hit, base=base)
-    return df
+def prior_rates(df: DataFrame, cells: dict[str, Sequence[str]], hit: Column | None = None) -> DataFrame:
+    """<name>: the hit rate of each cell (entity and equal context) over earlier days. For cells of one entity that has few rows; others go by cube."""
+    hit = win() if hit is None else hit
+    return df.withColumns({name: F.avg(hit).over(H.before(*cell)) for name, cell in cells.items()})
 
 
 def skeleton(df: DataFrame) -> DataFrame:
@@ -53,32 +45,42 @@ def skeleton(df: DataFrame) -> DataFrame:
 
 def career(df: DataFrame) -> DataFrame:
     """L2: a horse's career: rates overall, by venue, surface and class; nearby distances; speed; days since; runs in 30 days."""
-    w, last = H.before("horse"), W.partitionBy("horse").orderBy("day", "race_id")
+    w = H.before("horse")
     df = prior_rates(df, {"career_win_rate": ["horse"], "venue_win_rate": ["horse", "venue"], "surface_win_rate": ["horse", "surface"], "class_win_rate": ["horse", "class"]})
-    df = df.withColumns({"career_place_rate": F.avg((F.col("finish") <= 2).cast("int")).over(w), "career_show_rate": F.avg(show()).over(w), "starts": F.count("*").over(w), "wins": F.count_if(F.col("finish") == 1).over(w), "starts_90d": F.count("*").over(H.last_days("horse", days=90)), "best_finish5": F.min("finish").over(last.rowsBetween(-5, -1)), "odds_avg5": F.avg("odds").over(last.rowsBetween(-5, -1)), "best_time_distance": F.min("time").over(H.before("horse", "distance")), "starts_with_jockey": F.count("*").over(H.before("horse", "jockey"))})
-    df = df.withColumns({"starts_30d": F.count("*").over(H.last_days("horse", days=30)), "days_since": F.col("day") - F.max("day").over(w), "speed_avg5": F.avg("time").over(last.rowsBetween(-5, -1)), "speed_best5": F.min("time").over(last.rowsBetween(-5, -1))})
-    # a run counts for every distance within 200 m of its own; distances are multiples of STEP, so that is a few rows each, and no list of past runs is carried
-    df = df.withColumn("_d", F.explode(F.transform(F.sequence(F.lit(-200), F.lit(200), F.lit(STEP)), lambda x: F.col("distance") + x)))
-    df = df.withColumn("distance_win_rate", F.avg(win()).over(H.before("horse", "_d")))
-    return df.where(F.col("_d") == F.col("distance")).drop("_d")
+    df = df.withColumns({"career_place_rate": F.avg((F.col("finish") <= 2).cast("int")).over(w), "career_show_rate": F.avg(show()).over(w), "starts": F.count("*").over(w), "wins": F.count_if(F.col("finish") == 1).over(w), "starts_90d": F.count("*").over(H.last_days("horse", days=90)), "best_time_distance": F.min("time").over(H.before("horse", "distance")), "starts_with_jockey": F.count("*").over(H.before("horse", "jockey"))})
+    df = df.withColumns({"starts_30d": F.count("*").over(H.last_days("horse", days=30)), "days_since": F.col("day") - F.max("day").over(w)})
+    df = H.last_before(df, ["horse"], speed_avg5=(5, F.avg("time")), speed_best5=(5, F.min("time")), best_finish5=(5, F.min("finish")), odds_avg5=(5, F.avg("odds")))
+    return near_distance(df)
+
+
+def near_distance(df: DataFrame) -> DataFrame:
+    """distance_win_rate: the win rate of a horse's earlier runs within 200 m of today's distance.
+
+    Distances are multiples of STEP, so a run counts for a few of them. Only keys and hits are laid out for each, and summed by day before the window.
+    """
+    near = F.explode(F.array(*(F.col("distance") + x for x in range(-200, 201, STEP))))
+    daily = df.select("horse", "day", near.alias("distance"), win().alias("_w")).groupBy("horse", "distance", "day").agg(F.count("*").alias("_n"), F.sum("_w").alias("_w"))
+    at = H.before("horse", "distance")
+    past = daily.select("horse", "distance", "day", F.try_divide(F.sum("_w").over(at), F.sum("_n").over(at)).alias("distance_win_rate"))
+    return df.join(past, ["horse", "distance", "day"], "left")
 
 
 def jockey_trainer(df: DataFrame) -> DataFrame:
     """L3: rates of the jockey (13 columns) and of the trainer (7): overall, 60 days, venue, distance, surface, class, season, pairs."""
-    df = base = df.withColumn("_season", S.season("race_date"))
-    df = grain_rate(df, ["trainer"], "trainer_60d", days=60)
+    df = df.withColumn("_season", S.season("race_date"))
     context = {"venue": "venue", "distance": "distance", "surface": "surface", "class": "class", "season": "_season"}
-    df = prior_rates(df, {"jockey_win_rate": ["jockey"], "trainer_win_rate": ["trainer"]} | {f"{who}_{name}": [who, c] for who in ("jockey", "trainer") for name, c in context.items()}, base=base)
-    df = prior_rates(df, {"pair_win_rate": ["jockey", "horse"], "jockey_with_trainer": ["jockey", "trainer"], "jockey_with_owner": ["jockey", "owner"]})
-    w = H.before("jockey")
-    return df.withColumns({"jockey_60d": F.avg(win()).over(H.last_days("jockey", days=60)), "jockey_show_rate": F.avg(show()).over(w), "jockey_starts": F.count("*").over(w), "jockey_wins": F.count_if(F.col("finish") == 1).over(w)}).drop("_season")
+    cells = {f"{who}_{name}": H.Cell((who, c), "win") for who in ("jockey", "trainer") for name, c in context.items()}
+    cells |= {f"{who}_win_rate": H.Cell((who,), "win") for who in ("jockey", "trainer")} | {f"{who}_60d": H.Cell((who,), "win", days=60) for who in ("jockey", "trainer")}
+    cells |= {"pair_win_rate": H.Cell(("jockey", "horse"), "win"), "jockey_with_trainer": H.Cell(("jockey", "trainer"), "win"), "jockey_with_owner": H.Cell(("jockey", "owner"), "win")}
+    cells |= {"jockey_show_rate": H.Cell(("jockey",), "show"), "jockey_starts": H.Cell(("jockey",), "win", "count"), "jockey_wins": H.Cell(("jockey",), "win", "sum")}
+    return H.cube(df, {"win": win(), "show": show()}, cells).drop("_season")
 
 
 def pedigree(df: DataFrame, least: int = 5) -> DataFrame:
     """L4: sire and damsire by 400 m band and by surface, from `least` starts; their mean over three."""
-    df = base = df.withColumn("_band", F.floor(F.col("distance") / 400))
-    for name, cell in {"sire_band": ["sire", "_band"], "sire_surface": ["sire", "surface"], "damsire_band": ["damsire", "_band"]}.items():
-        df = grain_rate(df, cell, name, least - 1, base=base)
+    df = df.withColumn("_band", F.floor(F.col("distance") / 400))
+    by = {"sire_band": ("sire", "_band"), "sire_surface": ("sire", "surface"), "damsire_band": ("damsire", "_band")}
+    df = H.cube(df, {"win": win()}, {name: H.Cell(cell, "win", least=least - 1) for name, cell in by.items()})
     return df.withColumn("pedigree", (F.coalesce("sire_band", F.lit(0.0)) + F.coalesce("sire_surface", F.lit(0.0)) + F.coalesce("damsire_band", F.lit(0.0))) / 3).drop("_band")
 
 
@@ -86,25 +88,26 @@ def track_bias(df: DataFrame) -> DataFrame:
     """Shares of inside and of front winners at the venue in the last 5 days; 0 without history."""
     inside = (F.col("finish") == 1) & (2 * F.col("horse_no") <= F.col("field_size") + 1)
     front = (F.col("finish") == 1) & (F.coalesce(S.norm_position("corner1", "field_size"), F.lit(0.0)) <= 0.33)
-    df = grain_rate(grain_rate(df, ["venue"], "inside_bias", hit=inside.cast("int"), days=5), ["venue"], "front_bias", hit=front.cast("int"), days=5, base=df)
+    df = H.cube(df, {"inside": inside.cast("int"), "front": front.cast("int")}, {f"{k}_bias": H.Cell(("venue",), k, days=5) for k in ("inside", "front")})
     return df.fillna(0.0, ["inside_bias", "front_bias"])
 
 
 def weight(df: DataFrame) -> DataFrame:
-    """Body weight against its last five: mean, difference, slope by age of the run (newest last), spread, clamped z."""
-    w = H.last_rows("horse", n=5)
-    df = df.withColumns({"_n": F.row_number().over(W.partitionBy("horse").orderBy("day", "race_id")), "weight_avg5": F.avg("body_weight").over(w), "_sd": F.stddev_pop("body_weight").over(w)})
-    df = df.withColumns({"weight_diff": F.col("body_weight") - F.col("weight_avg5"), "weight_slope": F.when(F.count("*").over(w) >= 2, F.regr_slope(F.col("body_weight"), F.col("_n")).over(w)), "weight_volatility": F.col("_sd")})
-    return df.withColumn("weight_z", F.greatest(F.lit(-5.0), F.least(F.lit(5.0), F.col("weight_diff") / F.greatest(F.col("_sd"), F.lit(1.0))))).drop("_n", "_sd")
+    """Body weight against the last five of earlier days: mean, difference, slope by age of the run (newest last), spread, clamped z."""
+    kg, n = F.col("body_weight"), F.col("_n")
+    df = df.withColumn("_n", F.row_number().over(W.partitionBy("horse").orderBy("day", "race_id")))
+    df = H.last_before(df, ["horse"], weight_avg5=(5, F.avg(kg)), weight_volatility=(5, F.stddev_pop(kg)), _runs=(5, F.count("*")), _slope=(5, F.regr_slope(kg, n)))
+    df = df.withColumns({"weight_diff": kg - F.col("weight_avg5"), "weight_slope": F.when(F.col("_runs") >= 2, F.col("_slope"))})
+    return df.withColumn("weight_z", F.greatest(F.lit(-5.0), F.least(F.lit(5.0), F.col("weight_diff") / F.greatest(F.col("weight_volatility"), F.lit(1.0))))).drop("_n", "_runs", "_slope")
 
 
 def recent_form(df: DataFrame) -> DataFrame:
-    """The last run's values, changes of class and distance, mean of 3, slope over 5 by recency (1 = newest; from 3 runs)."""
-    order = W.partitionBy("horse").orderBy("day", "race_id")
-    w = order.rowsBetween(-5, -1)
-    level = F.substring("class", 1, 1).cast("int")
-    df = df.withColumns({"_n": F.row_number().over(order), "last_finish": F.lag("finish").over(order), "distance_diff": F.col("distance") - F.lag("distance").over(order), "class_diff": level - F.lag(level).over(order), "finish_avg3": F.avg("finish").over(order.rowsBetween(-3, -1))})
-    return df.withColumn("form_slope", F.when(F.count("*").over(w) >= 3, -F.regr_slope(F.col("finish"), F.col("_n")).over(w))).drop("_n")
+    """The last run of an earlier day, changes of class and distance since, mean of 3, slope over 5 by recency (1 = newest; from 3 runs)."""
+    level, one = F.substring("class", 1, 1).cast("int"), lambda c: (1, F.max(c))
+    df = df.withColumn("_n", F.row_number().over(W.partitionBy("horse").orderBy("day", "race_id")))
+    df = H.last_before(df, ["horse"], last_finish=one("finish"), _distance=one("distance"), _level=one(level), finish_avg3=(3, F.avg("finish")), _runs=(5, F.count("*")), _slope=(5, F.regr_slope(F.col("finish"), F.col("_n"))))
+    df = df.withColumns({"distance_diff": F.col("distance") - F.col("_distance"), "class_diff": level - F.col("_level"), "form_slope": F.when(F.col("_runs") >= 3, -F.col("_slope"))})
+    return df.drop("_n", "_distance", "_level", "_runs", "_slope")
 
 
 def race_context(df: DataFrame) -> DataFrame:
@@ -125,13 +128,13 @@ def class_velocity(df: DataFrame) -> DataFrame:
 
 
 def class_variance(df: DataFrame) -> DataFrame:
-    """L10."""
-    return H.last_n(df.withColumn("_l", F.substring("class", 1, 1).cast("int")), ["horse"], 5, class_variance=F.stddev_pop("_l")).drop("_l")
+    """Spread of the class over the last five runs of earlier days."""
+    return H.last_before(df, ["horse"], class_variance=(5, F.stddev_pop(F.substring("class", 1, 1).cast("int"))))
 
 
 def trainer_flat(df: DataFrame) -> DataFrame:
     """A trainer's rate in ungraded races."""
-    return grain_rate(df, ["trainer"], "trainer_flat", hit=F.when(F.substring("class", 1, 1).cast("int") > 3, win()))
+    return H.cube(df, {"flat": F.when(F.substring("class", 1, 1).cast("int") > 3, win())}, {"trainer_flat": H.Cell(("trainer",), "flat")})
 
 
 def weather(df: DataFrame) -> DataFrame:
@@ -147,10 +150,9 @@ def physics(df: DataFrame) -> DataFrame:
 
 
 def history_speed(df: DataFrame) -> DataFrame:
-    """Last-five speed scaled by weight, carry and age, and its spread."""
-    w = H.last_rows("horse", n=5)
+    """Speed over the last five runs of earlier days, scaled by weight, carry and age, and its spread."""
     speed = F.col("distance") / F.col("time")
-    df = df.withColumns({"speed5": F.avg(speed).over(w), "speed_volatility": F.stddev_pop(speed).over(w)})
+    df = H.last_before(df, ["horse"], speed5=(5, F.avg(speed)), speed_volatility=(5, F.stddev_pop(speed)))
     return df.withColumns({"speed_weight": F.col("speed5") * F.col("body_weight") / 450, "speed_carry": F.col("speed5") * F.col("carried") / 55, "speed_age": F.col("speed5") / F.col("age")})
 
 
@@ -168,33 +170,36 @@ def market(df: DataFrame) -> DataFrame:
 
 
 def sectional_weight(df: DataFrame) -> DataFrame:
-    """Last-three-furlong means of 3 and 5 runs, slope, and the last weight."""
-    order = W.partitionBy("horse").orderBy("day", "race_id")
-    df = df.withColumn("_n", F.row_number().over(order))
-    w = order.rowsBetween(-5, -1)
-    return df.withColumns({"last3f_avg3": F.avg("last3f").over(order.rowsBetween(-3, -1)), "last3f_avg5": F.avg("last3f").over(w), "last3f_slope": F.when(F.count("*").over(w) >= 3, F.regr_slope(F.col("last3f"), F.col("_n")).over(w)), "last_weight": F.lag("body_weight").over(order)}).drop("_n")
+    """Last-three-furlong means of 3 and 5 runs of earlier days, slope, and the last weight."""
+    df = df.withColumn("_n", F.row_number().over(W.partitionBy("horse").orderBy("day", "race_id")))
+    df = H.last_before(df, ["horse"], last3f_avg3=(3, F.avg("last3f")), last3f_avg5=(5, F.avg("last3f")), _runs=(5, F.count("*")), _slope=(5, F.regr_slope(F.col("last3f"), F.col("_n"))), last_weight=(1, F.max("body_weight")))
+    return df.withColumn("last3f_slope", F.when(F.col("_runs") >= 3, F.col("_slope"))).drop("_n", "_runs", "_slope")
+
 
+def carried_weight(df: DataFrame, heavy: float = 54.0) -> DataFrame:
+    """Mean carried weight of this run and the four before it, the share of runs at `heavy` or more among this and the nine before, rank and difference in the race.
 
-def carried_weight(df: DataFrame) -> DataFrame:
-    """L18."""
-    df = H.last_n(H.last_n(df, ["horse"], 5, carried_avg5=F.avg("carried")), ["horse"], 10, carried_avg10=F.avg("carried"))
+    By rows, as the carried weight of a day's runs is known before they are run: an earlier run of the same day counts.
+    """
+    rows = W.partitionBy("horse").orderBy("day", "race_id")
+    df = df.withColumns({"carried_avg5": F.avg("carried").over(rows.rowsBetween(-4, 0)), "carried_heavy10": F.avg((F.col("carried") >= heavy).cast("int")).over(rows.rowsBetween(-9, 0))})
     return R.relative(R.rank_in_race(df, {"carried": True}), ["carried"])
 
 
 def near_miss(df: DataFrame) -> DataFrame:
-    """Second-place rates of horse, jockey and ancestors, last-five seconds, margins to the winner, favourite gap."""
+    """Second-place rates of horse, jockey and ancestors, last-five seconds, margins to the winner, favourite gap. The last five go by rows."""
     second = (F.col("finish") == 2).cast("int")
-    df = prior_rates(df, {"second_rate": ["horse"], "jockey_second": ["jockey"], "sire_second": ["sire"], "damsire_second": ["damsire"], "sire_surface_second": ["sire", "surface"]}, second)
+    by = {"second_rate": ("horse",), "jockey_second": ("jockey",), "sire_second": ("sire",), "damsire_second": ("damsire",), "sire_surface_second": ("sire", "surface")}
     df = df.withColumn("_m", F.col("time") - F.max(F.when(F.col("finish") == 1, F.col("time"))).over(R.race()))
     df = H.last_n(df, ["horse"], 5, seconds5=F.sum(second), margin5=F.avg("_m"), margin_best5=F.min(F.abs("_m")), second_margin5=F.avg(F.when(F.col("finish") == 2, F.col("_m"))))
-    return R.favourite_gap(df).drop("_m")
+    return H.cube(R.favourite_gap(df).drop("_m"), {"second": second}, {name: H.Cell(cell, "second") for name, cell in by.items()})
 
 
 def draught_class(df: DataFrame) -> DataFrame:
     """Rates by bucket of carried weight (times ten, in kg)."""
     kg = F.col("carried") * 10
     df = df.withColumn("_b", F.when(kg < 500, 0).when(kg < 550, 1).when(kg < 600, 2).otherwise(3))
-    return grain_rate(prior_rates(df, {"bucket_rate": ["horse", "_b"]}), ["_b"], "bucket_rate_all", base=df).drop("_b")
+    return H.cube(df, {"win": win()}, {"bucket_rate": H.Cell(("horse", "_b"), "win"), "bucket_rate_all": H.Cell(("_b",), "win")}).drop("_b")
 
 
 def draught_grade(df: DataFrame) -> DataFrame:
@@ -219,7 +224,8 @@ def cells(df: DataFrame, prior: float = 0.0707) -> DataFrame:
     for name, by in keys.items():
         df = df.withColumns({f"{name}_n": F.count("*").over(ahead(*by)), f"{name}_w": F.count_if(F.col("finish") == 1).over(ahead(*by))})
     line = H.race_order(base, ["sire", "_band"], ["day", "race_id"], line_n=F.count("*"), line_w=F.sum(win()))
-    df = df.join(line, ["sire", "_band", "day", "race_id"])
+    # a runner without a sire keeps its row, and has no line
+    df = df.join(line, ["sire", "_band", "day", "race_id"], "left")
     own = M.eb_rate(F.col("own_w"), F.col("own_n"), F.lit(prior), 30)
     df = df.withColumn("own_rate", own)
     for name, base in {"cell": own, "pair": own, "local": own, "line": F.lit(prior)}.items():
@@ -229,16 +235,11 @@ def cells(df: DataFrame, prior: float = 0.0707) -> DataFrame:
 
 
 def fade(df: DataFrame) -> DataFrame:
-    """Of horse, jockey, trainer and owner: starts, shares of unplaced runs ever, in 60 and in 365 days; the last five of the horse."""
-    lost, base = (F.col("finish") > 3).cast("int"), df
-    for who in ("horse", "jockey", "owner"):
-        w = H.before(who)
-        df = df.withColumns({f"{who}_fade": F.avg(lost).over(w), f"{who}_starts": F.count("*").over(w)} | {f"{who}_fade_{n}d": F.avg(lost).over(H.last_days(who, days=n)) for n in (60, 365)})
-    ever = H.day_grain(base, ["trainer"], _n=F.count("*"), _w=F.sum(lost))
-    for n in (60, 365):
-        ever = ever.join(H.day_grain(base, ["trainer"], days=n, _sn=F.count("*"), _sw=F.sum(lost)), ["trainer", "day"]).withColumn(f"trainer_fade_{n}d", F.try_divide("_sw", "_sn")).drop("_sn", "_sw")
-    df = df.join(ever.withColumn("trainer_fade", F.try_divide("_w", "_n")).withColumnRenamed("_n", "trainer_starts").drop("_w"), ["trainer", "day"])
-    return H.last_n(df, ["horse"], 5, fade5=F.avg(lost))
+    """Of horse, jockey, trainer and owner: starts, shares of unplaced runs ever, in 60 and in 365 days; the last five (by rows) of the horse."""
+    lost, cells = (F.col("finish") > 3).cast("int"), {}
+    for who in ("horse", "jockey", "trainer", "owner"):
+        cells |= {f"{who}_fade": H.Cell((who,), "lost"), f"{who}_starts": H.Cell((who,), "lost", "count")} | {f"{who}_fade_{n}d": H.Cell((who,), "lost", days=n) for n in (60, 365)}
+    return H.cube(H.last_n(df, ["horse"], 5, fade5=F.avg(lost)), {"lost": lost}, cells)
 
 
 def fade_extra(df: DataFrame) -> DataFrame:
@@ -255,47 +256,36 @@ def locality(df: DataFrame) -> DataFrame:
     return df.withColumns({"venue_share": F.try_divide(F.count("*").over(H.before("horse", "venue")), F.nullif(F.count("*").over(w), F.lit(0))), "venues": F.size(F.collect_set("venue").over(w)).cast("long")})
 
 
-def grain_rate(df: DataFrame, entity: Sequence[str], name: str, least: int = 0, hit: Column | None = None, days: int | None = None, base: DataFrame | None = None) -> DataFrame:
-    """Earlier-day rate of an entity by way of one row per entity and day (A41); null up to `least` starts. A null hit is no start.
-
-    base: the runners before any layer was added. Rates counted on it keep a chain of layers linear: each rate of df itself would plan df twice.
-    """
-    hit = win() if hit is None else hit
-    t = H.day_grain(df if base is None else base, entity, days=days, _n=F.count(hit), _w=F.sum(hit))
-    df = df.join(t, [*entity, "day"])
-    return df.withColumn(name, F.when(F.col("_n") > least, F.try_divide(F.col("_w"), F.col("_n")))).drop("_n", "_w")
-
-
 def going_pedigree(df: DataFrame) -> DataFrame:
     """For sire and damsire: starts, win and show rate on today's going, and how far the win rate is from that on all goings."""
-    df = base = df.withColumn("going_code", (F.col("day") % 3).cast("int"))
+    df = df.withColumn("going_code", (F.col("day") % 3).cast("int"))
+    cells = {}
     for role in ("sire", "damsire"):
-        on = H.day_grain(base, [role, "going_code"], _gn=F.count("*"), _gw=F.sum(win()), _gs=F.sum(show()))
-        df = grain_rate(df.join(on, [role, "going_code", "day"]), [role], "_all", base=base)
-        rate = F.try_divide("_gw", "_gn")
-        df = df.withColumns({f"{role}_going": rate, f"{role}_going_show": F.try_divide("_gs", "_gn"), f"{role}_going_n": F.col("_gn"), f"{role}_going_edge": rate - F.col("_all")}).drop("_gn", "_gw", "_gs", "_all")
-    return df
+        on = (role, "going_code")
+        cells |= {f"{role}_going": H.Cell(on, "win"), f"{role}_going_show": H.Cell(on, "show"), f"{role}_going_n": H.Cell(on, "win", "count"), f"_{role}": H.Cell((role,), "win")}
+    df = H.cube(df, {"win": win(), "show": show()}, cells)
+    return df.withColumns({f"{role}_going_edge": F.col(f"{role}_going") - F.col(f"_{role}") for role in ("sire", "damsire")}).drop("_sire", "_damsire")
 
 
 def trainer_affinity(df: DataFrame) -> DataFrame:
     """A trainer's rate in today's class, and in this distance at this venue."""
-    return grain_rate(grain_rate(df, ["trainer", "class"], "trainer_class"), ["trainer", "venue", "distance"], "trainer_target", base=df)
+    return H.cube(df, {"win": win()}, {"trainer_class": H.Cell(("trainer", "class"), "win"), "trainer_target": H.Cell(("trainer", "venue", "distance"), "win")})
 
 
 def sire_venue(df: DataFrame) -> DataFrame:
     """L30."""
-    return grain_rate(df, ["sire", "venue", "surface", "distance"], "sire_venue_rate", least=3)
+    return H.cube(df, {"win": win()}, {"sire_venue_rate": H.Cell(("sire", "venue", "surface", "distance"), "win", least=3)})
 
 
 def jockey_triple(df: DataFrame) -> DataFrame:
     """L35."""
-    return grain_rate(df.withColumn("_band", S.band("distance", "cells")), ["jockey", "venue", "_band", "surface"], "jockey_triple").drop("_band")
+    return H.cube(df.withColumn("_band", S.band("distance", "cells")), {"win": win()}, {"jockey_triple": H.Cell(("jockey", "venue", "_band", "surface"), "win")}).drop("_band")
 
 
 def going_sectional(df: DataFrame) -> DataFrame:
-    """Inside the last five runs, not over all runs, the mean last three furlongs on firm and on soft going."""
+    """Inside the last five runs of earlier days, not over all runs, the mean last three furlongs on firm and on soft going."""
     firm = F.col("day") % 3 > 0
-    return H.last_n(df, ["horse"], 5, firm3f=F.avg(F.when(firm, F.col("last3f"))), soft3f=F.avg(F.when(~firm, F.col("last3f"))))
+    return H.last_before(df, ["horse"], firm3f=(5, F.avg(F.when(firm, F.col("last3f")))), soft3f=(5, F.avg(F.when(~firm, F.col("last3f")))))
 
 
 def field_style(df: DataFrame) -> DataFrame:
@@ -326,47 +316,45 @@ STYLES = ("front", "near", "mid", "rear")
 
 
 def style_features(df: DataFrame, corners: Sequence[str] = ("corner1",)) -> DataFrame:
-    """For each corner, normalised places over 3, 5 and 10 runs (mean, best, worst, spread), the quartile range over 5, ever, on this
+    """For each corner, normalised places over the last 3, 5 and 10 runs of earlier days (mean, best, worst, spread), the quartile range over 5, ever, on this
     surface, at this distance, of the jockey, the last place and the rank of the mean in the race; shares of the four styles (by the first corner)
     over 5 and 10 runs, ever, of the jockey, the trainer and (over earlier months) the sire; consistency, starts, days since."""
     places = {f"c{i}": S.norm_position(c, "field_size") for i, c in enumerate(corners, 1)}
-    df = base = df.withColumns({f"_{k}": v for k, v in places.items()})
+    df = df.withColumns({f"_{k}": v for k, v in places.items()})
     first = F.col(corners[0])
     kinds = dict(zip(STYLES, (first == 1, (first > 1) & (F.col("_c1") <= 0.3), (F.col("_c1") > 0.3) & (F.col("_c1") <= 0.7), F.col("_c1") > 0.7)))
     kinds = {k: F.coalesce(v, F.lit(False)).cast("int") for k, v in kinds.items()}
-    order, ever = W.partitionBy("horse").orderBy("day", "race_id"), H.before("horse")
-    last = lambda n: order.rowsBetween(-n, -1)
-    out = {"starts": F.count("*").over(ever), "days_since": F.col("day") - F.max("day").over(ever)}
+    last = {}
     for k in places:
         c = F.col(f"_{k}")
         for n in (3, 5, 10):
-            out |= {f"{k}_avg{n}": F.avg(c).over(last(n)), f"{k}_best{n}": F.min(c).over(last(n)), f"{k}_worst{n}": F.max(c).over(last(n)), f"{k}_sd{n}": F.stddev_pop(c).over(last(n))}
-        out |= {f"{k}_iqr5": F.percentile(c, F.lit(0.75)).over(last(5)) - F.percentile(c, F.lit(0.25)).over(last(5)), f"{k}_last": F.lag(c).over(order), f"{k}_ever": F.avg(c).over(ever)}
+            last |= {f"{k}_avg{n}": (n, F.avg(c)), f"{k}_best{n}": (n, F.min(c)), f"{k}_worst{n}": (n, F.max(c)), f"{k}_sd{n}": (n, F.stddev_pop(c))}
+        last |= {f"_{k}_five": (5, F.collect_list(c)), f"{k}_last": (1, F.max(c))}
     for k, hit in kinds.items():
-        out |= {f"{k}_share{n}": F.avg(hit).over(last(n)) for n in (5, 10)} | {f"{k}_share": F.avg(hit).over(ever)}
-    df = df.withColumns(out)
-    for name, by in {"surface": ["horse", "surface"], "distance": ["horse", "distance"], "jockey": ["jockey"]}.items():
-        df = df.withColumns({f"{k}_{name}": F.avg(f"_{k}").over(H.before(*by)) for k in places})
-    df = df.withColumns({f"{k}_jockey": F.avg(hit).over(H.before("jockey")) for k, hit in kinds.items()})
-    trainer = H.day_grain(base, ["trainer"], _n=F.count("*"), **{f"_{k}": F.sum(hit) for k, hit in kinds.items()})
-    df = df.join(trainer.select("trainer", "day", *(F.try_divide(f"_{k}", "_n").alias(f"{k}_trainer") for k in kinds)), ["trainer", "day"])
-    sire = H.monthly_cumulative(base, ["sire"], _n=F.count("*"), **{f"_{k}": F.sum(hit) for k, hit in kinds.items()})
-    df = df.withColumn("month", F.trunc("race_date", "month")).join(sire.select("sire", "month", *(F.try_divide(f"_{k}", "_n").alias(f"{k}_sire") for k in kinds)), ["sire", "month"]).drop("month")
+        last |= {f"{k}_share{n}": (n, F.avg(hit)) for n in (5, 10)} | {f"_{k}_sum": (5, F.sum(hit))}
+    df = H.last_before(df, ["horse"], **last)
+    five = {k: F.sort_array(f"_{k}_five") for k in places}
+    df = df.withColumns({f"{k}_iqr5": H.quartile(five[k], 0.75) - H.quartile(five[k], 0.25) for k in places})
+    sums = [F.col(f"_{k}_sum") for k in kinds]
+    df = df.withColumn("style_consistency", F.try_divide(F.greatest(*sums), F.nullif(sum(sums[1:], sums[0]), F.lit(0))))
+    df = df.withColumn("days_since", F.col("day") - F.max("day").over(H.before("horse")))
+    cells = {"starts": H.Cell(("horse",), "one", "count")}
+    for k in places:
+        cells |= {f"{k}_{name}": H.Cell(by, k) for name, by in {"ever": ("horse",), "surface": ("horse", "surface"), "distance": ("horse", "distance"), "jockey": ("jockey",)}.items()}
+    for k in kinds:
+        cells |= {f"{k}_share": H.Cell(("horse",), k), f"{k}_jockey": H.Cell(("jockey",), k), f"{k}_trainer": H.Cell(("trainer",), k), f"{k}_sire": H.Cell(("sire",), k, monthly=True)}
+    df = H.cube(df, {"one": F.lit(1)} | {k: F.col(f"_{k}") for k in places} | kinds, cells)
     df = R.rank_in_race(df.withColumns({f"_{k}_avg5": F.round(f"{k}_avg5", 9) for k in places}), {f"_{k}_avg5": False for k in places})
     df = df.withColumnsRenamed({f"_{k}_avg5_rank": f"{k}_rank" for k in places})
-    held = F.greatest(*(F.sum(hit).over(last(5)) for hit in kinds.values()))
-    known = F.sum(sum(list(kinds.values())[1:], kinds["front"])).over(last(5))
-    return df.withColumn("style_consistency", F.try_divide(held, F.nullif(known, F.lit(0)))).drop(*(f"_{k}" for k in places), *(f"_{k}_avg5" for k in places))
+    return df.drop(*(f"_{k}{x}" for k in places for x in ("", "_avg5", "_five")), *(f"_{k}_sum" for k in kinds))
 
 
 def heatmap(df: DataFrame) -> DataFrame:
     """A row per runner with the earlier win rate of each of its entities: people, ancestors, frame, weight class."""
     kinds = {"frame": F.least(F.col("horse_no"), F.lit(8)), "weight": S.weight_class("body_weight", {"light": 410, "middle": 430}, "heavy")}
-    df = base = df.withColumns({f"_{k}": c for k, c in kinds.items()})
-    df = prior_rates(df, {f"{who}_rate": [who] for who in ("jockey", "trainer", "owner", "sire", "damsire")} | {"jockey_frame_rate": ["jockey", "_frame"]}, base=base)
-    for k in kinds:
-        df = grain_rate(df, [f"_{k}"], f"{k}_rate", base=base)
-    return df.drop(*(f"_{k}" for k in kinds))
+    df = df.withColumns({f"_{k}": c for k, c in kinds.items()})
+    by = {f"{who}_rate": (who,) for who in ("jockey", "trainer", "owner", "sire", "damsire")} | {"jockey_frame_rate": ("jockey", "_frame")} | {f"{k}_rate": (f"_{k}",) for k in kinds}
+    return H.cube(df, {"win": win()}, {name: H.Cell(cell, "win") for name, cell in by.items()}).drop(*(f"_{k}" for k in kinds))
 
 
 def pace_style(df: DataFrame, share: str = "q") -> DataFrame:

@@ -10,7 +10,7 @@ from ..operators import joins as J
 from ..operators import metrics as M
 from . import layers as L
 from .registry import query
-from .views import entries, table
+from .views import RUNS, entries, last, table
 
 KEY = ("race_id", "horse")
 #: Added before rounding where values fall on ties (fractions of a power of two), which engines round their own way.
@@ -31,6 +31,10 @@ def rows(value, n, name):
     return f"round({value} OVER (PARTITION BY horse ORDER BY day, race_id ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING), 9) AS {name}"
 
 
+def runs(value, n, name):
+    return f"round({value} {last(n)}, 9) AS {name}"
+
+
 def select(*items, src="e"):
     return f"SELECT race_id, horse, {', '.join(items)} FROM {src}"
 
@@ -40,7 +44,7 @@ def l1(spark, d):
     return out(L.skeleton(entries(spark, d)), "category", "finish_norm")
 
 
-@query("l2_career", select(rate("horse", "career_win_rate"), rate("horse, venue", "venue_win_rate"), rate("horse, surface", "surface_win_rate"), rows("avg(time)", 5, "speed_avg5"), rows("min(time)", 5, "speed_best5"), "(day - max(day) OVER (PARTITION BY horse ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::INT AS days_since", "count(*) OVER (PARTITION BY horse ORDER BY day RANGE BETWEEN 30 PRECEDING AND 1 PRECEDING) AS starts_30d", "round((SELECT avg((h.finish = 1)::INT) FROM e h WHERE h.horse = e.horse AND h.day < e.day AND abs(h.distance - e.distance) <= 200), 9) AS distance_win_rate", rate("horse, class", "class_win_rate"), rate("horse", "career_place_rate", "finish <= 2"), rate("horse", "career_show_rate", "finish <= 3"), "count(*) OVER (PARTITION BY horse ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS starts", "count(*) FILTER (WHERE finish = 1) OVER (PARTITION BY horse ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS wins", "count(*) OVER (PARTITION BY horse ORDER BY day RANGE BETWEEN 90 PRECEDING AND 1 PRECEDING) AS starts_90d", rows("min(finish)", 5, "best_finish5"), rows("avg(odds)", 5, "odds_avg5"), "min(time) OVER (PARTITION BY horse, distance ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_time_distance", "count(*) OVER (PARTITION BY horse, jockey ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS starts_with_jockey"))
+@query("l2_career", select(rate("horse", "career_win_rate"), rate("horse, venue", "venue_win_rate"), rate("horse, surface", "surface_win_rate"), runs("avg(time)", 5, "speed_avg5"), runs("min(time)", 5, "speed_best5"), "(day - max(day) OVER (PARTITION BY horse ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::INT AS days_since", "count(*) OVER (PARTITION BY horse ORDER BY day RANGE BETWEEN 30 PRECEDING AND 1 PRECEDING) AS starts_30d", "round((SELECT avg((h.finish = 1)::INT) FROM e h WHERE h.horse = r.horse AND h.day < r.day AND abs(h.distance - r.distance) <= 200), 9) AS distance_win_rate", rate("horse, class", "class_win_rate"), rate("horse", "career_place_rate", "finish <= 2"), rate("horse", "career_show_rate", "finish <= 3"), "count(*) OVER (PARTITION BY horse ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS starts", "count(*) FILTER (WHERE finish = 1) OVER (PARTITION BY horse ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS wins", "count(*) OVER (PARTITION BY horse ORDER BY day RANGE BETWEEN 90 PRECEDING AND 1 PRECEDING) AS starts_90d", runs("min(finish)", 5, "best_finish5"), runs("avg(odds)", 5, "odds_avg5"), "min(time) OVER (PARTITION BY horse, distance ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_time_distance", "count(*) OVER (PARTITION BY horse, jockey ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS starts_with_jockey", src=f"{RUNS} r"))
 def l2(spark, d):
     return out(L.career(entries(spark, d)), "career_win_rate", "venue_win_rate", "surface_win_rate", "speed_avg5", "speed_best5", "days_since", "starts_30d", "distance_win_rate", "class_win_rate", "career_place_rate", "career_show_rate", "starts", "wins", "starts_90d", "best_finish5", "odds_avg5", "best_time_distance", "starts_with_jockey")
 
@@ -69,12 +73,12 @@ def l5(spark, d):
     return out(L.track_bias(entries(spark, d)), "inside_bias", "front_bias")
 
 
-@query("l6_weight", f"SELECT race_id, horse, round(a, 9) AS weight_avg5, round(body_weight - a, 9) AS weight_diff, round(CASE WHEN n >= 2 THEN s END, 4) AS weight_slope, round(greatest(-5, least(5, (body_weight - a) / greatest(sd, 1))), 9) AS weight_z, round(sd, 7) AS weight_volatility FROM (SELECT *, avg(body_weight) OVER w AS a, stddev_pop(body_weight) OVER w AS sd, count(*) OVER w AS n, regr_slope(body_weight, k) OVER w AS s FROM (SELECT *, row_number() OVER (PARTITION BY horse ORDER BY day, race_id) AS k FROM e) WINDOW w AS (PARTITION BY horse ORDER BY k ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING))")
+@query("l6_weight", f"SELECT race_id, horse, round(a, 9) AS weight_avg5, round(body_weight - a, 9) AS weight_diff, round(CASE WHEN n >= 2 THEN s END, 4) AS weight_slope, round(greatest(-5, least(5, (body_weight - a) / greatest(sd, 1))), 9) AS weight_z, round(sd, 7) AS weight_volatility FROM (SELECT *, avg(body_weight) {last(5)} AS a, stddev_pop(body_weight) {last(5)} AS sd, count(*) {last(5)} AS n, regr_slope(body_weight, k) {last(5)} AS s FROM {RUNS})")
 def l6(spark, d):
     return out(L.weight(entries(spark, d)), "weight_avg5", "weight_diff", "weight_slope", "weight_z", "weight_volatility", weight_slope=4, weight_volatility=7)
 
 
-@query("l7_recent_form", "SELECT race_id, horse, lag(finish) OVER o AS last_finish, substr(class, 1, 1)::INT - lag(substr(class, 1, 1)::INT) OVER o AS class_diff, distance - lag(distance) OVER o AS distance_diff, round(avg(finish) OVER (PARTITION BY horse ORDER BY k ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 9) AS finish_avg3, round(CASE WHEN count(*) OVER w >= 3 THEN -regr_slope(finish, k) OVER w END, 4) AS form_slope FROM (SELECT *, row_number() OVER (PARTITION BY horse ORDER BY day, race_id) AS k FROM e) WINDOW o AS (PARTITION BY horse ORDER BY k), w AS (PARTITION BY horse ORDER BY k ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)")
+@query("l7_recent_form", f"SELECT race_id, horse, max(finish) {last(1)} AS last_finish, substr(class, 1, 1)::INT - max(substr(class, 1, 1)::INT) {last(1)} AS class_diff, distance - max(distance) {last(1)} AS distance_diff, round(avg(finish) {last(3)}, 9) AS finish_avg3, round(CASE WHEN count(*) {last(5)} >= 3 THEN -regr_slope(finish, k) {last(5)} END, 4) AS form_slope FROM {RUNS}")
 def l7(spark, d):
     return out(L.recent_form(entries(spark, d)), "last_finish", "class_diff", "distance_diff", "finish_avg3", "form_slope", form_slope=4)
 
@@ -89,7 +93,7 @@ def l9(spark, d):
     return out(L.class_velocity(entries(spark, d)), "class_velocity")
 
 
-@query("l10_class_variance", select(rows("stddev_pop(substr(class, 1, 1)::INT)", 5, "class_variance")))
+@query("l10_class_variance", select(runs("stddev_pop(substr(class, 1, 1)::INT)", 5, "class_variance"), src=RUNS))
 def l10(spark, d):
     return out(L.class_variance(entries(spark, d)), "class_variance")
 
@@ -109,7 +113,7 @@ def l13(spark, d):
     return out(L.physics(entries(spark, d)), "carry_ratio_rank", "body_weight_rank", "carried_diff", "carry_ratio", "joint_z", joint_z=6)
 
 
-@query("l14_history_speed", select(rows("avg(distance / time)", 5, "speed5"), rows("stddev_pop(distance / time)", 5, "speed_volatility"), rows("body_weight / 450 * avg(distance / time)", 5, "speed_weight"), rows("carried / 55 * avg(distance / time)", 5, "speed_carry"), rows("1.0::DOUBLE / age * avg(distance / time)", 5, "speed_age")))
+@query("l14_history_speed", select(runs("avg(distance / time)", 5, "speed5"), runs("stddev_pop(distance / time)", 5, "speed_volatility"), runs("body_weight / 450 * avg(distance / time)", 5, "speed_weight"), runs("carried / 55 * avg(distance / time)", 5, "speed_carry"), runs("1.0::DOUBLE / age * avg(distance / time)", 5, "speed_age"), src=RUNS))
 def l14(spark, d):
     return out(L.history_speed(entries(spark, d)), "speed5", "speed_volatility", "speed_weight", "speed_carry", "speed_age")
 
@@ -124,14 +128,14 @@ def l16(spark, d):
     return out(L.market(entries(spark, d)).withColumn("implied_share", F.col("implied_share") + HAIR), "implied_share", "implied_rank", "form_rank", "overround", "disagreement", "implied", "implied_diff", "form")
 
 
-@query("l17_sectional", select(rows("avg(last3f)", 3, "last3f_avg3"), rows("avg(last3f)", 5, "last3f_avg5"), "lag(body_weight) OVER (PARTITION BY horse ORDER BY day, race_id) AS last_weight", "round(CASE WHEN count(*) OVER w >= 3 THEN regr_slope(last3f, k) OVER w END, 6) AS last3f_slope", src="(SELECT *, row_number() OVER (PARTITION BY horse ORDER BY day, race_id) AS k FROM e)") + " WINDOW w AS (PARTITION BY horse ORDER BY k ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)")
+@query("l17_sectional", select(runs("avg(last3f)", 3, "last3f_avg3"), runs("avg(last3f)", 5, "last3f_avg5"), f"max(body_weight) {last(1)} AS last_weight", f"round(CASE WHEN count(*) {last(5)} >= 3 THEN regr_slope(last3f, k) {last(5)} END, 6) AS last3f_slope", src=RUNS))
 def l17(spark, d):
     return out(L.sectional_weight(entries(spark, d)), "last3f_avg3", "last3f_avg5", "last_weight", "last3f_slope", last3f_slope=6)
 
 
-@query("l18_carried_weight", select(rows("avg(carried)", 5, "carried_avg5"), rows("avg(carried)", 10, "carried_avg10"), "rank() OVER (PARTITION BY race_id ORDER BY carried DESC)::BIGINT AS carried_rank", "round(carried - avg(carried) OVER (PARTITION BY race_id), 9) AS carried_diff"))
+@query("l18_carried_weight", select("round(avg(carried) OVER (h ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 9) AS carried_avg5", "round(avg((carried >= 54)::INT) OVER (h ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 9) AS carried_heavy10", "rank() OVER (PARTITION BY race_id ORDER BY carried DESC)::BIGINT AS carried_rank", "round(carried - avg(carried) OVER (PARTITION BY race_id), 9) AS carried_diff") + " WINDOW h AS (PARTITION BY horse ORDER BY day, race_id)")
 def l18(spark, d):
-    return out(L.carried_weight(entries(spark, d)), "carried_avg5", "carried_avg10", "carried_rank", "carried_diff")
+    return out(L.carried_weight(entries(spark, d)), "carried_avg5", "carried_heavy10", "carried_rank", "carried_diff")
 
 
 @query("l19_workouts", "SELECT a.event_id, count(b.event_id) AS workouts, round(avg(b.value), 9) AS lap_avg FROM events a LEFT JOIN events b ON a.user_id = b.user_id AND b.ts::DATE < a.ts::DATE AND b.ts::DATE >= a.ts::DATE - 90 GROUP BY a.event_id", base=False)
@@ -202,13 +206,13 @@ def l26(spark, d):
 R1 = ("carry_ratio_rank", "body_weight_rank", "carried_diff", "body_weight_diff", "carry_ratio", "joint_z", "speed5", "speed_volatility", "speed_weight", "speed_carry", "speed_age")
 
 
-@query("l27_relationship", select("rank() OVER (PARTITION BY race_id ORDER BY carried / body_weight)::BIGINT AS carry_ratio_rank", "rank() OVER (PARTITION BY race_id ORDER BY body_weight DESC)::BIGINT AS body_weight_rank", "round(carried - avg(carried) OVER w, 9) AS carried_diff", "round(body_weight - avg(body_weight) OVER w, 9) AS body_weight_diff", "round(carried / body_weight, 9) AS carry_ratio", "round(CASE WHEN stddev_samp(carried) OVER w > 1e-9 AND stddev_samp(body_weight) OVER w > 1e-9 THEN (carried - avg(carried) OVER w) / stddev_samp(carried) OVER w - (body_weight - avg(body_weight) OVER w) / stddev_samp(body_weight) OVER w END, 6) AS joint_z", rows("avg(distance / time)", 5, "speed5"), rows("stddev_pop(distance / time)", 5, "speed_volatility"), rows("body_weight / 450 * avg(distance / time)", 5, "speed_weight"), rows("carried / 55 * avg(distance / time)", 5, "speed_carry"), rows("1.0::DOUBLE / age * avg(distance / time)", 5, "speed_age")) + " WINDOW w AS (PARTITION BY race_id)")
+@query("l27_relationship", select("rank() OVER (PARTITION BY race_id ORDER BY carried / body_weight)::BIGINT AS carry_ratio_rank", "rank() OVER (PARTITION BY race_id ORDER BY body_weight DESC)::BIGINT AS body_weight_rank", "round(carried - avg(carried) OVER w, 9) AS carried_diff", "round(body_weight - avg(body_weight) OVER w, 9) AS body_weight_diff", "round(carried / body_weight, 9) AS carry_ratio", "round(CASE WHEN stddev_samp(carried) OVER w > 1e-9 AND stddev_samp(body_weight) OVER w > 1e-9 THEN (carried - avg(carried) OVER w) / stddev_samp(carried) OVER w - (body_weight - avg(body_weight) OVER w) / stddev_samp(body_weight) OVER w END, 6) AS joint_z", runs("avg(distance / time)", 5, "speed5"), runs("stddev_pop(distance / time)", 5, "speed_volatility"), runs("body_weight / 450 * avg(distance / time)", 5, "speed_weight"), runs("carried / 55 * avg(distance / time)", 5, "speed_carry"), runs("1.0::DOUBLE / age * avg(distance / time)", 5, "speed_age"), src=RUNS) + " WINDOW w AS (PARTITION BY race_id)")
 def l27(spark, d):
     """L13 and L14 in one."""
     return out(L.history_speed(L.physics(entries(spark, d))), *R1, joint_z=6)
 
 
-@query("l28_going_sectional", select(rows("avg(CASE WHEN day % 3 > 0 THEN last3f END)", 5, "firm3f"), rows("avg(CASE WHEN day % 3 = 0 THEN last3f END)", 5, "soft3f")))
+@query("l28_going_sectional", select(runs("avg(CASE WHEN day % 3 > 0 THEN last3f END)", 5, "firm3f"), runs("avg(CASE WHEN day % 3 = 0 THEN last3f END)", 5, "soft3f"), src=RUNS))
 def l28(spark, d):
     return out(L.going_sectional(entries(spark, d)), "firm3f", "soft3f")
 
@@ -301,13 +305,12 @@ STYLE_IF = {"front": "corner1 = 1", "near": "corner1 > 1 AND c1 <= 0.3", "mid":
 
 def _styles():
     """Columns of l40 in SQL: how they are computed, by name, and the digits they are compared at."""
-    last = lambda n: f"OVER (PARTITION BY horse ORDER BY day, race_id ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
     ever = lambda by: f"OVER (PARTITION BY {by} ORDER BY day {EVER})"
     made = {}
     for k in ("c1", "c2", "c3", "c4"):
         for n in (3, 5, 10):
             made |= {f"{k}_avg{n}": (f"avg({k}) {last(n)}", 9), f"{k}_best{n}": (f"min({k}) {last(n)}", 9), f"{k}_worst{n}": (f"max({k}) {last(n)}", 9), f"{k}_sd{n}": (f"stddev_pop({k}) {last(n)}", 6)}
-        made |= {f"{k}_iqr5": (f"quantile_cont({k}, 0.75) {last(5)} - quantile_cont({k}, 0.25) {last(5)}", 9), f"{k}_last": (f"lag({k}) OVER (PARTITION BY horse ORDER BY day, race_id)", 9)}
+        made |= {f"{k}_iqr5": (f"quantile_cont({k}, 0.75) {last(5)} - quantile_cont({k}, 0.25) {last(5)}", 9), f"{k}_last": (f"max({k}) {last(1)}", 9)}
         made |= {f"{k}_{name}": (f"avg({k}) {ever(by)}", 7) for name, by in {"ever": "horse", "surface": "horse, surface", "distance": "horse, distance", "jockey": "jockey"}.items()}
     for k in STYLE_IF:
         made |= {f"{k}_share{n}": (f"avg(is_{k}) {last(n)}", 9) for n in (5, 10)} | {f"{k}_share": (f"avg(is_{k}) {ever('horse')}", 7), f"{k}_jockey": (f"avg(is_{k}) {ever('jockey')}", 7), f"{k}_trainer": (f"avg(is_{k}) {ever('trainer')}", 7)}
@@ -319,7 +322,7 @@ def _styles():
 
 STYLE_COLUMNS = _styles()
 STYLE_SQL = (
-    ", a AS (SELECT *, date_trunc('month', race_date)::DATE AS month, " + ", ".join(f"CASE WHEN field_size > 1 THEN ({c} - 1) / (field_size - 1)::DOUBLE END AS c{i}" for i, c in enumerate(CORNERS, 1)) + " FROM e), b AS (SELECT *, " + ", ".join(f"coalesce({cond}, false)::INT AS is_{k}" for k, cond in STYLE_IF.items()) + " FROM a)"
+    ", a AS (SELECT *, date_trunc('month', race_date)::DATE AS month, " + ", ".join(f"CASE WHEN field_size > 1 THEN ({c} - 1) / (field_size - 1)::DOUBLE END AS c{i}" for i, c in enumerate(CORNERS, 1)) + f" FROM {RUNS}), b AS (SELECT *, " + ", ".join(f"coalesce({cond}, false)::INT AS is_{k}" for k, cond in STYLE_IF.items()) + " FROM a)"
     + ", m AS (SELECT race_id, horse, " + ", ".join(f"round({x} + 1e-12, {n}) AS {c}" for c, (x, n) in STYLE_COLUMNS.items()) + ", count(*) OVER h AS starts, (day - max(day) OVER h)::INT AS days_since FROM b WINDOW h AS (PARTITION BY horse ORDER BY day " + EVER + "))"
     + " SELECT *, " + ", ".join(f"rank() OVER (PARTITION BY race_id ORDER BY c{i}_avg5 NULLS LAST)::BIGINT AS c{i}_rank" for i in range(1, 5)) + " FROM m"
 )

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import history as H
 from ..operators import joins as J
 from ..operators import metrics as M
 from ..operators import relative as R
 from .registry import query
-from .views import entries, table
+from .views import RUNS, entries, last, table
 
 R6 = lambda c: F.round(c, 6)
 PRED = ", p AS (SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY score_b DESC, horse) AS r FROM e)\n"
@@ -42,11 +43,12 @@ def a4(spark, d):
     return entries(spark, d).groupBy("venue").agg(R6(F.percentile("odds", F.lit(0.5))).alias("median_odds"), F.round(F.percentile("time", F.lit(0.9)), 4).alias("time_p90"))
 
 
-@query("a5_iqr", "SELECT race_id, horse, round(quantile_cont(corner1, 0.75) OVER w - quantile_cont(corner1, 0.25) OVER w, 6) AS corner_iqr FROM e WINDOW w AS (PARTITION BY horse ORDER BY day, race_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)")
+@query("a5_iqr", f"SELECT race_id, horse, round(quantile_cont(corner1, 0.75) {last(5)} - quantile_cont(corner1, 0.25) {last(5)}, 6) AS corner_iqr FROM {RUNS}")
 def a5(spark, d):
-    w = W.partitionBy("horse").orderBy("day", "race_id").rowsBetween(-5, -1)
-    q = lambda p: F.percentile("corner1", F.lit(p)).over(w)
-    return entries(spark, d).select("race_id", "horse", R6(q(0.75) - q(0.25)).alias("corner_iqr"))
+    """The quartile range of the last five runs of earlier days, of a sorted array of five."""
+    df = H.last_before(entries(spark, d), ["horse"], five=(5, F.collect_list("corner1")))
+    five = F.sort_array("five")
+    return df.select("race_id", "horse", R6(H.quartile(five, 0.75) - H.quartile(five, 0.25)).alias("corner_iqr"))
 
 
 @query("a6_safe_corr", "SELECT horse, round(CASE WHEN count(*) * sum(finish * finish) > sum(finish) * sum(finish) AND stddev_pop(body_weight) > 0 THEN corr(finish, body_weight) END, 4) AS c FROM e GROUP BY horse")
@@ -305,12 +307,11 @@ def a35r(spark, d):
     return R.minmax(df.withColumn("total", F.col("_jockey") + F.col("_sire")), "total", "score").select("race_id", "horse", R6("score").alias("score"))
 
 
-@query("a36_dominant_share", "SELECT race_id, horse, round(greatest(count(*) FILTER (WHERE surface = 'F') OVER w, count(*) FILTER (WHERE surface = 'O') OVER w, count(*) FILTER (WHERE surface = 'P') OVER w) / nullif(count(*) OVER w, 0)::DOUBLE, 6) AS share FROM e WINDOW w AS (PARTITION BY horse ORDER BY day, race_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)")
+@query("a36_dominant_share", "SELECT race_id, horse, round(greatest(" + ", ".join(f"count(*) FILTER (WHERE surface = '{x}') {last(5)}" for x in "FOP") + f") / nullif(count(*) {last(5)}, 0)::DOUBLE, 6) AS share FROM {RUNS}")
 def a36(spark, d):
-    """Of the last five runs, the share of the commonest kind."""
-    w = W.partitionBy("horse").orderBy("day", "race_id").rowsBetween(-5, -1)
-    k = [F.count_if(F.col("surface") == s).over(w) for s in ("F", "O", "P")]
-    return entries(spark, d).select("race_id", "horse", R6(F.try_divide(F.greatest(*k), F.count("*").over(w))).alias("share"))
+    """Of the last five runs of earlier days, the share of the commonest kind."""
+    df = H.last_before(entries(spark, d), ["horse"], n=(5, F.count("*")), **{x: (5, F.count_if(F.col("surface") == x)) for x in "FOP"})
+    return df.select("race_id", "horse", R6(F.try_divide(F.greatest(*"FOP"), F.nullif("n", F.lit(0)))).alias("share"))
 
 
 @query("a37_rank_corr", "SELECT round(corr(ra, rb), 6) AS spearman FROM (SELECT rank() OVER (PARTITION BY race_id ORDER BY score_a DESC, horse) AS ra, rank() OVER (PARTITION BY race_id ORDER BY score_c DESC, horse) AS rb FROM e)")

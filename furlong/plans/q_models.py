@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from ..operators import joins as J
 from ..operators import models as M
 from ..operators import quality as Q
 from ..operators import relative as R
+from ..operators import trees as T
+from ..sources.tables import folder
 from .registry import query
 from .views import entries, table
 
@@ -23,10 +27,78 @@ TREES = [
 
 @query("m1_score_trees", "SELECT race_id, horse, round(s, 6) AS score, row_number() OVER (PARTITION BY race_id ORDER BY s DESC, horse)::BIGINT AS predicted_rank FROM (SELECT race_id, horse, CASE WHEN odds < 6 THEN CASE WHEN body_weight < 420 THEN 0.3 ELSE 0.5 END ELSE 0.1 END::DOUBLE + CASE WHEN carried < 54 THEN 0.05 ELSE CASE WHEN age < 5 THEN -0.05 ELSE 0.02 END END::DOUBLE AS s FROM e)")
 def m1(spark, d):
-    df = M.score_trees(entries(spark, d), TREES, ["odds", "body_weight", "carried", "age"])
+    df = T.score_forest(entries(spark, d), T.from_nested(TREES))
     return R.ordinal(df, "score").select(*KEY, R6("score").alias("score"), "predicted_rank")
 
 
+#: One small model in each file format. `odds` is missing for every fifth horse; `venue` is a category.
+OBLIVIOUS = {
+    "features_info": {"float_features": [{"feature_index": 0, "flat_feature_index": 0, "feature_id": "odds_seen", "nan_value_treatment": "AsTrue"}, {"feature_index": 1, "flat_feature_index": 2, "feature_id": "body_weight", "nan_value_treatment": "AsFalse"}], "categorical_features": [{"feature_index": 0, "flat_feature_index": 1, "feature_id": "venue"}]},
+    "oblivious_trees": [
+        {"splits": [{"split_type": "FloatFeature", "float_feature_index": 0, "border": 6.0}, {"split_type": "OneHotFeature", "cat_feature_index": 0, "values": [3, 7]}], "leaf_values": [0.125, -0.25, 0.5, 0.75]},
+        {"splits": [{"split_type": "FloatFeature", "float_feature_index": 1, "border": 420.0}], "leaf_values": [0.0625, -0.03125]},
+    ],
+    "scale_and_bias": [2.0, [0.25]],
+}
+BOOSTED = {
+    "learner": {
+        "feature_names": ["odds_seen", "body_weight", "venue"],
+        "learner_model_param": {"base_score": "[5E-1]", "num_feature": "3", "num_class": "0"},
+        "gradient_booster": {"model": {"tree_info": [0, 0], "trees": [
+            {"left_children": [1, 3, -1, -1, -1], "right_children": [2, 4, -1, -1, -1], "split_indices": [0, 1, 0, 0, 0], "split_conditions": [6.0, 420.0, 0.125, 0.25, 0.5], "base_weights": [0.0, 0.0, 0.125, 0.25, 0.5], "default_left": [0, 1, 0, 0, 0]},
+            {"left_children": [1, -1, -1], "right_children": [2, -1, -1], "split_indices": [2, 0, 0], "split_conditions": [0.0, -0.125, 0.0625], "base_weights": [0.0, -0.125, 0.0625], "default_left": [1, 0, 0], "categories_nodes": [0], "categories_segments": [0], "categories_sizes": [2], "categories": [3, 7]},
+        ]}},
+    }
+}
+_LEAF = lambda v: {"leaf_value": v}
+LEAFWISE = {
+    "num_class": 3, "num_tree_per_iteration": 3, "class_labels": ["front", "near", "rear"], "feature_names": ["odds_seen", "body_weight", "venue"],
+    "trees": [
+        {"tree_structure": {"split_feature": 0, "threshold": 6.0, "decision_type": "<=", "default_left": False, "left_child": _LEAF(0.5), "right_child": _LEAF(-0.5)}},
+        {"tree_structure": {"split_feature": 2, "threshold": "3||7", "decision_type": "==", "default_left": False, "left_child": _LEAF(1.0), "right_child": {"split_feature": 1, "threshold": 430.0, "decision_type": "<=", "default_left": True, "left_child": _LEAF(0.25), "right_child": _LEAF(0.0)}}},
+        {"tree_structure": _LEAF(0.125)},
+    ],
+}
+SEEN = "CASE WHEN horse % 5 > 0 THEN odds END"
+
+
+def model_file(spark, model: dict):
+    """The forest of a model that was written as a file into the shared folder, and read back."""
+    path = folder(spark, "model")
+    spark.createDataFrame([(json.dumps(model),)], "value string").coalesce(1).write.text(path)
+    return T.read_forest(spark, path)
+
+
+def seen(spark, d):
+    return entries(spark, d).withColumn("odds_seen", F.when(F.col("horse") % 5 > 0, F.col("odds")))
+
+
+@query("m1_oblivious_file", f"SELECT race_id, horse, s AS score, row_number() OVER (PARTITION BY race_id ORDER BY s DESC, horse)::BIGINT AS predicted_rank FROM (SELECT race_id, horse, (2 * (CASE WHEN venue IN (3, 7) THEN CASE WHEN coalesce(o > 6, true) THEN 0.75 ELSE 0.5 END ELSE CASE WHEN coalesce(o > 6, true) THEN -0.25 ELSE 0.125 END END + CASE WHEN body_weight > 420 THEN -0.03125 ELSE 0.0625 END) + 0.25)::DOUBLE AS s FROM (SELECT *, {SEEN} AS o FROM e))")
+def m1o(spark, d):
+    return R.ordinal(T.score_forest(seen(spark, d), model_file(spark, OBLIVIOUS)), "score").select(*KEY, "score", "predicted_rank")
+
+
+@query("m1_boosted_file", f"SELECT race_id, horse, s AS score, row_number() OVER (PARTITION BY race_id ORDER BY s DESC, horse)::BIGINT AS predicted_rank FROM (SELECT race_id, horse, (0.5 + CASE WHEN o < 6 THEN CASE WHEN body_weight < 420 THEN 0.25 ELSE 0.5 END ELSE 0.125 END + CASE WHEN venue IN (3, 7) THEN 0.0625 ELSE -0.125 END)::DOUBLE AS s FROM (SELECT *, {SEEN} AS o FROM e))")
+def m1b(spark, d):
+    return R.ordinal(T.score_forest(seen(spark, d), model_file(spark, BOOSTED)), "score").select(*KEY, "score", "predicted_rank")
+
+
+@query("m1_leafwise_file", f"SELECT race_id, horse, round(exp(a) / (exp(a) + exp(b) + exp(c)), 9) AS front, round(exp(b) / (exp(a) + exp(b) + exp(c)), 9) AS near, round(exp(c) / (exp(a) + exp(b) + exp(c)), 9) AS rear, CASE WHEN a >= b AND a >= c THEN 'front' WHEN b >= c THEN 'near' ELSE 'rear' END AS style FROM (SELECT race_id, horse, CASE WHEN o <= 6 THEN 0.5 ELSE -0.5 END::DOUBLE AS a, CASE WHEN venue IN (3, 7) THEN 1.0 WHEN body_weight <= 430 THEN 0.25 ELSE 0.0 END::DOUBLE AS b, 0.125::DOUBLE AS c FROM (SELECT *, {SEEN} AS o FROM e))")
+def m1l(spark, d):
+    """Probabilities of three classes, and the label of the largest (the first of equals)."""
+    forest = model_file(spark, LEAFWISE)
+    df = T.score_forest(seen(spark, d), forest, name="p")
+    place = F.array_position("p", F.array_max("p")).cast("int")
+    return df.select(*KEY, *(F.round(F.col("p")[i], 9).alias(c) for i, c in enumerate(forest.labels)), F.element_at(F.array(*map(F.lit, forest.labels)), place).alias("style"))
+
+
+@query("m1_routed_files", f"SELECT race_id, horse, model, (CASE model WHEN 'v1' THEN 0.25 + 2 * (CASE WHEN venue IN (3, 7) THEN CASE WHEN coalesce(o > 6, true) THEN 0.75 ELSE 0.5 END ELSE CASE WHEN coalesce(o > 6, true) THEN -0.25 ELSE 0.125 END END + CASE WHEN body_weight > 420 THEN -0.03125 ELSE 0.0625 END) WHEN 'v2' THEN 0.5 + CASE WHEN o < 6 THEN CASE WHEN body_weight < 420 THEN 0.25 ELSE 0.5 END ELSE 0.125 END + CASE WHEN venue IN (3, 7) THEN 0.0625 ELSE -0.125 END END)::DOUBLE AS score FROM (SELECT *, {SEEN} AS o, CASE WHEN distance < 1400 THEN 'v1' WHEN distance < 2000 THEN 'v2' ELSE 'v3' END AS model FROM e)")
+def m1r(spark, d):
+    """Each row by the model that its cell is routed to; one whose model is not there has no score."""
+    df = M.route_cells(seen(spark, d), [(F.col("distance") < 1400, "v1"), (F.col("distance") < 2000, "v2")], "v3")
+    return T.score_forest(df, {"v1": model_file(spark, OBLIVIOUS), "v2": model_file(spark, BOOSTED)}, by="model").select(*KEY, "model", "score")
+
+
 @query("m2_fit_calibration")
 def m2(spark, d):
     df = R.softmax(entries(spark, d), F.col("score_b") / 50, "p").withColumn("won", F.col("finish") == 1)

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import datetime
-import tempfile
-import uuid
 
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import joins as J
 from ..operators import quality as Q
 from ..sources import tables as S
+from ..sources.tables import folder
 from ..streaming import state as T
 from .registry import query
 from .views import entries, table
@@ -24,17 +23,6 @@ DAYS = 10
 LATE = f"{DAYS + 1} days"
 
 
-def folder(spark, name: str) -> str:
-    """A new folder that all executors see: under spark.checkpoint.dir, or, where that is unset, on one machine, in a temporary one."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if top is None:
-        master = spark.conf.get("spark.master", "")
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
-        top = "file://" + tempfile.mkdtemp(prefix="spark-furlong-")
-    return f"{top.rstrip('/')}/furlong/{name}-{uuid.uuid4().hex}"
-
-
 def stream(spark, d, name: str = "events", times: int = 1):
     """The events as a stream of files in the order of time: written once into the shared folder, ten days after ten days, so that a key's rows come in several micro-batches; each row `times` times."""
     path, df = folder(spark, "stream"), table(spark, d, name)

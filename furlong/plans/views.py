@@ -52,3 +52,10 @@ e AS (
     row_number() OVER (PARTITION BY race_id ORDER BY _q DESC, horse) AS corner1, _p / 1000 AS score_a, round(_q * (1 - _d), 4) AS score_b, _p / (1 + _q) AS score_c
   FROM runner)
 """
+
+#: Runs in a horse's order (k), and how many of them are of earlier days (kb): the last n of those are rows kb - n + 1 to kb.
+RUNS = "(SELECT *, row_number() OVER (PARTITION BY horse ORDER BY day, race_id) AS k, count(*) OVER (PARTITION BY horse ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS kb FROM e)"
+
+
+def last(n):
+    return f"OVER (PARTITION BY horse ORDER BY day, race_id ROWS BETWEEN (k - kb + {n - 1}) PRECEDING AND (k - kb) PRECEDING)"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,24 @@ from pyspark.sql.types import StructType
 from ..operators import joins as J
 
 
+def folder(spark, name: str) -> str:
+    """A new folder that all executors see: under spark.checkpoint.dir, or, where that is unset, on one machine, in a temporary one."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if top is None:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+        top = "file://" + tempfile.mkdtemp(prefix="spark-furlong-")
+    return f"{top.rstrip('/')}/furlong/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """df written once as a table into the shared folder, and read back: what reads it several times plans its source once, and reads only the columns it needs."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scan_parquet(spark: SparkSession, *paths: str, merge: bool = True) -> DataFrame:
     """Partitioned Parquet, columns united by name."""
     return spark.read.option("mergeSchema", str(merge).lower()).parquet(*paths)

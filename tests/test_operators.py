@@ -9,6 +9,7 @@ from furlong.operators import metrics as M
 from furlong.operators import models as MD
 from furlong.operators import quality as Q
 from furlong.operators import relative as R
+from furlong.operators import trees as TR
 from furlong.sources import tables
 from furlong.streaming import state as T
 
@@ -22,6 +23,90 @@ def test_same_day_rows_do_not_leak(spark):
     assert one(H.expanding(df, ["sire"], rate=F.avg("win")), "rate") == [(None,), (None,), (0.5,)]
 
 
+def runner(spark, rows):
+    """horse, trainer, day, race_id, value as a runner table."""
+    return spark.createDataFrame(rows, "horse string, trainer string, day int, race_id long, value int").withColumn("race_date", F.date_add(F.lit("1970-01-01"), F.col("day")))
+
+
+def test_last_runs_leave_the_day_out(spark):
+    """Two runs of one day see neither each other, nor their day's others, whatever the order; the day after sees both."""
+    df = runner(spark, [("a", None, 5, 1, 10), ("a", None, 5, 2, 20), ("a", None, 9, 3, 30), ("a", None, 9, 4, 40), ("a", None, 12, 5, 50), (None, None, 13, 6, 60), (None, None, 14, 7, 70)])
+    got = H.last_before(df, ["horse"], mean=(3, F.avg("value")), last=(1, F.max("value")), all=(10, F.collect_list("value"))).orderBy("race_id").collect()
+    assert [r.mean for r in got] == [None, None, 15.0, 15.0, 30.0, None, None]
+    assert [r["last"] for r in got] == [None, None, 20, 20, 40, None, None]
+    assert [r["all"] for r in got] == [None, None, [10, 20], [10, 20], [10, 20, 30, 40], None, None]
+
+
+def test_last_runs_equal_a_plain_loop(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(rng.choice("abc"), "t", rng.randrange(12), i, rng.choice([None, 1, 2, 3, 4])) for i in range(120)]
+    got = H.last_before(runner(spark, rows), ["horse"], n=(4, F.count("value")), total=(4, F.sum("value")), five=(5, F.collect_list("value"))).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        past = sorted((x for x in rows if x[0] == r.horse and x[2] < r.day), key=lambda x: (x[2], x[3]))
+        four = [x[4] for x in past[-4:] if x[4] is not None]
+        assert (r.n or 0) == len(four) and r.total == (sum(four) if four else None)
+        assert (r.five or []) == [x[4] for x in past[-5:] if x[4] is not None]
+
+
+def test_quartiles_of_short_arrays(spark):
+    df = spark.createDataFrame([([],), ([1.0],), ([1.0, 3.0],), ([1.0, 2.0, 10.0, 20.0, 21.0],)], "a array<double>")
+    assert [tuple(r) for r in df.select(H.quartile(F.col("a"), 0.25), H.quartile(F.col("a"), 0.75)).collect()] == [(None, None), (1.0, 1.0), (1.5, 2.5), (2.0, 20.0)]
+
+
+def test_cube_equals_plain_loops_and_keeps_rows(spark):
+    """Means, counts and sums of several groupings; a row without an entity keeps its place; texts that hold separators stay apart."""
+    import random
+
+    rng = random.Random(2)
+    names = [None, "x", "1:x", "x,1:y", "y", ""]
+    rows = [(rng.choice(["a", "b", None]), rng.choice(names), rng.randrange(90), i, rng.choice([None, 0, 1])) for i in range(200)]
+    df = runner(spark, rows).withColumn("arm", F.lit("kept"))
+    cells = {"m": H.Cell(("horse",), "v"), "n": H.Cell(("horse", "trainer"), "v", "count"), "s": H.Cell(("trainer",), "v", "sum", days=20), "q": H.Cell(("trainer",), "v", least=3), "c": H.Cell(("trainer",), "v", "count", monthly=True)}
+    got = H.cube(df, {"v": F.col("value")}, cells, key=("race_id",)).collect()
+    assert len(got) == len(rows) and all(r.arm == "kept" for r in got)
+
+    def past(r, by, days=None, monthly=False):
+        key = lambda x: tuple({"horse": x[0], "trainer": x[1]}[b] for b in by)
+        own = tuple(r[b] for b in by)
+        if None in own:
+            return None
+        month = lambda day: 0 if day < 31 else 1 if day < 59 else 2
+        return [x[4] for x in rows if key(x) == own and x[4] is not None and (month(x[2]) < month(r.day) if monthly else x[2] < r.day and (days is None or r.day - x[2] <= days))]
+
+    for r in got:
+        m, n, s, q, c = past(r, ["horse"]), past(r, ["horse", "trainer"]), past(r, ["trainer"], 20), past(r, ["trainer"]), past(r, ["trainer"], monthly=True)
+        assert r.m == (sum(m) / len(m) if m else None)
+        assert r.n == (None if n is None else len(n)) and r.s == (None if s is None else sum(s)) and r.c == (None if c is None else len(c))
+        assert r.q == (sum(q) / len(q) if q and len(q) > 3 else None)
+
+
+def test_layers_keep_runners_without_entities(spark):
+    """A runner without a jockey, trainer, sire or damsire keeps its row in every layer that rates them."""
+    from furlong.plans import layers as L
+    from furlong.plans.views import entries
+
+    e = entries(spark, "/root/testdata/sf0.001").where("race_id < 200")
+    gone = e.withColumns({c: F.when(F.col("horse") % 3 > 0, F.col(c)) for c in ("jockey", "trainer", "sire", "damsire", "owner")})
+    n = gone.count()
+    for layer in (L.jockey_trainer, L.pedigree, L.near_miss, L.going_pedigree, L.trainer_affinity, L.fade, L.heatmap, L.cells, L.sire_venue, L.trainer_flat, L.jockey_triple):
+        assert layer(gone).count() == n, layer.__name__
+    rates = L.trainer_affinity(gone).where("trainer is null")
+    assert rates.count() and rates.where("trainer_class is not null").count() == 0
+
+
+def test_layers_plan_their_source_once(spark):
+    from furlong.plans import layers as L
+    from furlong.plans.views import entries
+
+    e = entries(spark, "/root/testdata/sf0.001")
+    for layer in (L.jockey_trainer, L.pedigree, L.near_miss, L.going_pedigree, L.fade, L.heatmap):
+        plan = layer(e)._jdf.queryExecution().executedPlan().toString()
+        assert "lineitem.parquet" not in plan and plan.count("Exchange") <= 8, layer.__name__
+
+
 def test_future_rows_change_nothing(spark):
     rows = [("h", d, d, d % 2) for d in range(1, 8)]
     schema = "horse string, day int, race_id int, win int"
@@ -87,7 +172,7 @@ def test_masters_lowest_priority_number_wins(spark):
 def test_trees_route_missing_left(spark):
     df = spark.createDataFrame([(None,), (5.0,)], "x double")
     tree = {"feature": "x", "threshold": 3.0, "left": {"value": 1}, "right": {"value": 2}}
-    assert [r.score for r in MD.score_trees(df, [tree], ["x"]).collect()] == [1.0, 2.0]
+    assert [r.score for r in TR.score_forest(df, TR.from_nested([tree])).collect()] == [1.0, 2.0]
 
 
 def test_empty_tables(spark):
@@ -124,14 +209,12 @@ def test_cards_merged_as_a_stream(spark, tmp_path):
     assert one(T.read_latest(spark, f"file://{tmp_path}/log", ["k"]), *cols) == one(T.merge_cards(frame(rows), ["k"], "at", "full", "finish", ["jockey"]), *cols)
 
 
-def test_layers_count_rates_on_the_untouched_runners(spark):
-    """A chain of rates of few entities plans the runners once a rate, not twice as often with each."""
-    from furlong.plans import layers as L
-
-    one = spark.createDataFrame([(1, 1, 1, 1)], "trainer int, venue int, day int, finish int")
-    cells = {f"r{k}": ["trainer", "venue"] for k in range(7)}
-    plan = L.prior_rates(one, cells)._jdf.queryExecution().analyzed().toString()
-    assert plan.count("LogicalRDD") == len(cells) + 1
+def test_more_cells_cost_no_more_scans(spark):
+    """Seven groupings read the written runners as often as one does."""
+    one = spark.createDataFrame([(1, 1, 1, 1, 1, 1)], "race_id int, horse int, trainer int, venue int, day int, finish int").withColumn("race_date", F.current_date())
+    by = [("trainer",), ("venue",), ("horse",), ("trainer", "venue"), ("trainer", "horse"), ("venue", "horse"), ("trainer", "venue", "horse")]
+    scans = [H.cube(one, {"v": F.col("finish")}, {f"r{k}": H.Cell(c, "v") for k, c in enumerate(by[:n])})._jdf.queryExecution().analyzed().toString().count("Relation") for n in (1, 7)]
+    assert scans[0] == scans[1] <= 3
 
 
 def test_capped_streak_equals_the_whole_one_up_to_its_cap(spark):
