@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import joins as J
+from ..operators import nearest as N
 from .registry import query
 from .views import entries, table
 
@@ -317,12 +318,9 @@ KNN = "FROM embeddings t JOIN embeddings h ON t.label = h.label AND h.vec_id < t
 
 
 def neighbours(spark, d, k: int):
-    """The k nearest earlier vectors of the same label of every tenth vector (J10, K4): equi prefilter, exact distance, top k."""
+    """The k nearest earlier vectors of the same label of every tenth vector (J10, K4), by a pivot index."""
     v = table(spark, d, "embeddings")
-    t = v.where("vec_id % 10 = 0").select("vec_id", "label", F.col("embedding").alias("x"))
-    h = v.select(F.col("vec_id").alias("h_id"), "label", F.col("embedding").alias("y"))
-    pairs = t.join(h, "label").where("h_id < vec_id").select("vec_id", "h_id", S.distance("x", "y").alias("dist"))
-    return J.top_per_group(pairs, ["vec_id"], ["dist", "h_id"], k)
+    return N.earlier_neighbours(v.where("vec_id % 10 = 0"), v, k, ["label"], "vec_id", "embedding")
 
 
 @query("j10_knn_join", f"SELECT vec_id, h_id FROM (SELECT t.vec_id AS vec_id, h.vec_id AS h_id, row_number() OVER (PARTITION BY t.vec_id ORDER BY list_distance(t.embedding::DOUBLE[], h.embedding::DOUBLE[]), h.vec_id) AS rn {KNN}) WHERE rn <= 10", base=False)
