@@ -73,14 +73,42 @@ class Cell:
     monthly: bool = False
 
 
-def cube(df: DataFrame, values: dict[str, Column], cells: dict[str, Cell], key: Sequence[str] = ("race_id", "horse"), day: str = "day", date: str = "race_date") -> DataFrame:
-    """Add a column for each cell: sums by day of many groupings of one table, all in one pass (A41, L3 and the like).
+#: Entities of so many values that one has few rows.
+MANY = ("horse", "jockey", "owner")
 
-    df is written once, and read three times by the columns needed. Each row is laid out once for each distinct grouping, sums are taken by
-    grouping, cell and day (combined before they are shuffled, so that a cell with a third of all rows is as small as its days), one window runs
+
+def cube(df: DataFrame, values: dict[str, Column], cells: dict[str, Cell], key: Sequence[str] = ("race_id", "horse"), day: str = "day", date: str = "race_date", many: Sequence[str] = MANY) -> DataFrame:
+    """Add a column for each cell: means, counts and sums over earlier days of many groupings of one table (A41, L3 and the like).
+
+    Groupings that hold one of `many` are windows, all of one entity after one shuffle by it. The others have cells that may hold a third of
+    all rows. For these df is written once, and read by the columns needed: each row is laid out once for each distinct grouping, sums are taken by
+    grouping, cell and day (combined before they are shuffled, so that a cell is as small as its days), one window runs
     over the days of each cell, and one join brings each row its sums, which are put side by side by row key. The key must be one of rows. A null value
     is no row of the cell; a row that is null in a cell's grouping keeps its place and has a null there; other columns stay as they are.
     """
+    few = {n: c for n, c in cells.items() if c.monthly or not set(c.by) & set(many)}
+    if few:
+        df = _by_days(df, values, few, key, day, date)
+    for entity in dict.fromkeys(next(b for b in c.by if b in many) for n, c in cells.items() if n not in few):
+        own = {n: c for n, c in cells.items() if n not in few and next(b for b in c.by if b in many) == entity}
+        if not any(c.by == (entity,) for c in own.values()):
+            df = df.repartition(entity)
+        # the widest grouping first: it shuffles by the entity alone, and the others find their rows together
+        for by in sorted(dict.fromkeys(c.by for c in own.values()), key=len):
+            df = df.withColumns({n: _over_days(c, values[c.of], day) for n, c in own.items() if c.by == by})
+    return df
+
+
+def _over_days(cell: Cell, value: Column, day: str) -> Column:
+    w = last_days(*cell.by, days=cell.days, day=day) if cell.days else before(*cell.by, day=day)
+    n = F.count(value).over(w)
+    out = {"count": n, "sum": F.coalesce(F.sum(value).over(w), F.lit(0)), "mean": F.when(n > cell.least, F.avg(value).over(w))}[cell.how]
+    for b in cell.by:
+        out = F.when(F.col(b).isNotNull(), out)
+    return out
+
+
+def _by_days(df: DataFrame, values: dict[str, Column], cells: dict[str, Cell], key: Sequence[str], day: str, date: str) -> DataFrame:
     from ..sources.tables import cut
 
     base = cut(df, "cube")
@@ -88,35 +116,32 @@ def cube(df: DataFrame, values: dict[str, Column], cells: dict[str, Cell], key:
     frames = list(dict.fromkeys((c.of, c.days) for c in cells.values()))
     month = F.datediff(F.trunc(date, "month"), F.lit("1970-01-01"))
 
-    kinds = dict(df.dtypes)
-
-    def part(b):
-        # with its length before it, a text can't run into the next
-        return F.concat(F.length(b).cast("string"), F.lit(":"), F.col(b)) if kinds[b] == "string" else F.col(b).cast("string")
-
     def arm(i, by, monthly):
         there = F.lit(True)
         for b in by:
             there = there & F.col(b).isNotNull()
-        return F.when(there, F.struct(F.lit(i).alias("arm"), F.concat_ws(",", *map(part, by)).alias("cell"), (month if monthly else F.col(day)).cast("int").alias("t")))
+        # two hashes of the grouping and its values, 128 bits together, stand for them: rows stay narrow, and keys are numbers whatever the values are
+        a, b = F.xxhash64(F.lit(i), *by), F.xxhash64(*reversed(by), F.lit(~i))
+        return F.when(there, F.struct(F.lit(i).alias("arm"), a.alias("c1"), b.alias("c2"), (month if monthly else F.col(day)).cast("int").alias("t")))
 
     spread = F.explode(F.array_compact(F.array(*(arm(i, *a) for i, a in enumerate(arms)))))
     used = list(dict.fromkeys(of for of, _ in frames))
     long = base.select(*(values[v].alias(f"_{v}") for v in used), spread.alias("a")).select("a.*", *(f"_{v}" for v in used))
-    daily = long.groupBy("arm", "cell", "t").agg(*(x for v in used for x in (F.count(f"_{v}").alias(f"_n_{v}"), F.sum(f"_{v}").alias(f"_s_{v}"))))
-    w = W.partitionBy("arm", "cell").orderBy("t")
+    daily = long.groupBy("c1", "c2", "t").agg(*(x for v in used for x in (F.count(f"_{v}").alias(f"_n_{v}"), F.sum(f"_{v}").alias(f"_s_{v}"))))
+    w = W.partitionBy("c1", "c2").orderBy("t")
     over = {}
     for v, days in frames:
         frame = w.rangeBetween(-days if days else W.unboundedPreceding, -1)
         over |= {f"n_{v}_{days}": F.coalesce(F.sum(f"_n_{v}").over(frame), F.lit(0)), f"s_{v}_{days}": F.sum(f"_s_{v}").over(frame)}
-    past = daily.select("arm", "cell", "t", *(c.alias(n) for n, c in over.items()))
-    rows = base.select(*key, spread.alias("a")).select(*key, "a.*").join(past, ["arm", "cell", "t"])
+    past = daily.select("c1", "c2", "t", *(c.alias(n) for n, c in over.items()))
+    rows = base.select(*key, spread.alias("a")).select(*key, "a.*").join(past, ["c1", "c2", "t"])
     out = []
     for name, c in cells.items():
         n, s = F.col(f"n_{c.of}_{c.days}"), F.col(f"s_{c.of}_{c.days}")
         value = {"count": n, "sum": F.coalesce(s, F.lit(0)), "mean": F.when(n > c.least, F.try_divide(s, n))}[c.how]
         out.append(F.max(F.when(F.col("arm") == arms.index((c.by, c.monthly)), value)).alias(name))
-    return base.join(rows.groupBy(*key).agg(*out), list(key), "left")
+    # brought together as narrow rows, before they are wide
+    return base.join(rows.repartition(*key).groupBy(*key).agg(*out), list(key), "left")
 
 
 def last_n(df: DataFrame, entity: Sequence[str], n: int, **aggregates: Column) -> DataFrame:

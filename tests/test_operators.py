@@ -66,6 +66,8 @@ def test_cube_equals_plain_loops_and_keeps_rows(spark):
     df = runner(spark, rows).withColumn("arm", F.lit("kept"))
     cells = {"m": H.Cell(("horse",), "v"), "n": H.Cell(("horse", "trainer"), "v", "count"), "s": H.Cell(("trainer",), "v", "sum", days=20), "q": H.Cell(("trainer",), "v", least=3), "c": H.Cell(("trainer",), "v", "count", monthly=True)}
     got = H.cube(df, {"v": F.col("value")}, cells, key=("race_id",)).collect()
+    by_days = H.cube(df, {"v": F.col("value")}, cells, key=("race_id",), many=()).collect()
+    assert sorted(map(repr, map(sorted, (r.asDict().items() for r in got)))) == sorted(map(repr, map(sorted, (r.asDict().items() for r in by_days))))
     assert len(got) == len(rows) and all(r.arm == "kept" for r in got)
 
     def past(r, by, days=None, monthly=False):
@@ -213,7 +215,7 @@ def test_more_cells_cost_no_more_scans(spark):
     """Seven groupings read the written runners as often as one does."""
     one = spark.createDataFrame([(1, 1, 1, 1, 1, 1)], "race_id int, horse int, trainer int, venue int, day int, finish int").withColumn("race_date", F.current_date())
     by = [("trainer",), ("venue",), ("horse",), ("trainer", "venue"), ("trainer", "horse"), ("venue", "horse"), ("trainer", "venue", "horse")]
-    scans = [H.cube(one, {"v": F.col("finish")}, {f"r{k}": H.Cell(c, "v") for k, c in enumerate(by[:n])})._jdf.queryExecution().analyzed().toString().count("Relation") for n in (1, 7)]
+    scans = [H.cube(one, {"v": F.col("finish")}, {f"r{k}": H.Cell(c, "v") for k, c in enumerate(by[:n])}, many=())._jdf.queryExecution().analyzed().toString().count("Relation") for n in (1, 7)]
     assert scans[0] == scans[1] <= 3
 
 
