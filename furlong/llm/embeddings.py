@@ -57,18 +57,20 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, vec_id: str = "vec_id
 
     Vectors that are null, empty, zero, or hold null or non-finite components, and rows with a null label,
     link with nothing; vectors of different lengths do not link. Equal vectors of a label are one class
-    and link with each other. A null vec_id takes no part and stands alone (null component, kept). Other columns are
+    and link with each other. Rows that share a vec_id are vectors of their own. A null vec_id takes no part and stands alone (null component, kept). Other columns are
     not read. No rows: no rows.
     """
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).alias("label"), F.col(embedding).cast("array<double>").alias("v"))
     sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     # -0.0 and 0.0 are one value
     good = rows.where(F.coalesce(sound, F.lit(False))).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
-    classes = cut(good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    found = link(classes, cosine)
+    # a class goes by a number of its own, as an id may come with several vectors; the numbers are written with the classes
+    classes = cut(good.groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")).withColumn("rep", F.monotonically_increasing_id()), "classes")
+    found = link(classes.drop("least"), cosine)
     degrees = found.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("links"))
     comps = components(found.where("kind = 1").select("a", "b")).select(F.col("node").alias("rep"), "component")
-    told = classes.join(degrees, "rep", "left").join(comps, "rep", "left").select("label", "v", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    smallest = comps.join(classes.select("rep", "least"), "rep").groupBy("component").agg(F.min("least").alias("first"))
+    told = classes.join(degrees, "rep", "left").join(comps.join(smallest, "component").select("rep", "first"), "rep", "left").select("label", "v", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("first", "least").alias("component_id"))
     linked = good.select("vec_id", "label", "v").join(told, ["label", "v"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(~F.coalesce(sound, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)).alias("kept"))

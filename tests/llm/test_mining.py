@@ -102,7 +102,7 @@ def plain_clusters(rows, k, rounds, seed="2", scale=256):
         q = [math.floor(scale * x) for x in v]
         if sum(float(x) ** 2 for x in q) < 2.0**60:
             kept.append((i, q))
-    order = sorted((r for r in kept if r[0] is not None), key=lambda r: hashlib.sha256(f"{seed}:{r[0]}".encode()).hexdigest())
+    order = sorted((r for r in kept if r[0] is not None), key=lambda r: (hashlib.sha256(f"{seed}:{r[0]}".encode()).hexdigest(), bitplanes.planes(np.array([r[1]])).tobytes()))
     centres = [q for _, q in order + [r for r in kept if r[0] is None]][:k]
 
     def near(q):
@@ -203,3 +203,33 @@ def test_bands_leave_clean_documents_alone(spark):
     assert rows
     got = {(r.quality, r.base_failed, r.kept): r["count"] for r in fertility.quality(docs, PIECES).join(labels, "doc_id").groupBy("quality", "base_failed", "kept").count().collect()}
     assert got.get((1, False, False), 0) == 0 and got.get((0, False, False), 0) > 0
+
+
+def test_vectors_that_share_an_id_are_their_own(spark):
+    """Links and classes go by vectors: an id with two unrelated vectors does not lend one's links to the other."""
+    from furlong.llm import embeddings
+
+    v, w = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]
+    near = [1.0, 0.01, 0.0, 0.0]
+    rows = [(1, v, 0), (1, w, 0), (2, near, 0), (3, w, 0), (0, near, 1), (2, near, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_vectors(df).collect())
+    assert got == [(0, 0, 0, True), (1, 1, 1, True), (1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False), (3, 1, 1, False)]
+    assert embeddings.near_vectors(df.where("1 = 0")).count() == 0
+
+
+def test_pipeline_near_duplicates_on_awkward_rows(spark):
+    """One row of each group stays, rows without ids stay, repeated rows are one, and other columns come through."""
+    import corpus_pipeline as P
+
+    base = " ".join(f"word{i}" for i in range(60))
+    other = " ".join(f"else{i}" for i in range(60))
+    rows = [(1, base, "a"), (1, base, "a"), (2, base, "b"), (3, base + " more", "c"), (4, other, "d"), (5, None, "e"), (6, "", "f"), (None, base, "g"), (None, base, "g"), (7, "tiny", "h"), (8, "tiny", "i"), (9, other[:200], "j"), (9, "x y z w v u", "j")]
+    docs = spark.createDataFrame([(i, t, "en", s, 0, True) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long, kept boolean")
+    out = P.drop_near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id or 0), r.text or "") for r in out.collect())
+    want_ids = brute.components([1, 2, 3, 4, 5, 6, 7, 8], lambda a, b: (lambda x, y: bool(x) and bool(y) and 100 * len(x & y) >= 80 * len(x | y))(*(brute.shingles(dict((r[0], r[1]) for r in rows)[k], 5) for k in (a, b))))
+    want = sorted([(0, base)] * 2 + [(i, dict((r[0], r[1]) for r in rows)[i] or "") for i in want_ids if want_ids[i] == i] + [(9, other[:200]), (9, "x y z w v u")])
+    assert got == want
+    assert P.drop_near_duplicates(spark, docs.where("1 = 0"), "").count() == 0
