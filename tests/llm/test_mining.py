@@ -198,11 +198,10 @@ def test_quality_counts_pieces_like_the_library(spark):
 
 def test_bands_leave_clean_documents_alone(spark):
     """Of documents labelled good, those that the base rules keep stay; of the bad ones the bands find more than the rules do."""
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
-    rows = fertility.quality(docs, PIECES).join(labels, "doc_id").groupBy("quality").agg({"kept": "count"}).collect()
-    assert rows
-    got = {(r.quality, r.base_failed, r.kept): r["count"] for r in fertility.quality(docs, PIECES).join(labels, "doc_id").groupBy("quality", "base_failed", "kept").count().collect()}
-    assert got.get((1, False, False), 0) == 0 and got.get((0, False, False), 0) > 0
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = fertility.quality(docs, PIECES).join(labels, "doc_id").groupBy("quality", "base_failed", "kept").count().collect()
+    got = {(r.quality, r.base_failed, r.kept): r["count"] for r in rows}
+    assert sum(got.values()) > 100 and got.get((1, False, False), 0) == 0 and got.get((0, False, False), 0) > 0
 
 
 def test_vectors_that_share_an_id_are_their_own(spark):
