@@ -123,7 +123,7 @@ N3 = ", n AS (SELECT *, " + ", ".join(_norm(s) for s in ("score_a", "score_b", "
 def m2b(spark, d):
     """Brier score of the raw and of the calibrated probability by bucket; the calibrated one is the curve's value, before renormalising."""
     df = R.softmax(entries(spark, d), F.col("score_b") / 50, "p").withColumn("won", F.col("finish") == 1)
-    return M.brier(M.apply_isotonic(df, M.fit_isotonic(df, "surface", "p", "won"), "surface", "p"), ["p", "calibrated"], "won", ["surface"])
+    return M.brier(M.apply_isotonic(df, M.fit_isotonic(df, "surface", "p", "won"), "surface", "p", renormalise=False), ["p", "calibrated"], "won", ["surface"])
 
 
 @query("m4_blend", N3 + "SELECT race_id, horse, round(0.5 * n_b + 0.3 * n_c + 0.2 * n_a, 6) AS blended, row_number() OVER (PARTITION BY race_id ORDER BY n_b * 0.5 + n_c * 0.3 + n_a * 0.2 DESC, horse)::BIGINT AS blended_rank FROM n")
@@ -173,6 +173,23 @@ def m8(spark, d):
     return M.walk_forward(entries(spark, d), [1998, 1999, 2000], rate)
 
 
+@query("m8_linear_folds", ", y AS (SELECT DISTINCT race_year AS f FROM e WHERE race_year > (SELECT min(race_year) FROM e)), c AS (SELECT f, var_pop(odds) AS s11, var_pop(carried) AS s22, covar_pop(odds, carried) AS s12, covar_pop(finish, odds) AS c1, covar_pop(finish, carried) AS c2, avg(odds) AS m1, avg(carried) AS m2, avg(finish) AS m FROM e JOIN y ON race_year < f GROUP BY f), w AS (SELECT *, (c1 * s22 - c2 * s12) / (s11 * s22 - s12 * s12) AS b1, (c2 * s11 - c1 * s12) / (s11 * s22 - s12 * s12) AS b2 FROM c) SELECT race_id, horse, race_year, round(m + b1 * (odds - m1) + b2 * (carried - m2), 6) AS score FROM e JOIN w ON race_year = f")
+def m8lin(spark, d):
+    """Least squares of the finish by odds and carried weight; every year but the first is scored by the years before it."""
+    e = entries(spark, d)
+    features = ["odds", "carried"]
+    return M.score_folds(e, M.fit_linear_folds(e, features, "finish"), features).select(*KEY, "race_year", R6("score").alias("score"))
+
+
+@query("m8_logistic_folds")
+def m8log(spark, d):
+    """The chance to win by odds, weights and age, fitted for every year but the first on the years before it, and the rank in the race by it."""
+    e = entries(spark, d).withColumn("won", (F.col("finish") == 1).cast("int"))
+    features = ["odds", "carried", "body_weight", "age", "field_size"]
+    df = M.score_folds(e, M.fit_logistic_folds(e, features, "won"), features, logistic=True)
+    return R.ordinal(df, "score").select(*KEY, "race_year", R6("score").alias("score"), "predicted_rank")
+
+
 @query("m9_sample_weights", "SELECT race_id, horse, round(greatest(0.5, least(1.75, (0.5 + 0.5 * (race_year - (SELECT min(race_year) FROM e)) / (SELECT max(race_year) - min(race_year) FROM e)) * (1 + 0.8 * (venue < 5)::INT))), 6) AS weight FROM e")
 def m9(spark, d):
     return M.sample_weights(entries(spark, d), F.col("venue") < 5, 0.8).select(*KEY, R6("weight").alias("weight"))
