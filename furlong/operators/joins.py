@@ -136,6 +136,8 @@ def fallback_match(targets: DataFrame, history: DataFrame, levels: Sequence[Sequ
     joined. A level's rows are numbered by age with offsets of days, so that no window is larger than a day of a level; a pool is then a run
     of numbers, found by an equi-join on runs of `most`: a target meets 2 * most rows, however many its level has.
     """
+    from ..sources.tables import cut
+
     by = ["_level", "_cell"]
 
     def keyed(df: DataFrame) -> DataFrame:
@@ -150,7 +152,10 @@ def fallback_match(targets: DataFrame, history: DataFrame, levels: Sequence[Sequ
     near = w.rangeBetween(-look_back if look_back else W.unboundedPreceding, -1)
     counts = grid.select(*by, day, F.coalesce(F.sum("_c").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.coalesce(F.sum("_c").over(near), F.lit(0)).alias("_near"))
     span = F.struct("_level", "_cell", F.col("_before").alias("_last"), (F.col("_before") - F.least(F.lit(most), "_near")).alias("_first"))
+    # what both the choice of levels and the numbering need is counted once
+    counts = cut(counts, "fallback-counts")
     met = asked.join(counts, [*by, day], "left").groupBy("key_id").agg(F.coalesce(F.min(F.when(F.col("_near") >= least, span)), F.max(span)).alias("_s")).select("key_id", "_s.*")
+    met = cut(met, "fallback-levels")
     runs = met.select(*by, "_last", "_first").distinct().withColumn("_run", F.explode(F.array_distinct(F.array(F.floor((F.col("_first") + 1) / most), F.floor(F.col("_last") / most)))))
     at = F.row_number().over(W.partitionBy(*by, day).orderBy(*(F.desc(c) for c in ties))) + F.col("_before")
     placed = rows.join(counts.select(*by, day, "_before"), [*by, day]).withColumn("_at", at).select(*by, "_at", F.floor(F.col("_at") / most).alias("_run"), *(F.col(c).alias(f"h_{c}") for c in history.columns))

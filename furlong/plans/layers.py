@@ -137,9 +137,22 @@ def trainer_flat(df: DataFrame) -> DataFrame:
     return H.cube(df, {"flat": F.when(F.substring("class", 1, 1).cast("int") > 3, win())}, {"trainer_flat": H.Cell(("trainer",), "flat")})
 
 
-def weather(df: DataFrame) -> DataFrame:
-    """A code from the day, and going between 0 and 1."""
-    return df.withColumns({"weather_code": (F.col("day") % 6).cast("int"), "going": S.interp(F.col("day") % 5, [0, 4], [0.0, 1.0])})
+def weather(df: DataFrame, hourly: DataFrame, stale: int = 6) -> DataFrame:
+    """Weather (kind), going (the reading between 0 and 100, as a share) and hours_old of the newest hourly row (venue, hour, reading, kind) of the venue that is not after the start (starts), unless it is more than `stale` hours old.
+
+    One window by venue and day over both tables, and none before the stalest hour: rows go by periods of a day, and a row counts for the period after its own too, so that a venue's whole history is never one task.
+    """
+    if stale > 24:
+        raise ValueError("a row counts for its own day and the next: stale is 24 at most")
+    period = lambda c: F.floor(F.unix_timestamp(c) / 86400)
+    right = hourly.where("venue is not null").withColumn("_period", F.explode(F.array(period("hour"), period("hour") + 1))).select("venue", "_period", F.col("hour").alias("starts"), F.struct("hour", "reading", "kind").alias("_m"))
+    races = df.select("race_id", "venue", "starts").distinct().withColumn("_period", period("starts"))
+    found = H.asof_join(races, right, ["venue", "_period"], "starts", ["_m"], strict=False)
+    old = F.timestamp_diff("HOUR", F.col("_m.hour"), F.col("starts"))
+    fresh = (F.unix_timestamp("starts") - F.unix_timestamp("_m.hour")) <= stale * 3600
+    found = found.select("race_id", F.when(fresh, F.col("_m")).alias("_m"), F.when(fresh, old).alias("hours_old"))
+    rows = df.join(found, "race_id", "left")
+    return rows.withColumns({"weather": F.col("_m.kind"), "going": F.least(F.greatest(F.col("_m.reading"), F.lit(0.0)), F.lit(100.0)) / 100}).drop("_m")
 
 
 def physics(df: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import joins as J
 from ..operators import relative as R
+from ..sources.tables import cut
 from .registry import query
 from .views import entries, table
 
@@ -83,7 +84,7 @@ l AS (SELECT t.*, CASE WHEN n0 >= 30 THEN 0 WHEN n1 >= 30 THEN 1 WHEN n2 >= 30 T
 p AS (SELECT key_id, level, w.race_id, w.time, row_number() OVER (PARTITION BY key_id ORDER BY w.day DESC, w.race_id) AS rn FROM l LEFT JOIN w ON w.distance = l.distance AND w.day < l.day AND w.day >= l.day - 1500 AND CASE level WHEN 0 THEN w.venue = l.venue AND w.class = l.class WHEN 1 THEN w.venue = l.venue WHEN 2 THEN w.surface = l.surface ELSE true END)
 SELECT key_id, level, count(race_id) AS n, round(avg(time) + 1e-9, 6) AS mean_time FROM p WHERE rn <= 200 GROUP BY ALL""")
 def j16(spark, d):
-    e = entries(spark, d)
+    e = cut(entries(spark, d).select("race_id", "venue", "distance", "class", "surface", "day", "finish", "time"), "similar")
     targets = e.select(F.col("race_id").alias("key_id"), "venue", "distance", "class", "surface", "day").distinct()
     winners = e.where("finish = 1").select("race_id", "venue", "distance", "class", "surface", "day", "time")
     found = J.fallback_match(targets, winners, [["venue", "distance", "class"], ["venue", "distance"], ["distance", "surface"], ["distance"]], ties=["race_id"], look_back=1500)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import history as H
 from ..operators import joins as J
+from ..operators import lineage as N
 from ..operators import metrics as M
+from ..sources.tables import cut
 from . import layers as L
 from .registry import query
 from .views import RUNS, entries, last, table
@@ -103,9 +105,20 @@ def l11(spark, d):
     return out(L.trainer_flat(entries(spark, d)), "trainer_flat")
 
 
-@query("l12_weather", select("(day % 6)::INT AS weather_code", "round((day % 5) * 0.25, 9)::DOUBLE AS going"))
+#: Hours after which a reading says nothing about a race; the readings' years are moved back to those of the races.
+STALE, SHIFT = 6, 28
+HOURLY = f"SELECT user_id % 25 AS venue, date_trunc('hour', ts) - INTERVAL {SHIFT} YEAR AS hour, arg_max(value, (ts, event_id)) AS reading, arg_max(event_type, (ts, event_id)) AS kind FROM events GROUP BY ALL"
+
+
+@query("l12_weather", f", h AS ({HOURLY}), r AS (SELECT DISTINCT race_id, venue, race_date + INTERVAL 1 HOUR * (9 + race_id % 8) AS starts FROM e), w AS (SELECT race_id, max(struct_pack(hour := hour, reading := reading, kind := kind)) AS m FROM r JOIN h ON h.venue = r.venue AND hour <= starts AND starts - hour <= INTERVAL {STALE} HOUR GROUP BY race_id) SELECT e.race_id, e.horse, m.kind AS weather, round(least(greatest(m.reading, 0), 100) / 100, 9) AS going, date_diff('hour', m.hour, starts)::BIGINT AS hours_old FROM e JOIN r USING (race_id) LEFT JOIN w USING (race_id)")
 def l12(spark, d):
-    return out(L.weather(entries(spark, d)), "weather_code", "going")
+    """Weather of a race: the newest hourly row of its venue not after its start and not staler than six hours; of an hour's readings the last counts."""
+    hour = F.make_timestamp(F.year("ts") - SHIFT, F.month("ts"), F.dayofmonth("ts"), F.hour("ts"), F.lit(0), F.lit(0))
+    hourly = table(spark, d, "events").groupBy((F.col("user_id") % 25).cast("int").alias("venue"), hour.alias("hour")).agg(F.max_by(F.struct(F.col("value").alias("reading"), F.col("event_type").alias("kind")), F.struct("ts", "event_id")).alias("m")).select("venue", "hour", "m.*")
+    e = entries(spark, d)
+    starts = F.col("race_date").cast("timestamp") + F.make_dt_interval(F.lit(0), (9 + F.col("race_id") % 8).cast("int"))
+    df = L.weather(e.withColumn("starts", starts), hourly, STALE)
+    return df.select(*KEY, "weather", F.round("going", 9).alias("going"), "hours_old")
 
 
 @query("l13_physics", select("rank() OVER (PARTITION BY race_id ORDER BY carried / body_weight)::BIGINT AS carry_ratio_rank", "rank() OVER (PARTITION BY race_id ORDER BY body_weight DESC)::BIGINT AS body_weight_rank", "round(carried - avg(carried) OVER (PARTITION BY race_id), 9) AS carried_diff", "round(carried / body_weight, 9) AS carry_ratio", "round(CASE WHEN stddev_samp(carried) OVER w > 1e-9 AND stddev_samp(body_weight) OVER w > 1e-9 THEN (carried - avg(carried) OVER w) / stddev_samp(carried) OVER w - (body_weight - avg(body_weight) OVER w) / stddev_samp(body_weight) OVER w END, 6) AS joint_z") + " WINDOW w AS (PARTITION BY race_id)")
@@ -138,12 +151,14 @@ def l18(spark, d):
     return out(L.carried_weight(entries(spark, d)), "carried_avg5", "carried_heavy10", "carried_rank", "carried_diff")
 
 
-@query("l19_workouts", "SELECT a.event_id, count(b.event_id) AS workouts, round(avg(b.value), 9) AS lap_avg FROM events a LEFT JOIN events b ON a.user_id = b.user_id AND b.ts::DATE < a.ts::DATE AND b.ts::DATE >= a.ts::DATE - 90 GROUP BY a.event_id", base=False)
+@query("l19_workouts", "SELECT event_id, count(*) OVER n AS workouts, round(avg(value) OVER n, 9) AS lap_avg, (day - max(day) OVER n)::INT AS days_since, " + ", ".join(f"CASE WHEN day - max(day) OVER (PARTITION BY user_id ORDER BY k ROWS BETWEEN (k - kb + {i - 1}) PRECEDING AND (k - kb + {i - 1}) PRECEDING) <= 90 THEN max(value) OVER (PARTITION BY user_id ORDER BY k ROWS BETWEEN (k - kb + {i - 1}) PRECEDING AND (k - kb + {i - 1}) PRECEDING) END AS lap{i}" for i in range(1, 6)) + " FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY user_id ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS kb FROM (SELECT *, date_diff('day', DATE '1970-01-01', ts::DATE) AS day FROM events)) WINDOW n AS (PARTITION BY user_id ORDER BY day RANGE BETWEEN 90 PRECEDING AND 1 PRECEDING)", base=False)
 def l19(spark, d):
-    """Workouts of the last 90 days, today left out."""
+    """Workouts of the last 90 days, today left out: how many, their mean, how long ago the last was, and the last five, newest first."""
     ev = table(spark, d, "events").withColumn("day", F.datediff(F.to_date("ts"), F.lit("1970-01-01")))
-    df = H.within_days(ev, ["user_id"], 90, workouts=F.count("*"), lap_avg=F.avg("value"))
-    return df.select("event_id", "workouts", F.round("lap_avg", 9).alias("lap_avg"))
+    df = H.within_days(ev, ["user_id"], 90, workouts=F.count("*"), lap_avg=F.avg("value"), last=F.max("day"))
+    df = H.last_before(df, ["user_id"], order=("day", "ts", "event_id"), laps=(5, F.collect_list(F.struct("day", "value"))))
+    recent = F.reverse(F.filter("laps", lambda x: F.col("day") - x["day"] <= 90))
+    return df.select("event_id", "workouts", F.round("lap_avg", 9).alias("lap_avg"), (F.col("day") - F.col("last")).alias("days_since"), *(F.get(recent, i)["value"].alias(f"lap{i + 1}") for i in range(5)))
 
 
 MARGIN = "(SELECT *, time - max(CASE WHEN finish = 1 THEN time END) OVER (PARTITION BY race_id) AS m FROM e)"
@@ -154,11 +169,33 @@ def l20(spark, d):
     return out(L.near_miss(entries(spark, d)), "second_rate", "jockey_second", "sire_second", "damsire_second", "sire_surface_second", "seconds5", "margin5", "margin_best5", "second_margin5", "favourite_gap")
 
 
-@query("l21_grade_lineage", "SELECT a.race_id, a.horse, count(b.race_id) AS trials FROM (SELECT *, 50 + 20 * substr(class, 1, 1)::INT AS back FROM e) a LEFT JOIN (SELECT * FROM e WHERE class = '1-URGENT') b ON a.horse = b.horse AND b.day < a.day AND a.day - b.day <= a.back GROUP BY a.race_id, a.horse")
+#: Rules of the lineage: which races are targets (the smallest priority wins), and which are trials of a target, for how many days.
+TARGETS = [("big", 0, "1-URGENT/F", None, None, None), ("mile", 1, None, "URGENT", None, 1600), ("home", 2, None, "-HIGH/", 3, None)]
+TRIALS = [("big", "2-HIGH/F", None, 400), ("big", None, "MEDIUM", 200), ("mile", None, "/F", 300), ("mile", None, "URGENT", 300), ("home", None, "URGENT", 900)]
+
+
+def _values(rows):
+    return ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in r) + ")" for r in rows)
+
+
+LINEAGE = f""", n AS (SELECT *, class || '/' || surface AS name, time - max(CASE WHEN finish = 1 THEN time END) OVER (PARTITION BY race_id) AS margin FROM e),
+r AS (SELECT DISTINCT race_id, name, venue, distance FROM n),
+g AS (SELECT race_id, target FROM r JOIN (VALUES {_values(TARGETS)}) t(target, priority, eq, con, v, d) ON coalesce(name = eq, contains(name, con)) AND (v IS NULL OR v = venue) AND (d IS NULL OR d = distance) QUALIFY row_number() OVER (PARTITION BY race_id ORDER BY priority, target) = 1),
+s AS (SELECT race_id, target, back FROM r JOIN (VALUES {_values(TRIALS)}) t(target, eq, con, back) ON coalesce(name = eq, contains(name, con))),
+h AS (SELECT horse, day, finish, margin, target, back FROM n JOIN s USING (race_id)),
+c AS (SELECT race_id, n.horse, count(*) AS trial_count, count(*) FILTER (WHERE h.finish = 1) AS trial_wins, count(*) FILTER (WHERE h.finish <= 3) AS trial_top3, min(h.finish) AS trial_best, avg(CASE WHEN h.finish <= 2 THEN h.margin END) AS trial_margin
+  FROM n JOIN g USING (race_id) JOIN h ON h.horse = n.horse AND h.target = g.target AND h.day < n.day AND n.day - h.day <= back GROUP BY race_id, n.horse)
+SELECT n.race_id, n.horse, target, coalesce(trial_count, 0) AS trial_count, coalesce(trial_wins, 0) AS trial_wins, coalesce(trial_top3, 0) AS trial_top3, trial_best, round(trial_margin, 7) AS trial_margin FROM n LEFT JOIN g USING (race_id) LEFT JOIN c ON c.race_id = n.race_id AND c.horse = n.horse"""
+
+
+@query("l21_grade_lineage", LINEAGE)
 def l21(spark, d):
-    e = entries(spark, d)
-    target = e.select(*KEY, "day", (50 + 20 * F.substring("class", 1, 1).cast("int")).alias("back"))
-    return H.range_join(target, e.where("class = '1-URGENT'").select(*KEY, "day"), ["horse"], "back", how="left").groupBy(*KEY).agg(F.count("h_race_id").alias("trials"))
+    """A runner's record in the trials of its race's target, by two rule tables."""
+    e = entries(spark, d).withColumns({"name": F.concat_ws("/", "class", "surface"), "margin": F.col("time") - F.max(F.when(F.col("finish") == 1, F.col("time"))).over(W.partitionBy("race_id"))})
+    targets = spark.createDataFrame(TARGETS, "target string, priority int, equals string, contains string, venue int, distance int")
+    trials = spark.createDataFrame(TRIALS, "target string, equals string, contains string, look_back int")
+    df = N.trial_record(cut(e.select(*KEY, "day", "finish", "margin", "venue", "distance", "name"), "lineage"), targets, trials)
+    return df.select(*KEY, "target", "trial_count", "trial_wins", "trial_top3", "trial_best", F.round("trial_margin", 7).alias("trial_margin"))
 
 
 @query("l22_head_to_head", ", m AS (SELECT a.race_id, a.day, a.horse AS x, b.horse AS y, (a.finish < b.finish)::INT AS won, b.finish - a.finish AS gap FROM e a JOIN e b ON a.race_id = b.race_id AND a.horse <> b.horse), t AS (SELECT x, y, day, count(*) AS n, sum(won) AS w, sum(gap) AS g FROM m GROUP BY ALL) SELECT m.race_id, m.x AS horse, coalesce(sum(p.n), 0)::BIGINT AS meetings, coalesce(sum(p.w), 0)::BIGINT AS beaten, coalesce(sum(p.n - p.w), 0)::BIGINT AS lost, round(sum(p.w) / sum(p.n)::DOUBLE, 9) AS beaten_share, round(sum(p.g) / sum(p.n)::DOUBLE, 7) AS gap_mean, count(DISTINCT p.y) AS rivals_met FROM m LEFT JOIN t p ON p.x = m.x AND p.y = m.y AND p.day < m.day GROUP BY m.race_id, m.x")
@@ -396,7 +433,7 @@ p AS (SELECT l.key_id, level, w.* EXCLUDE (day), l.day - w.day AS back, exp(-0.0
 SELECT key_id, level, count(race_id) AS matches, min(back)::INT AS days_since, round(avg(back) + 1e-9, 6) AS days_mean, """ + ", ".join(f"round(sum({c} * g) / sum(g), 8) AS {c}_mean" for c in POOL) + ", " + ", ".join(f"round(sum(({x})::INT * g) / sum(g), 8) AS {n}" for n, x in SHARES.items()) + """, round(stddev_pop(time) + 1e-9, 6) AS time_sd, round(stddev_pop(odds) + 1e-9, 6) AS odds_sd, round(CASE WHEN stddev_pop(odds) > 1e-6 AND stddev_pop(time) > 1e-6 THEN corr(time, odds) END, 4) AS time_odds FROM p WHERE rn <= 200 GROUP BY ALL""")
 def l29(spark, d):
     """The pool of similar earlier races of every race (J16's levels and look-back), and what their winners were like: newer races weigh more."""
-    e = entries(spark, d)
+    e = cut(entries(spark, d).select("race_id", "venue", "class", "surface", "distance", "day", "finish", *POOL), "similar")
     targets = e.select(F.col("race_id").alias("key_id"), "venue", "distance", "class", "surface", "day").distinct()
     winners = e.where("finish = 1").select("race_id", "venue", "class", "surface", "distance", "day", *POOL)
     pool = J.fallback_match(targets, winners, [["venue", "distance", "class"], ["venue", "distance"], ["distance", "surface"], ["distance"]], ties=["race_id"], look_back=1500)
