@@ -174,6 +174,16 @@ def trend(df: DataFrame, options: Sequence[Sequence[str]], finish: str, market:
     return t.withColumnsRenamed({f"_{c}": c for c in dims}).withColumn("newest", F.col("_newest")[order[-1]]).drop("_newest")
 
 
+def trend_details(df: DataFrame, options: Sequence[Sequence[str]], details: Sequence[str], order: Sequence[str] = ("day", "race_id")) -> DataFrame:
+    """The runs that each trend of A33 is made of, newest first: option, its dimensions (the others null), place (1: newest) and the details. Rows, not a list, so that a trend of any length is whole."""
+    dims = list(dict.fromkeys(c for o in options for c in o))
+    rows = df.select(F.explode(F.array(*(F.lit(i) for i in range(len(options))))).alias("option"), *(F.col(c).alias(f"_{c}") for c in dims), *details, *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)))
+    rows = rows.withColumns({f"_{c}": F.when(F.col("option").isin([i for i, o in enumerate(options) if c in o]), F.col(f"_{c}")) for c in dims})
+    w = W.partitionBy("option", *(f"_{c}" for c in dims)).orderBy(*(F.desc(f"_o{i}") for i in range(len(order))), *details)
+    rows = rows.withColumn("place", F.row_number().over(w).cast("long")).drop(*(f"_o{i}" for i in range(len(order))))
+    return rows.select("option", *(F.col(f"_{c}").alias(c if c not in details else f"by_{c}") for c in dims), "place", *details)
+
+
 def trend_score(df: DataFrame, conditions: Sequence[str], score: str) -> DataFrame:
     """Sum of a run's score times ln(1 + n) per condition and its value (A35): condition, id, score."""
     rows = unpivot_dims(df, conditions, [score])

@@ -274,6 +274,12 @@ def a33(spark, d):
     return M.trend(t, TREND, "f", "popularity").withColumn("win_rate", R6("win_rate"))
 
 
+@query("a33_trend_details", ", t AS (SELECT *, CASE WHEN race_id % 7 = 0 THEN 0 ELSE finish END AS f, least(horse_no, 8) AS frame FROM e), o AS (SELECT race_id, horse, f, popularity, day, option, " + ", ".join(f"CASE WHEN option IN ({', '.join(str(i) for i, o in enumerate(TREND) if c in o)}) THEN {c} END AS {c}" for c in TREND_DIMS) + " FROM t, (SELECT unnest(range(5))::INT AS option)) SELECT option, " + ", ".join(TREND_DIMS) + ", row_number() OVER (PARTITION BY option, " + ", ".join(TREND_DIMS) + " ORDER BY day DESC, race_id DESC, race_id, horse, f, popularity) AS place, race_id, horse, f, popularity FROM o")
+def a33d(spark, d):
+    t = entries(spark, d).withColumns({"f": F.when(F.col("race_id") % 7 == 0, 0).otherwise(F.col("finish")), "frame": F.least(F.col("horse_no"), F.lit(8))})
+    return M.trend_details(t, TREND, ["race_id", "horse", "f", "popularity"])
+
+
 @query("a34_trend_buckets", "SELECT 'jockey' AS bucket, jockey AS id, count(*) AS starts, count(*) FILTER (WHERE finish <= 3) AS shows FROM e WHERE race_id % 7 > 0 GROUP BY jockey UNION ALL SELECT 'frame', least(horse_no, 8), count(*), count(*) FILTER (WHERE finish <= 3) FROM e WHERE race_id % 7 > 0 GROUP BY least(horse_no, 8)")
 def a34(spark, d):
     e = entries(spark, d).where("race_id % 7 > 0").withColumn("frame", F.least(F.col("horse_no"), F.lit(8)))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import joins as J
+from ..operators import names as M
 from ..operators import nearest as N
 from .registry import query
 from .views import entries, table
@@ -65,6 +66,20 @@ def p6(spark, d):
     return a.join(b, "alias").select("id", "target").distinct()
 
 
+#: Abbreviations of part names: an initial and a word, two beginnings, a name with a letter left out, the name itself.
+SHORT = "CASE p_partkey % 4 WHEN 0 THEN substr(p_name, 1, 1) || '. ' || split_part(p_name, ' ', 2) WHEN 1 THEN substr(p_name, 1, 2) || ' ' || substr(split_part(p_name, ' ', 2), 1, 2) WHEN 2 THEN substr(p_name, 1, 2) || substr(p_name, 4) ELSE p_name END"
+
+
+@query("p6_abbreviated", f"""WITH a AS (SELECT p_partkey AS id, trim(regexp_replace(lower({SHORT}), '[. ]+', ' ', 'g')) AS n FROM part), b AS (SELECT DISTINCT p_name AS target FROM part),
+f AS (SELECT id, target, CASE WHEN n = target THEN 0 WHEN len(string_split(n, ' ')) = len(string_split(target, ' ')) AND len(list_filter(range(1, len(string_split(n, ' ')) + 1), lambda i: NOT starts_with(string_split(target, ' ')[i], string_split(n, ' ')[i]))) = 0 THEN 1 WHEN levenshtein(n, target) <= 1 AND length(n) >= 4 THEN 2 END AS k FROM a, b),
+m AS (SELECT *, min(k) OVER (PARTITION BY id) AS best FROM f WHERE k IS NOT NULL)
+SELECT id, target, ['equal', 'abbreviated', 'slip'][k + 1] AS kind, count(*) OVER (PARTITION BY id) > 1 AS ambiguous FROM m WHERE k = best""", base=False)
+def p6a(spark, d):
+    """Shortened and misspelt part names, and the full names that they can stand for."""
+    part = table(spark, d, "part")
+    return M.match_names(part.select("p_partkey", F.expr(SHORT).alias("short")), part.select("p_name").distinct().withColumn("target", F.col("p_name")), "p_partkey", "target", "short", "p_name")
+
+
 def _bands(col, steps):
     return "CASE " + " ".join(f"WHEN {col} <= {t} THEN '{n}'" for t, n in steps[:-1]) + f" ELSE '{steps[-1][1]}' END"
 

@@ -176,3 +176,26 @@ def incidents_stream(stream: DataFrame, key: Sequence[str], at: Sequence[str], b
     out = ", ".join(f"{c} {t}" for c, t in stream.dtypes) + ", event string"
     signed = stream.withColumn("_bad", F.coalesce(bad, F.lit(False)))
     return signed.groupBy(*key).applyInPandasWithState(step, out, "ill long, well long, is_open boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def refresh(features: DataFrame, market: DataFrame, weights: DataFrame, by: str = "horse", at: Sequence[str] = ("ts",)) -> DataFrame:
+    """Late binding (T11): the newest odds and body weights by `by`, and every feature that follows from them; all other features stay as they were made.
+
+    market: by, at, odds. weights: by, at, body_weight. A runner without a newer value keeps its own. Made anew: odds, popularity (the place of the odds in the
+    race), odds_score, implied_share, favourite_ratio; body_weight, weight_diff (from weight_avg5, which is history), carry_ratio, and the ranks of both.
+    """
+    from ..functions.scalars import odds_score
+    from ..operators import joins as J
+
+    def newest(snap: DataFrame, value: str) -> DataFrame:
+        return J.latest(snap.where(F.col(value).isNotNull() & F.col(by).isNotNull()), [by], at).select(by, F.col(value).alias(f"_{value}"))
+
+    rows = features.join(newest(market, "odds"), by, "left").join(newest(weights, "body_weight"), by, "left")
+    rows = rows.withColumns({c: F.coalesce(f"_{c}", c) for c in ("odds", "body_weight")}).drop("_odds", "_body_weight")
+    race = W.partitionBy("race_id")
+    implied = F.try_divide(F.lit(1.0), F.col("odds"))
+    order = race.orderBy(F.asc_nulls_last("odds"), by)
+    rows = rows.withColumns({"popularity": F.row_number().over(order).cast("long"), "odds_score": odds_score("odds"), "implied_share": implied / F.sum(implied).over(race), "_second": F.nth_value("odds", 2).over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))})
+    rows = rows.withColumns({"favourite_ratio": F.min("odds").over(race) / F.col("_second"), "weight_diff": F.col("body_weight") - F.col("weight_avg5"), "carry_ratio": F.col("carried") / F.col("body_weight")})
+    ranks = {f"{c}_rank": F.rank().over(race.orderBy(F.desc_nulls_last(c) if down else F.asc_nulls_last(c))).cast("long") for c, down in (("body_weight", True), ("carry_ratio", False))}
+    return rows.withColumns(ranks).drop("_second")
