@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import history as H
+from ..operators import joins as J
 from ..operators import metrics as M
 from ..operators import relative as R
 
@@ -155,6 +156,11 @@ def weather(df: DataFrame, hourly: DataFrame, stale: int = 6) -> DataFrame:
     return rows.withColumns({"weather": F.col("_m.kind"), "going": F.least(F.greatest(F.col("_m.reading"), F.lit(0.0)), F.lit(100.0)) / 100}).drop("_m")
 
 
+def course(df: DataFrame, courses: DataFrame, keys: Sequence[str] = ("venue",)) -> DataFrame:
+    """The constants of the course, by a lookup table whose keys are one of rows. Its size is checked before it is broadcast."""
+    return df.join(J.small(courses), list(keys), "left")
+
+
 def physics(df: DataFrame) -> DataFrame:
     """Carried over body weight, ranks and the joint z."""
     df = df.withColumn("carry_ratio", F.col("carried") / F.col("body_weight"))

@@ -234,10 +234,13 @@ def l25(spark, d):
     return t.select("race_id", "version", "runners", "above_mean", *(F.round(c, n).alias(c) for c, n in {"style_effective": 8, "style_sd": 6}.items()), *(F.round(c, 9).alias(c) for c in ("style_entropy", "style_max", "style_min", "style_spread", "style_second", "style_gap", "style_top3", "favourite_share", "leader_share")))
 
 
-@query("l26_course", "SELECT race_id, horse, 200 + n_nationkey * 10 AS straight, n_regionkey AS shape FROM e JOIN nation ON venue = n_nationkey")
+@query("l26_course", ", c AS (SELECT c_nationkey AS venue, count(*) AS stands, min(c_acctbal) AS lowest, max(c_acctbal) AS highest, max(c_acctbal) - min(c_acctbal) AS climb, count(DISTINCT c_mktsegment) AS turns, round(median(c_acctbal), 6) AS straight FROM customer GROUP BY 1) SELECT race_id, horse, stands, lowest, highest, climb, turns, straight, n_regionkey AS shape FROM e LEFT JOIN c USING (venue) LEFT JOIN nation ON venue = n_nationkey")
 def l26(spark, d):
-    course = table(spark, d, "nation").selectExpr("n_nationkey venue", "200 + n_nationkey * 10 straight", "n_regionkey shape")
-    return entries(spark, d).join(J.small(course), "venue", "left").select(*KEY, "straight", "shape")
+    """Seven constants of the course, from a table with a row a venue (made from customers and nations); a venue that it lacks has nulls."""
+    a = F.col("c_acctbal")
+    grounds = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("venue")).agg(F.count("*").alias("stands"), F.min(a).alias("lowest"), F.max(a).alias("highest"), (F.max(a) - F.min(a)).alias("climb"), F.countDistinct("c_mktsegment").alias("turns"), F.round(F.median(a), 6).alias("straight"))
+    courses = table(spark, d, "nation").selectExpr("n_nationkey venue", "n_regionkey shape").join(grounds, "venue", "left")
+    return L.course(entries(spark, d), courses, ["venue"]).select(*KEY, "stands", "lowest", "highest", "climb", "turns", "straight", "shape")
 
 
 R1 = ("carry_ratio_rank", "body_weight_rank", "carried_diff", "body_weight_diff", "carry_ratio", "joint_z", "speed5", "speed_volatility", "speed_weight", "speed_carry", "speed_age")
@@ -325,14 +328,20 @@ def l38(spark, d):
     return out(L.draught_grade(entries(spark, d)), "starts_g1", "starts_g2", "starts_g3", "wins_g1", "wins_g2", "wins_g3", "higher_starts")
 
 
-DRAUGHT = ("last3f", "age", "odds", "carried", "body_weight", "horse_no", "distance", "popularity", "time", "score_a", "score_b", "score_c", "corner1", "field_size", "race_year")
+#: What differs between the runners of a race: of today, and of the last runs of earlier days.
+DRAUGHT = ("last3f", "age", "odds", "carried", "body_weight", "horse_no", "popularity", "time", "score_b", "score_c", "corner1", "carry_ratio", "weight_avg5", "finish_avg3", "starts")
+DRAUGHT_ROWS = f"(SELECT *, carried / body_weight AS carry_ratio, avg(body_weight) {last(5)} AS weight_avg5, avg(finish) {last(3)} AS finish_avg3, kb AS starts FROM {RUNS})"
 
 
-@query("l39_draught_internal", select(*(f"rank() OVER (PARTITION BY race_id ORDER BY {c} DESC)::BIGINT AS {c}_rank" for c in DRAUGHT), *(f"round({c} - avg({c}) OVER w + 1e-10, 4) AS {c}_diff" for c in ("odds", "body_weight")), *(f"round(CASE WHEN stddev_pop({c}) OVER w > 0 THEN ({c} - avg({c}) OVER w) / stddev_pop({c}) OVER w END + 1e-10, 4) AS {c}_z" for c in DRAUGHT)) + " WINDOW w AS (PARTITION BY race_id)")
+@query("l39_draught_internal", select(*(f"rank() OVER (PARTITION BY race_id ORDER BY {c} DESC NULLS LAST)::BIGINT AS {c}_rank" for c in DRAUGHT), *(f"round({c} - avg({c}) OVER w + 1e-10, 4) AS {c}_diff" for c in ("odds", "body_weight")), *(f"round(CASE WHEN stddev_pop({c}) OVER w > 1e-9 THEN ({c} - avg({c}) OVER w) / stddev_pop({c}) OVER w END + 1e-10, 4) AS {c}_z" for c in DRAUGHT), src=DRAUGHT_ROWS) + " WINDOW w AS (PARTITION BY race_id)")
 def l39(spark, d):
-    """Thirty columns: rank and z of each of fifteen values, and two differences."""
-    df, near = L.draught_internal(entries(spark, d), DRAUGHT), [f"{c}_z" for c in DRAUGHT] + ["odds_diff", "body_weight_diff"]
-    return out(df.withColumns({c: F.col(c) + 1e-10 for c in near}), *(f"{c}_rank" for c in DRAUGHT), *near, digits=4)
+    """Rank and z of each of fifteen values, and two differences: 32 columns."""
+    df = H.last_before(entries(spark, d), ["horse"], weight_avg5=(5, F.avg("body_weight")), finish_avg3=(3, F.avg("finish")))
+    df = df.withColumns({"carry_ratio": F.col("carried") / F.col("body_weight"), "starts": F.count("*").over(H.before("horse"))})
+    near = [f"{c}_z" for c in DRAUGHT] + ["odds_diff", "body_weight_diff"]
+    df = L.draught_internal(df, DRAUGHT)
+    flat = {f"{c}_z": F.when(F.stddev_pop(c).over(W.partitionBy("race_id")) > 1e-9, F.col(f"{c}_z")) for c in DRAUGHT}
+    return out(df.withColumns(flat).withColumns({c: F.col(c) + 1e-10 for c in near}), *(f"{c}_rank" for c in DRAUGHT), *near, digits=4)
 
 
 #: Places that stand for those at four corners.

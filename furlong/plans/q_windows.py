@@ -84,13 +84,11 @@ def w12c(spark, d):
     return R.streak_capped(entries(spark, d), F.col("finish") <= 3, ["horse"]).select(*KEY, "streak")
 
 
-@query("w13_field_strength", "SELECT race_id, horse, (sum(c) OVER w)::BIGINT AS field_sum, count(c) OVER w AS field_count, (sum(CASE WHEN r <= 3 THEN c END) OVER w)::BIGINT AS top_sum, abs(avg(c) OVER w - (sum(c) OVER w) / (count(c) OVER w)::DOUBLE) < 1e-6 AS mean_agrees FROM (SELECT *, round(score_a * 100000)::BIGINT AS c FROM (SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY score_a DESC, horse) AS r FROM e)) WINDOW w AS (PARTITION BY race_id)")
+@query("w13_field_strength", "SELECT race_id, horse, avg(c) OVER w AS field_mean, avg(CASE WHEN r <= 3 THEN c END) OVER w AS top_mean, count(c) OVER w AS field_count FROM (SELECT *, round(score_a * 100000)::BIGINT AS c FROM (SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY score_a DESC, horse) AS r FROM e)) WINDOW w AS (PARTITION BY race_id)")
 def w13(spark, d):
-    """Means of whole units, given as sums and counts, which no engine rounds; and whether the mean is theirs."""
+    """Means of the field and of its best three, of whole units (sums of which are exact), as they are."""
     df = R.field_strength(entries(spark, d).withColumn("c", F.round(F.col("score_a") * 100000).cast("long")), "c")
-    n, race = F.col("field_size"), W.partitionBy("race_id")
-    total = F.sum("c").over(race)
-    return df.select(*KEY, total.alias("field_sum"), F.count("c").over(race).alias("field_count"), F.round(F.col("top_mean") * F.least(n, F.lit(3))).cast("long").alias("top_sum"), (F.abs(F.col("field_mean") - total / n) < 1e-6).alias("mean_agrees"))
+    return df.select(*KEY, "field_mean", "top_mean", F.count("c").over(W.partitionBy("race_id")).alias("field_count"))
 
 
 @query("w14_minmax", "SELECT race_id, horse, round(CASE WHEN max(odds) OVER w > min(odds) OVER w THEN (odds - min(odds) OVER w) / (max(odds) OVER w - min(odds) OVER w) ELSE 0.5 END, 6) AS odds_scaled FROM e WINDOW w AS (PARTITION BY race_id)")
@@ -130,8 +128,9 @@ def j3(spark, d):
 
 @query("j4_recent_window", "SELECT DISTINCT venue, day, count(*) OVER w AS runners_5d, round(avg(CASE WHEN finish = 1 AND 2 * horse_no <= field_size + 1 THEN 1.0 ELSE 0 END) OVER w, 6) AS inside_share FROM e WINDOW w AS (PARTITION BY venue ORDER BY day RANGE BETWEEN 5 PRECEDING AND 1 PRECEDING)")
 def j4(spark, d):
-    inside = F.when((F.col("finish") == 1) & (2 * F.col("horse_no") <= F.col("field_size") + 1), 1.0).otherwise(0.0)
-    return H.within_days(entries(spark, d), ["venue"], 5, runners_5d=F.count("*"), inside_share=F.avg(inside)).select("venue", "day", "runners_5d", R6("inside_share").alias("inside_share")).distinct()
+    inside = ((F.col("finish") == 1) & (2 * F.col("horse_no") <= F.col("field_size") + 1)).cast("int")
+    t = H.day_grain(entries(spark, d), ["venue"], days=5, runners_5d=F.count("*"), _inside=F.sum(inside))
+    return t.select("venue", "day", "runners_5d", R6(F.try_divide("_inside", F.col("runners_5d"))).alias("inside_share"))
 
 
 @query("j5_range_lookback", "SELECT a.race_id, a.horse, count(b.race_id) AS in_lookback FROM (SELECT *, 100 + distance / 10 AS lookback FROM e) a LEFT JOIN e b ON a.horse = b.horse AND b.day < a.day AND a.day - b.day <= a.lookback GROUP BY a.race_id, a.horse")
