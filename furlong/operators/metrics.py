@@ -161,6 +161,28 @@ def bootstrap_bound(df: DataFrame, delta: str, key: str, replicates: int = 200,
     return sums.agg(F.percentile("mean", F.lit(quantile)).alias("lower"), F.avg("mean").alias("mean"))
 
 
+def percentiles(df: DataFrame, by: Sequence[str], **wanted: tuple[str, float]) -> DataFrame:
+    """by, and name=(column, share) for each: exact percentiles, linear between neighbours (A4, A30), of groups of any size.
+
+    Rows become counts of equal values first (combined before they are shuffled). The values of a group, those of all columns one after another, are then walked in
+    order with a running count: sorts and windows spill, and no buffer grows with a group, as that of an exact percentile aggregate does. From the running
+    count the two neighbours of each share's place are picked. Nulls and NaN do not count; a group without values has nulls; a null group is one.
+    """
+    columns = list(dict.fromkeys(c for c, _ in wanted.values()))
+    value = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("_c"), value(c).alias("_v")) for i, c in enumerate(columns))))
+    counts = df.select(*by, each.alias("_x")).select(*by, "_x.*").groupBy(*by, "_c", "_v").agg(F.count("_v").alias("_n"))
+    order = W.partitionBy(*by, "_c").orderBy(F.asc_nulls_last("_v"))
+    placed = counts.withColumns({"_upto": F.sum("_n").over(order), "_all": F.sum("_n").over(W.partitionBy(*by, "_c"))})
+    picks, out = [], []
+    for name, (column, share) in wanted.items():
+        i, at = columns.index(column), (F.col("_all") - 1) * share
+        here = (F.col("_c") == i) & F.col("_v").isNotNull()
+        picks += [F.min(F.when(here & (F.col("_upto") > F.floor(at)), F.col("_v"))).alias(f"_a_{name}"), F.min(F.when(here & (F.col("_upto") > F.ceil(at)), F.col("_v"))).alias(f"_b_{name}"), F.max(F.when(here, at - F.floor(at))).alias(f"_f_{name}")]
+        out.append((F.col(f"_a_{name}") + F.col(f"_f_{name}") * (F.col(f"_b_{name}") - F.col(f"_a_{name}"))).alias(name))
+    return placed.groupBy(*by).agg(*picks).select(*by, *out)
+
+
 def trend(df: DataFrame, options: Sequence[Sequence[str]], finish: str, market: str, order: Sequence[str] = ("day", "race_id")) -> DataFrame:
     """Starts, win rate, median market place of the placed and the newest race by each choice of dimensions (A33). The row's other dimensions
     are null and `option` numbers the choice. A finish of 0 has no result yet: it counts as a start, never in a rate."""

@@ -9,6 +9,7 @@ from ..operators import history as H
 from ..operators import joins as J
 from ..operators import metrics as M
 from ..operators import relative as R
+from ..sources.tables import cut
 from .registry import query
 from .views import RUNS, entries, last, table
 
@@ -40,7 +41,8 @@ def a3(spark, d):
 
 @query("a4_median", "SELECT venue, round(median(odds), 6) AS median_odds, round(quantile_cont(time, 0.9), 4) AS time_p90 FROM e GROUP BY venue")
 def a4(spark, d):
-    return entries(spark, d).groupBy("venue").agg(R6(F.percentile("odds", F.lit(0.5))).alias("median_odds"), F.round(F.percentile("time", F.lit(0.9)), 4).alias("time_p90"))
+    t = M.percentiles(entries(spark, d), ["venue"], median_odds=("odds", 0.5), time_p90=("time", 0.9))
+    return t.select("venue", R6("median_odds").alias("median_odds"), F.round("time_p90", 4).alias("time_p90"))
 
 
 @query("a5_iqr", f"SELECT race_id, horse, round(quantile_cont(corner1, 0.75) {last(5)} - quantile_cont(corner1, 0.25) {last(5)}, 6) AS corner_iqr FROM {RUNS}")
@@ -246,7 +248,9 @@ def a29(spark, d):
 
 @query("a30_time_stats", "SELECT distance, count(*) AS winners, min(time) AS best, round(avg(time), 5) AS mean, round(median(time), 3) AS middle FROM e WHERE finish = 1 GROUP BY distance")
 def a30(spark, d):
-    return entries(spark, d).where("finish = 1").groupBy("distance").agg(F.count("*").alias("winners"), F.min("time").alias("best"), F.round(F.avg("time"), 5).alias("mean"), F.round(F.percentile("time", F.lit(0.5)), 3).alias("middle"))
+    won = cut(entries(spark, d).where("finish = 1").select("distance", "time"), "winners")
+    t = won.groupBy("distance").agg(F.count("*").alias("winners"), F.min("time").alias("best"), F.round(F.avg("time"), 5).alias("mean"))
+    return t.join(M.percentiles(won, ["distance"], middle=("time", 0.5)).withColumn("middle", F.round("middle", 3)), "distance")
 
 
 @query("a31_bloodline", "SELECT role, name, count(*) AS starts, count(*) FILTER (WHERE finish = 1) AS wins, count(*) FILTER (WHERE finish <= 2) AS places, count(*) FILTER (WHERE finish <= 3) AS shows FROM (SELECT e.*, m AS dam, o AS sire_sire, b AS sire_dam, x AS damsire_sire, c AS damsire_dam FROM e JOIN (SELECT p_partkey AS horse, p_size::VARCHAR AS m, left(p_brand, 7) AS o, right(p_brand, 1) AS b, left(p_type, 3) AS x, right(p_type, 3) AS c FROM part) USING (horse)) UNPIVOT (name FOR role IN (sire, dam, damsire, sire_sire, sire_dam, damsire_sire, damsire_dam)) GROUP BY ALL")

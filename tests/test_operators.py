@@ -211,6 +211,35 @@ def test_cards_merged_as_a_stream(spark, tmp_path):
     assert one(T.read_latest(spark, f"file://{tmp_path}/log", ["k"]), *cols) == one(T.merge_cards(frame(rows), ["k"], "at", "full", "finish", ["jockey"]), *cols)
 
 
+def test_percentiles_equal_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = [(g, float(rng.integers(0, 9)) if g == "a" else float(rng.normal()), int(rng.integers(0, 50))) for g in ["a"] * 40 + ["b"] * 7 + [None] * 5 + ["one"]]
+    rows += [("a", None, 1), ("a", float("nan"), 1), ("none", None, 3), ("none", float("nan"), None)]
+    got = {r.g: r for r in M.percentiles(spark.createDataFrame(rows, "g string, x double, n int"), ["g"], low=("x", 0.25), mid=("x", 0.5), top=("x", 0.9), n=("n", 0.5)).collect()}
+    assert set(got) == {"a", "b", None, "one", "none"}
+    for g, r in got.items():
+        x = [v for k, v, _ in rows if k == g and v is not None and v == v]
+        n = [v for k, _, v in rows if k == g and v is not None]
+        assert all((r[name] is None) if not x else abs(r[name] - np.quantile(x, q)) < 1e-12 for name, q in (("low", 0.25), ("mid", 0.5), ("top", 0.9)))
+        assert r.n == np.quantile(n, 0.5)
+
+
+def test_late_binding_touches_what_follows_from_it_only(spark):
+    rows = [(1, "a", 4.0, 450.0, 55.0, 448.0, "kept"), (1, "b", 2.0, 460.0, 56.0, None, "kept"), (1, "c", 9.0, None, 57.0, 440.0, "kept"), (2, "a", 3.0, 450.0, 55.0, 448.0, None)]
+    f = spark.createDataFrame(rows, "race_id int, horse string, odds double, body_weight double, carried double, weight_avg5 double, source string")
+    market = spark.createDataFrame([("a", 1, 8.0), ("a", 2, 1.0), ("b", 3, None), (None, 9, 1.5)], "horse string, ts int, odds double")
+    weights = spark.createDataFrame([("c", 1, 444.0)], "horse string, ts int, body_weight double")
+    got = {(r.race_id, r.horse): r for r in T.refresh(f, market, weights).collect()}
+    assert len(got) == 4
+    a, b, c = got[1, "a"], got[1, "b"], got[1, "c"]
+    assert (a.odds, a.popularity, a.odds_score) == (1.0, 1, 0.0) and (b.odds, b.popularity) == (2.0, 2) and c.popularity == 3
+    assert abs(a.implied_share - 1 / (1 + 1 / 2 + 1 / 9)) < 1e-12 and a.favourite_ratio == 0.5 and got[2, "a"].favourite_ratio is None
+    assert c.body_weight == 444.0 and c.weight_diff == 4.0 and b.weight_diff is None and a.weight_diff == 2.0
+    assert [r.body_weight_rank for r in (a, b, c)] == [2, 1, 3] and all(r.source == "kept" for r in (a, b, c))
+
+
 def test_more_cells_cost_no_more_scans(spark):
     """Seven groupings read the written runners as often as one does."""
     one = spark.createDataFrame([(1, 1, 1, 1, 1, 1)], "race_id int, horse int, trainer int, venue int, day int, finish int").withColumn("race_date", F.current_date())
