@@ -153,7 +153,7 @@ def weather(df: DataFrame, hourly: DataFrame, stale: int = 6) -> DataFrame:
     fresh = (F.unix_timestamp("starts") - F.unix_timestamp("_m.hour")) <= stale * 3600
     found = found.select("race_id", F.when(fresh, F.col("_m")).alias("_m"), F.when(fresh, old).alias("hours_old"))
     rows = df.join(found, "race_id", "left")
-    return rows.withColumns({"weather": F.col("_m.kind"), "going": F.least(F.greatest(F.col("_m.reading"), F.lit(0.0)), F.lit(100.0)) / 100}).drop("_m")
+    return rows.withColumns({"weather": F.col("_m.kind"), "going": F.when(F.col("_m.reading").isNotNull(), F.least(F.greatest(F.col("_m.reading"), F.lit(0.0)), F.lit(100.0)) / 100)}).drop("_m")
 
 
 def course(df: DataFrame, courses: DataFrame, keys: Sequence[str] = ("venue",)) -> DataFrame:

@@ -110,7 +110,7 @@ STALE, SHIFT = 6, 28
 HOURLY = f"SELECT user_id % 25 AS venue, date_trunc('hour', ts) - INTERVAL {SHIFT} YEAR AS hour, arg_max(value, (ts, event_id)) AS reading, arg_max(event_type, (ts, event_id)) AS kind FROM events GROUP BY ALL"
 
 
-@query("l12_weather", f", h AS ({HOURLY}), r AS (SELECT DISTINCT race_id, venue, race_date + INTERVAL 1 HOUR * (9 + race_id % 8) AS starts FROM e), w AS (SELECT race_id, max(struct_pack(hour := hour, reading := reading, kind := kind)) AS m FROM r JOIN h ON h.venue = r.venue AND hour <= starts AND starts - hour <= INTERVAL {STALE} HOUR GROUP BY race_id) SELECT e.race_id, e.horse, m.kind AS weather, round(least(greatest(m.reading, 0), 100) / 100, 9) AS going, date_diff('hour', m.hour, starts)::BIGINT AS hours_old FROM e JOIN r USING (race_id) LEFT JOIN w USING (race_id)")
+@query("l12_weather", f", h AS ({HOURLY}), r AS (SELECT DISTINCT race_id, venue, race_date + INTERVAL 1 HOUR * (9 + race_id % 8) AS starts FROM e), w AS (SELECT race_id, max(struct_pack(hour := hour, reading := reading, kind := kind)) AS m FROM r JOIN h ON h.venue = r.venue AND hour <= starts AND starts - hour <= INTERVAL {STALE} HOUR GROUP BY race_id) SELECT e.race_id, e.horse, m.kind AS weather, CASE WHEN m.reading IS NOT NULL THEN round(least(greatest(m.reading, 0), 100) / 100, 9) END AS going, date_diff('hour', m.hour, starts)::BIGINT AS hours_old FROM e JOIN r USING (race_id) LEFT JOIN w USING (race_id)")
 def l12(spark, d):
     """Weather of a race: the newest hourly row of its venue not after its start and not staler than six hours; of an hour's readings the last counts."""
     hour = F.make_timestamp(F.year("ts") - SHIFT, F.month("ts"), F.dayofmonth("ts"), F.hour("ts"), F.lit(0), F.lit(0))
