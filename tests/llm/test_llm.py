@@ -1,5 +1,6 @@
 """Each operator of the llm subpackage against a plain re-computation, on small tables with all the awkward rows."""
 
+import itertools
 import os
 import sys
 from collections import Counter, defaultdict
@@ -380,8 +381,8 @@ def test_words_encoded_together_are_those_encoded_alone():
 
 
 def plain_logs(model, ids):
-    """The attention, one id at a time."""
-    d, p, out = lm.DIMS, {k: v.astype(float) for k, v in model.p.items()}, []
+    """The attention, one id at a time: log-probability of each id, and of any that begins a word."""
+    d, p, out, begin = lm.DIMS, {k: v.astype(float) for k, v in model.p.items()}, [], []
     said = [model.end, *ids[:-1]]
     for i, y in enumerate(ids):
         q = p["rows"][model.row[said[i]]]
@@ -392,7 +393,8 @@ def plain_logs(model, ids):
             values.append(r[2 * d : 3 * d])
         z = (np.average(values, axis=0, weights=weights) + q[3 * d :]) @ p["out"] + p["bias"]
         out.append(z[model.of[y]] - np.log(np.exp(z).sum()) + model.inside[y])
-    return out
+        begin.append(np.log(np.exp(z)[model.begins > 0].sum() / np.exp(z).sum()))
+    return out, begin
 
 
 def test_score_equals_a_plain_loop(spark):
@@ -407,17 +409,71 @@ def test_score_equals_a_plain_loop(spark):
     for i, t in enumerate(texts):
         w = [*lm.words(t), lm.ENDING]
         ids = [subwords(x) for x in w]
-        logs, at, total = plain_logs(model, [x for y in ids for x in y]), 0, 0.0
+        (logs, begin), at, total = plain_logs(model, [x for y in ids for x in y]), 0, 0.0
         for j in range(len(w)):
             single, pair = want[(w[j - 1],)], want[(w[j - 2 if len(w) > 1 else 0], w[j - 1])] if j else 0
             shares = model.shares[level(pair, lm.PAIRS) * lm.SINGLE + level(single, lm.SINGLE)]
-            by_ids = sum(logs[at : at + len(ids[j])])
+            by_ids = sum(logs[at : at + len(ids[j])]) - begin[at]
             at += len(ids[j])
+            by_ids += begin[at] if at < len(begin) else 0
             rest = shares[1] * want[(w[j],)] / known.n + shares[2] * want[(w[j - 1], w[j])] / max(single, 1) + (shares[3] * want[(w[j - 2], w[j - 1], w[j])] / pair if pair else 0)
             total += np.logaddexp(np.log(shares[0]) + by_ids, np.log(rest) if rest else -np.inf)
         assert got[i] == pytest.approx(total / np.log(10), rel=1e-4)
 
 
+def test_words_of_all_ids_add_up_to_one():
+    """A vocabulary of two ids that begin a word, two that go on and the end: all words of up to some ids, and those that are longer, are all there is after a history."""
+    initial = np.array([1, 1, 0, 0, 1])
+    model = lm.Model(5, initial, np.array([5.0, 3, 1, 1, 2]), 4)
+    rng = np.random.default_rng(3)
+    model.p = {k: rng.normal(0, 0.5, v.shape).astype(np.float32) for k, v in model.p.items()}
+    model.p["bias"] = np.where(np.isin(np.arange(model.classes), model.of), model.p["bias"], -50).astype(np.float32)
+    model.p["bias"][model.of[[2, 3]]] -= 1
+    words_ = [(a, *rest) for n in range(5) for a in (0, 1) for rest in itertools.product((2, 3), repeat=n)]
+    lexicon = lm.Lexicon(np.array([1, *map(len, words_)]), np.array([4, *(i for w in words_ for i in w)], np.int32))
+    zeros = lambda n: np.zeros(n, np.int64)
+    for history in ([], [1], [5, 2, 9], [30, 1, 1, 62]):
+        total = 0.0
+        for w in range(len(words_) + 1):
+            said = [*history, w, *([0] if w else [])]
+            logs = model.tokens(lm.Texts(np.array(said), np.array([len(said)]), lexicon, *map(zeros, (len(said),) * 3)))
+            total += np.exp(logs[len(history)])
+        assert 0.9 < total < 1.0001
+
+
+def test_gradient_is_that_of_the_loss():
+    """Against differences of the loss, in double precision; blocks without a past, ids that repeat and padding among them."""
+    rng = np.random.default_rng(4)
+    model = lm.Model(300, np.arange(300) % 2, np.arange(300.0), 299)
+    model.p = {k: rng.normal(0, 0.3, v.shape) for k, v in model.p.items()}
+    ids = rng.integers(0, 40, (2, 4, lm.BLOCK))
+    lead, y = np.array([[True, False, False], [False, False, True]]), np.where(rng.random((2, 3, lm.BLOCK)) < 0.2, -1, rng.integers(0, 299, (2, 3, lm.BLOCK)))
+
+    def loss():
+        d, p, total, n = lm.DIMS, model.p, 0.0, 0
+        for r, b, i in np.argwhere(y >= 0):
+            said = model.row[ids[r, b : b + 2].ravel()]
+            q = p["rows"][said[lm.BLOCK + i]]
+            keys = range(lm.BLOCK if lead[r, b] else 0, lm.BLOCK + i + 1)
+            weights = [np.exp(q[:d] @ p["rows"][said[j], d : 2 * d] / np.sqrt(d) + p["far"][2 * lm.BLOCK - 1 - (lm.BLOCK + i - j)]) for j in keys]
+            z = (np.average([p["rows"][said[j], 2 * d : 3 * d] for j in keys], axis=0, weights=weights) + q[3 * d :]) @ p["out"] + p["bias"]
+            total, n = total + np.log(np.exp(z).sum()) - z[model.of[y[r, b, i]]], n + 1
+        return total / n
+
+    where, grads = model.gradient(model.row[ids], lead, y)
+    assert where.tolist() == sorted(set(model.row[ids].ravel().tolist()))
+    places = [("rows", (int(where[a]), b), grads["rows"][a, b]) for a, b in zip(rng.integers(0, len(where), 12), range(0, 64, 5))]
+    places += [("out", (3, 7), grads["out"][3, 7]), ("bias", (5,), grads["bias"][5]), *(("far", (k,), grads["far"][k]) for k in (0, 9, 20, 31))]
+    for name, at, want in places:
+        was = model.p[name][at]
+        model.p[name][at] = was + 1e-5
+        up = loss()
+        model.p[name][at] = was - 1e-5
+        down = loss()
+        model.p[name][at] = was
+        assert (up - down) / 2e-5 == pytest.approx(want, abs=1e-7, rel=1e-4)
+
+
 def test_held_out_texts_score_above_the_base(spark):
     """By what it learns from copies and histories, the model is better on texts it has not seen than add-one frequencies."""
     rows = queries.op2_score(spark, "/root/testdata/sf0.001").where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
@@ -427,12 +483,16 @@ def test_held_out_texts_score_above_the_base(spark):
 def test_attention_is_causal_and_adds_up():
     rng = np.random.default_rng(0)
     model = lm.Model(400, np.arange(400) % 2, np.arange(400.0), 399)
-    logs = lambda ids: model.logs(np.array(ids, np.int32), np.array([len(ids)]))
+    logs = lambda ids: model.logs(np.array(ids, np.int32), np.array([len(ids)]))[0]
     text = rng.integers(0, 399, 70).tolist() + [399]
     for cut in (5, 16, 17, 40):
         assert np.allclose(logs(text)[:cut], logs(text[:cut]), atol=1e-5)
-    assert np.allclose(model.logs(np.array(text * 2, np.int32), np.array([71, 71])), np.tile(logs(text), 2), atol=1e-5)
-    assert np.allclose(logs(text), plain_logs(model, text), atol=1e-4)
+    assert np.allclose(model.logs(np.array(text * 2, np.int32), np.array([71, 71]))[0], np.tile(logs(text), 2), atol=1e-5)
+    both = model.logs(np.array(text, np.int32), np.array([71]))
+    assert np.allclose(both, plain_logs(model, text), atol=1e-4)
+    # after any ids, those that begin a word have the probability that is given for them
+    said = sum(np.exp(logs(text[:20] + [k])[-1]) for k in range(400) if k % 2)
+    assert said == pytest.approx(np.exp(both[1][20]), abs=1e-4)
     whole = sum(np.exp(logs(text[:20] + [k])[-1]) for k in range(400))
     assert whole == pytest.approx(1, abs=1e-4)
 
