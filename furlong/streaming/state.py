@@ -114,12 +114,41 @@ def log_batch(path: str, keys: Sequence[str] = (), at: Sequence[str] = ()) -> Ca
     return sink
 
 
+def compacted(spark: SparkSession, path: str) -> int | None:
+    """The last micro-batch that a finished compaction of a log holds; None without one."""
+    marks = spark._jvm.org.apache.hadoop.fs.Path(f"{path}_base/upto=*/_SUCCESS")
+    found = marks.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(marks) or []
+    return max((int(x.getPath().getParent().getName().split("=")[1]) for x in found), default=None)
+
+
+def _log(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the newest finished compaction, and of the micro-batches after it."""
+    upto, rows = compacted(spark, path), spark.read.parquet(path)
+    if upto is None:
+        return rows
+    return rows.where(F.col("_batch") > upto).unionByName(spark.read.parquet(f"{path}_base/upto={upto}"))
+
+
+def compact(spark: SparkSession, path: str, keys: Sequence[str], at: Sequence[str] = ("_batch",)) -> int | None:
+    """Fold a log's micro-batches into one table of each key's newest row, beside the log, and give the last one folded (None for an empty log).
+
+    Only what came since the last compaction is read, and that compaction. Readers take a compaction once it is finished; one that is cut off has no
+    mark, and is written again. Micro-batches up to the one given, and older compactions, can then be deleted, when no reader still uses them.
+    """
+    from ..operators import joins as J
+
+    rows = _log(spark, path)
+    upto = spark.read.parquet(path).agg(F.max("_batch")).first()[0]
+    if upto is not None and upto != compacted(spark, path):
+        J.latest(rows, keys, at).write.mode("overwrite").parquet(f"{path}_base/upto={upto}")
+    return upto
+
+
 def read_latest(spark: SparkSession, path: str, keys: Sequence[str], at: Sequence[str] = ("_batch",)) -> DataFrame:
-    """Each key's newest row in a log (T3): by `at`, or by the micro-batch that wrote it."""
+    """Each key's newest row in a log (T3): by `at`, or by the micro-batch that wrote it. Compacted micro-batches are not opened."""
     from ..operators import joins as J
 
-    rows = spark.read.parquet(path)
-    return J.latest(rows, keys, at).drop("_batch")
+    return J.latest(_log(spark, path), keys, at).drop("_batch")
 
 
 def slot_due(df: DataFrame, keys: Sequence[str], ts: str, now: str, minutes: int) -> DataFrame:

@@ -260,3 +260,25 @@ def test_capped_streak_equals_the_whole_one_up_to_its_cap(spark):
     df = spark.createDataFrame(rows, "horse int, day int, race_id int, hit boolean")
     both = R.streak_capped(R.streak(df, F.col("hit"), ["horse"], name="whole"), F.col("hit"), ["horse"])
     assert both.where("streak <> least(whole, 5)").count() == 0
+
+
+def test_a_compacted_log_reads_the_same_from_fewer_files(spark, tmp_path):
+    import shutil
+
+    path = f"file://{tmp_path}/log"
+    put = lambda n, rows: T.log_batch(path, ["k"], ["at"])(spark.createDataFrame(rows, "k string, at int, v string"), n)
+    read = lambda: one(T.read_latest(spark, path, ["k"], ["at"]), "k", "at", "v")
+    put(0, [("a", 1, "x"), ("a", 2, "y"), ("b", 5, None)])
+    put(1, [("b", 4, "late"), (None, 1, "none")])
+    want = [(None, 1, "none"), ("a", 2, "y"), ("b", 5, None)]
+    assert T.compacted(spark, path) is None and read() == want
+    assert T.compact(spark, path, ["k"], ["at"]) == 1 == T.compacted(spark, path) and read() == want
+    put(2, [("a", 3, "z"), ("c", 1, "new")])
+    shutil.rmtree(tmp_path / "log" / "_batch=0")
+    shutil.rmtree(tmp_path / "log" / "_batch=1")
+    want = [(None, 1, "none"), ("a", 3, "z"), ("b", 5, None), ("c", 1, "new")]
+    assert read() == want
+    # a compaction that was cut off has no mark and is not read
+    (tmp_path / "log_base" / "upto=9").mkdir()
+    assert read() == want and T.compact(spark, path, ["k"], ["at"]) == 2 == T.compact(spark, path, ["k"], ["at"])
+    assert read() == want and T.compacted(spark, path) == 2
