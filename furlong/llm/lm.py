@@ -32,10 +32,10 @@ from .shared import cut, lower_ascii
 BLOCK = 16
 #: Width of the rows; ids with rows of their own (others share one by class); ids that are classes of their own; bands of frequency for the rest, each for word-initial and inner pieces.
 DIMS, ROWS, SINGLES, BANDS = 16, 4096, 112, 8
-#: Rounds of training, after each of which the tasks' tables are averaged. Every window of the training texts teaches: once, in one of the rounds, or in several where a round would have fewer than ROUND_IDS ids.
-ROUNDS, ROUND_IDS = 4, 2_000_000
+#: Rounds of training, after each of which the tasks' tables are averaged. Every window of the training texts teaches once, in one of the rounds, however large the corpus is.
+ROUNDS = 4
 #: Blocks that follow each other in a run, runs to a step, rate of the first round.
-RUN, BATCH, RATE = 16, 8, 0.01
+RUN, BATCH, RATE = 16, 2, 0.02
 #: Pieces in which tables are added up, and copies that are averaged in one group.
 PIECES, MEET = 16, 64
 #: Text bytes after which a block of texts ends, and its texts at most.
@@ -641,10 +641,9 @@ def fit(known: Corpus) -> Model:
     model = Model(subwords.end + 1, subwords.initial.astype(int), seen.astype(float), subwords.end)
     model.n, model.v = known.n, known.v
     context = known.blocks.sparkSession.sparkContext
-    parts = max(1, min(ROUNDS, int(seen.sum()) // ROUND_IDS))
     for k in range(ROUNDS):
         shared = context.broadcast(pickle.dumps(model))
-        _average(_bodies(known.blocks).mapInArrow(_learner(shared, k, parts), "piece int, task long, ids long, tables binary"), model, known.blocks.rdd.getNumPartitions())
+        _average(_bodies(known.blocks).mapInArrow(_learner(shared, k), "piece int, task long, ids long, tables binary"), model, known.blocks.rdd.getNumPartitions())
         shared.unpersist()
     shared = context.broadcast(pickle.dumps(model))
     found = known.blocks.mapInArrow(_evidence(shared, uuid.uuid4().hex), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # bounded by the codes there are
@@ -654,8 +653,8 @@ def fit(known: Corpus) -> Model:
     return model
 
 
-def _learner(shared, part: int, parts: int):
-    """Trains a copy of the model on every parts-th run of blocks of a task's texts, and gives its tables in pieces."""
+def _learner(shared, part: int):
+    """Trains a copy of the model on every ROUNDS-th run of blocks of a task's texts, and gives its tables in pieces."""
 
     def each(batches):
         import pyarrow as pa
@@ -669,7 +668,7 @@ def _learner(shared, part: int, parts: int):
                 train = _learn(docs) & ~mixing(docs)
                 if train.any():
                     flat, each_word = lexicon.ids(numbers[np.repeat(train, sizes)])
-                    model.train(flat, sums(each_word, sizes[train]), part, parts, steps)
+                    model.train(flat, sums(each_word, sizes[train]), part, ROUNDS, steps)
         if steps.ids:
             pieces = np.array_split(np.concatenate([v.ravel() for v in model.p.values()]), PIECES)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(PIECES, dtype=np.int32)), pa.array(np.full(PIECES, TaskContext.get().partitionId())), pa.array(np.full(PIECES, steps.ids)), pa.array([x.tobytes() for x in pieces], pa.binary())], ["piece", "task", "ids", "tables"])
@@ -744,7 +743,7 @@ def score(docs: DataFrame, learn, path: str, doc_id: str = "doc_id", text: str =
     (words and one end), n_known (those that training rows have), train_tokens (N, theirs in all),
     base_score (sum of log10((c + 1) / (N + 1 * (V + 1)))), score (log10 probability of the text by the model).
     Counts of words, pairs and triples and id frequencies cover all training rows. The attention learns from every window of all of them
-    but those that find the shares (several times in a small corpus), so what it learns from grows with the
+    but those that find the shares, once, so what it learns from grows with the
     input. The score is a probability where, as in byte-level vocabularies, the ids that begin with a blank are those that begin a word. Two different words share a 63-bit key with probability 1e-19, two pairs or triples a 56-bit one with 1e-17.
 
     A null or empty text is its end alone. A long text is scored whole; a block holds at least one text, so a task needs memory for the longest. Repeated rows

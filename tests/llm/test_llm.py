@@ -373,6 +373,24 @@ def test_all_training_texts_teach(spark):
         assert taught == 400
 
 
+def test_each_window_trains_once_in_a_corpus_of_any_size(spark, monkeypatch):
+    """The rounds together teach as many ids as the texts that train have; a small corpus is passed no more often than a large one."""
+    texts, subwords, taught, average = [f"text {i} of many, or few" * 9 for i in range(60)], lm.Subwords.of(GPT), [], lm._average
+
+    def spy(copies, model, tasks):
+        taught.append(copies.where("piece = 0").agg(F.sum("ids")).first()[0] or 0)
+        average(copies, model, tasks)
+
+    monkeypatch.setattr(lm, "_average", spy)
+    known, want = corpus_of(spark, texts), 0
+    for row in known.blocks.select("docs").collect():
+        docs = lm._rows(row["docs"])
+        train = lm._learn(docs) & ~lm.mixing(docs)
+        want += sum(len(subwords(w)) for i in np.array(docs.column("doc_id").to_pylist())[train] for w in (*lm.words(texts[i]), lm.ENDING))
+    lm.fit(known)
+    assert len(taught) == lm.ROUNDS and sum(taught) == want > 0
+
+
 def test_words_encoded_together_are_those_encoded_alone():
     subwords = lm.Subwords.of(GPT)
     for names in (["plain", "don't", "\u00a0odd\u00a0\u00a0", "\x1c", "a\u2003b", "漢字", "🙂👍🏽", "x" * 5000, "end\u00a0"], ["<|endoftext|>", "b"]):
