@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -17,6 +17,8 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _BLANKS, _SYMBOLS = " \t\n\v\f\r", "#*$%&|<>"
 #: Words in the windows that are looked for again; a power of two.
 WINDOW = 8
+#: Odd factors of the places of a window.
+_PLACE = tuple(0x9E3779B97F4A7C15 * 3**j % (1 << 64) | 1 for j in range(1, 65))
 #: Words and their pieces that a task remembers before it starts afresh.
 HELD_WORDS, HELD_BYTES = 300_000, 64 << 20
 #: The largest number of tokens that a text could be expected to use without repeating one: what its entropy is measured by.
@@ -47,7 +49,6 @@ _CJK = {"CJK", "HIRAGANA", "KATAKANA", "HANGUL", "BOPOMOFO"}
 _MEASURES = "script string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, fallback_share double, entropy double"
 
 
-@lru_cache(1 << 16)
 def script(letter: str) -> int:
     """Number of a letter's script among SCRIPTS, by the first word of its name; -1 of what is no letter."""
     if not letter.isalpha():
@@ -56,6 +57,28 @@ def script(letter: str) -> int:
     return SCRIPTS.index("latin" if name == "LATIN" else "cyrillic" if name == "CYRILLIC" else "cjk" if name in _CJK else "other")
 
 
+class _Numbers(dict):
+    """Numbers of words as they come; new: those that came since it was last emptied."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
+def _appended(array, used: int, more):
+    """array, of which `used` are in use, with more behind them; it doubles when it is full."""
+    import numpy as np
+
+    if used + len(more) > len(array):
+        array = np.concatenate([array[:used], np.empty(max(used, len(more)), array.dtype)])
+    array[used : used + len(more)] = more
+    return array
+
+
 class Words:
     """Words numbered as they come, each with its pieces, encoded once."""
 
@@ -65,30 +88,54 @@ class Words:
 
         self.library = SentencePieceProcessor(model_file=path)
         self.is_byte = np.array([self.library.is_byte(i) for i in range(self.library.vocab_size())])
+        #: Script of each character that was met, -1 of what is no letter, -2 of those not met.
+        self.script = np.full(0x110000, -2, np.int8)
         self.clear()
 
     def clear(self):
-        self.number: dict[str, int] = {}
-        self.pieces: list = []
-        self.letters: list = []
-        self.bytes = 0
+        import numpy as np
+
+        self.number = _Numbers()
+        self.pieces, self.starts, self.sizes = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.n_pieces = self.bytes = 0
 
     def of(self, words: list[str]):
         """The numbers of words."""
         import numpy as np
 
-        new = list({w: None for w in words if w not in self.number})
+        known = len(self.number)
+        numbers = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        new = self.number.new
         if new:
-            self.number.update(zip(new, range(len(self.pieces), len(self.pieces) + len(new))))
-            self.pieces += [np.array(p, np.int32) for p in self.library.encode(new, num_threads=1)]
-            for w in new:
-                at = [0] * len(SCRIPTS)
-                for c in w:
-                    if (k := script(c)) >= 0:
-                        at[k] += 1
-                self.letters.append(at)
-                self.bytes += 8 * len(w) + 200
-        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+            encoded = self.library.encode(new, num_threads=1)
+            sizes = np.fromiter(map(len, encoded), np.int64, len(new))
+            flat = np.fromiter(chain.from_iterable(encoded), np.int32, int(sizes.sum()))
+            self.starts = _appended(self.starts, known, self.n_pieces + np.cumsum(sizes) - sizes)
+            self.sizes = _appended(self.sizes, known, sizes)
+            self.pieces = _appended(self.pieces, self.n_pieces, flat)
+            self.n_pieces += len(flat)
+            self.bytes += 8 * sum(map(len, new)) + 200 * len(new)
+            self.number.new = []
+        return numbers
+
+    def cut(self, numbers):
+        """The pieces of words in turn."""
+        import numpy as np
+
+        sizes = self.sizes[numbers]
+        return self.pieces[np.repeat(self.starts[numbers] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
+
+    def letters(self, text: str):
+        """How many letters of each script a text has."""
+        import numpy as np
+
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kinds = self.script[points]
+        if (kinds == -2).any():
+            for c in np.unique(points[kinds == -2]).tolist():
+                self.script[c] = script(chr(c))
+            kinds = self.script[points]
+        return np.bincount(kinds[kinds >= 0], minlength=len(SCRIPTS))
 
 
 def repeated(ids, width: int = WINDOW) -> int:
@@ -97,6 +144,14 @@ def repeated(ids, width: int = WINDOW) -> int:
 
     if len(ids) <= width:
         return 0
+    # equal windows have equal sums of their numbers times odd ones, so where no two sums are equal there is nothing to number
+    n = len(ids) - width + 1
+    sums = np.zeros(n, np.uint64)
+    for j in range(width):
+        sums += ids[j : j + n].astype(np.uint64) * np.uint64(_PLACE[j % len(_PLACE)])
+    sums.sort()
+    if (sums[1:] != sums[:-1]).all():
+        return 0
     at, step = np.unique(ids, return_inverse=True)[1], 1
     while step < width:
         at = np.unique(at[:-step] * (int(at.max()) + 1) + at[step:], return_inverse=True)[1]
@@ -120,15 +175,14 @@ def measure(text: str | None, words: Words) -> tuple:
     lines = [x for x in text.split("\n") if x.strip(_BLANKS)]
     chars = len(text) - sum(map(text.count, _BLANKS))
     ids = words.of(found)
-    some, counts = np.unique(ids, return_counts=True)
-    letters = np.array([words.letters[i] for i in some]).T @ counts
-    pieces = [words.pieces[i] for i in some]
-    each = np.repeat(counts, [len(p) for p in pieces])
-    kinds, at = np.unique(np.concatenate(pieces), return_inverse=True)
-    freq = np.bincount(at, each)
-    n = int(each.sum())
+    letters = words.letters(text)
+    pieces = words.cut(ids)
+    n = len(pieces)
     if not n:  # words of nothing but signs that the vocabulary drops
         return "none", len(found), chars, symbols, len(lines) - len(set(lines)), repeated(ids), 0, 0.0, 0.0, 0.0
+    pieces.sort()
+    first = np.flatnonzero(np.append(True, pieces[1:] != pieces[:-1]))
+    kinds, freq = pieces[first], np.diff(np.append(first, n))
     entropy = float(-(freq / n * np.log2(freq / n)).sum()) / float(np.log2(min(n, FULL))) if n > 1 else 1.0
     name = SCRIPTS[int(letters.argmax())] if letters.any() else "none"
     return name, len(found), chars, symbols, len(lines) - len(set(lines)), repeated(ids), n, chars / n, float(freq[words.is_byte[kinds]].sum() / n), entropy
@@ -156,7 +210,7 @@ def quality(docs: DataFrame, path: str, bands: dict[str, Band] = BANDS, least_wo
                 rows = []
                 for t in batch.column(1).slice(start, length):
                     rows.append(measure(t.as_py(), words))
-                    if len(words.pieces) > HELD_WORDS or words.bytes > HELD_BYTES:
+                    if len(words.number) > HELD_WORDS or words.bytes > HELD_BYTES:
                         words.clear()
                 cols = [batch.column(0).slice(start, length)] + [pa.array(c, f.type) for c, f in zip(zip(*rows), list(schema)[1:])]
                 yield pa.RecordBatch.from_arrays(cols, schema=schema)

@@ -196,6 +196,22 @@ def test_quality_counts_pieces_like_the_library(spark):
             assert m[7] == pytest.approx(m[2] / len(pieces)) and m[8] == pytest.approx(sum(map(library.is_byte, pieces)) / len(pieces)) and m[9] == pytest.approx(entropy)
 
 
+def test_words_are_cut_many_at_a_time():
+    """Pieces of all words lie in one array that grows and starts afresh; letters are counted by text, and windows are numbered only where two may be equal."""
+    from sentencepiece import SentencePieceProcessor
+
+    library, words = SentencePieceProcessor(model_file=PIECES), fertility.Words(PIECES)
+    for said in (["a", "b", "a"], [f"word{i % 70}" for i in range(200)], ["漢字", "b", "\U000e0001", "\u2581x"]):
+        assert words.cut(words.of(said)).tolist() == [p for w in said for p in library.encode(w)]
+    assert words.letters("ab1 Я漢 é\U0001f600").tolist() == [3, 1, 1, 0, 0]
+    words.clear()
+    assert words.cut(words.of(["b", "word1"])).tolist() == library.encode("b") + library.encode("word1")
+    rng = np.random.default_rng(1)
+    for ids in (np.arange(50), rng.integers(0, 2, 40), np.tile(rng.integers(0, 50, 12), 2), np.zeros(9, int), np.zeros(8, int)):
+        windows = Counter(tuple(ids[i : i + 8]) for i in range(len(ids) - 7))
+        assert fertility.repeated(ids) == len({j for i in range(len(ids) - 7) if windows[tuple(ids[i : i + 8])] > 1 for j in range(i, i + 8)})
+
+
 def test_bands_leave_clean_documents_alone(spark):
     """Of documents labelled good, those that the base rules keep stay; of the bad ones the bands find more than the rules do."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
