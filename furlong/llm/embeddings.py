@@ -4,6 +4,9 @@ Unit vectors with cosine c lie sqrt(2 - 2c) apart. Rotated at random and split i
 vectors are, in at least one block, no farther apart than that block's share of the squared distance (in
 proportion to its dimensions). Each block is joined on a grid of its first coordinates, the union of what the blocks find is
 verified exactly, and each link is counted in the first block that finds it.
+
+A label of so few vectors that its parts would be sent about no oftener than a vector has blocks is not worth the blocks: its parts meet in pairs, and every pair
+of vectors is compared whole. Both ways give the same links.
 """
 
 from __future__ import annotations
@@ -22,6 +25,12 @@ GRID_DIMS = 6
 SIDE = 4.0
 #: Vectors of a cell that meet in one task; a fuller cell is cut into parts that meet in pairs.
 CELL = 1024
+#: Vectors of a part of a label that is compared whole, and the most vectors of such a label. A larger one goes by blocks.
+PART, DIRECT = 2048, 16384
+#: Number that stands for a block in the cells of these.
+WHOLE = -1
+#: Vectors that are compared with all of a group at a time.
+AT_ONCE = 256
 #: Vectors of a label that a cell is meant to hold; the grid takes as many coordinates as that needs.
 MEANT = 2000
 
@@ -78,7 +87,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, vec_id: str = "vec_id
 
 def link(classes: DataFrame, cosine: float) -> DataFrame:
     """Of classes (label, v, rep, copies): rows kind 0 (a: rep, b: copies that it links to in other classes) and kind 1 (links a, b that connect all linked)."""
-    biggest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    sizes = classes.groupBy("label", F.size("v").alias("dims")).agg(F.count("*").alias("n")).where("n > 1")
+    biggest = sizes.agg(F.max("n")).first()[0] or 0
     grid = max(1, min(GRID_DIMS, math.ceil(math.log(max(1, biggest / MEANT), 3))))
     label_type = dict(classes.dtypes)["label"]
 
@@ -110,13 +120,29 @@ def link(classes: DataFrame, cosine: float) -> DataFrame:
                         [f.name for f in out],
                     )
 
+    def whole(batches):
+        """Each vector of a label that is compared whole, once."""
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            frame = batch.to_pandas()
+            for size, some in frame.groupby(frame["v"].map(len)):
+                units = [row.tobytes() for row in _units(np.stack(some["v"].to_list()))]
+                columns = [some["label"], [f"{size},{WHOLE}"] * len(some), [True] * len(some), some["rep"], some["copies"], units, some["parts"]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, all_)], [f.name for f in all_])
+
     from .postings import to_arrow
 
     ddl = f"label {label_type}, cell string, home boolean, rep long, copies long, unit binary"
-    out = list(to_arrow(ddl))
-    placed = classes.mapInArrow(spread, ddl)
-    parts = classes.mapInArrow(spread, ddl).groupBy("label", "cell").agg(F.count("*").alias("n")).where("n > 1").select("label", "cell", F.ceil(F.col("n") / CELL).cast("int").alias("parts"))
-    cells = placed.join(parts, ["label", "cell"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    out, all_ = list(to_arrow(ddl)), list(to_arrow(ddl + ", parts int"))
+    sized = classes.withColumn("dims", F.size("v")).join(sizes, ["label", "dims"])
+    cells = sized.where(F.col("n") <= DIRECT).select("label", "v", "rep", "copies", F.ceil(F.col("n") / PART).cast("int").alias("parts")).mapInArrow(whole, ddl + ", parts int")
+    if biggest > DIRECT:
+        large = sized.where(F.col("n") > DIRECT).select(classes.columns)
+        parts = large.mapInArrow(spread, ddl).groupBy("label", "cell").agg(F.count("*").alias("n")).where("n > 1").select("label", "cell", F.ceil(F.col("n") / CELL).cast("int").alias("parts"))
+        cells = cells.unionByName(large.mapInArrow(spread, ddl).join(parts, ["label", "cell"]))
+    cells = cells.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("label", "cell", "home", "rep", "copies", "unit", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
 
     def meet(group):
@@ -128,38 +154,46 @@ def link(classes: DataFrame, cosine: float) -> DataFrame:
         size, number = map(int, group.column("cell")[0].as_py().split(",")[:2])
         units = np.frombuffer(b"".join(group.column("unit").to_pylist()), np.float64).reshape(-1, size)
         reps, copies, home, part, lo, hi = (group.column(c).to_numpy() for c in ("rep", "copies", "home", "part", "lo", "hi"))
-        turned = units @ rotation(size)
         shares = budgets(size, cosine)
+        if number == WHOLE:
+            some, most = units.astype(np.float32), None
+        else:
+            turned = units @ rotation(size)
+            a, b, most = shares[number]
+            some = turned[:, a:b].astype(np.float32)
+            norms = (some * some).sum(axis=1)
 
         def apart(share, x, y):
             d = turned[x, share[0] : share[1]] - turned[y, share[0] : share[1]]
             return (d * d).sum(axis=-1)
 
-        a, b, budget = shares[number]
-        block = turned[:, a:b]
-        norms = (block * block).sum(axis=1)
-        ones, others = [], []
-        for i in range(0, len(reps), 256):
-            near = norms[i : i + 256, None] + norms - 2 * block[i : i + 256] @ block.T <= budget + 1e-6
+        links, ones, others = np.zeros(len(reps)), [], []
+        for i in range(0, len(reps), AT_ONCE):
+            # single precision with a margin finds what double precision then looks at
+            near = some[i : i + AT_ONCE] @ some.T
+            near = near >= cosine - 1e-4 if number == WHOLE else norms[i : i + AT_ONCE, None] + norms - 2 * near <= most + 1e-5
+            x, y = np.nonzero(near)
+            x += i
             # a pair counts where the smaller id is at home
-            near &= home[i : i + 256, None] & (reps[i : i + 256, None] < reps)
+            keep = home[x] & (reps[x] < reps[y])
             if lo[0] != hi[0]:
-                near &= part[i : i + 256, None] != part
-            x, y = np.nonzero(near)
-            ones.append(x + i)
-            others.append(y)
-        x, y = np.concatenate(ones), np.concatenate(others)
-        keep = apart(shares[number], x, y) <= budget + 1e-9
-        for share in shares[:number]:
-            keep &= apart(share, x, y) > share[2] + 1e-9
-        x, y = x[keep], y[keep]
-        linked = np.concatenate([(units[x[i : i + 65536]] * units[y[i : i + 65536]]).sum(axis=1) >= cosine for i in range(0, len(x), 65536)] or [np.zeros(0, bool)])
-        x, y = x[linked], y[linked]
-        links = np.bincount(x, copies[y], len(reps)) + np.bincount(y, copies[x], len(reps))
-        some = np.flatnonzero(links)
-        forest = _forest(reps[x].tolist(), reps[y].tolist())
-        kinds = [0] * len(some) + [1] * len(forest)
-        return pa.table({"kind": pa.array(kinds, pa.int32()), "a": pa.array([*reps[some].tolist(), *(p for p, _ in forest)], pa.int64()), "b": pa.array([*links[some].astype(np.int64).tolist(), *(q for _, q in forest)], pa.int64())})
+                keep &= part[x] != part[y]
+            x, y = x[keep], y[keep]
+            if number != WHOLE:
+                keep = apart(shares[number], x, y) <= most + 1e-9
+                for share in shares[:number]:
+                    keep &= apart(share, x, y) > share[2] + 1e-9
+                x, y = x[keep], y[keep]
+            linked = np.concatenate([(units[x[j : j + 65536]] * units[y[j : j + 65536]]).sum(axis=1) >= cosine for j in range(0, len(x), 65536)] or [np.zeros(0, bool)])
+            x, y = x[linked], y[linked]
+            links += np.bincount(x, copies[y], len(reps)) + np.bincount(y, copies[x], len(reps))
+            forest = _forest(reps[x].tolist(), reps[y].tolist())
+            ones += [p for p, _ in forest]
+            others += [q for _, q in forest]
+        forest = _forest(ones, others)
+        met = np.flatnonzero(links)
+        kinds = [0] * len(met) + [1] * len(forest)
+        return pa.table({"kind": pa.array(kinds, pa.int32()), "a": pa.array([*reps[met].tolist(), *(p for p, _ in forest)], pa.int64()), "b": pa.array([*links[met].astype(np.int64).tolist(), *(q for _, q in forest)], pa.int64())})
 
     return cut(cells.groupBy("label", "cell", "lo", "hi").applyInArrow(meet, "kind int, a long, b long"), "vector-links")
 

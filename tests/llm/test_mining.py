@@ -233,6 +233,28 @@ def test_vectors_that_share_an_id_are_their_own(spark):
     assert embeddings.near_vectors(df.where("1 = 0")).count() == 0
 
 
+def test_vectors_by_blocks_and_whole_give_the_same_links(spark, monkeypatch):
+    """Small labels are compared whole in parts, large ones by blocks, both against all pairs; vectors of other lengths among them."""
+    from furlong.llm import embeddings
+
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((160, 20))
+    x[80:] = x[rng.integers(0, 80, 80)] + rng.normal(0, 0.25, (80, 20))
+    label = np.where(np.arange(160) % 4 > 0, 1, 2)
+    units = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = (units @ units.T >= 0.9) & (label[:, None] == label) & ~np.eye(160, dtype=bool)
+    rows = [(i, x[i].tolist(), int(label[i])) for i in range(160)] + [(i, x[i - 160, :3].tolist(), 1) for i in range(160, 162)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    monkeypatch.setattr(embeddings, "CELL", 16)
+    for part, direct in ((8, 1000), (8, 60), (8, 1)):
+        monkeypatch.setattr(embeddings, "PART", part)
+        monkeypatch.setattr(embeddings, "DIRECT", direct)
+        got = {r.vec_id: r for r in embeddings.near_vectors(df, 0.9).collect()}
+        assert linked.sum() > 40 and [got[i].n_links for i in range(160)] == linked.sum(1).tolist()
+        for i, j in np.argwhere(linked):
+            assert got[i].component_id == got[j].component_id
+
+
 def test_pipeline_near_duplicates_on_awkward_rows(spark):
     """One row of each group stays, rows without ids stay, repeated rows are one, and other columns come through."""
     import corpus_pipeline as P
