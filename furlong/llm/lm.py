@@ -35,7 +35,7 @@ DIMS, ROWS, SINGLES, BANDS = 16, 4096, 112, 8
 #: Rounds of training, after each of which the tasks' tables are averaged. Every window of the training texts teaches once, in one of the rounds, however large the corpus is.
 ROUNDS = 4
 #: Blocks that follow each other in a run, runs to a step, rate of the first round.
-RUN, BATCH, RATE = 16, 2, 0.02
+RUN, BATCH, RATE = 16, 4, 0.03
 #: Pieces in which tables are added up, and copies that are averaged in one group.
 PIECES, MEET = 16, 64
 #: Text bytes after which a block of texts ends, and its texts at most.
@@ -125,8 +125,8 @@ class Steps:
     """Adam's means over the steps of a task in a round, and how many ids have taught."""
 
     def __init__(self, model: Model, rate: float):
-        self.m = {k: np.zeros_like(v) for k, v in model.p.items()}
-        self.s = {k: np.zeros_like(v) for k, v in model.p.items()}
+        #: Of each table both means, side by side, so that a step fetches and puts back the rows it meets at once.
+        self.means = {k: np.zeros((len(v), 2, *v.shape[1:]), v.dtype) for k, v in model.p.items()}
         self.n, self.ids, self.rate = 0, 0, rate
 
 
@@ -189,11 +189,12 @@ class Model:
         far = self._distance()
         last, both_sums = np.concatenate([self.p["out"], self.p["bias"][None]]), np.stack([np.ones_like(self.begins), self.begins], 1)
         out, begin = np.zeros(inputs.size, np.float32), np.zeros(inputs.size, np.float32)
+        held = np.empty((AT_ONCE * BLOCK, self.classes), np.float32)  # asked for once: new memory costs as much as a product
         for i in range(1, len(inputs), AT_ONCE):
             some = table.take(rows[i - 1 : i + AT_ONCE], axis=0)
             n, now = len(some) - 1, some[1:]
             # a window is two blocks that follow each other in memory, so no block is copied
-            both = np.lib.stride_tricks.as_strided(some, (n, 2 * BLOCK, some.shape[2]), some.strides, writeable=False)
+            both = np.ndarray((n, 2 * BLOCK, some.shape[2]), some.dtype, some, 0, some.strides)
             e = now[:, :, :d] @ both[:, :, d : 2 * d].transpose(0, 2, 1)
             np.exp(np.minimum(e, 20, out=e), out=e)
             e *= far
@@ -201,7 +202,7 @@ class Model:
             hidden = e @ both[:, :, 2 * d : 3 * d + 1]
             hidden /= hidden[:, :, d:].copy()
             hidden += now[:, :, 3 * d + 1 :]
-            z = hidden.reshape(-1, d + 1) @ last
+            z = np.matmul(hidden.reshape(-1, d + 1), last, out=held[: n * BLOCK])
             own = z.ravel().take(np.arange(len(z)) * self.classes + of[i : i + n].ravel())
             np.exp(z, out=z)
             total = np.log(z @ both_sums)
@@ -250,12 +251,21 @@ class Model:
             steps.n += 1
             scale = np.float32(steps.rate / (1 - 0.9**steps.n)), np.float32(1 / (1 - 0.99**steps.n))
             for k, g in grads.items():
-                these = where if k == "rows" else slice(None)
-                m, s = steps.m[k][these], steps.s[k][these]
+                means, table = steps.means[k], self.p[k]
+                some, values = (means.take(where, axis=0), table.take(where, axis=0)) if k == "rows" else (means, table)
+                m, s = some[:, 0], some[:, 1]
                 m += np.float32(0.1) * (g - m)
-                s += np.float32(0.01) * (g * g - s)
-                steps.m[k][these], steps.s[k][these] = m, s
-                self.p[k][these] -= scale[0] * m / (np.sqrt(s * scale[1]) + np.float32(1e-6))
+                g *= g
+                g -= s
+                g *= np.float32(0.01)
+                s += g
+                root = np.sqrt(s * scale[1])
+                root += np.float32(1e-6)
+                np.divide(m, root, out=root)
+                root *= scale[0]
+                values -= root
+                if k == "rows":
+                    means[where], table[where] = some, values
 
     def gradient(self, rows, after_lead, targets):
         """Of the mean log-loss: rows that are met, and gradients of these and of the other tables.
@@ -268,29 +278,32 @@ class Model:
         now = some[:, 1:]
         # as in logs, a window is two blocks that follow each other in memory
         shape, (s0, s1, s2, s3) = (len(some), some.shape[1] - 1, 2 * BLOCK, 4 * d), some.strides
-        both = np.lib.stride_tricks.as_strided(some, shape, (s0, s1, s2, s3), writeable=False)
+        both = np.ndarray(shape, some.dtype, some, 0, (s0, s1, s2, s3))
         q, k, v = now[..., :d] * root, both[..., d : 2 * d], both[..., 2 * d : 3 * d]
         a = q @ k.swapaxes(2, 3)
         np.exp(np.minimum(a, 20, out=a), out=a)
         a *= self._distance()
         a[..., :BLOCK][after_lead] = 0
-        a /= a.sum(3, keepdims=True)
+        a /= (a @ np.ones(2 * BLOCK, a.dtype))[..., None]
         gathered = a @ v
-        hidden = (gathered + now[..., 3 * d :]).reshape(-1, d)
-        z = hidden @ p["out"]
-        z += p["bias"]
+        # a column of ones takes the bias in
+        hidden = np.empty((gathered[..., 0].size, d + 1), root.dtype)
+        np.add(gathered, now[..., 3 * d :], out=hidden.reshape(*gathered.shape[:3], d + 1)[..., :d])
+        hidden[:, d] = 1
+        z = hidden @ np.concatenate([p["out"], p["bias"][None]])
         np.exp(z, out=z)
         y = targets.reshape(-1)
-        weight = (y >= 0) / z.dtype.type(max(1, (y >= 0).sum()))
-        z *= (weight / z.sum(1))[:, None]
+        weight = (y >= 0).astype(z.dtype)
+        weight /= max(1, np.count_nonzero(weight))
+        z *= (weight / (z @ np.ones(self.classes, z.dtype)))[:, None]
         z.reshape(-1)[np.arange(len(y)) * self.classes + self.of[y]] -= weight
         dh = (z @ p["out"].T).reshape(gathered.shape)
         s = dh @ v.swapaxes(2, 3)
-        s -= (dh * gathered).sum(3, keepdims=True)
+        s -= np.einsum("rbid,rbid->rbi", dh, gathered)[..., None]
         s *= a
-        g = np.zeros_like(some)
-        g[:, 1:, :, :d] = s @ k
-        g[:, 1:, :, :d] *= root
+        g = np.empty_like(some)
+        g[:, 0], g[:, -1, :, d : 3 * d] = 0, 0
+        np.multiply(s @ k, root, out=g[:, 1:, :, :d])
         for i, x in ((1, s.swapaxes(2, 3) @ q), (2, a.swapaxes(2, 3) @ dh)):
             g[:, :-1, :, i * d : (i + 1) * d] = x[:, :, :BLOCK]
             g[:, 1:, :, i * d : (i + 1) * d] += x[:, :, BLOCK:]
@@ -299,7 +312,8 @@ class Model:
         sorted_ = rows.reshape(-1)[order]
         starts = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
         far = np.bincount(FAR.reshape(-1), s.sum((0, 1)).reshape(-1), 2 * BLOCK).astype(s.dtype)
-        return sorted_[starts], {"rows": np.add.reduceat(g.reshape(-1, 4 * d).take(order, axis=0), starts, axis=0), "out": hidden.T @ z, "bias": z.sum(0), "far": far}
+        last = hidden.T @ z
+        return sorted_[starts], {"rows": np.add.reduceat(g.reshape(-1, 4 * d).take(order, axis=0), starts, axis=0), "out": last[:d], "bias": last[d], "far": far}
 
 
 #: Buckets of a history: how often the two words before were met (0, 1, 2-3, 4-7, 8 or more), and the one before (0, 1, 2-3, ... 64 or more).

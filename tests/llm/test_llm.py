@@ -492,6 +492,36 @@ def test_gradient_is_that_of_the_loss():
         assert (up - down) / 2e-5 == pytest.approx(want, abs=1e-7, rel=1e-4)
 
 
+def test_steps_change_the_rows_they_meet():
+    """Two steps of Adam against the plain formula; rows and means that a step does not meet stay as they are."""
+    ids = np.arange(2 * lm.RUN * lm.BATCH * lm.BLOCK - 2 * lm.BLOCK) % 49
+    sizes = np.array([len(ids)])
+    model = lm.Model(50, np.arange(50) % 2, np.arange(50.0), 49)
+    plain, seen, gradient = {k: v.astype(float) for k, v in model.p.items()}, [], lm.Model.gradient
+    means = {k: (np.zeros(v.shape), np.zeros(v.shape)) for k, v in plain.items()}
+
+    def spy(*args):
+        where, grads = gradient(model, *args)
+        seen.append((where, {k: g.astype(float) for k, g in grads.items()}))
+        return where, grads
+
+    model.gradient = spy
+    steps = lm.Steps(model, 0.01)
+    assert all(v.shape == (len(model.p[k]), 2, *model.p[k].shape[1:]) for k, v in steps.means.items())
+    model.train(ids, sizes, 0, 1, steps)
+    assert steps.n == len(seen) == 2
+    for n, (where, grads) in enumerate(seen, 1):
+        for k, g in grads.items():
+            at = where if k == "rows" else slice(None)
+            m, s = means[k]
+            m[at] += 0.1 * (g - m[at])
+            s[at] += 0.01 * (g * g - s[at])
+            plain[k][at] -= 0.01 / (1 - 0.9**n) * m[at] / (np.sqrt(s[at] / (1 - 0.99**n)) + 1e-6)
+    assert all(np.allclose(model.p[k], v, atol=2e-3) for k, v in plain.items())
+    unmet = np.setdiff1d(np.arange(len(model.p["rows"])), np.concatenate([w for w, _ in seen]))
+    assert len(unmet) and not steps.means["rows"][unmet].any()
+
+
 def test_held_out_texts_score_above_the_base(spark):
     """By what it learns from copies and histories, the model is better on texts it has not seen than add-one frequencies."""
     rows = queries.op2_score(spark, "/root/testdata/sf0.001").where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
