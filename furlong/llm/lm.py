@@ -16,17 +16,17 @@ keys, sorted, in ranges of the hash; each range adds its keys up and sends every
 from __future__ import annotations
 
 import pickle
-import re
 import uuid
+from collections import defaultdict
 from dataclasses import dataclass
-from itertools import chain, islice
+from itertools import chain, count, islice
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import postings, shingles
-from .shared import cut, lower_ascii
+from .shared import cut
 
 #: Ids of a block of the attention. A window is two; it scores the ids of its second, so each is scored once, with BLOCK to 2 * BLOCK - 1 ids before it.
 BLOCK = 16
@@ -44,7 +44,6 @@ BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 4096
 RANGE_BYTES = 4 << 20
 #: The token that ends a text, and stands before its first; no word holds a blank.
 ENDING = " "
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Windows that are scored at a time.
 AT_ONCE = 64
 #: Words that are encoded in one call.
@@ -52,7 +51,12 @@ TOGETHER = 20_000
 
 
 def words(text: str | None) -> list[str]:
-    return WORD.findall(lower_ascii(text))
+    return [w.decode("utf-8", "surrogatepass") for w in _words((text or "").encode("utf-8", "surrogatepass"))]
+
+
+def _words(raw: bytes) -> list[bytes]:
+    """Words [^\\x20\\x09-\\x0D]+ of UTF-8, with A-Z in lower case: those six bytes are what bytes.split takes for blanks, and UTF-8 has them nowhere else."""
+    return raw.translate(shingles._LOWER).split()
 
 
 class Subwords:
@@ -119,17 +123,74 @@ def sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 FAR = np.maximum(BLOCK - 1 - np.arange(BLOCK)[:, None] + np.arange(2 * BLOCK), 0)
 CAUSAL = FAR < 2 * BLOCK
 FAR = np.minimum(FAR, 2 * BLOCK - 1)
+#: The same, with a place behind them all where the key comes after the query.
+FAR_OR_NONE = np.where(CAUSAL, FAR, 2 * BLOCK)
+
+
+_rooms: dict[str, np.ndarray] = {}
+
+
+def _room(name: str, shape: tuple, kind) -> np.ndarray:
+    """Memory for a product, asked for once in a process: new memory costs as much as the product. What it held before is lost."""
+    held = _rooms.get(name)
+    if held is None or held.shape != shape or held.dtype != kind:
+        held = _rooms[name] = np.empty(shape, kind)
+    return held
+
+
+#: Tables that every step changes whole.
+SMALL = ["out", "bias", "far"]
+
+
+#: What each of Adam's two means moves by.
+MOVES = np.array([[0.1], [0.01]])
+
+
+def _adam(means, g, values, rate: float, over: float) -> None:
+    """A step of Adam by the gradient g. means: [..., 2, width], both side by side; g, values: [..., width]. rate and over: the rate over the share that the first mean has, and one over that of the second."""
+    step = np.empty_like(means)
+    step[..., 0, :] = g
+    np.multiply(g, g, out=step[..., 1, :])
+    step -= means
+    step *= MOVES.astype(means.dtype)
+    means += step
+    root = np.sqrt(means[..., 1, :])
+    root += root.dtype.type(1e-6 / over**0.5)
+    np.divide(means[..., 0, :], root, out=root)
+    root *= root.dtype.type(rate / over**0.5)
+    values -= root
 
 
 class Steps:
     """Adam's means over the steps of a task in a round, and how many ids have taught."""
 
     def __init__(self, model: Model, rate: float):
-        #: Of each table both means, side by side, so that a step fetches and puts back the rows it meets at once.
-        self.means = {k: np.zeros((len(v), 2, *v.shape[1:]), v.dtype) for k, v in model.p.items()}
+        #: Of each table both means, side by side, so that a step fetches and puts back the rows it meets at once. Those of the other tables lie one after another, so that a step changes them at once.
+        self.means = {"rows": np.zeros((len(model.p["rows"]), 2, *model.p["rows"].shape[1:]), model.p["rows"].dtype)}
+        self.small, at = np.zeros((2, sum(model.p[k].size for k in SMALL)), model.p["rows"].dtype), 0
+        for k in SMALL:
+            v = model.p[k]
+            self.means[k] = self.small[:, at : at + v.size].reshape(2, *v.shape).swapaxes(0, 1)
+            at += v.size
         self.n, self.ids, self.rate = 0, 0, rate
 
 
+def _at_most_20(x: np.ndarray) -> np.ndarray:
+    """np.minimum(x, 20) in place; to look for the largest costs less."""
+    return np.minimum(x, 20, out=x) if x.max() > 20 else x
+
+
+def _ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each of keys its place among the distinct ones, sorted; and these."""
+    order = np.argsort(keys)
+    in_order = keys.take(order)
+    first = np.ones(len(keys), bool)
+    np.not_equal(in_order[1:], in_order[:-1], out=first[1:])
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(first) - 1
+    return place, in_order[first]
+
+
 class Model:
     """Tables and classes; everything is float32. size: ids with END."""
 
@@ -164,7 +225,9 @@ class Model:
 
     def _distance(self):
         """Factors of a window: [query, key], 0 where the key comes after the query."""
-        return np.where(CAUSAL, np.exp(self.p["far"])[FAR], 0).astype(self.p["far"].dtype)
+        factors = np.zeros(2 * BLOCK + 1, self.p["far"].dtype)
+        np.exp(self.p["far"], out=factors[:-1])
+        return factors.take(FAR_OR_NONE)
 
     def layout(self, flat: np.ndarray, sizes: np.ndarray):
         """Texts of these many ids in blocks: (inputs, targets, blocks that lead a text, place of each id). One block of padding leads each text; targets -1 are padding."""
@@ -196,7 +259,7 @@ class Model:
             # a window is two blocks that follow each other in memory, so no block is copied
             both = np.ndarray((n, 2 * BLOCK, some.shape[2]), some.dtype, some, 0, some.strides)
             e = now[:, :, :d] @ both[:, :, d : 2 * d].transpose(0, 2, 1)
-            np.exp(np.minimum(e, 20, out=e), out=e)
+            np.exp(_at_most_20(e), out=e)
             e *= far
             e[lead[i - 1 : i - 1 + n], :, :BLOCK] = 0
             hidden = e @ both[:, :, 2 * d : 3 * d + 1]
@@ -222,9 +285,12 @@ class Model:
     def mixed(self, texts: Texts) -> np.ndarray:
         """Log-probability of all tokens of the texts in turn."""
         by_ids, (by_corpus, bucket) = self.tokens(texts), texts.memory(self.n)
-        shares = self.shares[bucket]
+        rest = np.einsum("ij,ij->i", self.shares[bucket, 1:], by_corpus)
         with np.errstate(divide="ignore"):
-            return np.logaddexp(np.log(shares[:, 0]) + by_ids, np.log((shares[:, 1:] * by_corpus).sum(1)))
+            out = np.log(self.shares[:, 0][bucket] * np.exp(by_ids) + rest)
+        alone = np.flatnonzero(rest == 0)  # the corpus has no such word: what its ids say may be too little for a number that is no logarithm
+        out[alone] = np.log(self.shares[:, 0])[bucket[alone]] + by_ids[alone]
+        return out
 
     def mix(self, codes: np.ndarray, weight: np.ndarray) -> None:
         """Find each bucket's shares by expectation and maximisation, from what evidence() counts."""
@@ -239,33 +305,28 @@ class Model:
     def train(self, flat: np.ndarray, sizes: np.ndarray, part: int, parts: int, steps: Steps) -> None:
         """Adam over every parts-th run of blocks of the texts, in random order; the same texts give the same model. Rows that a step does not meet stay as they are."""
         inputs, targets, lead, _ = self.layout(flat, sizes)
-        begin = np.arange(1, len(inputs), RUN)[part % parts :: parts]
-        begin = np.random.Generator(np.random.PCG64(3)).permutation(begin)
-        rows, last = self.row[inputs], len(inputs) - 1
+        runs = -(-(len(inputs) - 1) // RUN)
+        begin = np.random.Generator(np.random.PCG64(3)).permutation(np.arange(runs)[part % parts :: parts])
+        # the last run is made full: blocks without targets, with the last one's inputs
+        more = runs * RUN + 1 - len(inputs)
+        rows, lead = (np.concatenate([x, np.repeat(x[-1:], more, axis=0)]) for x in (self.row[inputs], lead))
+        targets = np.concatenate([targets[1:], np.full((more, BLOCK), -1, targets.dtype)]).reshape(runs, RUN, BLOCK)
+        steps.ids += int((targets[begin] >= 0).sum())
+        small, at = np.concatenate([self.p[k].ravel() for k in SMALL]), 0
+        for k in SMALL:
+            shape, size = self.p[k].shape, self.p[k].size
+            self.p[k], at = small[at : at + size].reshape(shape), at + size
+        means, table = steps.means["rows"], self.p["rows"]
         for i in range(0, len(begin), BATCH):
-            at = begin[i : i + BATCH, None] + np.arange(-1, RUN)
-            own = np.minimum(at, last)
-            y = np.where((at <= last)[:, 1:, None], targets[own[:, 1:]], -1)
-            steps.ids += int((y >= 0).sum())
-            where, grads = self.gradient(rows[own], lead[own[:, :-1]], y)
+            now = begin[i : i + BATCH]
+            at = now[:, None] * RUN + np.arange(RUN + 1)
+            where, grads = self.gradient(rows[at], lead[at[:, :-1]], targets[now])
             steps.n += 1
-            scale = np.float32(steps.rate / (1 - 0.9**steps.n)), np.float32(1 / (1 - 0.99**steps.n))
-            for k, g in grads.items():
-                means, table = steps.means[k], self.p[k]
-                some, values = (means.take(where, axis=0), table.take(where, axis=0)) if k == "rows" else (means, table)
-                m, s = some[:, 0], some[:, 1]
-                m += np.float32(0.1) * (g - m)
-                g *= g
-                g -= s
-                g *= np.float32(0.01)
-                s += g
-                root = np.sqrt(s * scale[1])
-                root += np.float32(1e-6)
-                np.divide(m, root, out=root)
-                root *= scale[0]
-                values -= root
-                if k == "rows":
-                    means[where], table[where] = some, values
+            rate, over = steps.rate / (1 - 0.9**steps.n), 1 / (1 - 0.99**steps.n)
+            some, values = means.take(where, axis=0), table.take(where, axis=0)
+            _adam(some, grads["rows"], values, rate, over)
+            means[where], table[where] = some, values
+            _adam(steps.small, np.concatenate([grads[k].ravel() for k in SMALL]), small, rate, over)
 
     def gradient(self, rows, after_lead, targets):
         """Of the mean log-loss: rows that are met, and gradients of these and of the other tables.
@@ -279,41 +340,61 @@ class Model:
         # as in logs, a window is two blocks that follow each other in memory
         shape, (s0, s1, s2, s3) = (len(some), some.shape[1] - 1, 2 * BLOCK, 4 * d), some.strides
         both = np.ndarray(shape, some.dtype, some, 0, (s0, s1, s2, s3))
-        q, k, v = now[..., :d] * root, both[..., d : 2 * d], both[..., 2 * d : 3 * d]
-        a = q @ k.swapaxes(2, 3)
-        np.exp(np.minimum(a, 20, out=a), out=a)
+        q, k, v = now[..., :d], both[..., d : 2 * d], both[..., 2 * d : 3 * d]
+        # weights before they are divided by their sums, which the narrower products are instead
+        a = np.matmul(q, k.swapaxes(2, 3), out=_room("a", (*q.shape[:3], 2 * BLOCK), root.dtype))
+        a *= root
+        np.exp(_at_most_20(a), out=a)
         a *= self._distance()
         a[..., :BLOCK][after_lead] = 0
-        a /= (a @ np.ones(2 * BLOCK, a.dtype))[..., None]
+        over = (1 / (a.reshape(-1, 2 * BLOCK) @ np.ones(2 * BLOCK, a.dtype))).reshape(*a.shape[:3], 1)
         gathered = a @ v
+        gathered *= over
         # a column of ones takes the bias in
-        hidden = np.empty((gathered[..., 0].size, d + 1), root.dtype)
+        n = gathered.size // d
+        hidden = _room("hidden", (n, d + 1), root.dtype)
         np.add(gathered, now[..., 3 * d :], out=hidden.reshape(*gathered.shape[:3], d + 1)[..., :d])
         hidden[:, d] = 1
-        z = hidden @ np.concatenate([p["out"], p["bias"][None]])
+        z = np.matmul(hidden, np.concatenate([p["out"], p["bias"][None]]), out=_room("z", (n, self.classes), root.dtype))
         np.exp(z, out=z)
         y = targets.reshape(-1)
-        weight = (y >= 0).astype(z.dtype)
-        weight /= max(1, np.count_nonzero(weight))
-        z *= (weight / (z @ np.ones(self.classes, z.dtype)))[:, None]
-        z.reshape(-1)[np.arange(len(y)) * self.classes + self.of[y]] -= weight
-        dh = (z @ p["out"].T).reshape(gathered.shape)
-        s = dh @ v.swapaxes(2, 3)
-        s -= np.einsum("rbid,rbid->rbi", dh, gathered)[..., None]
+        right, known = self.of.take(y, mode="wrap"), y >= 0
+        weight = known * z.dtype.type(1 / max(1, np.count_nonzero(known)))
+        # before they are divided by their sums, the classes' shares go through two products only; another column adds them up
+        ahead = p["out"].T
+        dh = z @ np.concatenate([ahead, np.ones((self.classes, 1), z.dtype)], 1)
+        total = dh[:, d].copy()
+        share = (weight / total)[:, None]
+        dh = dh[:, :d] * share
+        dh -= ahead.take(right, axis=0) * weight[:, None]
+        z.reshape(-1)[np.arange(0, z.size, self.classes) + right] -= total
+        hidden *= share
+        last = np.ascontiguousarray((z.T @ hidden).T)
+        dh = dh.reshape(gathered.shape)
+        by_weight = dh * over
+        scaled = by_weight * root
+        s = np.matmul(scaled, v.swapaxes(2, 3), out=_room("s", a.shape, root.dtype))
+        gathered *= scaled
+        s -= (gathered.reshape(-1, d) @ np.ones(d, s.dtype)).reshape(*s.shape[:3], 1)
         s *= a
-        g = np.empty_like(some)
-        g[:, 0], g[:, -1, :, d : 3 * d] = 0, 0
-        np.multiply(s @ k, root, out=g[:, 1:, :, :d])
-        for i, x in ((1, s.swapaxes(2, 3) @ q), (2, a.swapaxes(2, 3) @ dh)):
-            g[:, :-1, :, i * d : (i + 1) * d] = x[:, :, :BLOCK]
-            g[:, 1:, :, i * d : (i + 1) * d] += x[:, :, BLOCK:]
-        g[:, 1:, :, 3 * d :] = dh
+        g = _room("g", some.shape, root.dtype)
+        g[:, 0, :, :d], g[:, 0, :, 3 * d :], g[:, 1:, :, 3 * d :] = 0, 0, dh
+        np.matmul(s, k, out=g[:, 1:, :, :d])
+        both = _room("both", (*a.shape[:2], 2 * BLOCK, 2 * d), root.dtype)
+        np.matmul(s.swapaxes(2, 3), q, out=both[..., :d])
+        np.matmul(a.swapaxes(2, 3), by_weight, out=both[..., d:])
+        # a block's keys and values serve its own queries, and those of the block after it
+        g[:, 0, :, d : 3 * d], g[:, -1, :, d : 3 * d] = both[:, 0, :BLOCK], both[:, -1, BLOCK:]
+        np.add(both[:, 1:, :BLOCK], both[:, :-1, BLOCK:], out=g[:, 1:-1, :, d : 3 * d])
         order = np.argsort(rows.reshape(-1), kind="stable")
         sorted_ = rows.reshape(-1)[order]
-        starts = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
-        far = np.bincount(FAR.reshape(-1), s.sum((0, 1)).reshape(-1), 2 * BLOCK).astype(s.dtype)
-        last = hidden.T @ z
-        return sorted_[starts], {"rows": np.add.reduceat(g.reshape(-1, 4 * d).take(order, axis=0), starts, axis=0), "out": last[:d], "bias": last[d], "far": far}
+        first = np.ones(len(order), bool)
+        np.not_equal(sorted_[1:], sorted_[:-1], out=first[1:])
+        starts = np.flatnonzero(first)
+        far = np.bincount(FAR.reshape(-1), np.ones(len(s) * s.shape[1], s.dtype) @ s.reshape(-1, FAR.size), 2 * BLOCK) / root
+        # two columns as one complex number: half as many runs to add up
+        pairs = g.reshape(-1, 4 * d).take(order, axis=0).view(np.complex64 if g.dtype == np.float32 else np.complex128)
+        return sorted_[starts], {"rows": np.add.reduceat(pairs, starts, axis=0).view(g.dtype), "out": last[:d], "bias": last[d], "far": far.astype(g.dtype)}
 
 
 #: Buckets of a history: how often the two words before were met (0, 1, 2-3, 4-7, 8 or more), and the one before (0, 1, 2-3, ... 64 or more).
@@ -351,8 +432,8 @@ def _before(sizes: np.ndarray) -> np.ndarray:
 
 def _met(keys: np.ndarray) -> np.ndarray:
     """How often each of keys is among them."""
-    _, number, count = np.unique(keys, return_inverse=True, return_counts=True)
-    return count[number]
+    place, _ = _ranks(keys)
+    return np.bincount(place)[place]
 
 
 @dataclass
@@ -443,16 +524,15 @@ def split(rows: DataFrame) -> DataFrame:
 
         from .shared import text_batches
 
-        block = TaskContext.get().partitionId() << 32
+        block, ending = TaskContext.get().partitionId() << 32, [ENDING.encode()]
 
         def flush(parts, tokens):
             whole = pa.Table.from_batches(parts).combine_chunks()
             lengths = np.array([len(x) for x in tokens], np.int64)
             docs = pa.RecordBatch.from_arrays([whole.column("doc_id").combine_chunks(), pa.array(lengths), whole.column("learn").combine_chunks()], schema=told)
-            of = dict.fromkeys(chain([ENDING], *tokens))
-            of = dict(zip(of, range(len(of))))
-            numbers = np.fromiter(map(of.__getitem__, chain(*tokens)), np.uint32, int(lengths.sum()))
-            names = "\n".join(islice(of, 1, None)).encode()
+            of = defaultdict(count().__next__)  # a new word gets the next number
+            numbers = np.fromiter(map(of.__getitem__, chain(ending, chain.from_iterable(tokens))), np.uint32, 1 + int(lengths.sum()))[1:]
+            names = b"\n".join(islice(of, 1, None))
             bodies = [postings._write(docs), _zip(numbers), _zip(np.frombuffer(names, np.uint8))]
             return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([int(lengths[_learn(docs)].sum())]), *(pa.array([b], pa.binary()) for b in bodies)], schema=out)
 
@@ -464,7 +544,7 @@ def split(rows: DataFrame) -> DataFrame:
                     parts, tokens, size, block = [], [], 0, block + 1
                 part = batch.slice(start, length)
                 parts.append(part.select(["doc_id", "learn"]))
-                tokens += ([*words(x.as_py()), ENDING] for x in part.column("text"))
+                tokens += (_words(x or b"") + ending for x in part.column("text").cast(pa.binary()).to_pylist())
                 size += part.column("text").nbytes
         if parts:
             yield flush(parts, tokens)
@@ -515,7 +595,7 @@ def _places(row):
     one, two, three = keys(numbers, sizes, names)
     place = np.empty(len(one), np.int64)
     place[np.argsort(one)] = np.arange(len(one))
-    number = np.unique(np.concatenate([two, three]), return_inverse=True)[1]
+    number, _ = _ranks(np.concatenate([two, three]))
     return place, len(one) + number[: len(two)], len(one) + number[len(two) :]
 
 
@@ -543,7 +623,7 @@ def totals(blocks: DataFrame, ranges: int) -> DataFrame:
         number = group.column("range")[0].as_py()
         some = [np.cumsum(_unzip(x.as_py(), np.uint64), dtype=np.uint64) for x in group.column("keys")]
         count = np.concatenate([_unzip(x.as_py(), np.uint32) for x in group.column("counts")])
-        met, back = np.unique(np.concatenate(some), return_inverse=True)
+        back, met = _ranks(np.concatenate(some))
         total = np.bincount(back, count, len(met)).astype(np.int64)
         parts = np.split(total[back], np.cumsum([len(x) for x in some])[:-1])
         known = int((total > 0).sum()) if number < ranges else 0
@@ -668,21 +748,23 @@ def fit(known: Corpus) -> Model:
 
 
 def _learner(shared, part: int):
-    """Trains a copy of the model on every ROUNDS-th run of blocks of a task's texts, and gives its tables in pieces."""
+    """Trains a copy of the model on every ROUNDS-th of a task's texts that train, whole, and gives its tables in pieces. The other rounds have the others, and no round lays out texts that it does not train on."""
 
     def each(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
         model = pickle.loads(shared.value)
-        steps = Steps(model, RATE * (1 - part / ROUNDS))
+        steps, met = Steps(model, RATE * (1 - part / ROUNDS)), 0
         for batch in batches:
             for row in each_row(batch):
                 docs, numbers, sizes, lexicon = _opened(row)
                 train = _learn(docs) & ~mixing(docs)
-                if train.any():
-                    flat, each_word = lexicon.ids(numbers[np.repeat(train, sizes)])
-                    model.train(flat, sums(each_word, sizes[train]), part, ROUNDS, steps)
+                now = train & ((np.cumsum(train) + met) % ROUNDS == part)
+                met += int(train.sum())
+                if now.any():
+                    flat, each_word = lexicon.ids(numbers[np.repeat(now, sizes)])
+                    model.train(flat, sums(each_word, sizes[now]), 0, 1, steps)
         if steps.ids:
             pieces = np.array_split(np.concatenate([v.ravel() for v in model.p.values()]), PIECES)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(PIECES, dtype=np.int32)), pa.array(np.full(PIECES, TaskContext.get().partitionId())), pa.array(np.full(PIECES, steps.ids)), pa.array([x.tobytes() for x in pieces], pa.binary())], ["piece", "task", "ids", "tables"])

@@ -2,6 +2,7 @@
 
 import itertools
 import os
+import re
 import sys
 from collections import Counter, defaultdict
 
@@ -391,6 +392,50 @@ def test_each_window_trains_once_in_a_corpus_of_any_size(spark, monkeypatch):
     assert len(taught) == lm.ROUNDS and sum(taught) == want > 0
 
 
+def test_a_round_lays_out_the_texts_it_trains_on_only(spark, monkeypatch):
+    """Over all rounds each text that trains is laid out once, and every round has some."""
+    import pickle
+    from types import SimpleNamespace
+
+    import pyspark
+
+    texts, subwords, laid, layout = [f"text {i} of many, or few " * (i % 9 + 1) for i in range(90)], lm.Subwords.of(GPT), [], lm.Model.layout
+    known, want = corpus_of(spark, texts), Counter()
+    batches = known.blocks.select("block", *lm.BODIES).toArrow().to_batches()
+    for docs in (lm._rows(x.as_py()) for b in batches for x in b.column("docs")):
+        for i in np.array(docs.column("doc_id").to_pylist())[lm._learn(docs) & ~lm.mixing(docs)].tolist():
+            want[tuple(x for w in (*lm.words(texts[i]), lm.ENDING) for x in subwords(w))] += 1
+
+    def spy(self, flat, sizes):
+        laid.extend(tuple(x.tolist()) for x in np.split(flat, np.cumsum(sizes)[:-1]))
+        return layout(self, flat, sizes)
+
+    monkeypatch.setattr(lm.Model, "layout", spy)
+    monkeypatch.setattr(pyspark.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    model = lm.Model(subwords.end + 1, subwords.initial.astype(int), np.ones(subwords.end + 1), subwords.end)
+    taught = [next(lm._learner(SimpleNamespace(value=pickle.dumps(model)), k)(batches)).column("ids")[0].as_py() for k in range(lm.ROUNDS)]
+    assert Counter(laid) == want and sum(taught) == sum(len(t) * n for t, n in want.items()) and min(taught) > 0
+
+
+def test_words_are_cut_at_six_blanks_only():
+    for text in ("", " \t\n\x0b\x0c\r", "A\x1cB\x1d\x1e\x1f c\x85d\u00a0e\u2003f\u2028g\u3000h\x00i", "\xc9T\xc9 Stra\u00dfe \u0130 漢字\t🙂"):
+        assert lm.words(text) == re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+
+
+def test_ranks_and_words_beyond_all_numbers():
+    keys = np.random.default_rng(1).integers(0, 50, 400).astype(np.uint64)
+    met, back, n = np.unique(keys, return_inverse=True, return_counts=True)
+    place, distinct = lm._ranks(keys)
+    assert place.tolist() == back.tolist() and distinct.tolist() == met.tolist() and lm._met(keys).tolist() == n[back].tolist()
+    assert [len(x) for x in lm._ranks(keys[:0])] == [0, 0]
+    # a word of 2,000 ids that the corpus does not have: its probability is below every number, its logarithm is not
+    model = lm.Model(5, np.array([1, 1, 0, 0, 1]), np.array([5.0, 3, 1, 1, 2]), 4)
+    model.n = 9
+    zero = np.zeros(2, np.int64)
+    said = lm.Texts(np.array([1, 0]), np.array([2]), lm.Lexicon(np.array([1, 2000]), np.array([4, 0, *[2] * 1999], np.int32)), zero, zero, zero)
+    assert model.mixed(said)[0] == pytest.approx(model.tokens(said)[0] + np.log(model.shares[0, 0])) and model.mixed(said)[0] < -1000
+
+
 def test_words_encoded_together_are_those_encoded_alone():
     subwords = lm.Subwords.of(GPT)
     for names in (["plain", "don't", "\u00a0odd\u00a0\u00a0", "\x1c", "a\u2003b", "漢字", "🙂👍🏽", "x" * 5000, "end\u00a0"], ["<|endoftext|>", "b"]):
