@@ -725,7 +725,7 @@ def _bodies(blocks: DataFrame) -> DataFrame:
 def fit(known: Corpus) -> Model:
     """A model of all texts of the corpus that learn; mixing() ones find the shares, the others train.
 
-    In each round every task trains its own copy on windows of its texts, and the copies are averaged by the number of their
+    In each round every task trains its own copy on every ROUNDS-th of its texts, whole ones, and the copies are averaged by the number of their
     ids. How the blocks are dealt to tasks has a bearing on the averages. Without any text it is a model that has seen an end only.
     """
     subwords = Subwords.of(known.path)
