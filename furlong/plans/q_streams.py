@@ -261,6 +261,7 @@ def t11(spark, d):
 @query("t11_refresh", f", a AS (SELECT *, avg(body_weight) {last(5)} AS weight_avg5 FROM {RUNS}), m AS (SELECT user_id AS horse, arg_max(value, (ts, event_id)) AS v FROM events WHERE event_id % 2 = 0 GROUP BY user_id), k AS (SELECT user_id AS horse, arg_max(400 + value / 4, (ts, event_id)) AS b FROM events WHERE event_id % 2 = 1 GROUP BY user_id), f AS (SELECT a.* EXCLUDE (odds, body_weight), coalesce(v, odds) AS odds, coalesce(b, body_weight) AS body_weight FROM a LEFT JOIN m USING (horse) LEFT JOIN k USING (horse)), g AS (SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY odds, horse) AS p FROM f) SELECT race_id, horse, p AS popularity, round(odds, 6) AS odds, round(greatest(0, least(1, ln(greatest(odds, 1)) / ln(300))), 6)::DOUBLE AS odds_score, round(1 / odds / sum(1 / odds) OVER w, 6) AS implied_share, round(min(odds) OVER w / max(CASE WHEN p = 2 THEN odds END) OVER w, 6) AS favourite_ratio, round(body_weight, 6) AS body_weight, round(body_weight - weight_avg5, 6) AS weight_diff, round(carried / body_weight, 9) AS carry_ratio, rank() OVER (PARTITION BY race_id ORDER BY body_weight DESC)::BIGINT AS body_weight_rank, rank() OVER (PARTITION BY race_id ORDER BY carried / body_weight)::BIGINT AS carry_ratio_rank, finish FROM g WINDOW w AS (PARTITION BY race_id)")
 def t11r(spark, d):
     """Every column that follows from odds or body weight, made anew from the newest snapshots; history (weight_avg5) and results stay."""
+    from ..functions.scalars import rounded
     from ..operators.history import last_before
 
     features = last_before(entries(spark, d), ["horse"], weight_avg5=(5, F.avg("body_weight")))
@@ -268,7 +269,7 @@ def t11r(spark, d):
     market = ev.where("event_id % 2 = 0").withColumnRenamed("value", "odds")
     weights = ev.where("event_id % 2 = 1").withColumn("body_weight", 400 + F.col("value") / 4).drop("value")
     df = T.refresh(features, market, weights, at=("ts", "event_id"))
-    return df.select("race_id", "horse", "popularity", *(F.round(c, n).alias(c) for c, n in {"odds": 6, "odds_score": 6, "implied_share": 6, "favourite_ratio": 6, "body_weight": 6, "weight_diff": 6, "carry_ratio": 9}.items()), "body_weight_rank", "carry_ratio_rank", "finish")
+    return df.select("race_id", "horse", "popularity", *(rounded(c, n).alias(c) for c, n in {"odds": 6, "odds_score": 6, "implied_share": 6, "favourite_ratio": 6, "body_weight": 6, "weight_diff": 6, "carry_ratio": 9}.items()), "body_weight_rank", "carry_ratio_rank", "finish")
 
 
 @query("t12_dedupe_stream", "SELECT DISTINCT event_id FROM events", base=False)

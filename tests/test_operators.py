@@ -240,6 +240,36 @@ def test_late_binding_touches_what_follows_from_it_only(spark):
     assert [r.body_weight_rank for r in (a, b, c)] == [2, 1, 3] and all(r.source == "kept" for r in (a, b, c))
 
 
+def test_rounded_equals_duckdb_next_to_halves(spark):
+    """Values within an ulp of a half of the last digit, either sign; what is not finite or too large to scale stays."""
+    import math
+
+    import duckdb
+
+    halves = [(k + 0.5) / 10**6 for k in range(0, 400_000, 997)]
+    values = [y for x in halves for y in (x, math.nextafter(x, 0), math.nextafter(x, 1), -x)] + [0.0, 1e300, float("inf"), None]
+    got = [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double").orderBy("i").select(S.rounded("x", 6)).collect()]
+    con = duckdb.connect()
+    con.execute("create table t (i int, x double)")
+    con.executemany("insert into t values (?, ?)", list(enumerate(values)))
+    assert got == [r[0] for r in con.execute("select round(x, 6) from t order by i").fetchall()]
+
+
+def test_shares_are_added_up_from_the_heaviest(spark):
+    """0.1, 0.2 and 0.3 add up to another number in another order: the order is that of the weights, not of the rows or the odds."""
+    odds, want = [10.0, 5.0, 10 / 3], {}
+    for k, by in enumerate(((0, 1, 2), (2, 1, 0), (1, 2, 0), (0, 2, 1))):
+        total = 0.0
+        for i in by:
+            total += 1 / odds[i]
+        want |= {(k, i): 1 / odds[i] / total for i in by}
+    rows = [(k, i, odds[i], 500.0 - by.index(i), 55.0, None) for k, by in enumerate(((0, 1, 2), (2, 1, 0), (1, 2, 0), (0, 2, 1))) for i in range(3)]
+    f = spark.createDataFrame(rows, "race_id int, horse int, odds double, body_weight double, carried double, weight_avg5 double")
+    none = lambda c: spark.createDataFrame([], f"horse int, ts int, {c} double")
+    got = {(r.race_id, r.horse): r.implied_share for r in T.refresh(f, none("odds"), none("body_weight")).collect()}
+    assert got == want and len(set(want.values())) > 3
+
+
 def test_more_cells_cost_no_more_scans(spark):
     """Seven groupings read the written runners as often as one does."""
     one = spark.createDataFrame([(1, 1, 1, 1, 1, 1)], "race_id int, horse int, trainer int, venue int, day int, finish int").withColumn("race_date", F.current_date())
