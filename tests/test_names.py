@@ -57,3 +57,17 @@ def test_no_product_of_names(spark):
     plan = N.match_names(a, a.withColumn("id", a.id + 1), "id", "id", "name", "name")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
     assert N.match_names(a.where("1 = 0"), a, "id", "id", "name", "name").count() == 0
+
+
+def test_a_name_of_many_ids_is_matched_once(spark):
+    """Thousands of ids of few names; an id with several names goes by its best. No side laid out by keys is broadcast, though the tables look small."""
+    rows = [(i, ("J. Smith", "Ann Le", "nobody")[i % 3]) for i in range(3000)] + [(0, "John Smith"), (1, "x")]
+    full = spark.createDataFrame([(1, "John Smith"), (2, "Jane Smith"), (3, "Ann Lee")], "id int, name string")
+    made = N.match_names(spark.createDataFrame(rows, "id int, name string"), full, "id", "id", "name", "name")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Generate " not in plan and plan.count("BroadcastExchange") == 1
+    got = {}
+    for r in made.collect():
+        got.setdefault(r.id, []).append((r.target, r.kind, r.ambiguous))
+    assert got[0] == [(1, "equal", False)] and got[1] == [(3, "abbreviated", False)] and sorted(got[3]) == [(1, "abbreviated", True), (2, "abbreviated", True)]
+    assert set(got) == {i for i in range(3000) if i % 3 < 2}
