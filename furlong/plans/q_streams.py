@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import math
 
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,7 +25,10 @@ LATE = f"{DAYS + 1} days"
 
 
 def stream(spark, d, name: str = "events", times: int = 1):
-    """The events as a stream of files in the order of time: written once into the shared folder, ten days after ten days, so that a key's rows come in several micro-batches; each row `times` times."""
+    """The events as a stream of files in the order of time: written once into the shared folder, ten days after ten days, so that a key's rows come in several micro-batches; each row `times` times.
+
+    A micro-batch takes as many files as a write has made on average: there are as many micro-batches at any size of the table.
+    """
     path, df = folder(spark, "stream"), table(spark, d, name)
     day = F.to_date("ts")
     first, last = df.agg(F.min(day), F.max(day)).first()
@@ -34,7 +38,8 @@ def stream(spark, d, name: str = "events", times: int = 1):
         part = df.where(within | F.isnull("ts") if k == 0 else within)
         for _ in range(times):
             part.repartition("user_id").write.mode("append").parquet(path)
-    return T.read_stream(spark, path, df.schema, files=1)
+    files = len(spark.read.schema(df.schema).parquet(path).inputFiles())
+    return T.read_stream(spark, path, df.schema, files=max(1, math.ceil(files / (len(starts) * times))))
 
 
 @query("s1_scan", "SELECT o_orderkey, o_orderpriority, o_orderstatus FROM orders WHERE o_orderdate >= DATE '2001-01-01'", base=False)

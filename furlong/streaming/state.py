@@ -70,38 +70,8 @@ def merge_cards(df: DataFrame, keys: Sequence[str], at: str, complete: str, fini
 
 
 def merge_cards_stream(stream: DataFrame, keys: Sequence[str], at: str, complete: str, finish: str, fields: Sequence[str]) -> DataFrame:
-    """T5 as keyed state: for each field the best (time, complete, value) so far. A micro-batch gives the merged card of every key it touches (update mode), equal to merge_cards over all snapshots until then."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    types = dict(stream.dtypes)
-    named = [finish, *fields]
-    never = pd.NaT.value
-
-    def held(c: str, v: pd.Series) -> pd.Series:
-        return v.notna() & (v >= 0 if c == finish else v != "" if types[c] == "string" else True)
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True)
-        rank = pd.DataFrame({"at": rows[at].astype("datetime64[us]").astype("int64"), "full": rows[complete].astype("Int64").fillna(-1).astype("int64")})
-        old = state.get if state.exists else (None,) * (2 + 4 * len(named))
-        top = max([tuple(map(int, x)) for x in rank.drop_duplicates().itertuples(index=False)] + ([tuple(old[:2])] if state.exists else []))
-        new = [*top]
-        for i, c in enumerate(named):
-            # a finish of 0 counts only where there is none above
-            best = [tuple(old[2 + 4 * i : 6 + 4 * i])] if old[2 + 4 * i] is not None else []
-            here = rank.assign(solid=(rows[c] > 0).astype("int64") if c == finish else 1, value=rows[c])[held(c, rows[c])]
-            if len(here):
-                r = here.sort_values(["solid", "at", "full", "value"]).iloc[-1]
-                best.append((int(r.solid), int(r["at"]), int(r.full), r.value.item() if hasattr(r.value, "item") else r.value))
-            new += max(best) if best else (None,) * 4
-        state.update(tuple(new))
-        card = dict(zip(keys, k)) | {at: pd.Timestamp(top[0], unit="us") if top[0] != never else pd.NaT, complete: None if top[1] < 0 else bool(top[1])}
-        yield pd.DataFrame([card | {c: new[5 + 4 * i] for i, c in enumerate(named)}])
-
-    kept = "_at long, _full long, " + ", ".join(f"{c}_solid long, {c}_at long, {c}_full long, {c} {types[c]}" for c in named)
-    out = ", ".join(f"{c} {types[c]}" for c in (*keys, at, complete, *named))
-    return stream.select(*keys, at, complete, *named).groupBy(*keys).applyInPandasWithState(step, out, kept, "update", GroupStateTimeout.NoTimeout)
+    """T5 as keyed state: the same aggregate over a stream, whose buffers (for each field the best time, complete and value so far) are the state of a key. A micro-batch gives the merged card of every key it touches (update mode), equal to merge_cards over all snapshots until then."""
+    return merge_cards(stream.select(*keys, at, complete, finish, *fields), keys, at, complete, finish, fields)
 
 
 def log_batch(path: str, keys: Sequence[str] = (), at: Sequence[str] = ()) -> Callable[[DataFrame, int], None]:

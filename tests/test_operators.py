@@ -211,6 +211,24 @@ def test_cards_merged_as_a_stream(spark, tmp_path):
     assert one(T.read_latest(spark, f"file://{tmp_path}/log", ["k"]), *cols) == one(T.merge_cards(frame(rows), ["k"], "at", "full", "finish", ["jockey"]), *cols)
 
 
+def test_card_state_is_an_aggregate_and_micro_batches_are_as_many_at_any_size(spark, tmp_path):
+    """No Python runs for each key, and a write of four files is one micro-batch, not four."""
+    from furlong.plans import q_streams
+
+    rows = spark.range(600).selectExpr("id event_id", "cast(timestampadd(HOUR, cast(id as int), timestamp '2024-01-01 00:00:00') as timestamp_ntz) ts", "id % 40 user_id", "'view' event_type", "id % 90 * 1D value", "'' props")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        stream = q_streams.stream(spark, str(tmp_path))
+        batches = []
+        T.drain(stream, lambda batch, number: batches.append(batch.count()), f"file://{tmp_path}/progress")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert batches == [240, 240, 120]
+    cards = T.merge_cards_stream(stream.selectExpr(*q_streams.CARD), ["user_id", "event_type"], "ts", "complete", "finish", ["jockey"])
+    assert "Pandas" not in cards._jdf.queryExecution().analyzed().toString()
+
+
 def test_percentiles_equal_numpy(spark):
     import numpy as np
 
