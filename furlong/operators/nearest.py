@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -71,6 +72,87 @@ def _measured(pairs: DataFrame, blocks: DataFrame, by: Sequence[str], k: int) ->
     return left.cogroup(right).applyInArrow(meet, "t long, h long, dist double")
 
 
+#: Asked rows and rows of a part that meet in one call of most_similar, and asked rows that are compared at a time.
+ASKED, ROWS, AT_ONCE = 8192, 65536, 128
+
+
+def most_similar(asked: DataFrame, rows: DataFrame, k: int, id: str, vec: str) -> DataFrame:
+    """(asked, id, similarity) of the k other rows most like each asked one by cosine, equal ones by id (K6): all pairs are compared, none is laid out.
+
+    Blocks of asked rows meet parts of all rows as matrices, and at most k rows of each go on. Products in any order find who may be among them; their cosines are then added up one
+    component after another, so that equal vectors have equal ones, and DuckDB's. A cosine that is not defined (a null or zero vector, other lengths, components that are null or not finite) is null and comes last.
+    """
+    v = F.col("v")
+    sound = (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
+    sides = [df.select(F.col(id).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v")).where("id is not null").withColumn("v", F.when(sound, v)) for df in (asked, rows)]
+    n, m = (max(1, math.ceil(df.count() / size)) for df, size in zip(sides, (ASKED, ROWS)))
+
+    def dealt(df, mine, block, other, others):
+        """Each row once for every block of the other side."""
+        return df.withColumn(mine, F.pmod(F.xxhash64("id"), F.lit(block)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    def matrix(table):
+        """Ids in order, and by length of the vector (0: none) where the rows are and what they hold."""
+        import numpy as np
+
+        ids = table.column("id").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        lists = table.column("v").combine_chunks().take(order)
+        size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        flat, starts = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(size) - size
+        at = {int(d): np.flatnonzero(size == d) for d in np.unique(size)}
+        return ids[order], {d: (rows, flat[starts[rows][:, None] + np.arange(d)]) for d, rows in at.items()}
+
+    def fold(x, y):
+        import numpy as np
+
+        total = np.zeros(len(x))
+        for i in range(x.shape[1]):
+            total += x[:, i] * y[:, i]
+        return total
+
+    def meet(key, left, right):
+        import numpy as np
+        import pyarrow as pa
+
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if left.num_rows and right.num_rows:
+            (a, asked_by), (b, rows_by) = matrix(left), matrix(right)
+            with np.errstate(all="ignore"):
+                unit = lambda v: v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+                units = {d: unit(v) for d, (_, v) in rows_by.items()}
+                for d, (at, x) in asked_by.items():
+                    for i in range(0, len(at), AT_ONCE):
+                        near = np.full((len(at[i : i + AT_ONCE]), len(b)), -3.0)
+                        if d and d in rows_by:
+                            rough = unit(x[i : i + AT_ONCE]) @ units[d].T
+                            near[:, rows_by[d][0]] = np.where(np.isfinite(rough), rough, -3.0)
+                        for j, line in enumerate(near):
+                            me = a[at[i + j]]
+                            # one more than asked for, as the row itself is among them
+                            least = np.partition(line, -k - 1)[-k - 1] - 1e-9 if len(line) > k + 1 else -4.0
+                            if least < -2:
+                                # what has no cosine goes by id: the first few are enough
+                                some = np.union1d(np.flatnonzero(line > -2), np.flatnonzero(line <= -2)[: k + 1])
+                            else:
+                                some = np.flatnonzero(line >= least)
+                            some = some[b[some] != me]
+                            s, real = np.full(len(some), -3.0), line[some] > -2
+                            if real.any():
+                                y = rows_by[d][1][np.searchsorted(rows_by[d][0], some[real])]
+                                z = np.broadcast_to(x[i + j], y.shape)
+                                s[real] = np.clip(fold(z, y) / (np.sqrt(fold(z, z)) * np.sqrt(fold(y, y))), -1, 1)
+                            best = np.lexsort((b[some], -s))[:k]
+                            found.append((np.full(len(best), me), b[some][best], s[best]))
+        out = [np.concatenate([f[i] for f in found]) for i in range(3)]
+        return pa.table({"asked": pa.array(out[0], pa.int64()), "id": pa.array(out[1], pa.int64()), "similarity": pa.array(out[2], pa.float64(), mask=out[2] < -2)})
+
+    left, right = dealt(sides[0], "_a", n, "_b", m).groupBy("_a", "_b"), dealt(sides[1], "_b", m, "_a", n).groupBy("_a", "_b")
+    near = left.cogroup(right).applyInArrow(meet, "asked long, id long, similarity double")
+    rank = F.row_number().over(_over("asked").orderBy(F.desc_nulls_last("similarity"), "id"))
+    return near.withColumn("_n", rank).where(F.col("_n") <= k).drop("_n")
+
+
 def _over(*by):
     from pyspark.sql import Window
 

@@ -359,11 +359,9 @@ def k5(spark, d):
 
 @query("k6_similar_trials", "SELECT trial, vec_id, round(s, 6) AS similarity FROM (SELECT a.vec_id AS trial, b.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id) QUALIFY row_number() OVER (PARTITION BY trial ORDER BY s DESC, vec_id) <= 20", base=False)
 def k6(spark, d):
-    """The 20 trials most like each hundredth one, against all; queries go in blocks, so that each row meets a block at a time."""
+    """The 20 trials most like each hundredth one, against all, as matrices."""
     v = table(spark, d, "embeddings")
-    blocks = v.where("vec_id % 100 = 0").groupBy((F.col("vec_id") / 6400).cast("int").alias("block")).agg(F.collect_list(F.struct(F.col("vec_id").alias("trial"), F.col("embedding").alias("x"))).alias("asked"))
-    near = v.crossJoin(J.small(blocks)).select(F.inline("asked"), "vec_id", "embedding").where("trial <> vec_id").select("trial", "vec_id", S.cosine("x", "embedding").alias("s"))
-    return J.top_per_group(near, ["trial"], [F.desc("s"), "vec_id"], 20).select("trial", "vec_id", R6("s").alias("similarity"))
+    return N.most_similar(v.where("vec_id % 100 = 0"), v, 20, "vec_id", "embedding").select(F.col("asked").alias("trial"), F.col("id").alias("vec_id"), R6("similarity").alias("similarity"))
 
 
 @query("k9_cascade", ", a AS (SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY score_a DESC, horse) AS ra FROM e), b AS (SELECT race_id, horse, row_number() OVER (PARTITION BY race_id ORDER BY score_b DESC, horse) AS rb, score_b, lead(score_b) OVER (PARTITION BY race_id ORDER BY score_b DESC, horse) AS nxt FROM a WHERE ra > 1), p AS (SELECT race_id, horse FROM b WHERE rb = 1 AND (score_b - coalesce(nxt, score_b)) / greatest(abs(score_b), 1e-9) > 0.1) SELECT a.race_id, a.horse, row_number() OVER (PARTITION BY a.race_id ORDER BY CASE WHEN ra = 1 THEN 0 WHEN p.horse IS NOT NULL THEN 1 ELSE 2 END, ra)::BIGINT AS place FROM a LEFT JOIN p ON a.race_id = p.race_id AND a.horse = p.horse")

@@ -54,3 +54,36 @@ def test_rings_spare_most_rows(spark, monkeypatch):
         monkeypatch.setattr(N, "_measured", whole)
         shares.append(sum(seen) / (n * (n // 100)))
     assert shares[1] < shares[0] < 1
+
+
+def test_most_similar_equals_all_pairs(spark, monkeypatch):
+    """Copies (ties by id), zero and null vectors, other lengths; one block and several give the same, and no pair is laid out."""
+    import math
+    import random
+
+    draw = random.Random(3)
+    base = [[draw.gauss(0, 1) for _ in range(6)] for _ in range(12)]
+    vectors = [[x + draw.choice((0, 0.1)) for x in base[i % 12]] for i in range(60)] + [[0.0] * 6, None, [1.0, 2.0], [None] * 6, [float("nan")] * 6]
+    df = spark.createDataFrame(list(enumerate(vectors)), "id long, v array<double>")
+
+    def cosine(x, y):
+        if not x or not y or len(x) != len(y) or None in x or None in y:
+            return None
+        dot = lambda p, q: sum(a * b for a, b in zip(p, q))
+        size = math.sqrt(dot(x, x)) * math.sqrt(dot(y, y))
+        return dot(x, y) / size if size > 0 else None
+
+    asked = [0, 10, 30, 60, 61, 62]
+    want = {}
+    for a in asked:
+        scored = [(b, cosine(vectors[a], y)) for b, y in enumerate(vectors) if b != a]
+        want[a] = [b for b, s in sorted(scored, key=lambda p: (math.inf if p[1] is None else -min(1.0, p[1]), p[0]))][:7]
+    for blocks in ((8192, 65536), (2, 16)):
+        for name, value in zip(("ASKED", "ROWS"), blocks):
+            monkeypatch.setattr(N, name, value)
+        made = N.most_similar(df.where(df.id.isin(asked)), df, 7, "id", "v")
+        got = {a: [] for a in asked}
+        for r in made.orderBy("asked", "similarity", ascending=[True, False]).collect():
+            got[r.asked].append((r.similarity, r.id))
+        assert {a: [i for s, i in sorted(g, key=lambda p: (math.inf if p[0] is None else -p[0], p[1]))] for a, g in got.items()} == want
+        assert "NestedLoop" not in made._jdf.queryExecution().executedPlan().toString()
