@@ -25,8 +25,9 @@ GRID_DIMS = 6
 SIDE = 4.0
 #: Vectors of a cell that meet in one task; a fuller cell is cut into parts that meet in pairs.
 CELL = 1024
-#: Vectors of a part of a label that is compared whole, and the most vectors of such a label. A larger one goes by blocks.
-PART, DIRECT = 2048, 16384
+#: Vectors of a part of a label that is compared whole, and the most vectors of such a label for each block that its vectors have. A larger one goes by blocks.
+#: A vector is sent as often as its label has parts; by blocks of 64 dimensions, of which few coordinates tell vectors apart, it is sent hundreds of times.
+PART, DIRECT = 32768, 131072
 #: Number that stands for a block in the cells of these.
 WHOLE = -1
 #: Vectors that are compared with all of a group at a time.
@@ -137,9 +138,10 @@ def link(classes: DataFrame, cosine: float) -> DataFrame:
     ddl = f"label {label_type}, cell string, home boolean, rep long, copies long, unit binary"
     out, all_ = list(to_arrow(ddl)), list(to_arrow(ddl + ", parts int"))
     sized = classes.withColumn("dims", F.size("v")).join(sizes, ["label", "dims"])
-    cells = sized.where(F.col("n") <= DIRECT).select("label", "v", "rep", "copies", F.ceil(F.col("n") / PART).cast("int").alias("parts")).mapInArrow(whole, ddl + ", parts int")
+    direct = F.col("n") <= DIRECT * F.ceil(F.col("dims") / BLOCK_DIMS)
+    cells = sized.where(direct).select("label", "v", "rep", "copies", F.ceil(F.col("n") / PART).cast("int").alias("parts")).mapInArrow(whole, ddl + ", parts int")
     if biggest > DIRECT:
-        large = sized.where(F.col("n") > DIRECT).select(classes.columns)
+        large = sized.where(~direct).select(classes.columns)
         parts = large.mapInArrow(spread, ddl).groupBy("label", "cell").agg(F.count("*").alias("n")).where("n > 1").select("label", "cell", F.ceil(F.col("n") / CELL).cast("int").alias("parts"))
         cells = cells.unionByName(large.mapInArrow(spread, ddl).join(parts, ["label", "cell"]))
     cells = cells.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
@@ -155,8 +157,13 @@ def link(classes: DataFrame, cosine: float) -> DataFrame:
         units = np.frombuffer(b"".join(group.column("unit").to_pylist()), np.float64).reshape(-1, size)
         reps, copies, home, part, lo, hi = (group.column(c).to_numpy() for c in ("rep", "copies", "home", "part", "lo", "hi"))
         shares = budgets(size, cosine)
+        ahead = len(reps)
         if number == WHOLE:
+            # by part and id: each pair is compared once, those of two parts only across
+            order = np.lexsort((reps, part))
+            units, reps, copies, home, part = units[order], reps[order], copies[order], home[order], part[order]
             some, most = units.astype(np.float32), None
+            ahead = int((part == lo[0]).sum())
         else:
             turned = units @ rotation(size)
             a, b, most = shares[number]
@@ -168,17 +175,19 @@ def link(classes: DataFrame, cosine: float) -> DataFrame:
             return (d * d).sum(axis=-1)
 
         links, ones, others = np.zeros(len(reps)), [], []
-        for i in range(0, len(reps), AT_ONCE):
+        for i in range(0, ahead, AT_ONCE):
             # single precision with a margin finds what double precision then looks at
-            near = some[i : i + AT_ONCE] @ some.T
+            first = 0 if number != WHOLE else i if lo[0] == hi[0] else ahead
+            near = some[i : min(i + AT_ONCE, ahead)] @ some[first:].T
             near = near >= cosine - 1e-4 if number == WHOLE else norms[i : i + AT_ONCE, None] + norms - 2 * near <= most + 1e-5
             x, y = np.nonzero(near)
-            x += i
+            x, y = x + i, y + first
             # a pair counts where the smaller id is at home
-            keep = home[x] & (reps[x] < reps[y])
-            if lo[0] != hi[0]:
-                keep &= part[x] != part[y]
-            x, y = x[keep], y[keep]
+            if first < ahead:
+                keep = home[x] & (reps[x] < reps[y])
+                if lo[0] != hi[0]:
+                    keep &= part[x] != part[y]
+                x, y = x[keep], y[keep]
             if number != WHOLE:
                 keep = apart(shares[number], x, y) <= most + 1e-9
                 for share in shares[:number]:

@@ -255,6 +255,25 @@ def test_vectors_by_blocks_and_whole_give_the_same_links(spark, monkeypatch):
             assert got[i].component_id == got[j].component_id
 
 
+def test_parts_of_a_label_meet_across_and_within(spark, monkeypatch):
+    """A label beyond DIRECT is compared whole if its vectors have many dimensions, and a large label's vectors are sent a few times, not hundreds."""
+    from furlong.llm import embeddings
+
+    assert 60_000 <= embeddings.DIRECT * len(embeddings.budgets(64, 0.98)) and -(-60_000 // embeddings.PART) <= 2
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((90, 64))
+    x[45:] = x[rng.integers(0, 45, 45)] + rng.normal(0, 0.1, (45, 64))
+    units = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = (units @ units.T >= 0.98) & ~np.eye(90, dtype=bool)
+    df = spark.createDataFrame([(i, x[i].tolist(), 1) for i in range(90)], "vec_id long, embedding array<double>, label int")
+    monkeypatch.setattr(embeddings, "DIRECT", 12)
+    for part in (7, 30, 1000):
+        monkeypatch.setattr(embeddings, "PART", part)
+        got = {r.vec_id: r for r in embeddings.near_vectors(df).collect()}
+        assert linked.sum() > 20 and [got[i].n_links for i in range(90)] == linked.sum(1).tolist()
+        assert all(got[i].component_id == got[j].component_id for i, j in np.argwhere(linked))
+
+
 def test_pipeline_near_duplicates_on_awkward_rows(spark):
     """One row of each group stays, rows without ids stay, repeated rows are one, and other columns come through."""
     import corpus_pipeline as P
