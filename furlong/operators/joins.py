@@ -136,6 +136,24 @@ def fallback_match(targets: DataFrame, history: DataFrame, levels: Sequence[Sequ
     joined. A level's rows are numbered by age with offsets of days, so that no window is larger than a day of a level; a pool is then a run
     of numbers, found by an equi-join on runs of `most`: a target meets 2 * most rows, however many its level has.
     """
+    met, pool = _pools(targets, history, levels, ["_last", "_first"], day, least, most, ties, look_back)
+    return met.join(pool, ["_level", "_cell", "_last", "_first"], "left").select("key_id", F.col("_level").alias("level"), *(f"h_{c}" for c in history.columns))
+
+
+def fallback_stats(targets: DataFrame, history: DataFrame, levels: Sequence[Sequence[str]], stats: dict[str, Column], day: str = "day", least: int = 30, most: int = 200, ties: Sequence[str] = (), look_back: int | None = None) -> DataFrame:
+    """key_id, level and aggregates over the pool that fallback_match gives each target key (of history's columns, as h_, and of the target's day, as _day).
+
+    Targets of one day and one value of their level share a pool: its rows are aggregated once, as they are found, and only what comes out goes to each target. Of an
+    empty pool all are null.
+    """
+    keys = ["_level", "_cell", "_day"]
+    met, pool = _pools(targets, history, levels, ["_day", "_last", "_first"], day, least, most, ties, look_back)
+    told = pool.groupBy(*keys).agg(*(c.alias(n) for n, c in stats.items()))
+    return met.join(told, keys, "left").select("key_id", F.col("_level").alias("level"), *stats)
+
+
+def _pools(targets: DataFrame, history: DataFrame, levels: Sequence[Sequence[str]], of: Sequence[str], day: str, least: int, most: int, ties: Sequence[str], look_back: int | None) -> tuple[DataFrame, DataFrame]:
+    """The level, cell, day and run of numbers of each target key; and the rows of each distinct pool, by level, cell and `of`."""
     from ..sources.tables import cut
 
     by = ["_level", "_cell"]
@@ -151,16 +169,16 @@ def fallback_match(targets: DataFrame, history: DataFrame, levels: Sequence[Sequ
     w = W.partitionBy(*by).orderBy(day)
     near = w.rangeBetween(-look_back if look_back else W.unboundedPreceding, -1)
     counts = grid.select(*by, day, F.coalesce(F.sum("_c").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.coalesce(F.sum("_c").over(near), F.lit(0)).alias("_near"))
-    span = F.struct("_level", "_cell", F.col("_before").alias("_last"), (F.col("_before") - F.least(F.lit(most), "_near")).alias("_first"))
+    span = F.struct("_level", "_cell", F.col("_before").alias("_last"), (F.col("_before") - F.least(F.lit(most), "_near")).alias("_first"), F.col(day).alias("_day"))
     # what both the choice of levels and the numbering need is counted once
     counts = cut(counts, "fallback-counts")
     met = asked.join(counts, [*by, day], "left").groupBy("key_id").agg(F.coalesce(F.min(F.when(F.col("_near") >= least, span)), F.max(span)).alias("_s")).select("key_id", "_s.*")
     met = cut(met, "fallback-levels")
-    runs = met.select(*by, "_last", "_first").distinct().withColumn("_run", F.explode(F.array_distinct(F.array(F.floor((F.col("_first") + 1) / most), F.floor(F.col("_last") / most)))))
+    runs = met.select(*by, *of).distinct().withColumn("_run", F.explode(F.array_distinct(F.array(F.floor((F.col("_first") + 1) / most), F.floor(F.col("_last") / most)))))
     at = F.row_number().over(W.partitionBy(*by, day).orderBy(*(F.desc(c) for c in ties))) + F.col("_before")
     placed = rows.join(counts.select(*by, day, "_before"), [*by, day]).withColumn("_at", at).select(*by, "_at", F.floor(F.col("_at") / most).alias("_run"), *(F.col(c).alias(f"h_{c}") for c in history.columns))
     pool = runs.join(placed, [*by, "_run"]).where((F.col("_at") > F.col("_first")) & (F.col("_at") <= F.col("_last"))).drop("_run", "_at")
-    return met.join(pool, [*by, "_last", "_first"], "left").select("key_id", F.col("_level").alias("level"), *(f"h_{c}" for c in history.columns))
+    return met, pool
 
 
 def union_all(arms: Sequence[DataFrame]) -> DataFrame:

@@ -340,6 +340,24 @@ def test_style_features_shuffle_no_wide_rows(spark):
     assert plan[plan.index("Exchange hashpartitioning(") :].startswith("Exchange hashpartitioning(horse") and made.count() == len(rows)
 
 
+def test_pools_are_aggregated_once_for_targets_that_share_them(spark):
+    """The same as aggregates over fallback_match; pools, not targets, are what is joined to the rows of history."""
+    import random
+
+    draw = random.Random(8)
+    rows = [(i, draw.randrange(30), draw.choice(["a", "b", None]), draw.randrange(2), draw.random()) for i in range(300)]
+    df = spark.createDataFrame(rows, "race_id int, day int, venue string, distance int, v double")
+    targets, how = df.select(F.col("race_id").alias("key_id"), "venue", "distance", "day"), {"least": 10, "most": 20, "ties": ["race_id"], "look_back": 15}
+    levels = [["venue", "distance"], ["distance"]]
+    told = J.fallback_stats(targets, df, levels, {"n": F.count("h_race_id"), "far": F.sum(F.col("_day") - F.col("h_day")), "v": F.round(F.sum("h_v"), 9)}, **how)
+    pool = J.fallback_match(targets, df, levels, **how).join(targets.select("key_id", "day"), "key_id")
+    want = pool.groupBy("key_id", "level").agg(F.count("h_race_id").alias("n"), F.sum(F.col("day") - F.col("h_day")).alias("far"), F.round(F.sum("h_v"), 9).alias("v"))
+    cols = ("key_id", "level", "n", "far", "v")
+    assert one(told.fillna(0, ["n"]), *cols) == one(want, *cols) and told.count() == 300
+    met, rows = J._pools(targets, df, levels, ["_day", "_last", "_first"], "day", 10, 20, ["race_id"], 15)
+    assert rows.count() < pool.count() / 2
+
+
 def test_capped_streak_equals_the_whole_one_up_to_its_cap(spark):
     import random
 
